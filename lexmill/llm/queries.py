@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import forms
+from lexmill.llm import forms, pieces
 from lexmill.sources.tables import table
 
 
@@ -20,8 +20,33 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.lit("content").alias("field_name"), "left_key", "right_key").unionByName(named.select(F.lit("heading").alias("field_name"), "left_key", "right_key"))
 
 
+#: Limits and wanted overlaps, in characters.
+CHUNK_PIECE, BLOCK_PIECE = (1200, 180), (520, 40)
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    chunks = table(spark, sf_dir, "chunk_metadata")
+    blocks = pieces.procedure_text(table(spark, sf_dir, "procedure_block").select("block_id", "heading", "text"))
+    return pieces.split_oversized(chunks, "vector_chunk_id", "content", *CHUNK_PIECE), pieces.split_oversized(blocks, "block_id", "item_text", *BLOCK_PIECE)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items longer than a piece may be, and whether all their cuts could be natural."""
+    of_chunks, of_blocks = (pieces.cuts_found(x) for x in _pieces(spark, sf_dir))
+    both = of_chunks.withColumn("item_table", F.lit("chunk_metadata")).unionByName(of_blocks.withColumn("item_table", F.lit("procedure_block")))
+    return both.select("item_table", "item_id", "cut")
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces themselves."""
+    of_chunks, of_blocks = _pieces(spark, sf_dir)
+    return of_chunks.withColumn("item_table", F.lit("chunk_metadata")).unionByName(of_blocks.withColumn("item_table", F.lit("procedure_block")))
+
+
 QUERIES = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
 }
 
 SQL: dict[str, str] = {}
