@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import forms, pieces
+from lexmill.llm import boilerplate, forms, pieces
 from lexmill.sources.tables import table
 
 
@@ -43,10 +43,36 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_chunks.withColumn("item_table", F.lit("chunk_metadata")).unionByName(of_blocks.withColumn("item_table", F.lit("procedure_block")))
 
 
+#: Documents of one source from which on a line is repeated.
+REPEATED_FROM = 10
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stand in many chunks of one source_file."""
+    parsed = boilerplate.parse_lines(table(spark, sf_dir, "chunk_metadata"), "vector_chunk_id", "source_file", "content").persist()
+    return boilerplate.repeated_lines(parsed, REPEATED_FROM).select(F.col("item_id").alias("vector_chunk_id"), "line_no")
+
+
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's content without them."""
+    chunks = table(spark, sf_dir, "chunk_metadata").select("vector_chunk_id", "source_file", "content")
+    return boilerplate.without_repeated_lines(chunks, "vector_chunk_id", "source_file", "content", "cleaned", REPEATED_FROM).drop("content")
+
+
+def p4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged tree's templates that cover as many chunks."""
+    chunks = table(spark, sf_dir, "chunk_metadata")
+    parsed = boilerplate.parse_lines(chunks, "vector_chunk_id", "source_file", "content", with_templates=True).persist()
+    return boilerplate.line_templates(parsed, REPEATED_FROM)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p4_found": p4_found,
+    "p4_cleaned": p4_cleaned,
+    "p4_templates": p4_templates,
 }
 
 SQL: dict[str, str] = {}
