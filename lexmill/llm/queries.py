@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import boilerplate, forms, neardup, pieces
+from lexmill.llm import boilerplate, forms, neardup, neighbours, pieces
 from lexmill.sources.tables import table
 
 
@@ -66,6 +66,11 @@ def p4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.line_templates(parsed, REPEATED_FROM)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of keys of which either is among the 5 most similar of the other."""
+    return neighbours.SimilarVectors(table(spark, sf_dir, "embedding_cache")).pairs()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of different sources whose contents are the same passage slightly changed."""
     return neardup.NearDuplicates(table(spark, sf_dir, "chunk_metadata"), "vector_chunk_id", "source_file", "content").pairs_across_sources()
@@ -78,6 +83,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_cleaned": p4_cleaned,
     "p4_templates": p4_templates,
+    "p5_found": p5_found,
     "p6_found": p6_found,
 }
 
