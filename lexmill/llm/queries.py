@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import boilerplate, forms, neardup, neighbours, pieces
+from lexmill.llm import boilerplate, encode, forms, leakage, neardup, neighbours, pieces
 from lexmill.sources.tables import table
 
 
@@ -76,6 +78,36 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, sf_dir, "chunk_metadata"), "vector_chunk_id", "source_file", "content").pairs_across_sources()
 
 
+#: Where the public tokenizers' files are, and how byte_bpe_50k splits text into words.
+TOKENIZERS = os.environ.get("LEXMILL_TOKENIZERS", "/opt/tokenizers")
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as ids of byte_bpe_50k."""
+    return encode.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", os.path.join(TOKENIZERS, "byte_bpe_50k.json"), WORD_PATTERN)
+
+
+#: Letters and digits in a row that a document must share with an item, by the item's language.
+SHARED_RUN = {"en": 50, "zh": 20}
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "eval_item").where(F.col("lang").isin(*SHARED_RUN) & F.col("text").isNotNull())
+    held_out = [(r["item_id"], r["text"], SHARED_RUN[r["lang"]]) for r in items.select("item_id", "text", "lang").collect()]
+    return leakage.leaked_spans(table(spark, sf_dir, "documents"), "doc_id", "text", held_out).withColumn("item_id", F.col("item_id").cast("int"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the held-out items they share a passage with."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages: where they begin and how long they are, in letters and digits."""
+    return _leaks(spark, sf_dir)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -85,6 +117,9 @@ QUERIES = {
     "p4_templates": p4_templates,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
 }
 
 SQL: dict[str, str] = {}
