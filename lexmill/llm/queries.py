@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import boilerplate, encode, forms, leakage, neardup, neighbours, pieces
+from lexmill.llm import boilerplate, encode, forms, leakage, neardup, neighbours, pieces, readability
 from lexmill.sources.tables import table
 
 
@@ -108,6 +108,13 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every document long enough to have one."""
+    given = table(spark, sf_dir, "reading_label").select(F.col("doc_id").alias("key"), F.col("reading_level").alias("level"), "labeled_by")
+    labels = given.where("key is not null and level is not null").distinct()
+    return readability.ReadingLevels(table(spark, sf_dir, "documents"), labels).levels()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -120,6 +127,7 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
+    "p9_found": p9_found,
 }
 
 SQL: dict[str, str] = {}
