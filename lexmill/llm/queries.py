@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import boilerplate, encode, forms, leakage, neardup, neighbours, pieces, readability
+from lexmill.llm import boilerplate, encode, forms, leakage, neardup, neighbours, pieces, readability, scans
 from lexmill.sources.tables import table
 
 
@@ -45,6 +45,15 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_chunks.withColumn("item_table", F.lit("chunk_metadata")).unionByName(of_blocks.withColumn("item_table", F.lit("procedure_block")))
 
 
+def _noise(spark: SparkSession, sf_dir: str) -> scans.ScanNoise:
+    return scans.ScanNoise(table(spark, sf_dir, "chunk_metadata"), "vector_chunk_id", "source_file", "title", "page", "content")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of scanned pages with a broken or misread word, or with nothing but page furniture."""
+    return _noise(spark, sf_dir).found().select(F.col("item_id").alias("vector_chunk_id"), "line_no", "noise").distinct()
+
+
 #: Documents of one source from which on a line is repeated.
 REPEATED_FROM = 10
 
@@ -119,6 +128,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_cleaned": p4_cleaned,
     "p4_templates": p4_templates,
