@@ -257,7 +257,8 @@ def candidates(df: DataFrame, key: str, source: str, title: str, page: str, text
             rows: list[tuple] = []
             for item, origin, name, number, content in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 found: set[tuple] = set()
-                models = {skeleton(m) for m in _MODEL.findall(f"{name or ''} {origin}")}
+                models = [skeleton(m) for m in dict.fromkeys(_MODEL.findall(f"{name or ''} {origin}"))]
+                named = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, models))})(?!\w)").search if models else None
                 lines = content.split("\n")
                 starts = [_GOES_ON.match(line) for line in lines]
                 for i, line in enumerate(lines):
@@ -265,7 +266,7 @@ def candidates(df: DataFrame, key: str, source: str, title: str, page: str, text
                         if is_page_line(line, number):
                             found.add((i, "page_furniture", None))
                         elif (shape := line_shape(line)) is not None:
-                            if any(m in shape[0] for m in models):
+                            if named and named(skeleton(one_form(line))):
                                 found.add((i, "page_furniture", None))
                             found.add((i, "page_furniture", f"\0{shape[1]}"))
                     if m := _BROKEN.search(line):
