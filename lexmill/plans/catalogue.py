@@ -1,6 +1,768 @@
-"""All queries over the given tables, with the same in SQL where SQL can say it."""
+"""All queries over the given tables, with the same in SQL where SQL can say it.
+
+Every query reads its tables whole.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexmill import models
+from lexmill.config import Settings
+from lexmill.functions import text as X
+from lexmill.functions import vectors as V
+from lexmill.operators import cache, catalog, chunkers, grounding, index, pages, search, toc
+from lexmill.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+S = Settings()
+
+#: What is asked in the retrieval queries.
+QUESTION = "請問 M6 螺絲的規格是多少？"
+QUESTIONS = ("請問 M6 螺絲的規格是多少？", "torque wrench", "哪一個壓力開關", "E51 是什麼")
+#: Thresholds of the document discovery query; words a window holds in the index queries.
+DISCOVERY_MIN, WINDOW, WINDOW_OVERLAP = 0.5, 60, 10
+
+
+def query(sql: str | None = None) -> Callable[[Callable], Callable]:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- shared views -------------------------------------------------------------------
+
+CHUNK = "chunk AS (SELECT DISTINCT * FROM chunk_metadata)"
+USABLE = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC) n FROM (SELECT DISTINCT * FROM embedding_cache)) WHERE n = 1),
+usable AS (SELECT * FROM latest WHERE vector IS NOT NULL AND len(vector) = dimension
+  AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0)"""
+EMBEDDED = f"""{CHUNK}, {USABLE},
+model AS (SELECT model_fingerprint FROM embedding_cache GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+emb AS (SELECT c.*, list_transform(u.vector::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(u.vector::DOUBLE[], lambda y: y * y)))) AS embedding
+  FROM chunk c JOIN usable u ON u.text_sha256 = c.embedding_text_sha256 JOIN model USING (model_fingerprint)),
+q AS (SELECT embedding AS query FROM emb ORDER BY vector_chunk_id LIMIT 1)"""
+CENTROID = """parts AS (SELECT document_id, sqrt(greatest(1, least(length(coalesce(content, '')), 2000))::DOUBLE) AS w, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM emb),
+sums AS (SELECT document_id, pos, sum(w * x) / sum(w) AS x FROM parts GROUP BY 1, 2),
+raw AS (SELECT document_id, list(x ORDER BY pos) AS v FROM sums GROUP BY 1),
+centroid AS (SELECT document_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS embedding FROM raw)"""
+REPRESENTATIVE = f"""scored AS (SELECT e.document_id, e.page, e.chunk_index, e.sub_chunk_index, e.vector_chunk_id, round(list_dot_product(e.embedding, c.embedding), 6) AS score FROM emb e JOIN centroid c USING (document_id)),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page NULLS FIRST, chunk_index NULLS FIRST, sub_chunk_index NULLS FIRST, vector_chunk_id) AS rd FROM scored),
+r2 AS (SELECT *, (rd <= 2)::INT AS first, sum((rd <= 2)::INT) OVER (PARTITION BY document_id, page) AS taken,
+  row_number() OVER (PARTITION BY document_id, page ORDER BY (rd <= 2)::INT, score DESC, vector_chunk_id) AS place FROM r1),
+r3 AS (SELECT *, CASE WHEN first = 1 THEN 0 WHEN place <= 2 - taken THEN 1 ELSE 2 END AS tier FROM r2),
+rep AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY tier, CASE WHEN tier = 0 THEN rd END NULLS FIRST, score DESC, vector_chunk_id) AS rank FROM r3 QUALIFY rank <= {S.representative_count})"""
+DENSE = f"""s AS (SELECT e.*, round(list_dot_product(e.embedding, q.query), 6) AS dense_score FROM emb e, q),
+best AS (SELECT * FROM s ORDER BY dense_score DESC, vector_chunk_id LIMIT {S.dense_candidates}),
+near AS (SELECT *, row_number() OVER (ORDER BY dense_score DESC, vector_chunk_id) AS dense_rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY content_sha256 ORDER BY dense_score DESC, vector_chunk_id) AS n FROM best) WHERE n = 1)"""
+
+
+def _key_sql(text: str) -> str:
+    out = f"lower({text})"
+    for phrase in X.STOP_PHRASES:
+        out = f"replace({out}, '{phrase}', '')"
+    return f"""regexp_replace({out}, '&quot;|&#34;', '"', 'g')"""
+
+
+QUESTIONS_SQL = "questions AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(QUESTIONS)) + ") t(question_id, question))"
+WORDS = f"""keyed AS (SELECT question_id, {_key_sql('question')} AS k FROM questions),
+texts AS (SELECT *, regexp_replace(lower(coalesce(content, '')), '&quot;|&#34;', '"', 'g') AS t FROM chunk),
+pieced AS (SELECT *, list_filter(regexp_extract_all(k, '[a-z0-9.]+|[0-\\\\uf]{{2,}}'), lambda p: length(p) >= 2) AS p FROM keyed),
+word AS (SELECT question_id, vector_chunk_id, CASE WHEN length(k) < 2 THEN 0.0 WHEN contains(t, k) THEN 1.0
+  WHEN len(p) > 0 AND len(list_filter(p, lambda x: NOT contains(t, x))) = 0 THEN 0.95 ELSE 0.0 END::DOUBLE AS lexical_score FROM texts, pieced),
+held AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY lexical_score DESC, vector_chunk_id) AS lexical_rank FROM word WHERE lexical_score > 0 QUALIFY lexical_rank <= {S.dense_candidates})"""
+MERGED = """merged AS (SELECT vector_chunk_id, dense_rank, coalesce(dense_score, 0.0) AS dense_score, coalesce(lexical_score, 0.0) AS lexical_score,
+  row_number() OVER (ORDER BY (dense_rank IS NULL), dense_rank NULLS FIRST, lexical_rank NULLS FIRST) AS position
+  FROM near FULL JOIN (SELECT * FROM held WHERE question_id = 0) h USING (vector_chunk_id))"""
+ASKED_CHARS = f"list_distinct(list_filter(string_split(lower('{QUESTION}'), ''), lambda c: regexp_matches(c, '[\\p{{L}}\\p{{N}}]')))"
+RANKED = f"""cand AS (SELECT m.*, c.parent_chunk_id, c.source_file, c.page, c.content,
+  round(len(list_filter({ASKED_CHARS}, lambda x: contains(lower(coalesce(c.content, '')), x))) / len({ASKED_CHARS})::DOUBLE, 6) AS rerank_score FROM merged m JOIN chunk c USING (vector_chunk_id)),
+one AS (SELECT *, row_number() OVER (PARTITION BY parent_chunk_id ORDER BY lexical_score DESC, rerank_score DESC, position) AS n FROM cand),
+ranked AS (SELECT *, row_number() OVER (ORDER BY lexical_score DESC, rerank_score DESC, position) AS rank FROM one WHERE n = 1 QUALIFY rank <= {S.top_k})"""
+PAGE = "page_text AS (SELECT document_id, page, string_agg(content, chr(10) ORDER BY page_chunk_index NULLS FIRST, sub_chunk_index NULLS FIRST, vector_chunk_id) AS text FROM chunk WHERE content IS NOT NULL AND page IS NOT NULL GROUP BY 1, 2)"
+_WS = "[\\s\\p{Z}\\x0B\\x1C-\\x1F\\x85]"
+_LF = "regexp_replace({}, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g')"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+def _lines_sql(x: str) -> str:
+    parts = f"string_split({_LF.format(x)}, chr(10))"
+    return f"(CASE WHEN {parts}[-1] = '' THEN {parts}[:-2] ELSE {parts} END)"
+
+
+def _title_key_sql(x: str) -> str:
+    bare = f"regexp_replace({_strip_sql(x)}, '^#{{1,6}}{_WS}*', '')"
+    return f"regexp_replace(translate(regexp_replace({bare}, '[ 　]', '', 'g'), '（）：＂“”', '():\"\"\"'), '[.…·．。]+$', '')"
+
+
+def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    """chunk_metadata, exact repeats once."""
+    return table(spark, d, "chunk_metadata").distinct()
+
+
+def embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with the usable vector of their text under the model with most entries."""
+    stored = table(spark, d, "embedding_cache")
+    model = stored.groupBy("model_fingerprint").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model_fingerprint").limit(1).select("model_fingerprint")
+    own = cache.usable(stored.join(F.broadcast(model), "model_fingerprint", "left_semi")).select(F.col("text_sha256").alias("embedding_text_sha256"), V.unit_or_null(F.col("vector")).alias("embedding"))
+    return chunk_rows(spark, d).join(own, "embedding_text_sha256")
+
+
+def first_vector(rows: DataFrame) -> DataFrame:
+    """The stand-in for an asked vector: that of the first chunk."""
+    return rows.orderBy("vector_chunk_id").limit(1).select(F.col("embedding").alias("query"))
+
+
+def page_rows(spark: SparkSession, d: str) -> DataFrame:
+    """document_id, page, text: a page's chunks in order."""
+    rows = chunk_rows(spark, d).where("content is not null and page is not null")
+    of = rows.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(F.struct("page_chunk_index", "sub_chunk_index", "vector_chunk_id", "content"))).alias("x"))
+    return of.select("document_id", "page", F.array_join("x.content", "\n").alias("text"))
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id int, question string")
+
+
+# --- retrieval ----------------------------------------------------------------------
+
+
+@query(f"WITH {EMBEDDED}, {DENSE} SELECT dense_rank::INTEGER AS dense_rank, vector_chunk_id, document_id, page, dense_score FROM near WHERE dense_rank <= {S.top_k}")
+def detail_dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = embedded(spark, d)
+    near = search.dense(rows, first_vector(rows), S.dense_candidates)
+    return near.where(F.col("dense_rank") <= S.top_k).select("dense_rank", "vector_chunk_id", "document_id", "page", "dense_score")
+
+
+@query(f"WITH {EMBEDDED}, {CENTROID} SELECT document_id, generate_subscripts(embedding, 1)::INTEGER - 1 AS pos, round(unnest(embedding), 6) AS value FROM centroid")
+def document_centroids(spark: SparkSession, d: str) -> DataFrame:
+    return index.centroids(embedded(spark, d)).select("document_id", F.posexplode("embedding").alias("pos", "x")).select("document_id", "pos", F.round("x", 6).alias("value"))
+
+
+@query(f"WITH {EMBEDDED}, {CENTROID}, {REPRESENTATIVE} SELECT document_id, rank::INTEGER AS rank, vector_chunk_id, score FROM rep")
+def representative_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = embedded(spark, d)
+    return index.representatives(rows, index.centroids(rows), S.representative_count)
+
+
+_BY_QUERY = """docs AS (SELECT document_id, round(list_dot_product(embedding, query), 6) AS score FROM centroid, q ORDER BY score DESC, document_id LIMIT {})"""
+
+
+@query(f"WITH {EMBEDDED}, {CENTROID}, {_BY_QUERY.format(S.document_top_k)} SELECT row_number() OVER (ORDER BY score DESC, document_id)::INTEGER AS rank, document_id, score FROM docs")
+def search_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows = embedded(spark, d)
+    return search.documents_by_query(index.centroids(rows), first_vector(rows), S.document_top_k, S.document_min_score).select("rank", "document_id", "score")
+
+
+@query(
+    f"""WITH {EMBEDDED}, {CENTROID}, {_BY_QUERY.format(S.document_top_k)}, {REPRESENTATIVE}
+SELECT o.document_id, o.score AS document_score, p.rank::INTEGER AS rank, p.vector_chunk_id, e.page, e.content FROM docs o JOIN rep p USING (document_id) JOIN emb e USING (vector_chunk_id)"""
+)
+def overview_context(spark: SparkSession, d: str) -> DataFrame:
+    rows = embedded(spark, d)
+    middle = index.centroids(rows)
+    near = search.documents_by_query(middle, first_vector(rows), S.document_top_k, S.document_min_score).select("document_id", F.col("score").alias("document_score"))
+    shown = index.representatives(rows.join(F.broadcast(near), "document_id", "left_semi"), middle, S.representative_count)
+    own = rows.select("vector_chunk_id", "page", "content")
+    return near.join(shown, "document_id").join(own, "vector_chunk_id").select("document_id", "document_score", "rank", "vector_chunk_id", "page", "content")
+
+
+@query(
+    f"""WITH {EMBEDDED}, {CENTROID}, {_BY_QUERY.format(8)} SELECT document_id, score,
+CASE WHEN max(score) OVER () >= {DISCOVERY_MIN} THEN 'ok' ELSE 'insufficient_context' END AS status FROM docs"""
+)
+def document_discovery(spark: SparkSession, d: str) -> DataFrame:
+    rows = embedded(spark, d)
+    return search.documents_by_query(index.centroids(rows), first_vector(rows), 8, DISCOVERY_MIN).select("document_id", "score", "status")
+
+
+@query(f"WITH {CHUNK}, {QUESTIONS_SQL}, {WORDS} SELECT question_id, vector_chunk_id, lexical_score, lexical_rank::INTEGER AS lexical_rank FROM held")
+def lexical_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    return search.lexical(chunk_rows(spark, d), questions(spark), S.dense_candidates).select("question_id", "vector_chunk_id", "lexical_score", "lexical_rank")
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    rows = embedded(spark, d)
+    near = search.dense(rows, first_vector(rows), S.dense_candidates)
+    return search.merged(near, search.lexical(chunk_rows(spark, d), questions(spark).where("question_id = 0"), S.dense_candidates))
+
+
+@query(f"WITH {EMBEDDED}, {DENSE}, {QUESTIONS_SQL}, {WORDS}, {MERGED} SELECT vector_chunk_id, dense_rank::INTEGER AS dense_rank, dense_score, lexical_score::DOUBLE AS lexical_score, position::INTEGER AS position FROM merged")
+def hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _merged(spark, d)
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    own = chunk_rows(spark, d).select("vector_chunk_id", "parent_chunk_id", "source_file", "page", "content")
+    return search.reranked(search.overlap_scores(_merged(spark, d).join(own, "vector_chunk_id"), F.lit(QUESTION)), S.top_k)
+
+
+_TO_RANKED = f"{EMBEDDED}, {DENSE}, {QUESTIONS_SQL}, {WORDS}, {MERGED}, {RANKED}"
+
+
+@query(f"WITH {_TO_RANKED} SELECT rank::INTEGER AS rank, vector_chunk_id, parent_chunk_id, rerank_score FROM ranked")
+def rerank_parent_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(spark, d).select("rank", "vector_chunk_id", "parent_chunk_id", "rerank_score")
+
+
+@query(
+    f"""WITH {_TO_RANKED} SELECT count(*) AS results, max(dense_score) AS best_dense_score, max(lexical_score)::DOUBLE AS best_lexical_score, max(CASE WHEN rank = 1 THEN rerank_score END) AS best_rerank_score,
+CASE WHEN count(*) = 0 THEN 'insufficient_context' WHEN max(lexical_score) >= {S.lexical_accept} THEN 'ok' WHEN max(CASE WHEN rank = 1 THEN rerank_score END) < {S.min_rerank_score} THEN 'insufficient_context' ELSE 'ok' END AS status FROM ranked"""
+)
+def detail_status(spark: SparkSession, d: str) -> DataFrame:
+    return search.detail_status(_ranked(spark, d), True, S.lexical_accept, S.min_rerank_score)
+
+
+@query(
+    f"""WITH RECURSIVE {CHUNK}, items AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY vector_chunk_id) AS place, coalesce(content, '') AS content FROM chunk),
+fold AS (SELECT document_id, 0::BIGINT AS place, 2000::BIGINT AS left_, ''::VARCHAR AS kept, false AS cut FROM (SELECT DISTINCT document_id FROM items)
+ UNION ALL SELECT f.document_id, i.place, left_ - length(k), k, c FROM (SELECT f.document_id, f.left_, i.place, length(i.content) > f.left_ AS c,
+  CASE WHEN length(i.content) > f.left_ THEN regexp_replace(i.content[1:f.left_], '{_WS}+$', '') ELSE i.content END AS k FROM fold f JOIN items i ON i.document_id = f.document_id AND i.place = f.place + 1 WHERE f.left_ > 0) z, LATERAL (SELECT z.document_id) f, LATERAL (SELECT z.place) i)
+SELECT document_id, place::INTEGER AS place, length(kept)::INTEGER AS characters, cut AS content_truncated, left_::INTEGER AS remaining FROM fold WHERE place > 0"""
+)
+def context_budget(spark: SparkSession, d: str) -> DataFrame:
+    """A budget of 2000 characters for each document's chunks in order."""
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("vector_chunk_id"))
+    items = chunk_rows(spark, d).select("document_id", place.alias("place"), F.coalesce("content", F.lit("")).alias("content"))
+    # no more than the budget's first items can matter: those that begin within its characters, and empty ones
+    before = F.sum(F.char_length("content")).over(Window.partitionBy("document_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    near = items.withColumn("b", F.coalesce(before, F.lit(0))).where("b <= 4 * 2000").drop("b")
+    listed = near.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("items"))
+    kept = listed.select("document_id", F.explode(search.budgeted(F.col("items"), 2000)["results"]).alias("r"))
+    rows = kept.select("document_id", "r.place", F.char_length("r.content").alias("characters"), "r.content_truncated")
+    used = F.sum("characters").over(Window.partitionBy("document_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("remaining", (F.lit(2000) - used).cast("int"))
+
+
+@query()
+def semantic_routing(spark: SparkSession, d: str) -> DataFrame:
+    """Every heading as a question, routed by a stand-in embedder."""
+    asked = table(spark, d, "heading_ref").select(F.col("heading").alias("question"), F.lit(True).alias("selected"))
+    return search.mode_by_meaning(asked, models.HashEmbedder(), S.router_margin)
+
+
+_ROUTED = " UNION ALL ".join(
+    f"SELECT concat({a}heading{b}) AS question, {sel} AS selected FROM heading_ref" for a, b, sel in (("", "", "false"), ("'請問哪份文件說明 ', ", "", "false"), ("", ", ' 主要內容'", "true"), ("'Explain the document about ', ", "", "true"))
+)
+
+
+@query(
+    f"""WITH asked AS ({_ROUTED}) SELECT question, selected, CASE WHEN regexp_matches(lower(question), '{"|".join(search.DISCOVERY)}') THEN 'documents'
+WHEN regexp_matches(lower(question), '{"|".join(search.OVERVIEW).replace("'", "''")}') THEN 'overview' WHEN selected AND regexp_matches(lower(question), '{"|".join(search.SELECTED_OVERVIEW)}') THEN 'overview' ELSE 'detail' END AS mode FROM asked"""
+)
+def query_routing(spark: SparkSession, d: str) -> DataFrame:
+    heads = table(spark, d, "heading_ref")
+    forms = ((lambda h: h, False), (lambda h: F.concat(F.lit("請問哪份文件說明 "), h), False), (lambda h: F.concat(h, F.lit(" 主要內容")), True), (lambda h: F.concat(F.lit("Explain the document about "), h), True))
+    rows = heads.select(F.explode(F.array(*(F.struct(f(F.col("heading")).alias("question"), F.lit(s).alias("selected")) for f, s in forms))).alias("q")).select("q.*")
+    return rows.withColumn("mode", search.mode_by_rules(F.col("question"), F.col("selected")))
+
+
+# --- index and cache ----------------------------------------------------------------
+
+_TOKENS = f"list_filter(regexp_split_to_array(content, '{_WS}+'), lambda x: x <> '')"
+_WINDOWED = f"""{CHUNK}, base AS (SELECT vector_chunk_id AS chunk_id, document_id, source_file, title, page, page_start, {_strip_sql("coalesce(content, '')")} AS content FROM chunk),
+tok AS (SELECT *, {_TOKENS} AS t FROM base WHERE content <> ''),
+win AS (SELECT *, unnest(range(0, CASE WHEN len(t) <= {WINDOW} THEN 1 ELSE 1 + ceil((len(t) - {WINDOW}) / {WINDOW - WINDOW_OVERLAP}.0)::BIGINT END)) AS i,
+  CASE WHEN len(t) <= {WINDOW} THEN 1 ELSE 1 + ceil((len(t) - {WINDOW}) / {WINDOW - WINDOW_OVERLAP}.0)::BIGINT END AS cnt FROM tok WHERE len(t) > 0),
+rec AS (SELECT *, i * {WINDOW - WINDOW_OVERLAP} AS a, least(i * {WINDOW - WINDOW_OVERLAP} + {WINDOW}, len(t)) AS b,
+  CASE WHEN cnt = 1 THEN content ELSE array_to_string(t[i * {WINDOW - WINDOW_OVERLAP} + 1 : least(i * {WINDOW - WINDOW_OVERLAP} + {WINDOW}, len(t))], ' ') END AS piece FROM win)"""
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    rows = chunk_rows(spark, d).select(F.col("vector_chunk_id").alias("chunk_id"), "document_id", "source_file", "title", "page", "page_start", "chunk_index", "content")
+    return index.index_records(rows, WINDOW, WINDOW_OVERLAP)
+
+
+@query(f"WITH {_WINDOWED} SELECT chunk_id, i::INTEGER AS sub_chunk_index, cnt::INTEGER AS sub_chunk_count, a::INTEGER AS token_start, b::INTEGER AS token_end, (b - a)::INTEGER AS token_count FROM rec")
+def token_window_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select(F.col("parent_chunk_id").alias("chunk_id"), "sub_chunk_index", "sub_chunk_count", "token_start", "token_end", "token_count")
+
+
+_STEM = "regexp_replace(coalesce(nullif(source_file, ''), '未知文件'), '(.)\\.[^.]*$', '\\1')"
+
+
+@query(
+    f"""WITH {_WINDOWED}, paged AS (SELECT *, coalesce(nullif(page, 0), page_start, 0) AS pg FROM rec)
+SELECT concat(chunk_id, '-s', lpad(i::VARCHAR, 3, '0')) AS vector_chunk_id, chunk_id AS parent_chunk_id, pg AS page, sha256(piece) AS content_sha256,
+sha256(concat_ws(chr(10), concat('passage: 文件名稱：', coalesce(nullif(source_file, ''), '未知文件')), concat('文件標題：', coalesce(nullif(title, ''), {_STEM})), concat('頁碼：第 ', pg, ' 頁'), '', {_strip_sql('piece')})) AS embedding_text_sha256 FROM paged"""
+)
+def index_records(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("vector_chunk_id", "parent_chunk_id", "page", "content_sha256", "embedding_text_sha256")
+
+
+@query(
+    f"""WITH {_WINDOWED} SELECT (SELECT count(*) FROM base) AS source_chunks, (SELECT count(*) FROM base WHERE content = '') AS skipped_chunks,
+(SELECT count(*) FROM rec) AS indexed_chunks, (SELECT count(DISTINCT chunk_id) FROM rec WHERE cnt > 1) AS split_chunks"""
+)
+def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
+    return index.ingest_counts(chunk_rows(spark, d), _records(spark, d))
+
+
+_FP = "(SELECT model_fingerprint FROM embedding_cache GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+_PLAN = f"""{CHUNK}, {USABLE}, fp AS {_FP}, plan AS (SELECT c.vector_chunk_id, sha256(concat(fp.model_fingerprint, ':', c.embedding_text_sha256)) AS cache_key FROM chunk c, fp),
+planned AS (SELECT p.*, u.cache_key IS NOT NULL AS cached FROM plan p LEFT JOIN usable u USING (cache_key))"""
+
+
+def _planned(spark: SparkSession, d: str) -> DataFrame:
+    stored = table(spark, d, "embedding_cache")
+    top = stored.groupBy("model_fingerprint").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model_fingerprint").first()
+    return cache.plan(chunk_rows(spark, d), stored, top["model_fingerprint"] if top else "")
+
+
+@query(f"WITH {_PLAN} SELECT vector_chunk_id, cache_key, cached FROM planned")
+def embedding_cache_plan(spark: SparkSession, d: str) -> DataFrame:
+    return _planned(spark, d).select("vector_chunk_id", "cache_key", "cached")
+
+
+@query(
+    f"""WITH {_PLAN} SELECT count(*) AS records, count(*) FILTER (cached) AS hit_records, count(DISTINCT cache_key) FILTER (NOT cached) AS new_keys, count(DISTINCT cache_key) AS distinct_keys FROM planned"""
+)
+def embedding_cache_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return cache.statistics(_planned(spark, d))
+
+
+@query(f"WITH {USABLE} SELECT cache_key, model_fingerprint, text_sha256, dimension, created_at, cache_key IN (SELECT cache_key FROM usable) AS usable FROM latest")
+def embedding_cache_upsert(spark: SparkSession, d: str) -> DataFrame:
+    rows = cache.upserted(table(spark, d, "embedding_cache"))
+    return rows.select("cache_key", "model_fingerprint", "text_sha256", "dimension", "created_at", V.is_usable(F.col("vector"), F.col("dimension")).alias("usable"))
+
+
+@query(f"WITH {USABLE} SELECT cache_key, round(sqrt(list_sum(list_transform(vector::DOUBLE[], lambda x: x * x))), 5) AS length FROM usable")
+def vector_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return cache.usable(table(spark, d, "embedding_cache")).select("cache_key", F.round(V.norm(F.col("vector")), 5).alias("length"))
+
+
+@query()
+def incremental_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors for all chunks by a stand-in embedder; texts whose vector is stored aren't encoded."""
+    planned = _planned(spark, d).withColumn("passage", X.passage_text(F.col("source_file"), F.col("title"), F.col("page"), F.col("content")))
+    made = cache.embed_missing(planned, "passage", models.HashEmbedder(64), "stand-in")
+    return made.select("cache_key", "text_sha256", "dimension", F.round(V.norm(F.col("vector")), 4).alias("length"))
+
+
+@query(
+    f"""WITH {CHUNK} SELECT document_id, min(source_file) AS source_file, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages, max(page) AS page_count, count(*) AS chunk_count,
+sum(length(content))::BIGINT AS characters FROM chunk GROUP BY 1"""
+)
+def document_metadata(spark: SparkSession, d: str) -> DataFrame:
+    facts = index.document_facts(chunk_rows(spark, d))
+    return facts.select("document_id", "source_file", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "page_count", "chunk_count", "characters")
+
+
+@query(
+    f"""WITH {CHUNK} SELECT count(*) AS chunks, count(DISTINCT document_id) AS documents, count(DISTINCT content_sha256) AS distinct_contents, sum(token_count)::BIGINT AS tokens, min(page) AS first_page,
+max(page) AS last_page, count(*) FILTER (sub_chunk_count > 1) AS sub_chunks, sha256('any') AS model_sha256 FROM chunk"""
+)
+def index_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return index.manifest(chunk_rows(spark, d), "any")
+
+
+@query(f"WITH {CHUNK} SELECT vector_chunk_id, (row_number() OVER (ORDER BY document_id NULLS FIRST, page NULLS FIRST, chunk_index NULLS FIRST, sub_chunk_index NULLS FIRST, vector_chunk_id) - 1)::INTEGER AS faiss_id FROM chunk")
+def index_order(spark: SparkSession, d: str) -> DataFrame:
+    return index.numbered(chunk_rows(spark, d).drop("faiss_id")).select("vector_chunk_id", "faiss_id")
+
+
+@query(
+    f"""WITH {CHUNK} SELECT source_file, min(length(content))::INTEGER AS least, round(avg(length(content)), 4) AS mean, max(length(content))::INTEGER AS most FROM chunk GROUP BY 1"""
+)
+def chunk_lengths(spark: SparkSession, d: str) -> DataFrame:
+    n = F.char_length("content")
+    return chunk_rows(spark, d).groupBy("source_file").agg(F.min(n).alias("least"), F.round(F.avg(n), 4).alias("mean"), F.max(n).alias("most"))
+
+
+# --- catalog ------------------------------------------------------------------------
+
+_COMPLETE = "complete AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY lower(source_path), source_path) n FROM (SELECT DISTINCT * FROM doc_catalog) WHERE status = 'complete') WHERE n = 1)"
+
+
+@query(f"WITH {_COMPLETE} SELECT document_id, source_path, page_count FROM complete")
+def catalog_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.complete_documents(table(spark, d, "doc_catalog").distinct()).select("document_id", "source_path", "page_count")
+
+
+@query(f"WITH {CHUNK}, {_COMPLETE} SELECT document_id, count(*) AS chunks FROM chunk WHERE document_id IN (SELECT document_id FROM complete) GROUP BY 1")
+def global_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.rollup(table(spark, d, "doc_catalog"), chunk_rows(spark, d)).groupBy("document_id").agg(F.count("*").alias("chunks"))
+
+
+_STATE = "state AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, ocr_config_hash, page ORDER BY updated_at DESC NULLS LAST, status DESC NULLS LAST) n FROM page_status) WHERE n = 1)"
+
+
+@query(
+    f"""WITH {_STATE}, known AS (SELECT document_id, ocr_config_hash, max(page_count) AS pages FROM doc_catalog WHERE page_count >= 1 GROUP BY 1, 2),
+wanted AS (SELECT document_id, ocr_config_hash, unnest(range(1, pages + 1))::INTEGER AS page FROM known)
+SELECT w.document_id, w.ocr_config_hash, w.page, coalesce(s.status, 'missing') AS reason FROM wanted w LEFT JOIN state s USING (document_id, ocr_config_hash, page) WHERE s.status IS NULL OR s.status <> 'done'"""
+)
+def page_resume_plan(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.resume_plan(table(spark, d, "doc_catalog"), table(spark, d, "page_status"))
+
+
+@query(
+    f"""WITH {_STATE} SELECT document_id, ocr_config_hash, count(*) AS pages, count(*) FILTER (status = 'done') AS done, sum(attempts)::BIGINT AS attempts,
+CASE WHEN bool_and(status = 'done') THEN 'complete' WHEN count(*) FILTER (status = 'done') > 0 THEN 'partial' ELSE 'pending' END AS state FROM state GROUP BY 1, 2"""
+)
+def document_states(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.document_states(table(spark, d, "page_status"))
+
+
+_WANTED = """wanted AS (SELECT row_number() OVER (ORDER BY document_id)::INTEGER * 3 AS request_id, document_id[1:9] AS wanted FROM (SELECT DISTINCT document_id FROM doc_catalog)
+UNION ALL SELECT 1, 'manual' UNION ALL SELECT 2, 'no such document' UNION ALL SELECT 4, (SELECT min(source_file) FROM doc_catalog))"""
+
+
+@query(
+    f"""WITH {_WANTED}, known AS (SELECT DISTINCT document_id, source_file FROM doc_catalog WHERE document_id IS NOT NULL),
+fit AS (SELECT request_id, document_id, CASE WHEN document_id = wanted THEN 1 WHEN starts_with(document_id, wanted) THEN 2 WHEN lower(source_file) = lower(wanted) THEN 3 WHEN contains(lower(source_file), lower(wanted)) THEN 4 END AS way FROM wanted, known),
+best AS (SELECT request_id, min(way) AS way FROM fit GROUP BY 1), f AS (SELECT request_id, count(DISTINCT document_id) AS n, min(document_id) AS document_id FROM fit JOIN best USING (request_id, way) GROUP BY 1)
+SELECT w.request_id, CASE WHEN n = 1 THEN document_id END AS document_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS outcome FROM wanted w LEFT JOIN f USING (request_id)"""
+)
+def resolve_document(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "doc_catalog")
+    ids = known.select("document_id").distinct().withColumn("n", F.row_number().over(Window.orderBy("document_id")))
+    asked = ids.select((F.col("n") * 3).alias("request_id"), F.substring("document_id", 1, 9).alias("wanted"))
+    more = spark.createDataFrame([(1, "manual"), (2, "no such document")], "request_id int, wanted string")
+    return catalog.resolve(known, asked.unionByName(more).unionByName(known.agg(F.min("source_file").alias("wanted")).withColumn("request_id", F.lit(4))))
+
+
+@query("SELECT source_file, regexp_replace(source_file, '(.)\\.[^.]*$', '\\1') AS stem FROM (SELECT DISTINCT source_file FROM doc_catalog)")
+def file_stems(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "doc_catalog").select("source_file").distinct().withColumn("stem", X.stem(F.col("source_file")))
+
+
+@query(f"WITH {CHUNK}, {PAGE} SELECT DISTINCT p.document_id, p.page, p.text FROM doc_catalog c JOIN page_text p ON p.document_id = c.document_id AND p.page BETWEEN 1 AND c.page_count")
+def catalogued_pages(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "doc_catalog").groupBy("document_id").agg(F.max("page_count").alias("page_count"))
+    return pages.catalogued_pages(known, page_rows(spark, d))
+
+
+# --- pages and lines ----------------------------------------------------------------
+
+_FILLED = f"list_filter(list_transform({_lines_sql('text')}, lambda x: {_strip_sql('x')}), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH {CHUNK}, {PAGE}, l AS (SELECT document_id, page, {_FILLED} AS l FROM page_text), e AS (SELECT document_id, page, unnest(list_concat(l[1:4], l[-4:])) AS line FROM l),
+k AS (SELECT DISTINCT document_id, page, {_title_key_sql('line')} AS key FROM e WHERE length(line) <= 32 AND NOT starts_with(lower(line), '<table'))
+SELECT document_id, key, count(DISTINCT page) AS pages FROM k WHERE key <> '' GROUP BY 1, 2 HAVING count(DISTINCT page) >= 3"""
+)
+def repeated_edge_lines(spark: SparkSession, d: str) -> DataFrame:
+    return pages.edge_lines(page_rows(spark, d))
+
+
+@query(
+    f"""WITH {CHUNK}, {PAGE}, n AS (SELECT document_id, count(DISTINCT page) AS n FROM page_text GROUP BY 1),
+l AS (SELECT document_id, page, unnest(list_transform({_lines_sql('text')}, lambda x: regexp_replace({_strip_sql('x')}, '{_WS}+', ' ', 'g'))) AS line FROM page_text),
+o AS (SELECT document_id, line, count(DISTINCT page) AS pages FROM l WHERE line <> '' AND length(line) <= 80 AND NOT regexp_full_match(line, '\\d+') GROUP BY 1, 2)
+SELECT document_id, line, pages FROM o JOIN n USING (document_id) WHERE n >= 2 AND pages >= greatest(2, floor(n * 0.2 + 0.999))"""
+)
+def recurring_lines(spark: SparkSession, d: str) -> DataFrame:
+    return pages.recurring_lines(page_rows(spark, d), 0.2)
+
+
+@query()
+def noise_line_removal(spark: SparkSession, d: str) -> DataFrame:
+    rows = page_rows(spark, d)
+    return pages.without_noise(rows, pages.edge_lines(rows)).select("document_id", "page", "text")
+
+
+@query(
+    f"""SELECT doc_id, regexp_replace({_strip_sql('text')}, '{_WS}+', ' ', 'g') AS compared FROM documents WHERE text IS NOT NULL"""
+)
+def normalize_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select("doc_id", X.one_space(F.col("text")).alias("compared"))
+
+
+def _clean_sql(x: str) -> str:
+    out = f"regexp_replace(regexp_replace({x}, '[\\x{{FEFF}}\\x00]', '', 'g'), '\\r\\n?', chr(10), 'g')"
+    for token in X.CONTROL_TOKENS:
+        out = f"replace({out}, '{token}', '')"
+    out = f"array_to_string(list_transform({_lines_sql(out)}, lambda y: regexp_replace(y, '{_WS}+$', '')), chr(10))"
+    return _strip_sql(f"regexp_replace(regexp_replace({out}, '\\n[ \\t]+\\n', chr(10) || chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@query(f"WITH {CHUNK} SELECT vector_chunk_id, {_clean_sql('content')} AS markdown FROM chunk WHERE content IS NOT NULL")
+def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return chunk_rows(spark, d).where("content is not null").select("vector_chunk_id", X.clean_markdown(F.col("content")).alias("markdown"))
+
+
+@query(
+    f"""WITH {CHUNK} SELECT vector_chunk_id, {_strip_sql("regexp_replace(regexp_replace(" + _clean_sql("content") + ", '<[^>\\n]+>', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS markdown FROM chunk
+WHERE content IS NOT NULL"""
+)
+def rag_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return chunk_rows(spark, d).where("content is not null").select("vector_chunk_id", X.rag_markdown(F.col("content")).alias("markdown"))
+
+
+@query()
+def plain_text(spark: SparkSession, d: str) -> DataFrame:
+    return chunk_rows(spark, d).where("content is not null").select("vector_chunk_id", X.plain_text(F.col("content")).alias("plain"))
+
+
+@query(f"SELECT heading_id, {_title_key_sql('heading')} AS key FROM heading_ref")
+def title_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "heading_ref").select("heading_id", X.title_key(F.col("heading")).alias("key"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, {_strip_sql("coalesce(text, '')")} AS t FROM documents) SELECT doc_id, (len(regexp_extract_all(t, '[^\\s\\p{{Z}}\\x0B\\x1C-\\x1F\\x85]+')) >= 8 AND length(t) >= 45
+AND len(regexp_extract_all(t, '[A-Za-z0-9㐀-鿿]')) >= 30 AND (length(t) - length(replace(t, chr(65533), ''))) / greatest(length(t), 1) <= 0.01) AS usable FROM p"""
+)
+def native_text_usable(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", pages.native_usable(F.col("text")).alias("usable"))
+
+
+_LAYOUT = tuple((f"d{i}", p, x0, y0, x0 + w, y0 + 20.0, f"t{i}-{p}-{n}", 600.0, 800.0) for i in range(3) for p in (1, 2) for n, (x0, y0, w) in enumerate(((20.0, 10.0, 560.0), (20.0, 100.0 + i, 250.0), (320.0, 100.0, 250.0), (20.0, 300.0, 250.0), (320.0, 90.0 + p, 250.0), (250.0, 760.0, 80.0))[: 6 if p == 1 else 2]))
+_LAYOUT_SQL = "blocks AS (SELECT * FROM (VALUES " + ", ".join("('{}', {}, {}, {}, {}, {}, '{}', {}, {})".format(*r) for r in _LAYOUT) + ") t(document_id, page, x0, y0, x1, y1, text, page_width, page_height))"
+
+
+@query(
+    f"""WITH {_LAYOUT_SQL}, p AS (SELECT *, CASE WHEN y1 <= page_height * 0.10 OR (x0 < page_width / 2 - greatest(12.0, page_width * 0.035) AND x1 > page_width / 2 + greatest(12.0, page_width * 0.035)) THEN 0
+WHEN y0 >= page_height * 0.92 THEN 3 WHEN (x0 + x1) / 2 < page_width / 2 THEN 1 ELSE 2 END AS part FROM blocks),
+b AS (SELECT *, CASE WHEN bool_or(part = 1) OVER w AND bool_or(part = 2) OVER w THEN part ELSE 0 END AS g FROM p WINDOW w AS (PARTITION BY document_id, page))
+SELECT document_id, page, text, row_number() OVER (PARTITION BY document_id, page ORDER BY g, y0, x0, text)::INTEGER AS place FROM b"""
+)
+def reading_order(spark: SparkSession, d: str) -> DataFrame:
+    from lexmill import schemas
+
+    blocks = spark.createDataFrame([tuple(r) for r in _LAYOUT], schemas.LAYOUT_BLOCKS)
+    return pages.reading_order(blocks).select("document_id", "page", "text", "place")
+
+
+@query()
+def document_files(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents as Markdown and plain text."""
+    return pages.whole_documents(page_rows(spark, d))
+
+
+# --- chunkers -----------------------------------------------------------------------
+
+
+@query(
+    f"""WITH RECURSIVE src AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE text IS NOT NULL AND {_strip_sql('text')} <> ''),
+cut AS (SELECT doc_id, t, n, 0::BIGINT AS start, 0::BIGINT AS begun, NULL::BIGINT AS stop, false AS fin FROM src
+ UNION ALL SELECT doc_id, t, n, CASE WHEN e >= n THEN n WHEN e - {S.chunk_overlap} > s THEN e - {S.chunk_overlap} ELSE e END, s, e, e >= n FROM (SELECT doc_id, t, n, s, CASE WHEN tent < n AND last > s THEN last + 1 ELSE tent END AS e FROM
+  (SELECT doc_id, t, n, s, tent, CASE WHEN regexp_matches(w, '[\n。；. ]') THEN s + {S.chunk_size * 6 // 10} + length(regexp_extract(w, '(?s)^(.*)[\n。；. ]', 1)) ELSE -1 END AS last FROM
+   (SELECT doc_id, t, n, start AS s, least(start + {S.chunk_size}, n) AS tent, substring(t, start + {S.chunk_size * 6 // 10 + 1}, least({S.chunk_size}, n - start) - {S.chunk_size * 6 // 10}) AS w FROM cut WHERE NOT fin))))
+SELECT doc_id, sha256(piece) AS piece_sha256, length(piece)::INTEGER AS characters FROM (SELECT doc_id, {_strip_sql('substring(t, begun + 1, stop - begun)')} AS piece FROM cut WHERE stop IS NOT NULL) WHERE piece <> ''"""
+)
+def long_text_split(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 1200 characters that share 180."""
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    pieces = chunkers.exploded(rows, ["text"], lambda t: chunkers.windows(t, S.chunk_size, S.chunk_overlap), "piece string")
+    return pieces.select("doc_id", F.sha2("piece", 256).alias("piece_sha256"), F.char_length("piece").alias("characters"))
+
+
+@query()
+def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = page_rows(spark, d).withColumn("text", X.rag_markdown(F.col("text")))
+    return chunkers.exploded(rows, ["text"], lambda t: chunkers.paragraphs(t, S.chunk_size, S.chunk_overlap), "content string").select("document_id", "page", "piece_no", "content")
+
+
+def _markdown(spark: SparkSession, d: str) -> DataFrame:
+    head = F.coalesce(F.nullif(F.trim(F.replace("heading", F.lit("\n"), F.lit(" "))), F.lit("")), F.lit("-"))
+    body = F.concat(F.lit("# "), F.coalesce("title", F.lit("-")), F.lit("\n\n## "), head, F.lit("\n\n"), F.coalesce("content", F.lit("")))
+    return chunk_rows(spark, d).select("vector_chunk_id", body.alias("text"))
+
+
+@query()
+def heading_sections(spark: SparkSession, d: str) -> DataFrame:
+    return chunkers.exploded(_markdown(spark, d), ["text"], chunkers.sections, "path array<string>, level int, body string").select("vector_chunk_id", "piece_no", "path", "level", "body")
+
+
+@query()
+def heading_chunks(spark: SparkSession, d: str) -> DataFrame:
+    cut = lambda t: chunkers.heading_chunks(t, S.chunk_size, S.chunk_overlap)
+    return chunkers.exploded(_markdown(spark, d), ["text"], cut, "content string, path array<string>, level int, strategy string").drop("text")
+
+
+_BLOCKS = "block AS (SELECT DISTINCT block_id, heading, text FROM procedure_block)"
+
+
+@query(
+    f"""WITH {_BLOCKS}, whole AS (SELECT block_id, concat_ws(chr(10), nullif(heading, ''), nullif(text, '')) AS body FROM block),
+l AS (SELECT block_id, unnest(list_filter(list_transform({_lines_sql('body')}, lambda x: {_strip_sql('x')}), lambda x: x <> '')) AS line, generate_subscripts(list_filter(list_transform({_lines_sql('body')}, lambda x: {_strip_sql('x')}), lambda x: x <> ''), 1) AS n FROM whole WHERE NOT contains(lower(body), '<table')),
+m AS (SELECT *, regexp_matches(line, '^\\s*\\d{{1,2}}\\s+[^.)、\\s]') AS h, sum(regexp_matches(line, '^\\s*\\d{{1,2}}\\s+[^.)、\\s]')::INT) OVER (PARTITION BY block_id ORDER BY n) AS g FROM l)
+SELECT block_id, max(CASE WHEN h THEN regexp_extract(line, '^\\s*(\\d{{1,2}})\\s', 1)::INTEGER END) AS step, string_agg(line, chr(10) ORDER BY n) AS body FROM m GROUP BY block_id, g"""
+)
+def procedure_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of the procedure blocks without tables."""
+    rows = table(spark, d, "procedure_block").select("block_id", "heading", "text").distinct()
+    whole = rows.select("block_id", F.concat_ws("\n", F.nullif("heading", F.lit("")), F.nullif("text", F.lit(""))).alias("whole")).where("not contains(lower(whole), '<table')")
+    return chunkers.exploded(whole, ["whole"], chunkers.steps, "step int, heading string, body string").select("block_id", "step", "body")
+
+
+@query()
+def procedure_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Procedure blocks of a source page packed to retrieval size under the page's topic."""
+    rows = table(spark, d, "procedure_block").distinct().withColumn("whole", F.concat_ws("\n", F.nullif("heading", F.lit("")), F.nullif("text", F.lit("")))).where("page is not null")
+    of = rows.groupBy("document_id", "page").agg(F.min("source_file").alias("source_file"), F.array_join(F.array_sort(F.collect_list(F.struct("block_id", "whole")))["whole"], "\n").alias("body"))
+    cut = lambda t, f: chunkers.step_chunks(t, [f or "-"], S.step_target, S.step_hard_max, S.step_overlap)
+    return chunkers.exploded(of, ["body", "source_file"], cut, "content string, steps array<int>").select("document_id", "page", "piece_no", "content", "steps")
+
+
+@query()
+def fallback_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = page_rows(spark, d).withColumn("text", X.without_leaks(F.col("text")))
+    return chunkers.exploded(rows, ["text"], lambda t: chunkers.line_chunks(t, S.step_target), "content string").drop("text")
+
+
+@query()
+def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Pages cut at headings a stand-in detector finds, packed under their path."""
+    rows = page_rows(spark, d)
+    numbered = rows.select("document_id", "page", F.concat_ws("\n", F.transform(F.split("text", "\n", -1), lambda x, i: F.concat((i + 1).cast("string"), F.lit("| "), X.strip(x)))).alias("numbered"))
+    found = chunkers.exploded(numbered, ["numbered"], lambda t: [(h["start_line"], h["level"]) for h in models.rule_headings(t)], "start_line int, level int").select("document_id", "page", "start_line", "level")
+    sections = toc.section_segments(rows, toc.sound_headings(found, rows))
+    cut = lambda b, p: chunkers.section_chunks(b, list(p), S.section_target, S.section_overlap)
+    return chunkers.exploded(sections, ["body", "section_path"], cut, "content string").select("document_id", "page", "place", "section_path", "piece_no", "content")
+
+
+# --- tables of contents -------------------------------------------------------------
+
+_TOC = tuple((f"d{i}", 1, t, x, 60.0 + 20 * n, x + 150, 72.0 + 20 * n, 600.0) for i in (1, 2) for n, (t, x) in enumerate(
+    (("目錄", 40.0), ("重要故障查修 ...... 4", 40.0), ("煞車控制", 52.0), ("故障 ..... 5", 52.0 + i), ("電動真空泵無作用 …… 6", 66.0), ("燈光 7", 52.5), ("12", 52.0), ("空調 ..... 21", 330.0), ("壓縮機 ... 23", 344.0))))
+_TOC_SQL = "layout AS (SELECT * FROM (VALUES " + ", ".join("('{}', {}, '{}', {}, {}, {}, {}, {})".format(*r) for r in _TOC) + ") t(document_id, page, text, x0, y0, x1, y1, page_width))"
+
+
+@query(
+    f"""WITH {_TOC_SQL}, c AS (SELECT *, (x0 >= page_width / 2)::INT AS col, regexp_matches(text, '^.*?(?:[.…·．]{{2,}}|\\s+)\\s*\\d{{1,3}}\\s*$') AS e FROM layout WHERE text NOT IN ('目錄', '目录', '故障查修') AND NOT regexp_full_match(text, '\\d{{1,3}}')),
+w AS (SELECT *, lag(text) OVER o AS pt, lag(e) OVER o AS pe, lag(x0) OVER o AS px FROM c WINDOW o AS (PARTITION BY document_id, page, col ORDER BY y0, x0)),
+t AS (SELECT *, regexp_replace(regexp_extract(text, '^(.*?)(?:[.…·．]{{2,}}|\\s+)\\s*(\\d{{1,3}})\\s*$', 1), '[ .…·．。]+$', '') AS own FROM w WHERE e)
+SELECT document_id, page, CASE WHEN pt IS NOT NULL AND NOT pe AND abs(px - x0) <= 4.0 THEN pt || own ELSE own END AS title, regexp_extract(text, '(\\d{{1,3}})\\s*$', 1)::INTEGER AS target_page FROM t"""
+)
+def toc_entries(spark: SparkSession, d: str) -> DataFrame:
+    from lexmill import schemas
+
+    return toc.toc_entries(spark.createDataFrame([tuple(r) for r in _TOC], schemas.LAYOUT_LINES)).select("document_id", "page", "title", "target_page")
+
+
+@query()
+def toc_levels(spark: SparkSession, d: str) -> DataFrame:
+    from lexmill import schemas
+
+    return toc.toc_levels(toc.toc_entries(spark.createDataFrame([tuple(r) for r in _TOC], schemas.LAYOUT_LINES)))
+
+
+def _line_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = page_rows(spark, d).select("document_id", "page", F.posexplode(X.lines(F.col("text"))).alias("line_no", "line"))
+    heads = chunk_rows(spark, d).where("page is not null").groupBy("document_id", "page").agg(F.min("heading").alias("line")).where("line is not null").select("document_id", "page", F.lit(-1).alias("line_no"), "line")
+    return rows.withColumn("line", X.strip(F.col("line"))).where("line <> ''").unionByName(heads)
+
+
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    known = chunk_rows(spark, d).where("heading is not null").select("document_id", F.col("heading").alias("title")).distinct()
+    return known.select("document_id", "title", F.array("title").alias("path"))
+
+
+@query(
+    f"""WITH {CHUNK}, t AS (SELECT DISTINCT document_id, {_title_key_sql('heading')} AS key FROM chunk WHERE heading IS NOT NULL), h AS (SELECT document_id, page, {_title_key_sql('min(heading)')} AS key FROM chunk WHERE page IS NOT NULL GROUP BY document_id, page HAVING min(heading) IS NOT NULL)
+SELECT h.document_id, h.page, h.key FROM h JOIN t USING (document_id, key) WHERE key <> ''"""
+)
+def title_match_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose smallest heading is a title of their document."""
+    heads = chunk_rows(spark, d).where("page is not null").groupBy("document_id", "page").agg(F.min("heading").alias("line")).where("line is not null")
+    known = _titles(spark, d).select("document_id", X.title_key(F.col("title")).alias("key")).distinct()
+    return heads.select("document_id", "page", X.title_key(F.col("line")).alias("key")).where("key <> ''").join(known, ["document_id", "key"]).select("document_id", "page", "key")
+
+
+@query()
+def title_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut at lines that are (nearly) one of their titles."""
+    return toc.segments(toc.titled_lines(_line_rows(spark, d), _titles(spark, d)))
+
+
+# --- grounding ----------------------------------------------------------------------
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk as a ranked result of its document."""
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("vector_chunk_id"))
+    return chunk_rows(spark, d).select("document_id", place.alias("rank"), "source_file", "page", "content")
+
+
+@query(
+    f"""WITH {CHUNK}, r AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY vector_chunk_id) AS rank, content FROM chunk),
+l AS (SELECT document_id, rank, list_filter(list_transform({_lines_sql("coalesce(content, '')")}, lambda x: {_strip_sql('x')}), lambda x: x <> '') AS l FROM r),
+n AS (SELECT document_id, rank, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM l) SELECT document_id, concat('S', rank, '-', line_no) AS citation_id, line FROM n"""
+)
+def line_citations(spark: SparkSession, d: str) -> DataFrame:
+    rows = _results(spark, d).select("document_id", "rank", F.posexplode(X.filled_lines(F.coalesce("content", F.lit("")))).alias("n", "line"))
+    return rows.select("document_id", F.format_string("S%d-%d", "rank", F.col("n") + 1).alias("citation_id"), "line")
+
+
+@query(
+    f"""WITH {CHUNK}, r AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY vector_chunk_id) AS rank, coalesce(nullif(source_file, ''), '未知文件') AS source_file, coalesce(page, 0) AS page, content FROM chunk),
+s AS (SELECT document_id, source_file, page, min(rank) AS first FROM r WHERE {_strip_sql("coalesce(content, '')")} <> '' GROUP BY 1, 2, 3)
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY first)::INTEGER AS source_number, source_file, page FROM s"""
+)
+def distinct_sources(spark: SparkSession, d: str) -> DataFrame:
+    own = _results(spark, d).where(X.strip(F.coalesce("content", F.lit(""))) != "")
+    met = own.groupBy("document_id", F.coalesce(F.nullif("source_file", F.lit("")), F.lit("未知文件")).alias("source_file"), F.coalesce("page", F.lit(0)).alias("page")).agg(F.min("rank").alias("first"))
+    return met.select("document_id", F.row_number().over(Window.partitionBy("document_id").orderBy("first")).alias("source_number"), "source_file", "page")
+
+
+_ANSWERS = ("ok [S1-1, S1-2]", "x [S2-9]", "none", f"{grounding.REFUSAL} [S9-9]", "two [S1-1][S3-4]", "plain S1-1", "[no id] text")
+
+
+@query(
+    "WITH a AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_ANSWERS)) + f""") t(answer_id, answer)),
+c AS (SELECT *, regexp_extract_all(array_to_string(regexp_extract_all(answer, '\\[([^\\[\\]]*S\\d+-\\d+[^\\[\\]]*)\\]', 1), ' '), 'S\\d+-\\d+') AS cited FROM a),
+w AS (SELECT *, list_filter(cited, lambda x: x NOT IN ('S1-1', 'S1-2')) AS wrong, contains(answer, '{grounding.REFUSAL}') AS refused FROM c)
+SELECT answer_id, refused OR (len(cited) > 0 AND len(wrong) = 0) AS passed, CASE WHEN refused THEN '' ELSE array_to_string(wrong, ',') END AS invalid FROM w"""
+)
+def citation_validation(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(_ANSWERS)), "answer_id int, answer string")
+    checked = rows.select("answer_id", grounding.validated(F.col("answer"), F.array(F.lit("S1-1"), F.lit("S1-2"))).alias("v"))
+    return checked.select("answer_id", "v.passed", F.array_join("v.invalid", ",").alias("invalid"))
+
+
+_MESSAGES = """msg AS (SELECT document_id AS conversation_id, row_number() OVER (PARTITION BY document_id ORDER BY vector_chunk_id)::INTEGER AS position, CASE (chunk_index % 5) WHEN 0 THEN 'assistant' WHEN 1 THEN 'tool' WHEN 2 THEN 'system' ELSE 'user' END AS role, content FROM chunk)"""
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as the messages of a conversation per document."""
+    role = F.when(F.col("chunk_index") % 5 == 0, "assistant").when(F.col("chunk_index") % 5 == 1, "tool").when(F.col("chunk_index") % 5 == 2, "system").otherwise("user")
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("vector_chunk_id"))
+    return chunk_rows(spark, d).select(F.col("document_id").alias("conversation_id"), place.alias("position"), role.alias("role"), "content")
+
+
+@query(
+    f"""WITH {CHUNK}, {_MESSAGES}, s AS (SELECT conversation_id, position, role, {_strip_sql('content')} AS content FROM msg WHERE role IN ('user', 'assistant') AND {_strip_sql("coalesce(content, '')")} <> '')
+SELECT conversation_id, position, role, content FROM s QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY position DESC) <= 12"""
+)
+def history_window(spark: SparkSession, d: str) -> DataFrame:
+    return grounding.history(_messages(spark, d), 12).select("conversation_id", "position", "role", "content")
+
+
+@query(
+    f"""WITH {CHUNK}, {_MESSAGES}, s AS (SELECT conversation_id, position, role, {_strip_sql('content')} AS content FROM msg WHERE role <> 'tool' AND {_strip_sql("coalesce(content, '')")} <> '')
+SELECT conversation_id, string_agg(concat('<|im_start|>', role, chr(10), content, '<|im_end|>', chr(10)), '' ORDER BY position) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) AS prompt FROM s GROUP BY 1"""
+)
+def chatml_prompt(spark: SparkSession, d: str) -> DataFrame:
+    return grounding.chat_prompt(_messages(spark, d))
+
+
+@query(
+    f"""WITH {CHUNK} SELECT vector_chunk_id, sha256(concat_ws(chr(10), concat('passage: 文件名稱：', coalesce(nullif(source_file, ''), '未知文件')), concat('文件標題：', coalesce(nullif(title, ''), {_STEM})),
+CASE WHEN page IS NOT NULL THEN concat('頁碼：第 ', page, ' 頁') END, '', {_strip_sql("coalesce(content, '')")})) AS passage_sha256 FROM chunk"""
+)
+def passage_texts(spark: SparkSession, d: str) -> DataFrame:
+    return chunk_rows(spark, d).select("vector_chunk_id", F.sha2(X.passage_text(F.col("source_file"), F.col("title"), F.col("page"), F.col("content")), 256).alias("passage_sha256"))
+
+
+_LABELLED = "SELECT doc_id, concat('<think>', coalesce(lang, ''), '</think>', coalesce(source, '')) AS t FROM documents"
+
+
+@query(f"WITH x AS ({_LABELLED}) SELECT doc_id, regexp_extract(t, '^<think>(.*)</think>', 1) AS reasoning, regexp_replace(t, '^.*</think>', '') AS answer FROM x")
+def reasoning_split(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit("<think>"), F.coalesce("lang", F.lit("")), F.lit("</think>"), F.coalesce("source", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", X.split_reasoning(text).alias("s")).select("doc_id", "s.reasoning", "s.answer")
