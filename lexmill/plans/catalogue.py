@@ -24,8 +24,8 @@ S = Settings()
 #: What is asked in the retrieval queries.
 QUESTION = "請問 M6 螺絲的規格是多少？"
 QUESTIONS = ("請問 M6 螺絲的規格是多少？", "torque wrench", "哪一個壓力開關", "E51 是什麼")
-#: Thresholds of the document discovery query; words a window holds in the index queries.
-DISCOVERY_MIN, WINDOW, WINDOW_OVERLAP = 0.5, 60, 10
+#: Threshold of the document discovery query; words a window holds and shares in the index queries; characters of a context.
+DISCOVERY_MIN, WINDOW, WINDOW_OVERLAP, BUDGET = 0.5, 60, 10, 1000
 
 
 def query(sql: str | None = None) -> Callable[[Callable], Callable]:
@@ -225,24 +225,22 @@ def detail_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {CHUNK}, items AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY vector_chunk_id) AS place, coalesce(content, '') AS content FROM chunk),
-fold AS (SELECT document_id, 0::BIGINT AS place, 2000::BIGINT AS left_, ''::VARCHAR AS kept, false AS cut FROM (SELECT DISTINCT document_id FROM items)
- UNION ALL SELECT f.document_id, i.place, left_ - length(k), k, c FROM (SELECT f.document_id, f.left_, i.place, length(i.content) > f.left_ AS c,
-  CASE WHEN length(i.content) > f.left_ THEN regexp_replace(i.content[1:f.left_], '{_WS}+$', '') ELSE i.content END AS k FROM fold f JOIN items i ON i.document_id = f.document_id AND i.place = f.place + 1 WHERE f.left_ > 0) z, LATERAL (SELECT z.document_id) f, LATERAL (SELECT z.place) i)
+    f"""WITH RECURSIVE {EMBEDDED}, {CENTROID}, {REPRESENTATIVE}, items AS (SELECT document_id, p.rank AS place, coalesce(content, '') AS content FROM rep p JOIN chunk USING (document_id, vector_chunk_id)),
+fold AS (SELECT document_id, 0::BIGINT AS place, {BUDGET}::BIGINT AS left_, ''::VARCHAR AS kept, false AS cut FROM (SELECT DISTINCT document_id FROM items)
+ UNION ALL SELECT document_id, place, left_ - length(k), k, c FROM (SELECT f.document_id, f.left_, i.place, length(i.content) > f.left_ AS c,
+  CASE WHEN length(i.content) > f.left_ THEN regexp_replace(substring(i.content, 1, f.left_), '{_WS}+$', '') ELSE i.content END AS k FROM fold f JOIN items i ON i.document_id = f.document_id AND i.place = f.place + 1 WHERE f.left_ > 0))
 SELECT document_id, place::INTEGER AS place, length(kept)::INTEGER AS characters, cut AS content_truncated, left_::INTEGER AS remaining FROM fold WHERE place > 0"""
 )
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
-    """A budget of 2000 characters for each document's chunks in order."""
-    place = F.row_number().over(Window.partitionBy("document_id").orderBy("vector_chunk_id"))
-    items = chunk_rows(spark, d).select("document_id", place.alias("place"), F.coalesce("content", F.lit("")).alias("content"))
-    # no more than the budget's first items can matter: those that begin within its characters, and empty ones
-    before = F.sum(F.char_length("content")).over(Window.partitionBy("document_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    near = items.withColumn("b", F.coalesce(before, F.lit(0))).where("b <= 4 * 2000").drop("b")
-    listed = near.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("place", "content"))).alias("items"))
-    kept = listed.select("document_id", F.explode(search.budgeted(F.col("items"), 2000)["results"]).alias("r"))
-    rows = kept.select("document_id", "r.place", F.char_length("r.content").alias("characters"), "r.content_truncated")
+    """The budget of characters spent on each document's representative chunks, best first."""
+    rows = embedded(spark, d)
+    best = index.representatives(rows, index.centroids(rows), S.representative_count)
+    items = best.join(rows.select("vector_chunk_id", "content"), "vector_chunk_id")
+    listed = items.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("place"), "content"))).alias("items"))
+    kept = listed.select("document_id", F.explode(search.budgeted(F.col("items"), BUDGET)["results"]).alias("r"))
+    spent = kept.select("document_id", "r.place", F.char_length("r.content").alias("characters"), "r.content_truncated")
     used = F.sum("characters").over(Window.partitionBy("document_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("remaining", (F.lit(2000) - used).cast("int"))
+    return spent.withColumn("remaining", (F.lit(BUDGET) - used).cast("int"))
 
 
 @query()
