@@ -130,32 +130,34 @@ def normalised(df: DataFrame, key: str, source: str, text: str, width: int) -> D
 
 
 def table_keys(classes: DataFrame, sketch: TensorSketch) -> DataFrame:
-    """table_key, d1, d2: a row for each class and table."""
+    """table_key, d1: a row for each class and table.
+
+    Half of the class's digest is enough here: classes that share it only make
+    candidates more, which are told apart when they are verified.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            of = sketch.keys(sketch.collections(batch.column(2).to_pylist())).view(np.int64)
-            tables = of.shape[1]
-            d1, d2 = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), tables) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(of.ravel()), pa.array(d1), pa.array(d2)], names=["table_key", "d1", "d2"])
+            of = sketch.keys(sketch.collections(batch.column(1).to_pylist())).view(np.int64)
+            d1 = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), of.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(of.ravel()), pa.array(d1)], names=["table_key", "d1"])
 
-    return classes.select("d1", "d2", "normal").mapInArrow(keys, "table_key bigint, d1 bigint, d2 bigint")
+    return classes.select("d1", "normal").mapInArrow(keys, "table_key bigint, d1 bigint")
 
 
-_PAIR = "a1 bigint, a2 bigint, b1 bigint, b2 bigint, table_key bigint"
+_PAIR = "a1 bigint, b1 bigint, table_key bigint"
 
 
 def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of each run of equal keys; a run beyond RUN leaves as rows without a b."""
 
-    def out(a1, a2, b1=None, b2=None, table_key=None):  # type: ignore[no-untyped-def]
-        n = len(a1)
-        columns = [pa.array(c) if c is not None else pa.nulls(n, pa.int64()) for c in (a1, a2, b1, b2, table_key)]
-        return pa.RecordBatch.from_arrays(columns, names=["a1", "a2", "b1", "b2", "table_key"])
+    def out(a1, b1=None, table_key=None):  # type: ignore[no-untyped-def]
+        columns = [pa.array(c) if c is not None else pa.nulls(len(a1), pa.int64()) for c in (a1, b1, table_key)]
+        return pa.RecordBatch.from_arrays(columns, names=["a1", "b1", "table_key"])
 
-    def pairs(keys: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(keys: np.ndarray, d1: np.ndarray) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
         sizes, starts = np.diff(edges), edges[:-1]
         for size in np.unique(sizes[(sizes > 1) & (sizes <= RUN)]):
@@ -163,24 +165,23 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             at = starts[sizes == size]
             step = max(1, 200_000 // len(i))
             for k in range(0, len(at), step):
-                a, b = (at[k : k + step, None] + i).ravel(), (at[k : k + step, None] + j).ravel()
-                yield out(d1[a], d2[a], d1[b], d2[b])
+                yield out(d1[(at[k : k + step, None] + i).ravel()], d1[(at[k : k + step, None] + j).ravel()])
         for s, size in zip(starts[sizes > RUN], sizes[sizes > RUN]):
-            yield out(d1[s : s + size], d2[s : s + size], table_key=keys[s : s + size])
+            yield out(d1[s : s + size], table_key=keys[s : s + size])
 
     held: list[tuple[np.ndarray, ...]] = []
     hot = None  # the key of a run that is already leaving row by row
     for batch in batches:
-        rows = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        rows = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
         if len(rows[0]) and hot is not None:
             end = int(np.searchsorted(rows[0], hot, "right")) if rows[0][0] == hot else 0
             if end:
-                yield out(rows[1][:end], rows[2][:end], table_key=rows[0][:end])
+                yield out(rows[1][:end], table_key=rows[0][:end])
                 rows = tuple(c[end:] for c in rows)
         if not len(rows[0]):
             continue
         hot, last = None, int(np.searchsorted(rows[0], rows[0][-1]))
-        whole = [np.concatenate([h[i] for h in held] + [rows[i]]) for i in range(3)]
+        whole = [np.concatenate([h[i] for h in held] + [rows[i]]) for i in range(2)]
         if held and not last and held[0][0][0] == rows[0][0]:
             held = [tuple(whole)]
         else:
@@ -190,19 +191,18 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             held = [tuple(c[cut:] for c in whole)]
         if len(held[0][0]) > RUN:
             hot = held[0][0][0]
-            yield out(held[0][1], held[0][2], table_key=held[0][0])
+            yield out(held[0][1], table_key=held[0][0])
             held = []
     if held:
         yield from pairs(*held[0])
 
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """a1, a2, b1, b2: classes that share a key in some table, each pair once, smaller first."""
-    runs = keys.repartition("table_key").sortWithinPartitions("table_key", "d1", "d2").mapInArrow(_pairs_of_runs, _PAIR).persist()
-    close = runs.where("b1 is not null").select("a1", "a2", "b1", "b2")
-    hot = runs.where("b1 is null").select("table_key", "a1", "a2")
-    other = hot.select("table_key", F.col("a1").alias("b1"), F.col("a2").alias("b2"))
-    crossed = hot.join(other, "table_key").where("a1 < b1 or (a1 = b1 and a2 < b2)").select("a1", "a2", "b1", "b2")
+    """a1, b1: half digests of classes that share a key in some table, each pair once, smaller first."""
+    runs = keys.repartition("table_key").sortWithinPartitions("table_key", "d1").mapInArrow(_pairs_of_runs, _PAIR).persist()
+    close = runs.where("b1 is not null").select("a1", "b1")
+    hot = runs.where("b1 is null").select("table_key", "a1")
+    crossed = hot.join(hot.select("table_key", F.col("a1").alias("b1")), "table_key").where("a1 <= b1").select("a1", "b1")
     return close.unionByName(crossed).distinct()
 
 
@@ -225,14 +225,14 @@ def verified(pairs: DataFrame, classes: DataFrame, width: int, least: float) ->
 
     left = classes.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("normal").alias("a_text"))
     right = classes.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("normal").alias("b_text"))
-    texts = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
+    texts = pairs.join(left, "a1").join(right, "b1").where("a1 < b1 or a2 < b2")
     return texts.select("a1", "a2", "b1", "b2", "a_text", "b_text").mapInArrow(check, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double")
 
 
 class NearDuplicates:
     """The stages over one table: members, classes, links between classes."""
 
-    def __init__(self, df: DataFrame, key: str, source: str, text: str, width: int = 5, least: float = 0.7, groups: int = 12, per_group: int = 4) -> None:
+    def __init__(self, df: DataFrame, key: str, source: str, text: str, width: int = 5, least: float = 0.7, groups: int = 16, per_group: int = 4) -> None:
         items = normalised(df, key, source, text, width).persist()
         self.members = items.select("item_id", "source", "d1", "d2").distinct()
         self.classes = items.select("d1", "d2", "normal").dropDuplicates(["d1", "d2"]).persist()
