@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill import models
+from lexmill import models, schemas
 from lexmill.config import Settings
 from lexmill.functions import text as X
 from lexmill.functions import vectors as V
@@ -28,8 +28,6 @@ class Engine:
         s = self.settings.validated()
         records = index.index_records(chunks, s.window_tokens, s.window_overlap)
         passages = records.withColumn("passage", X.passage_text(F.col("source_file"), F.col("title"), F.col("page"), F.col("content")))
-        from lexmill import schemas
-
         held = stored if stored is not None else self.spark.createDataFrame([], schemas.EMBEDDING_CACHE)
         planned = cache.plan(passages, held, self.fingerprint).persist()
         made = cache.embed_missing(planned, "passage", self.embed, self.fingerprint)

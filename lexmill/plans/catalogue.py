@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill import models
+from lexmill import models, schemas
 from lexmill.config import Settings
 from lexmill.functions import text as X
 from lexmill.functions import vectors as V
@@ -530,8 +530,6 @@ b AS (SELECT *, CASE WHEN bool_or(part = 1) OVER w AND bool_or(part = 2) OVER w
 SELECT document_id, page, text, row_number() OVER (PARTITION BY document_id, page ORDER BY g, y0, x0, text)::INTEGER AS place FROM b"""
 )
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
-    from lexmill import schemas
-
     blocks = spark.createDataFrame([tuple(r) for r in _LAYOUT], schemas.LAYOUT_BLOCKS)
     return pages.reading_order(blocks).select("document_id", "page", "text", "place")
 
@@ -639,15 +637,11 @@ t AS (SELECT *, regexp_replace(regexp_extract(text, '^(.*?)(?:[.…·．]{{2,}}|
 SELECT document_id, page, CASE WHEN pt IS NOT NULL AND NOT pe AND abs(px - x0) <= 4.0 THEN pt || own ELSE own END AS title, regexp_extract(text, '(\\d{{1,3}})\\s*$', 1)::INTEGER AS target_page FROM t"""
 )
 def toc_entries(spark: SparkSession, d: str) -> DataFrame:
-    from lexmill import schemas
-
     return toc.toc_entries(spark.createDataFrame([tuple(r) for r in _TOC], schemas.LAYOUT_LINES)).select("document_id", "page", "title", "target_page")
 
 
 @query()
 def toc_levels(spark: SparkSession, d: str) -> DataFrame:
-    from lexmill import schemas
-
     return toc.toc_levels(toc.toc_entries(spark.createDataFrame([tuple(r) for r in _TOC], schemas.LAYOUT_LINES)))
 
 

@@ -15,10 +15,10 @@ def pdf_files(spark: SparkSession, folder: str, content: bool = False) -> DataFr
     return (found if content else found.drop("content")).orderBy(F.lower("path"), "path")
 
 
-def json_lines(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """Rows of JSON lines; blank lines are skipped. Strict: a bad line is an error that shows it; else it is left out."""
     text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file")).where(X.strip(F.col("value")) != "")
-    checked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    checked = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_corrupt", T.StringType())])
     rows = text.select("__file", "value", F.from_json("value", checked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
     bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull() | ~F.startswith(X.strip(F.col("value")), F.lit("{"))
     if not strict:
@@ -27,12 +27,12 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, strict: boo
     return rows.withColumn("r", F.when(bad, F.raise_error(message).cast(checked)).otherwise(F.col("r"))).select("r.*").drop("_corrupt")
 
 
-def json_object(spark: SparkSession, path: str, schema: T.StructType, default: bool = False) -> DataFrame:
+def json_object(spark: SparkSession, path: str, schema: str, default: bool = False) -> DataFrame:
     """One row from a file that holds one JSON object; no row if it holds none and ``default`` is set."""
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("r"))
     if default:
         return text.where("r is not null").select("r.*")
-    return text.select(F.coalesce("r", F.raise_error(F.lit(f"no JSON object in {path}")).cast(schema)).alias("r")).select("r.*")
+    return text.select(F.coalesce("r", F.raise_error(F.lit(f"no JSON object in {path}")).cast(T.StructType.fromDDL(schema))).alias("r")).select("r.*")
 
 
 def cached_pages(spark: SparkSession, root: str) -> DataFrame:

@@ -11,13 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lexmill.operators.catalog import first_by
 from lexmill.sources.files import pdf_files
 
-_BINARY_FILE = T.StructType.fromDDL("path string, modificationTime timestamp, length bigint, content binary")
+_BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def snapshot(spark: SparkSession, folder: str, settle_s: float, now: str | None = None) -> DataFrame:
