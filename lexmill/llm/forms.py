@@ -175,6 +175,40 @@ def letters_and_digits(text: str | None, speller: Speller = LATIN_SPELLER) -> st
     return _NOT_ALNUM.sub("", one_form(text, speller).lower()) if text else ""
 
 
+_TABLE = np.zeros(0, dtype=np.int32)
+
+
+def _table() -> np.ndarray:
+    """For each code point below 0x10000 the letter or digit it becomes, 0 if it vanishes, -1 if its neighbours matter."""
+    global _TABLE
+    if not len(_TABLE):
+        table = np.full(0x10001, -1, dtype=np.int32)  # the last entry is for all code points above
+        for code in range(0x10000):
+            c = chr(code)
+            depends = 0xD800 <= code < 0xE000 or 0x1100 <= code < 0x1200 or "Σ" in unicodedata.normalize("NFKC", c) or unicodedata.category(c)[0] == "M"
+            if not depends and len(own := letters_and_digits(c)) <= 1:
+                table[code] = ord(own) if own else 0
+        _TABLE = table
+    return _TABLE
+
+
+def all_letters_and_digits(texts: list[str]) -> list[str]:
+    """``letters_and_digits`` of each text, by table where no character's neighbours matter."""
+    if not texts:
+        return []
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    mapped = _table()[np.minimum(codes, 0x10000)]
+    ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+    hard = np.concatenate(([0], np.cumsum(mapped < 0)))
+    kept = np.concatenate(([0], np.cumsum(mapped > 0)))
+    whole = mapped[mapped > 0].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    begins = np.concatenate(([0], ends[:-1]))
+    out, difficult = [], (hard[ends] > hard[begins]).tolist()
+    for text, a, b, slow in zip(texts, kept[begins].tolist(), kept[ends].tolist(), difficult):
+        out.append(letters_and_digits(text) if slow else whole[a:b])
+    return out
+
+
 def digest(text: str) -> bytes:
     """128 bits; texts are taken as equal if these are."""
     return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))

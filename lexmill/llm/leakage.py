@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.forms import letters_and_digits
+from lexmill.llm.forms import all_letters_and_digits, letters_and_digits
 
 #: Symbols of a shard: rank, second rank and place of a suffix fit in 63 bits.
 SHARD = 1 << 21
@@ -195,8 +195,7 @@ def leaked_spans(df: DataFrame, key: str, text: str, items: list[tuple[int, str,
         shard: list[tuple[object, int, str]] = []
         size = 0
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = letters_and_digits(t)
+            for k, own in zip(batch.column(0).to_pylist(), all_letters_and_digits(batch.column(1).to_pylist())):
                 step = SHARD - 2 - longest
                 for at in range(0, max(1, len(own)), step):
                     part = own[at : at + step + longest - 1] if len(own) > step else own
