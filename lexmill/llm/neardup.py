@@ -8,8 +8,8 @@ of 2 * per_group rows each; two records are candidates as soon as two of their
 collections agree. Every candidate pair is then verified by the exact
 similarity of its shingle sets.
 
-Exact copies (equal after normalisation) are one class: only classes are hashed,
-compared and verified, and a class's members meet pairs at the end.
+Exact copies (equal after normalisation) are one class: only classes are paired
+and verified, and a class's members meet pairs at the end.
 
 The tables' keys are shuffled, sorted, and read run by run; a run longer than
 ``RUN`` goes through a join instead, which Spark splits where it is skewed. No
@@ -30,7 +30,8 @@ from pyarrow import compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.forms import digest, letters_and_digits
+from lexmill.llm.forms import all_letters_and_digits, digest
+from lexmill.llm.scans import sized
 
 #: Longest run of equal table keys whose pairs one task forms.
 RUN = 1500
@@ -112,8 +113,8 @@ def normalised(df: DataFrame, key: str, source: str, text: str, width: int) -> D
     def norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items, sources, normals = [], [], []
-            for item, origin, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                own = letters_and_digits(content)
+            normal = all_letters_and_digits(batch.column(2).to_pylist())
+            for item, origin, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), normal):
                 if len(own) >= width:
                     items.append(item)
                     sources.append(origin)
@@ -129,22 +130,23 @@ def normalised(df: DataFrame, key: str, source: str, text: str, width: int) -> D
     return picked.mapInArrow(norm, "item_id string, source string, d1 bigint, d2 bigint, normal string")
 
 
-def table_keys(classes: DataFrame, sketch: TensorSketch) -> DataFrame:
-    """table_key, d1: a row for each class and table.
+def table_keys(items: DataFrame, sketch: TensorSketch) -> DataFrame:
+    """table_key, d1: a row for each table and text (copies within a batch once).
 
-    Half of the class's digest is enough here: classes that share it only make
+    Half of the text's digest is enough here: texts that share it only make
     candidates more, which are told apart when they are verified.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            d1, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            if not len(d1):
                 continue
-            of = sketch.keys(sketch.collections(batch.column(1).to_pylist())).view(np.int64)
-            d1 = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), of.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(of.ravel()), pa.array(d1)], names=["table_key", "d1"])
+            texts = batch.column(1).take(pa.array(first)).to_pylist()
+            of = sketch.keys(sketch.collections(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(of.ravel()), pa.array(np.repeat(d1, of.shape[1]))], names=["table_key", "d1"])
 
-    return classes.select("d1", "normal").mapInArrow(keys, "table_key bigint, d1 bigint")
+    return items.select("d1", "normal").mapInArrow(keys, "table_key bigint, d1 bigint")
 
 
 _PAIR = "a1 bigint, b1 bigint, table_key bigint"
@@ -178,6 +180,8 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if end:
                 yield out(rows[1][:end], table_key=rows[0][:end])
                 rows = tuple(c[end:] for c in rows)
+        once = np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))) if len(rows[0]) else []
+        rows = tuple(c[once] for c in rows) if len(rows[0]) else rows  # copies
         if not len(rows[0]):
             continue
         hot, last = None, int(np.searchsorted(rows[0], rows[0][-1]))
@@ -202,6 +206,8 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     runs = keys.repartition("table_key").sortWithinPartitions("table_key", "d1").mapInArrow(_pairs_of_runs, _PAIR).persist()
     close = runs.where("b1 is not null").select("a1", "b1")
     hot = runs.where("b1 is null").select("table_key", "a1")
+    if not hot.count():  # also fills the cache before two branches ask for it at once
+        return close.distinct()
     crossed = hot.join(hot.select("table_key", F.col("a1").alias("b1")), "table_key").where("a1 <= b1").select("a1", "b1")
     return close.unionByName(crossed).distinct()
 
@@ -213,8 +219,11 @@ def jaccard(a: str, b: str, width: int) -> float:
     return both / (len(x) + len(y) - both) if x or y else 0.0
 
 
-def verified(pairs: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
-    """``pairs`` whose exact similarity is ``least`` or more, with it."""
+def verified(pairs: DataFrame, items: DataFrame, width: int, least: float) -> DataFrame:
+    """``pairs`` whose exact similarity is ``least`` or more, with it.
+
+    Only the texts of candidates are moved, each text once.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,6 +232,8 @@ def verified(pairs: DataFrame, classes: DataFrame, width: int, least: float) ->
             rows = pa.RecordBatch.from_arrays([*batch.columns[:4], alike], names=["a1", "a2", "b1", "b2", "similarity"])
             yield rows.filter(compute.greater_equal(alike, least - 1e-12))
 
+    needed = sized(pairs.select(F.col("a1").alias("d1")).union(pairs.select("b1")).distinct())
+    classes = items.select("d1", "d2", "normal").join(needed, "d1", "left_semi").dropDuplicates(["d1", "d2"]).persist()
     left = classes.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("normal").alias("a_text"))
     right = classes.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("normal").alias("b_text"))
     texts = pairs.join(left, "a1").join(right, "b1").where("a1 < b1 or a2 < b2")
@@ -230,14 +241,13 @@ def verified(pairs: DataFrame, classes: DataFrame, width: int, least: float) ->
 
 
 class NearDuplicates:
-    """The stages over one table: members, classes, links between classes."""
+    """The stages over one table: members of classes, and links between classes."""
 
     def __init__(self, df: DataFrame, key: str, source: str, text: str, width: int = 5, least: float = 0.7, groups: int = 16, per_group: int = 4) -> None:
         items = normalised(df, key, source, text, width).persist()
         self.members = items.select("item_id", "source", "d1", "d2").distinct()
-        self.classes = items.select("d1", "d2", "normal").dropDuplicates(["d1", "d2"]).persist()
-        keys = table_keys(self.classes, TensorSketch(width, groups, per_group))
-        self.links = verified(candidate_pairs(keys), self.classes, width, least)
+        keys = table_keys(items, TensorSketch(width, groups, per_group))
+        self.links = verified(candidate_pairs(keys).persist(), items, width, least)
 
     def membership(self) -> DataFrame:
         """item_id, source, class_id: copies share a class."""
