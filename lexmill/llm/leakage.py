@@ -46,7 +46,7 @@ def suffix_array(codes: np.ndarray, symbols: int) -> np.ndarray:
     key = np.zeros(n, dtype=np.uint64)
     for i in range(width):
         key *= np.uint64(symbols)
-        key[: n - i] += codes[i:].astype(np.uint64)
+        key[: max(0, n - i)] += codes[i:].astype(np.uint64)
     place = np.uint64((1 << _BITS) - 1)
     ordered = np.sort(key << np.uint64(_BITS) | np.arange(n, dtype=np.uint64))
     order = (ordered & place).astype(np.int64)

@@ -59,7 +59,7 @@ def parts_of(text: str, limit: int) -> list[tuple[int, int, bool]]:
 
 def cut_item(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, bool]]:
     """start with overlap, own start, end, and whether a forced cut ends the piece."""
-    parts = parts_of(text, limit)
+    parts = parts_of(text, limit) if text else []
     pieces: list[tuple[int, int, int, bool]] = []
     i = 0
     while i < len(parts):

@@ -54,6 +54,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _noise(spark, sf_dir).found().select(F.col("item_id").alias("vector_chunk_id"), "line_no", "noise").distinct()
 
 
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's content with the noise of scanning repaired."""
+    return _noise(spark, sf_dir).repaired("repaired").select("vector_chunk_id", "repaired")
+
+
 #: Documents of one source from which on a line is repeated.
 REPEATED_FROM = 10
 
@@ -129,6 +134,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p4_cleaned": p4_cleaned,
     "p4_templates": p4_templates,

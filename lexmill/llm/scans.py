@@ -29,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -339,3 +340,66 @@ class ScanNoise:
         whole_line = Window.partitionBy("item_id", "line_no")
         marked = noise.withColumn("furniture", F.max(F.when(F.col("noise") == "page_furniture", 1).otherwise(0)).over(whole_line))
         return marked.where("furniture = 0 or noise = 'page_furniture'").drop("furniture").distinct()
+
+    def repaired(self, to: str) -> DataFrame:
+        """``df`` with the repaired text in the new column ``to``; texts of other sources are as they were.
+
+        Furniture is left out, misread words get the form they stand for, a
+        broken word is put together at the end of its first line, and the lines
+        of a paragraph (between blank lines) are one line.
+        """
+        key, source, _, _, text = self.columns
+        item = F.col(key).cast("string").alias("item_id")
+        own = self.df.join(self.scanned, F.col(source) == self.scanned["source"], "left_semi").where(F.col(text).isNotNull()).select(item, F.col(text).alias("t")).distinct()
+        lines = own.select("item_id", F.xxhash64("t").alias("h"), F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
+        misread = (F.col("noise") == "misread") & F.col("form").isNotNull()
+        noise = self.found().groupBy("item_id", "line_no").agg(
+            F.max((F.col("noise") == "page_furniture").cast("int")).alias("furniture"), F.min(F.when(F.col("noise") == "broken_word", F.col("form"))).alias("whole"),
+            F.collect_list(F.when(misread, F.struct("key", "form"))).alias("forms"),
+        )
+        read = Window.partitionBy("item_id", "h").orderBy("line_no")
+        kept = lines.join(noise, ["item_id", "line_no"], "left").where("coalesce(furniture, 0) = 0")
+        blank = F.rlike("line", F.lit(r"(?U)^\s*$"))
+        filled = kept.withColumn("paragraph", F.sum(blank.cast("int")).over(read)).where(~blank)
+        near = filled.withColumn("before", F.lag("line").over(read)).withColumn("after", F.lead("line").over(read)).withColumn("carried", F.lag("whole").over(read))
+        forms = F.transform(F.coalesce("forms", F.array().cast("array<struct<key:string,form:string>>")), lambda x: F.concat(x["key"], F.lit("\t"), x["form"]))
+        fix = F.pandas_udf(_repaired_lines, "string")
+        fixed = near.withColumn("line", fix("line", "before", "after", "carried", "whole", forms))
+        first = F.row_number().over(Window.partitionBy("item_id", "h", "paragraph").orderBy("line_no")) == 1
+        lead = F.when(F.row_number().over(read) == 1, "").when(first, "\n\n").when(F.rlike("line", F.lit(r"^[\p{P}]")) & F.col("carried").isNotNull(), "")
+        lead = lead.when(F.rlike("before", F.lit(r"\p{IsHan}\s*$")) & F.rlike("line", F.lit(r"^\s*\p{IsHan}")), "").otherwise(" ")
+        parts = fixed.withColumn("part", F.concat(lead, F.trim("line"))).groupBy("item_id", "h").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "part")))["part"], "").alias("__text"))
+        back = own.select("item_id", F.xxhash64("t").alias("h")).join(parts, ["item_id", "h"], "left").select(F.col("item_id").alias("__item"), F.col("h").alias("__h"), F.coalesce("__text", F.lit("")).alias("__text"))
+        joined = self.df.join(back, (F.col(key).cast("string") == F.col("__item")) & (F.xxhash64(text) == F.col("__h")), "left")
+        return joined.withColumn(to, F.coalesce("__text", F.col(text))).drop("__item", "__h", "__text")
+
+
+def _cased(form: str, like: str) -> str:
+    return form.capitalize() if like[:1].isupper() and like[1:2].islower() else form.upper() if like.isupper() and len(like) > 1 else form
+
+
+def _repaired_line(line: str, before: str, after: str, carried: str | None, whole: str | None, forms: list[str]) -> str:
+    known = dict(f.split("\t", 1) for f in forms if f)
+    squeezed, at = "", []
+    for i, c in enumerate(line):
+        if not c.isspace():
+            squeezed += c
+            at.append(i)
+    context = _han_context("".join(before.split())[-1:] + squeezed + "".join(after.split())[:1])
+    shift = 1 - bool(before.strip())
+    letters = list(line)
+    for i in range(len(squeezed)):
+        if (form := known.get(context[i + 1 - shift : i + 4 - shift])) is not None and len(form) == 1:
+            letters[at[i]] = form
+    out = "".join(letters)
+    if carried is not None and (m := _GOES_ON.match(out)):
+        out = out[m.end() :]
+    tail = ""
+    if whole is not None and (m := _BROKEN.search(out)):
+        out, tail = out[: m.start()], _cased(whole, m[1])
+    return _WORD.sub(lambda m: _cased(known[m[0].lower()], m[0]) if m[0].lower() in known else m[0], out) + tail
+
+
+def _repaired_lines(line: pd.Series, before: pd.Series, after: pd.Series, carried: pd.Series, whole: pd.Series, forms: pd.Series) -> pd.Series:
+    rows = zip(line, before, after, carried, whole, forms)
+    return pd.Series([_repaired_line(a, b or "", c or "", d, e, list(f)) for a, b, c, d, e, f in rows], dtype=object)
