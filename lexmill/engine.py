@@ -81,6 +81,37 @@ class Engine:
         listed = [(r["source_file"], r["page"]) for r in grounding.sources(results).orderBy("source_number").collect()]
         return "\n".join([text.rstrip(), "", "參考來源：", *(f"- [來源{i}] {f}，第 {p} 頁" for i, (f, p) in enumerate(listed, 1))])
 
+    def rewritten(self, question: str, generate: models.Generator, document_id: str | None = None) -> str:
+        """The question in the documents' words, from what the search finds for it (five pieces of 200 characters)."""
+        _, rows = self.search(question, document_id, "detail")
+        seen = [r["c"] for r in rows.orderBy("rank").limit(5).select(F.substring("content", 1, 200).alias("c")).collect()]
+        asked = [{"role": "system", "content": "只輸出改寫後的一句查詢。"}, {"role": "user", "content": "\n".join([*seen, question])}]
+        return " ".join(models.answered(generate, asked).split()) or question
+
+    def grounded(self, question: str, generate: models.Generator, document_id: str | None = None) -> str:
+        """An answer; where the search isn't sure, the question is rewritten and searched once more, then refused."""
+        for asked in (question, None):
+            asked = asked or self.rewritten(question, generate, document_id)
+            _, rows = self.search(asked, document_id, "detail")
+            status = search.detail_status(rows, True, self.settings.lexical_accept, self.settings.min_rerank_score).first()["status"]
+            if status == "ok":
+                return self.answer(asked, generate, document_id)
+        return grounding.REFUSAL
+
+    def chat(self, question: str, generate: models.Generator, history: list[dict[str, str]] | None = None) -> str:
+        """An answer without documents: the last twelve messages and the question."""
+        kept = [m for m in history or [] if m.get("role") in ("user", "assistant") and str(m.get("content", "")).strip()][-12:]
+        return models.answered(generate, [{"role": "system", "content": "你是設備文件助理。"}, *kept, {"role": "user", "content": question}])
+
+    def decide(self, event: str, generate: models.Generator, sop_prefix: str) -> dict[str, object] | None:
+        """A structured decision on an event, or None if the answer holds none that keeps the rules of its fields."""
+        _, rows = self.search(event, None, "detail")
+        context = "\n".join(r["content"] for r in rows.orderBy("rank").select("content").collect())  # top_k chunks
+        said = models.answered(generate, [{"role": "system", "content": "以 JSON 物件回答。"}, {"role": "user", "content": f"{context}\n\n{event}"}])
+        one = self.spark.createDataFrame([(said,)], "t string").select(X.json_object(F.col("t"), schemas.DECISION).alias("d"))
+        row = one.select("d", grounding.sound_decision(F.col("d"), sop_prefix).alias("ok")).first()
+        return row["d"].asDict(recursive=True) if row["ok"] else None
+
     def resolve(self, wanted: str) -> str:
         """The id of the one document meant; an error if none or several are."""
         asked = self.spark.createDataFrame([(0, wanted)], "request_id int, wanted string")

@@ -208,3 +208,69 @@ def test_engine(spark):
     with pytest.raises(LookupError):
         engine.resolve("nothing")
     assert engine.ingest(chunks, stored).count() == 8
+
+
+def test_ingest(spark, tmp_path):
+    from lexmill.operators import ingest
+
+    good = "Page text with many words so that it counts as usable native text for sure 123"
+    (tmp_path / "a.pdf").write_bytes(f"1\x01{good}\x022\x01short".encode())
+    (tmp_path / "bad.pdf").write_bytes(b"\x02")
+    pdfs = files.pdf_files(spark, str(tmp_path), True)
+
+    def decode(content):
+        return [(int(p.split("\x01")[0]), p.split("\x01")[1]) for p in content.decode().split("\x02") if p]
+
+    def recognise(content, page):
+        if page == 1:
+            raise RuntimeError("no model")
+        return "seen  by\r\nmodel"
+
+    seen = {r["source_path"].rsplit("/", 1)[1]: (r["page_count"], r["error"]) for r in ingest.inspected(pdfs, lambda c: len(decode(c))).collect()}
+    assert seen == {"a.pdf": (2, None), "bad.pdf": (None, "no pages")}
+    rows = {r["page"]: r for r in ingest.decoded(pdfs, decode, recognise).collect()}
+    assert (rows[1]["text"], rows[1]["extraction_method"], rows[1]["status"]) == (good, "pdf_text_layer", "done")
+    assert (rows[2]["text"], rows[2]["extraction_method"]) == ("seen  by\nmodel", "recognition")
+    forced = {r["page"]: r["status"] for r in ingest.decoded(pdfs, decode, recognise, "recognised").collect()}
+    assert forced == {1: "error", 2: "done"}
+    done = spark.createDataFrame([(rows[1]["document_id"], 1)], "document_id string, page int")
+    assert [r["page"] for r in ingest.decoded(pdfs, decode, recognise, done=done).collect()] == [2]
+    assert ingest.config_hash({"a": 1, "b": 2}) == ingest.config_hash({"b": 2, "a": 1})
+
+
+def test_section_cache(spark):
+    import json
+
+    from lexmill.operators import ingest
+
+    text = spark.createDataFrame([("d", 1, "Title\nbody"), ("d", 2, "Title\nbody"), ("d", 3, "x")], "document_id string, page int, text string")
+    none = spark.createDataFrame([], "text_sha256 string, version string, model string, start_line int, level int")
+    planned = ingest.section_plan(text, none, "v1", "m")
+    assert planned.where("hit").count() == 0
+    stored = ingest.detected(planned, lambda lines: json.dumps([h for h in models.rule_headings(lines) if h["title"] == "Title"]), "v1", "m").persist()
+    assert stored.count() == 2
+    again = ingest.section_plan(text, stored, "v1", "m")
+    assert again.where("not hit").count() == 0 and ingest.section_plan(text, stored, "v2", "m").where("hit").count() == 0
+    assert sorted((r["page"], r["start_line"]) for r in ingest.headings_of(again, stored, "v1", "m").collect()) == [(1, 1), (2, 1)]
+
+
+def test_document_files(spark):
+    from lexmill.operators import ingest
+
+    whole = pages.whole_documents(spark.createDataFrame([("d", 1, "a")], "document_id string, page int, text string"))
+    known = spark.createDataFrame([("p/x.pdf", "x.pdf", "d", "c", "", 1, "complete", None)], schemas.CATALOG)
+    row = ingest.document_markdown(whole, known, "2025-01-01T00:00:00+00:00").first()
+    assert row["markdown"].startswith('---\ndocument_id: "d"\nsource_file: "x.pdf"\npage_count: 1\n') and "# x\n\n## 第 1 頁" in row["markdown"]
+    assert row["plain"].startswith("x\n\n===== 第 1 頁 =====")
+
+
+def test_conversations(spark):
+    rows = [(f"c{i}", "d0", "f.pdf", None, i + 1, i + 1, i, f"pump {i} pressure limit") for i in range(3)]
+    engine = Engine(spark, models.HashEmbedder(16))
+    engine.ingest(spark.createDataFrame(rows, "chunk_id string, document_id string, source_file string, title string, page int, page_start int, chunk_index int, content string"))
+    assert "參考來源" in engine.grounded("pump 1 pressure", models.echo_generator)
+    assert engine.grounded("zzz", lambda m: "qqq") == grounding.REFUSAL
+    assert engine.chat("hi", lambda m: f"{len(m)}", [{"role": "user", "content": "a"}, {"role": "tool", "content": "b"}]) == "3"
+    good = '{"decision": "stop", "severity": "high", "confidence": 0.9, "reason": "r", "sop_reference": "SOP-2", "actions": []}'
+    assert engine.decide("leak", lambda m: f"so: {good}", "SOP")["decision"] == "stop"
+    assert engine.decide("leak", lambda m: "none", "SOP") is None
