@@ -367,7 +367,7 @@ class ScanNoise:
         fixed = near.withColumn("line", fix("line", "before", "after", "carried", "whole", forms))
         first = F.row_number().over(Window.partitionBy("item_id", "h", "paragraph").orderBy("line_no")) == 1
         lead = F.when(F.row_number().over(read) == 1, "").when(first, "\n\n").when(F.rlike("line", F.lit(r"^[\p{P}]")) & F.col("carried").isNotNull(), "")
-        lead = lead.when(F.rlike("before", F.lit(r"\p{IsHan}\s*$")) & F.rlike("line", F.lit(r"^\s*\p{IsHan}")), "").otherwise(" ")
+        lead = lead.when(F.rlike("before", F.lit(r"[\p{IsHan}。，、；：！？）」』]\s*$")) & F.rlike("line", F.lit(r"^\s*[\p{IsHan}。，、；：！？（「『]")), "").otherwise(" ")
         parts = fixed.withColumn("part", F.concat(lead, F.trim("line"))).groupBy("item_id", "h").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "part")))["part"], "").alias("__text"))
         back = own.select("item_id", F.xxhash64("t").alias("h")).join(parts, ["item_id", "h"], "left").select(F.col("item_id").alias("__item"), F.col("h").alias("__h"), F.coalesce("__text", F.lit("")).alias("__text"))
         joined = self.df.join(back, (F.col(key).cast("string") == F.col("__item")) & (F.xxhash64(text) == F.col("__h")), "left")
