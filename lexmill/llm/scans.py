@@ -276,7 +276,6 @@ def candidates(df: DataFrame, key: str, source: str, title: str, page: str, text
                             whole = (m[1] + starts[j][1]).lower()
                             found.add((i, "broken_word", whole))
                             found.add((i, "misread", whole))
-                            found.add((j, "misread", "\1" + whole))
                             found.add((i, "broken_word", skeleton(whole)))
                     for w in _WORD.findall(line):
                         if len(w) >= 3 and (shown := masked[w]) != "#":
