@@ -72,18 +72,22 @@ def representatives(chunks: DataFrame, centroid: DataFrame, count: int) -> DataF
     whatever their page.
     """
     score = F.round(V.dot(F.col("embedding"), F.col("__c")), 6)
-    scored = chunks.join(centroid.select("document_id", F.col("embedding").alias("__c")), "document_id").withColumn("score", score).drop("__c", "embedding")
+    joined = chunks.join(centroid.select("document_id", F.col("embedding").alias("__c")), "document_id")
+    scored = joined.select("document_id", "page", "chunk_index", "sub_chunk_index", "vector_chunk_id", score.alias("score"))
     document, of_page = Window.partitionBy("document_id"), Window.partitionBy("document_id", "page")
+    # both ranks below are limits, so tasks leave out what can't matter before rows are shuffled
     read = F.row_number().over(document.orderBy("page", "chunk_index", "sub_chunk_index", "vector_chunk_id"))
-    rows = scored.withColumn("first", (read <= 2).cast("int"))
-    taken = F.sum("first").over(of_page)
-    place = F.row_number().over(of_page.orderBy(F.col("first"), F.desc("score"), "vector_chunk_id"))
-    read_order = F.row_number().over(document.orderBy("page", "chunk_index", "sub_chunk_index", "vector_chunk_id"))
-    tier = F.when(F.col("first") == 1, 0).when(F.col("place") <= 2 - F.col("taken"), 1).otherwise(2)
-    rows = rows.withColumn("taken", taken).withColumn("place", place).withColumn("tier", tier).withColumn("read", read_order)
-    order = Window.partitionBy("document_id").orderBy("tier", F.when(F.col("tier") == 0, F.col("read")), F.desc("score"), "vector_chunk_id")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
-    return ranked.select("document_id", "rank", "vector_chunk_id", "score")
+    first = scored.withColumn("read", read).where("read <= 2")
+    near = F.row_number().over(of_page.orderBy(F.desc("score"), "vector_chunk_id"))
+    best = scored.withColumn("near", near).where(F.col("near") <= count + 2).drop("near")
+    rest = best.join(first.select("document_id", "vector_chunk_id"), ["document_id", "vector_chunk_id"], "left_anti").select(scored.columns).withColumn("read", F.lit(None).cast("int"))
+    rows = first.select(*scored.columns, "read").unionByName(rest)
+    taken = F.count("read").over(of_page)
+    place = F.row_number().over(of_page.orderBy(F.col("read").isNotNull(), F.desc("score"), "vector_chunk_id"))
+    tier = F.when(F.col("read").isNotNull(), 0).when(F.col("place") <= 2 - F.col("taken"), 1).otherwise(2)
+    rows = rows.withColumn("taken", taken).withColumn("place", place).withColumn("tier", tier)
+    order = document.orderBy("tier", "read", F.desc("score"), "vector_chunk_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select("document_id", "rank", "vector_chunk_id", "score")
 
 
 def document_facts(chunks: DataFrame) -> DataFrame:

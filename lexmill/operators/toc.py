@@ -82,31 +82,48 @@ def toc_from_text(pages: DataFrame) -> DataFrame:
 def titled_lines(lines: DataFrame, titles: DataFrame, least: float = 0.92) -> DataFrame:
     """``lines`` (document_id, line and more) with path where the line is a title of its document.
 
-    Equal keys are joined; of the other short lines the most similar title of
-    about the same length counts, if it is similar enough. Titles have
-    document_id, title, path.
+    A line whose key is a title's has its path; of the other short lines the
+    most similar title of about the same length counts, if it is similar
+    enough. Titles have document_id, title, path. A document's titles (its table
+    of contents) go to each of its pages, so the lines are moved once, by page.
     """
-    keyed = lines.withColumn("__key", X.title_key(F.col("line"))).withColumn("__id", F.monotonically_increasing_id())
-    known = titles.select("document_id", X.title_key(F.col("title")).alias("__title"), "path").where("__title <> ''").dropDuplicates(["document_id", "__title"])
-    exact = keyed.join(known.withColumnRenamed("__title", "__key"), ["document_id", "__key"], "left")
-    rest = exact.where("path is null and __key <> '' and length(__key) <= 42").select("document_id", "__id", "__key")
-    gap = F.abs(F.char_length("__title") - F.char_length("__key")) <= F.greatest(F.lit(3), F.floor(F.char_length("__title") * 0.25))
+    place = ["document_id", "page"]
+    keyed = lines.withColumn("__key", X.title_key(F.col("line")))
+    known = titles.select("document_id", X.title_key(F.col("title")).alias("key"), "path").where("key <> ''").dropDuplicates(["document_id", "key"])
+    listed = known.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "path"))).alias("__titles"))
+    # distinct short lines that aren't titles themselves, held against the titles of their document
+    short = keyed.where("__key <> '' and length(__key) <= 42").select("document_id", F.col("__key").alias("line_key")).distinct()
+    rest = short.join(known.select("document_id", F.col("key").alias("line_key")), ["document_id", "line_key"], "left_anti")
+    gap = F.abs(F.char_length("key") - F.char_length("line_key")) <= F.greatest(F.lit(3), F.floor(F.char_length("key") * 0.25))
+
+    def similar(x: str, y: str) -> float:
+        shared = sum(c in y for c in x)  # no more than these can match
+        return SequenceMatcher(None, x, y).ratio() if 2 * shared >= least * (len(x) + len(y)) else 0.0
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+        return pd.Series([similar(x, y) for x, y in zip(a, b)])
 
-    near = rest.join(known, "document_id").where(gap).withColumn("__r", ratio("__key", "__title")).where(F.col("__r") >= least)
-    best = near.groupBy("__id").agg(F.max_by("path", F.struct("__r", "__title")).alias("__near"))
-    return exact.join(best, "__id", "left").withColumn("path", F.coalesce("path", "__near")).drop("__near", "__id", "__key")
+    near = rest.join(known, "document_id").where(gap).withColumn("r", ratio("line_key", "key")).where(F.col("r") >= least)
+    best = near.groupBy("document_id", "line_key").agg(F.max_by("path", F.struct("r", "key")).alias("path"))
+    alike = best.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("line_key", "path"))).alias("__alike"))
+    of_page = lines.select(*place).distinct().join(listed, "document_id", "left").join(alike, "document_id", "left")
+    found = keyed.join(of_page, place, "left").withColumn("path", F.coalesce(F.try_element_at("__titles", F.col("__key")), F.try_element_at("__alike", F.col("__key"))))
+    return found.select(*lines.columns, "path")
 
 
 def segments(lines: DataFrame) -> DataFrame:
     """document_id, segment, path, page_start, page_end, body of lines (document_id, page, line_no, line, path) cut at titles."""
-    read = Window.partitionBy("document_id").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("segment", F.sum(F.col("path").isNotNull().cast("int")).over(read)).withColumn("open", F.last("path", ignorenulls=True).over(read))
+    inside = Window.partitionBy("document_id", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("document_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    titles = F.col("path").isNotNull().cast("int")
+    # what pages hand on is counted page by page, so a document's lines needn't meet in one task
+    pages = lines.groupBy("document_id", "page").agg(F.sum(titles).alias("n"), F.max_by("path", F.when(F.col("path").isNotNull(), F.col("line_no"))).alias("last"))
+    carried = pages.select("document_id", "page", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("from"), F.last("last", ignorenulls=True).over(before).alias("open"))
+    rows = lines.withColumn("n", F.sum(titles).over(inside)).withColumn("own", F.last("path", ignorenulls=True).over(inside)).where("path is null").join(carried, ["document_id", "page"])
     body = F.array_join(F.array_sort(F.collect_list(F.struct("page", "line_no", "line")))["line"], "\n")
-    return rows.where("path is null").groupBy("document_id", "segment").agg(F.first("open").alias("path"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), body.alias("body"))
+    of = rows.withColumn("segment", F.col("from") + F.col("n")).withColumn("open", F.coalesce("own", "open")).groupBy("document_id", "segment")
+    return of.agg(F.first("open").alias("path"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), body.alias("body"))
 
 
 def sound_headings(found: DataFrame, pages: DataFrame) -> DataFrame:
