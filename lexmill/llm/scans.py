@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.forms import one_form
+from lexmill.llm.forms import _IGNORED, one_form
 
 # --- fixed values: glyphs that scans take for one another --------------------
 #: Latin letters and digits, as the strokes they are confused by.
@@ -66,6 +66,7 @@ _CODE = re.compile(r"[A-Z]{1,3}\d[A-Z\d]*")
 _PLAUSIBLE = re.compile(r"(?=(?:[^a-zà-ɏ]*[a-zà-ɏ]){3})[A-Za-zÀ-ɏ]?[a-zà-ɏ012589]+|[A-Za-zÀ-ɏ]+")
 _BROKEN = re.compile(rf"([A-Za-zÀ-ɏ0-9]+)[{BREAKS}][ \t]*$")
 _GOES_ON = re.compile(r"[ \t]*([a-zà-ɏ0-9]+)")
+_BROKEN_PAIR = re.compile(rf"[A-Za-zÀ-ɏ0-9]+[{BREAKS}][ \t]*\n[ \t]*[a-zà-ɏ0-9]+")
 _SENTENCE = re.compile(r"[。，；！？]|[^\W\d_]{4}[.?!;](?=\s)|[.?!,;]$|,")
 _DIGIT = r"[02-9i]"  # in skeletons
 _PAGE_LINE = re.compile(
@@ -143,7 +144,9 @@ def corpus_counts(df: DataFrame, key: str, source: str, page: str, text: str) ->
         masked = _Masked()
         for batch in batches:
             for origin, number, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words.update(zip((tokens := [masked[w] for w in _WORD.findall(content)]), tokens[1:]))
+                # the halves of broken words are no words
+                whole = _IGNORED.sub("", _BROKEN_PAIR.sub(" # ", content))
+                words.update(zip((tokens := [masked[w] for w in _WORD.findall(whole)]), tokens[1:]))
                 if tokens:
                     words["#", tokens[0]] += 1
                 if not content.isascii():
@@ -180,12 +183,13 @@ def corpus_counts(df: DataFrame, key: str, source: str, page: str, text: str) ->
     return partial.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def scanned_sources(counts: DataFrame, share: float = 0.05, least: int = 2) -> DataFrame:
-    """source: those whose page number lines and broken words are ``least`` or more and frequent."""
+def scanned_sources(counts: DataFrame, share: float = 0.05, least: int = 2, alone: float = 0.3) -> DataFrame:
+    """source: those whose page number lines and broken words are ``least`` or more and frequent, or fewer but on many rows."""
     of = counts.where("kind = 'evidence'").groupBy(F.col("a").alias("source")).agg(
         F.sum(F.when(F.col("b") != "chunk", F.col("n")).otherwise(0)).alias("signs"), F.sum(F.when(F.col("b") == "chunk", F.col("n")).otherwise(0)).alias("chunks")
     )
-    return of.where((F.col("signs") >= least) & (F.col("signs") >= share * F.col("chunks"))).select("source")
+    frequent = (F.col("signs") >= least) & (F.col("signs") >= share * F.col("chunks"))
+    return of.where(frequent | ((F.col("signs") >= 1) & (F.col("signs") >= alone * F.col("chunks")))).select("source")
 
 
 def furniture_keys(counts: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -207,6 +211,12 @@ def furniture_keys(counts: DataFrame, scanned: DataFrame) -> DataFrame:
     return per.where(running).where(F.length(F.regexp_replace("template", "[^\\p{L}]", "")) >= 3).select(F.concat(F.lit("\0"), "template").alias("key"))
 
 
+def with_furniture(scanned: DataFrame, counts: DataFrame, keys: DataFrame) -> DataFrame:
+    """source: ``scanned`` and the sources that have lines of a header's or footer's template."""
+    lines = counts.where("kind = 'line'").select(F.col("a").alias("source"), F.concat(F.lit("\0"), F.substring_index("b", "\0", 1)).alias("key"))
+    return scanned.unionByName(lines.join(keys, "key", "left_semi").select("source")).distinct()
+
+
 def word_forms(counts: DataFrame, ratio: int = 10, least: int = 5) -> DataFrame:
     """word, form: rare words and the frequent word they stand for, both seen beside the same word."""
     pairs = counts.where("kind = 'words'").select(F.col("a").alias("left"), F.col("b").alias("word"), "n").persist()
@@ -217,6 +227,10 @@ def word_forms(counts: DataFrame, ratio: int = 10, least: int = 5) -> DataFrame:
     forms = grouped.where(f"length(word) >= {least} and word rlike '^\\\\p{{L}}+$'")
     best = forms.groupBy("strokes").agg(F.max(F.struct("n", "word")).alias("best"))
     rare = grouped.join(best, "strokes").where(f"word <> best.word and best.n >= {ratio} * n").select("word", F.col("best.word").alias("form"))
+    letters = lambda w: F.array_sort(F.split(w, ""))
+    rare = rare.where(letters(F.col("word")) != letters(F.col("form")))  # letters in another order are a typing error
+    halves = pairs.where("left <> '#'").select("word", F.concat("left", "word").alias("both")).join(words.where("n >= 3").select(F.col("word").alias("both")), "both", "left_semi")
+    rare = rare.join(halves.select("word").distinct(), "word", "left_anti")  # the rest of a word that was cut
     before = pairs.where("left <> '#'").select("left", "word")
     beside = before.select(F.col("word").alias("w"), F.concat(F.lit("<"), "left").alias("context"))
     after = pairs.where("word <> '#' and left <> '#'").select(F.col("left").alias("w"), F.concat(F.lit(">"), "word").alias("context"))
@@ -262,6 +276,7 @@ def candidates(df: DataFrame, key: str, source: str, title: str, page: str, text
                 named = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, models))})(?!\w)").search if models else None
                 lines = content.split("\n")
                 starts = [_GOES_ON.match(line) for line in lines]
+                carried: set[int] = set()  # lines that may begin with the rest of a word
                 for i, line in enumerate(lines):
                     if len(line) <= 100:
                         if is_page_line(line, number):
@@ -271,13 +286,18 @@ def candidates(df: DataFrame, key: str, source: str, title: str, page: str, text
                                 found.add((i, "page_furniture", None))
                             found.add((i, "page_furniture", f"\0{shape[1]}"))
                     if m := _BROKEN.search(line):
-                        following = (j for j in range(i + 1, min(i + 6, len(lines))) if starts[j])
-                        for j in following:
+                        for j in range(i + 1, min(i + 6, len(lines))):
+                            if not starts[j]:
+                                continue
+                            if all(k not in carried or is_page_line(lines[k], number) or line_shape(lines[k]) for k in range(i + 1, j)):
+                                carried.add(j)
                             whole = (m[1] + starts[j][1]).lower()
                             found.add((i, "broken_word", whole))
                             found.add((i, "misread", whole))
                             found.add((i, "broken_word", skeleton(whole)))
-                    for w in _WORD.findall(line):
+                    rest = line[: m.start()] if m else line
+                    rest = rest[starts[i].end() :] if i in carried else rest
+                    for w in _WORD.findall(_IGNORED.sub("", rest)):
                         if len(w) >= 3 and (shown := masked[w]) != "#":
                             found.add((i, "misread", shown))
                 if not content.isascii():
@@ -312,12 +332,14 @@ class ScanNoise:
     def __init__(self, df: DataFrame, key: str, source: str, title: str, page: str, text: str) -> None:
         self.df, self.columns = df, (key, source, title, page, text)
         counts = corpus_counts(df, key, source, page, text).persist()
-        self.scanned = sized(scanned_sources(counts))
+        surely = sized(scanned_sources(counts))
+        furniture = sized(furniture_keys(counts, surely))
+        self.scanned = sized(with_furniture(surely, counts, furniture))
         self.words, self.han = word_forms(counts), han_forms(counts)
         known = known_words(counts)
         strokes = F.pandas_udf(lambda s: s.map(skeleton), "string")
         accepted = [
-            furniture_keys(counts, self.scanned).select(F.lit("page_furniture").alias("noise"), "key", F.lit(None).cast("string").alias("form")),
+            furniture.select(F.lit("page_furniture").alias("noise"), "key", F.lit(None).cast("string").alias("form")),
             self.words.select(F.lit("misread").alias("noise"), F.col("word").alias("key"), "form"),
             self.han.select(F.lit("misread").alias("noise"), F.col("trigram").alias("key"), "form"),
             known.select(F.lit("broken_word").alias("noise"), F.col("word").alias("key"), F.col("word").alias("form")),
