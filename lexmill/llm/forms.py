@@ -68,6 +68,15 @@ _AMBIGUOUS_TOKEN = re.compile(f"(?<![^\\W\\d_])[{''.join(_READINGS)}]+(?![^\\W\\
 _NOT_ALNUM = re.compile(r"[\W_]+")
 
 
+def without_ignorable(text: str) -> str:
+    return _IGNORED.sub("", text)
+
+
+def has_foreign_letters(text: str) -> bool:
+    """Whether a letter of another script with Latin look-alikes is in the text."""
+    return _FOREIGN.search(text) is not None
+
+
 def script_of(letter: str) -> int:
     """0 Latin, 1 Cyrillic, 2 Greek, -1 anything else."""
     o = ord(letter)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.forms import _IGNORED, one_form
+from lexmill.llm.forms import LATIN_OF, has_foreign_letters, one_form, without_ignorable
 
 # --- fixed values: glyphs that scans take for one another --------------------
 #: Latin letters and digits, as the strokes they are confused by.
@@ -94,6 +94,17 @@ def line_shape(line: str) -> tuple[str, str] | None:
     return skeleton(form.replace(" ", "")), template
 
 
+_LATIN = str.maketrans(LATIN_OF)
+
+
+def _spelled(text: str) -> str:
+    """The text without invisible characters, look-alike letters as Latin ones."""
+    if text.isascii():
+        return text
+    text = without_ignorable(text)
+    return text.translate(_LATIN) if has_foreign_letters(text) else text
+
+
 def is_page_line(line: str, page: int | None) -> bool:
     """Whether a line is nothing but a page number."""
     if len(line) > 40 or not any(c.isalnum() for c in line):
@@ -145,7 +156,7 @@ def corpus_counts(df: DataFrame, key: str, source: str, page: str, text: str) ->
         for batch in batches:
             for origin, number, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 # the halves of broken words are no words
-                whole = _IGNORED.sub("", _BROKEN_PAIR.sub(" # ", content))
+                whole = _spelled(_BROKEN_PAIR.sub(" # ", content))
                 words.update(zip((tokens := [masked[w] for w in _WORD.findall(whole)]), tokens[1:]))
                 if tokens:
                     words["#", tokens[0]] += 1
@@ -297,7 +308,7 @@ def candidates(df: DataFrame, key: str, source: str, title: str, page: str, text
                             found.add((i, "broken_word", skeleton(whole)))
                     rest = line[: m.start()] if m else line
                     rest = rest[starts[i].end() :] if i in carried else rest
-                    for w in _WORD.findall(_IGNORED.sub("", rest)):
+                    for w in _WORD.findall(_spelled(rest)):
                         if len(w) >= 3 and (shown := masked[w]) != "#":
                             found.add((i, "misread", shown))
                 if not content.isascii():
