@@ -146,4 +146,22 @@ QUERIES = {
     "p9_found": p9_found,
 }
 
-SQL: dict[str, str] = {}
+def _cuts_sql(name: str, key: str, text: str, table_name: str, limit: int) -> str:
+    """Longest stretch between natural boundaries of each item beyond the limit (a mark stands behind each boundary)."""
+    marked = f"regexp_replace(regexp_replace({text}, '(\\r\\n|[\\n\\r\\x0B\\x0C\\x{{85}}\\x{{2028}}\\x{{2029}}。！？；!?;])', '\\1' || chr(1), 'g'), '\\.([\\s\\p{{Z}}\\x0B\\x1C-\\x1F\\x{{85}}])', '.' || chr(1) || '\\1', 'g')"
+    return f"""SELECT '{name}' AS item_table, {key} AS item_id, CASE WHEN list_max(list_transform(string_split({marked}, chr(1)), lambda x: length(x))) > {limit} THEN 'forced' ELSE 'natural' END AS cut
+FROM (SELECT DISTINCT {key}, {text} FROM {table_name}) WHERE length({text}) > {limit}"""
+
+
+#: The same in SQL for those that SQL can say; compatibility normalisation, tokenizers, fits and searches it can't.
+SQL: dict[str, str] = {
+    "p2_found": _cuts_sql("chunk_metadata", "vector_chunk_id", "content", "chunk_metadata", CHUNK_PIECE[0])
+    + " UNION ALL "
+    + _cuts_sql("procedure_block", "block_id", "body", "(SELECT block_id, concat_ws(chr(10), nullif(heading, ''), nullif(text, '')) AS body FROM procedure_block)", BLOCK_PIECE[0]),
+    "p5_found": """WITH latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC) AS n FROM (SELECT DISTINCT * FROM embedding_cache)) WHERE n = 1),
+usable AS (SELECT cache_key, model_fingerprint, list_transform(vector::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(vector::DOUBLE[], lambda y: y * y)))) AS u FROM latest WHERE vector IS NOT NULL AND len(vector) = dimension
+  AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+near AS (SELECT a.cache_key AS k, b.cache_key AS o FROM usable a JOIN usable b ON a.model_fingerprint = b.model_fingerprint AND a.cache_key <> b.cache_key
+  QUALIFY row_number() OVER (PARTITION BY a.cache_key ORDER BY round(list_dot_product(a.u, b.u), 6) DESC, b.cache_key) <= 5)
+SELECT DISTINCT least(k, o) AS key_a, greatest(k, o) AS key_b FROM near""",
+}
