@@ -71,3 +71,47 @@ def room_for_answer(context: int, prompt_tokens: int, wanted: int, reserve: int
     if room < least:
         raise ValueError("the prompt leaves too little room for an answer")
     return min(room, wanted)
+
+
+class AnswerStream:
+    """Splits a model's stream of text into reasoning and answer as it comes.
+
+    The first ``probe`` characters are held back until it is clear whether the
+    stream begins with reasoning; an end mark that comes in pieces is recognised.
+    """
+
+    OPEN, CLOSE = "<think>", "</think>"
+
+    def __init__(self, thinking: bool = False, probe: int = 32) -> None:
+        self.state = "reasoning" if thinking else "probe"
+        self.probe, self.held, self.begun = probe, "", False
+
+    def feed(self, piece: str) -> list[tuple[str, str]]:
+        """What may be shown now, as (``reasoning`` or ``answer``, text)."""
+        self.held += piece
+        out: list[tuple[str, str]] = []
+        if self.state == "probe":
+            start = self.held.lstrip()
+            if start.startswith(self.OPEN):
+                self.state, self.held = "reasoning", start[len(self.OPEN) :]
+            elif len(self.held) >= self.probe or not self.OPEN.startswith(start[: len(self.OPEN)]):
+                self.state = "answer"
+        if self.state == "reasoning":
+            before, mark, after = self.held.partition(self.CLOSE)
+            if mark:
+                self.state, self.held = "answer", after
+            else:
+                part = next((n for n in range(len(self.CLOSE) - 1, 0, -1) if before.endswith(self.CLOSE[:n])), 0)
+                before, self.held = before[: len(before) - part], before[len(before) - part :]
+            out += [("reasoning", before)] * bool(before)
+        if self.state == "answer":
+            shown = self.held if self.begun else self.held.lstrip()
+            self.held, self.begun = "", self.begun or bool(shown)
+            out += [("answer", shown)] * bool(shown)
+        return out
+
+    def close(self) -> list[tuple[str, str]]:
+        """What was still held back."""
+        kind = "reasoning" if self.state == "reasoning" else "answer"
+        out, self.held = [(kind, self.held)] * bool(self.held), ""
+        return out

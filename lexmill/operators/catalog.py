@@ -72,3 +72,18 @@ def resolve(documents: DataFrame, requests: DataFrame) -> DataFrame:
     out = requests.join(fits, "request_id", "left")
     outcome = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("found")
     return out.select("request_id", F.when(F.col("n") == 1, F.col("document_id")).alias("document_id"), outcome.alias("outcome"))
+
+
+def finished_pages(status: DataFrame, results: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pages whose latest state is done and of which both files are there (document_id, ocr_config_hash, page)."""
+    keys = ["document_id", "ocr_config_hash", "page"]
+    done = current_pages(status).where("status = 'done'").select(*keys)
+    return done.join(results.select(*keys), keys, "left_semi").join(texts.select(*keys), keys, "left_semi")
+
+
+def kept_jobs(jobs: DataFrame, most: int = 10) -> DataFrame:
+    """The newest ``most`` jobs (job_id, status, started_at), and whether a job is the newest that still runs."""
+    newest = jobs.orderBy(F.desc("started_at"), F.desc("job_id")).limit(most)
+    running = ~F.col("status").isin("completed", "failed")
+    latest = F.max(F.when(running, F.struct("started_at", "job_id"))).over(Window.partitionBy())  # ``most`` rows
+    return newest.withColumn("active", F.coalesce(running & (F.struct("started_at", "job_id") == latest), F.lit(False)))

@@ -7,7 +7,9 @@ are taken up without state in the stream.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import fcntl
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,17 @@ def watch(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[D
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{interval_s} seconds")).start()
 
 
+@contextmanager
+def single_writer(path: str) -> Iterator[None]:
+    """Holds a lock file on the driver; an error if another process holds it."""
+    with open(path, "w") as f:
+        try:
+            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except OSError as e:
+            raise RuntimeError(f"another writer holds {path}") from e
+        yield
+
+
 def merged_states(states: DataFrame, events: DataFrame) -> DataFrame:
     """Page states after new events: the latest by its own time, attempts added up.
 

@@ -274,3 +274,45 @@ def test_conversations(spark):
     good = '{"decision": "stop", "severity": "high", "confidence": 0.9, "reason": "r", "sop_reference": "SOP-2", "actions": []}'
     assert engine.decide("leak", lambda m: f"so: {good}", "SOP")["decision"] == "stop"
     assert engine.decide("leak", lambda m: "none", "SOP") is None
+
+
+def test_summaries(spark):
+    middle = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "document_id string, embedding array<double>")
+    summary = spark.createDataFrame([("a", [0.0, 1.0])], "document_id string, embedding array<double>")
+    got = {r["document_id"]: r for r in index.with_summaries(middle, summary, 0.65).collect()}
+    n = math.hypot(0.35, 0.65)
+    assert [round(x, 9) for x in got["a"]["embedding"]] == [round(0.35 / n, 9), round(0.65 / n, 9)] and got["a"]["vector_source"] == "summary_and_chunk_centroid"
+    assert got["b"]["embedding"] == [0.0, 1.0] and got["b"]["vector_source"] == "chunk_centroid"
+
+
+def test_finished_pages_and_jobs(spark):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2025, 1, 1, 0, m)
+    states = spark.createDataFrame([("d", "c", p, s, 1, None, at(m)) for p, s, m in ((1, "done", 1), (2, "done", 1), (2, "error", 2), (3, "done", 1))], schemas.PAGE_STATUS)
+    have = spark.createDataFrame([("d", "c", 1), ("d", "c", 2)], "document_id string, ocr_config_hash string, page int")
+    assert [r["page"] for r in catalog.finished_pages(states, have, have).collect()] == [1]
+    jobs = spark.createDataFrame([(f"j{i:02}", "completed" if i % 5 else "ocr", at(i)) for i in range(14)], "job_id string, status string, started_at timestamp")
+    kept = catalog.kept_jobs(jobs).collect()
+    assert len(kept) == 10 and [r["job_id"] for r in kept if r["active"]] == ["j10"]
+
+
+def test_answer_stream():
+    def shown(pieces, thinking=False):
+        stream = models.AnswerStream(thinking)
+        out = [x for p in pieces for x in stream.feed(p)] + stream.close()
+        return tuple("".join(t for k, t in out if k == kind) for kind in ("reasoning", "answer"))
+
+    assert shown(list("<think>why</think>\nso")) == ("why", "so")
+    assert shown(["plain ", "answer"]) == ("", "plain answer")
+    assert shown(["think", "ing </th", "ink>done"], True) == ("thinking ", "done")
+    assert shown(["<"]) == ("", "<")
+
+
+def test_single_writer(tmp_path):
+    with W.single_writer(str(tmp_path / "lock")):
+        with pytest.raises(RuntimeError):
+            with W.single_writer(str(tmp_path / "lock")):
+                pass
+    with W.single_writer(str(tmp_path / "lock")):
+        pass
