@@ -29,6 +29,7 @@ result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.forms import LATIN_OF, one_form
+
 BUCKETS = 1 << 18
 _BINS = 400
 _HISTOGRAM = 10  # the first negative bucket numbers are sums of anchored documents, then come histograms
@@ -55,11 +58,20 @@ def _kinds() -> np.ndarray:
     return _KIND
 
 
+_ODD = re.compile("[Ａ-Ｚａ-ｚ" + "".join(LATIN_OF) + r"\xad\u200b-\u200f\u2060\ufeff\ufb00-\ufb06]")
+
+
+def _read_alike(text: str) -> str:
+    """The text with words stored in other characters brought to one form, line by line."""
+    return "\n".join(map(one_form, text.splitlines())) if not text.isascii() and _ODD.search(text) else text
+
+
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all words, the sentence of each, and the text of each sentence.
 
     Sentences with fewer than four words are left out.
     """
+    texts = [_read_alike(t) for t in texts]
     codes = np.frombuffer("\n".join([*texts, ""]).lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.fromiter((len(t.lower()) + 1 for t in texts), dtype=np.int64, count=len(texts))
     kind = _kinds()[np.minimum(codes, 0x10FFFF)]
