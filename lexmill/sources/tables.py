@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,25 +38,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir``: one Parquet file or a folder of them."""
     ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Only where a session names none (tests, notebooks) is one made below /tmp.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = f"file:///tmp/lexmill-{os.getpid()}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there and
-    the loss of an executor costs nothing that was computed before."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
