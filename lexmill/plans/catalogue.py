@@ -106,17 +106,20 @@ def _title_key_sql(x: str) -> str:
     return f"regexp_replace(translate(regexp_replace({bare}, '[ 　]', '', 'g'), '（）：＂“”', '():\"\"\"'), '[.…·．。]+$', '')"
 
 
-def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
-    """chunk_metadata, exact repeats once."""
-    return table(spark, d, "chunk_metadata").distinct()
+def chunk_rows(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """vector_chunk_id and the named columns of chunk_metadata, exact repeats once.
 
+    Only these columns are read and shuffled; repeats are equal in all columns.
+    """
+    return table(spark, d, "chunk_metadata").select("vector_chunk_id", *columns).distinct()
 
-def embedded(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with the usable vector of their text under the model with most entries."""
+
+def embedded(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Chunks (and the named columns) with the usable vector of their text under the model with most entries."""
     stored = table(spark, d, "embedding_cache")
     model = stored.groupBy("model_fingerprint").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model_fingerprint").limit(1).select("model_fingerprint")
     own = cache.usable(stored.join(F.broadcast(model), "model_fingerprint", "left_semi")).select(F.col("text_sha256").alias("embedding_text_sha256"), V.unit_or_null(F.col("vector")).alias("embedding"))
-    return chunk_rows(spark, d).join(own, "embedding_text_sha256")
+    return chunk_rows(spark, d, "embedding_text_sha256", *columns).join(own, "embedding_text_sha256")
 
 
 def first_vector(rows: DataFrame) -> DataFrame:
@@ -126,7 +129,7 @@ def first_vector(rows: DataFrame) -> DataFrame:
 
 def page_rows(spark: SparkSession, d: str) -> DataFrame:
     """document_id, page, text: a page's chunks in order."""
-    rows = chunk_rows(spark, d).where("content is not null and page is not null")
+    rows = chunk_rows(spark, d, "document_id", "page", "page_chunk_index", "sub_chunk_index", "content").where("content is not null and page is not null")
     of = rows.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(F.struct("page_chunk_index", "sub_chunk_index", "vector_chunk_id", "content"))).alias("x"))
     return of.select("document_id", "page", F.array_join("x.content", "\n").alias("text"))
 
@@ -140,19 +143,19 @@ def questions(spark: SparkSession) -> DataFrame:
 
 @query(f"WITH {EMBEDDED}, {DENSE} SELECT dense_rank::INTEGER AS dense_rank, vector_chunk_id, document_id, page, dense_score FROM near WHERE dense_rank <= {S.top_k}")
 def detail_dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = embedded(spark, d)
+    rows = embedded(spark, d, "document_id", "page", "content_sha256")
     near = search.dense(rows, first_vector(rows), S.dense_candidates)
     return near.where(F.col("dense_rank") <= S.top_k).select("dense_rank", "vector_chunk_id", "document_id", "page", "dense_score")
 
 
 @query(f"WITH {EMBEDDED}, {CENTROID} SELECT document_id, generate_subscripts(embedding, 1)::INTEGER - 1 AS pos, round(unnest(embedding), 6) AS value FROM centroid")
 def document_centroids(spark: SparkSession, d: str) -> DataFrame:
-    return index.centroids(embedded(spark, d)).select("document_id", F.posexplode("embedding").alias("pos", "x")).select("document_id", "pos", F.round("x", 6).alias("value"))
+    return index.centroids(embedded(spark, d, "document_id", "content")).select("document_id", F.posexplode("embedding").alias("pos", "x")).select("document_id", "pos", F.round("x", 6).alias("value"))
 
 
 @query(f"WITH {EMBEDDED}, {CENTROID}, {REPRESENTATIVE} SELECT document_id, rank::INTEGER AS rank, vector_chunk_id, score FROM rep")
 def representative_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = embedded(spark, d)
+    rows = embedded(spark, d, "document_id", "page", "chunk_index", "sub_chunk_index", "content")
     return index.representatives(rows, index.centroids(rows), S.representative_count)
 
 
@@ -161,7 +164,7 @@ _BY_QUERY = """docs AS (SELECT document_id, round(list_dot_product(embedding, qu
 
 @query(f"WITH {EMBEDDED}, {CENTROID}, {_BY_QUERY.format(S.document_top_k)} SELECT row_number() OVER (ORDER BY score DESC, document_id)::INTEGER AS rank, document_id, score FROM docs")
 def search_documents(spark: SparkSession, d: str) -> DataFrame:
-    rows = embedded(spark, d)
+    rows = embedded(spark, d, "document_id", "content")
     return search.documents_by_query(index.centroids(rows), first_vector(rows), S.document_top_k, S.document_min_score).select("rank", "document_id", "score")
 
 
@@ -170,7 +173,7 @@ def search_documents(spark: SparkSession, d: str) -> DataFrame:
 SELECT o.document_id, o.score AS document_score, p.rank::INTEGER AS rank, p.vector_chunk_id, e.page, e.content FROM docs o JOIN rep p USING (document_id) JOIN emb e USING (vector_chunk_id)"""
 )
 def overview_context(spark: SparkSession, d: str) -> DataFrame:
-    rows = embedded(spark, d)
+    rows = embedded(spark, d, "document_id", "page", "chunk_index", "sub_chunk_index", "content")
     middle = index.centroids(rows)
     near = search.documents_by_query(middle, first_vector(rows), S.document_top_k, S.document_min_score).select("document_id", F.col("score").alias("document_score"))
     shown = index.representatives(rows.join(F.broadcast(near), "document_id", "left_semi"), middle, S.representative_count)
@@ -183,19 +186,19 @@ def overview_context(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN max(score) OVER () >= {DISCOVERY_MIN} THEN 'ok' ELSE 'insufficient_context' END AS status FROM docs"""
 )
 def document_discovery(spark: SparkSession, d: str) -> DataFrame:
-    rows = embedded(spark, d)
+    rows = embedded(spark, d, "document_id", "content")
     return search.documents_by_query(index.centroids(rows), first_vector(rows), 8, DISCOVERY_MIN).select("document_id", "score", "status")
 
 
 @query(f"WITH {CHUNK}, {QUESTIONS_SQL}, {WORDS} SELECT question_id, vector_chunk_id, lexical_score, lexical_rank::INTEGER AS lexical_rank FROM held")
 def lexical_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    return search.lexical(chunk_rows(spark, d), questions(spark), S.dense_candidates).select("question_id", "vector_chunk_id", "lexical_score", "lexical_rank")
+    return search.lexical(chunk_rows(spark, d, "content"), questions(spark), S.dense_candidates).select("question_id", "vector_chunk_id", "lexical_score", "lexical_rank")
 
 
 def _merged(spark: SparkSession, d: str) -> DataFrame:
-    rows = embedded(spark, d)
+    rows = embedded(spark, d, "content_sha256")
     near = search.dense(rows, first_vector(rows), S.dense_candidates)
-    return search.merged(near, search.lexical(chunk_rows(spark, d), questions(spark).where("question_id = 0"), S.dense_candidates))
+    return search.merged(near, search.lexical(chunk_rows(spark, d, "content"), questions(spark).where("question_id = 0"), S.dense_candidates))
 
 
 @query(f"WITH {EMBEDDED}, {DENSE}, {QUESTIONS_SQL}, {WORDS}, {MERGED} SELECT vector_chunk_id, dense_rank::INTEGER AS dense_rank, dense_score, lexical_score::DOUBLE AS lexical_score, position::INTEGER AS position FROM merged")
@@ -204,7 +207,7 @@ def hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    own = chunk_rows(spark, d).select("vector_chunk_id", "parent_chunk_id", "source_file", "page", "content")
+    own = chunk_rows(spark, d, "parent_chunk_id", "source_file", "page", "content")
     return search.reranked(search.overlap_scores(_merged(spark, d).join(own, "vector_chunk_id"), F.lit(QUESTION)), S.top_k)
 
 
@@ -233,7 +236,7 @@ SELECT document_id, place::INTEGER AS place, length(kept)::INTEGER AS characters
 )
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
     """The budget of characters spent on each document's representative chunks, best first."""
-    rows = embedded(spark, d)
+    rows = embedded(spark, d, "document_id", "page", "chunk_index", "sub_chunk_index", "content")
     best = index.representatives(rows, index.centroids(rows), S.representative_count)
     items = best.join(rows.select("vector_chunk_id", "content"), "vector_chunk_id")
     listed = items.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("place"), "content"))).alias("items"))
@@ -278,7 +281,7 @@ rec AS (SELECT *, i * {WINDOW - WINDOW_OVERLAP} AS a, least(i * {WINDOW - WINDOW
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    rows = chunk_rows(spark, d).select(F.col("vector_chunk_id").alias("chunk_id"), "document_id", "source_file", "title", "page", "page_start", "chunk_index", "content")
+    rows = chunk_rows(spark, d, "document_id", "source_file", "title", "page", "page_start", "chunk_index", "content").select(F.col("vector_chunk_id").alias("chunk_id"), "document_id", "source_file", "title", "page", "page_start", "chunk_index", "content")
     return index.index_records(rows, WINDOW, WINDOW_OVERLAP)
 
 
@@ -304,7 +307,7 @@ def index_records(spark: SparkSession, d: str) -> DataFrame:
 (SELECT count(*) FROM rec) AS indexed_chunks, (SELECT count(DISTINCT chunk_id) FROM rec WHERE cnt > 1) AS split_chunks"""
 )
 def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
-    return index.ingest_counts(chunk_rows(spark, d), _records(spark, d))
+    return index.ingest_counts(chunk_rows(spark, d, "content"), _records(spark, d))
 
 
 _FP = "(SELECT model_fingerprint FROM embedding_cache GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
@@ -312,10 +315,10 @@ _PLAN = f"""{CHUNK}, {USABLE}, fp AS {_FP}, plan AS (SELECT c.vector_chunk_id, s
 planned AS (SELECT p.*, u.cache_key IS NOT NULL AS cached FROM plan p LEFT JOIN usable u USING (cache_key))"""
 
 
-def _planned(spark: SparkSession, d: str) -> DataFrame:
+def _planned(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     stored = table(spark, d, "embedding_cache")
     top = stored.groupBy("model_fingerprint").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model_fingerprint").first()
-    return cache.plan(chunk_rows(spark, d), stored, top["model_fingerprint"] if top else "")
+    return cache.plan(chunk_rows(spark, d, "embedding_text_sha256", *columns), stored, top["model_fingerprint"] if top else "")
 
 
 @query(f"WITH {_PLAN} SELECT vector_chunk_id, cache_key, cached FROM planned")
@@ -344,7 +347,7 @@ def vector_lengths(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def incremental_embedding(spark: SparkSession, d: str) -> DataFrame:
     """Vectors for all chunks by a stand-in embedder; texts whose vector is stored aren't encoded."""
-    planned = _planned(spark, d).withColumn("passage", X.passage_text(F.col("source_file"), F.col("title"), F.col("page"), F.col("content")))
+    planned = _planned(spark, d, "source_file", "title", "page", "content").withColumn("passage", X.passage_text(F.col("source_file"), F.col("title"), F.col("page"), F.col("content")))
     made = cache.embed_missing(planned, "passage", models.HashEmbedder(64), "stand-in")
     return made.select("cache_key", "text_sha256", "dimension", F.round(V.norm(F.col("vector")), 4).alias("length"))
 
@@ -354,7 +357,7 @@ def incremental_embedding(spark: SparkSession, d: str) -> DataFrame:
 sum(length(content))::BIGINT AS characters FROM chunk GROUP BY 1"""
 )
 def document_metadata(spark: SparkSession, d: str) -> DataFrame:
-    facts = index.document_facts(chunk_rows(spark, d))
+    facts = index.document_facts(chunk_rows(spark, d, "document_id", "source_file", "title", "page", "content"))
     return facts.select("document_id", "source_file", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "page_count", "chunk_count", "characters")
 
 
@@ -363,12 +366,12 @@ def document_metadata(spark: SparkSession, d: str) -> DataFrame:
 max(page) AS last_page, count(*) FILTER (sub_chunk_count > 1) AS sub_chunks, sha256('any') AS model_sha256 FROM chunk"""
 )
 def index_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return index.manifest(chunk_rows(spark, d), "any")
+    return index.manifest(chunk_rows(spark, d, "document_id", "content_sha256", "token_count", "page", "sub_chunk_count"), "any")
 
 
 @query(f"WITH {CHUNK} SELECT vector_chunk_id, (row_number() OVER (ORDER BY document_id NULLS FIRST, page NULLS FIRST, chunk_index NULLS FIRST, sub_chunk_index NULLS FIRST, vector_chunk_id) - 1)::INTEGER AS faiss_id FROM chunk")
 def index_order(spark: SparkSession, d: str) -> DataFrame:
-    return index.numbered(chunk_rows(spark, d).drop("faiss_id")).select("vector_chunk_id", "faiss_id")
+    return index.numbered(chunk_rows(spark, d, "document_id", "page", "chunk_index", "sub_chunk_index")).select("vector_chunk_id", "faiss_id")
 
 
 @query(
@@ -376,7 +379,7 @@ def index_order(spark: SparkSession, d: str) -> DataFrame:
 )
 def chunk_lengths(spark: SparkSession, d: str) -> DataFrame:
     n = F.char_length("content")
-    return chunk_rows(spark, d).groupBy("source_file").agg(F.min(n).alias("least"), F.round(F.avg(n), 4).alias("mean"), F.max(n).alias("most"))
+    return chunk_rows(spark, d, "source_file", "content").groupBy("source_file").agg(F.min(n).alias("least"), F.round(F.avg(n), 4).alias("mean"), F.max(n).alias("most"))
 
 
 # --- catalog ------------------------------------------------------------------------
@@ -391,7 +394,7 @@ def catalog_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CHUNK}, {_COMPLETE} SELECT document_id, count(*) AS chunks FROM chunk WHERE document_id IN (SELECT document_id FROM complete) GROUP BY 1")
 def global_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.rollup(table(spark, d, "doc_catalog"), chunk_rows(spark, d)).groupBy("document_id").agg(F.count("*").alias("chunks"))
+    return catalog.rollup(table(spark, d, "doc_catalog"), chunk_rows(spark, d, "document_id")).groupBy("document_id").agg(F.count("*").alias("chunks"))
 
 
 _STATE = "state AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, ocr_config_hash, page ORDER BY updated_at DESC NULLS LAST, status DESC NULLS LAST) n FROM page_status) WHERE n = 1)"
@@ -490,7 +493,7 @@ def _clean_sql(x: str) -> str:
 
 @query(f"WITH {CHUNK} SELECT vector_chunk_id, {_clean_sql('content')} AS markdown FROM chunk WHERE content IS NOT NULL")
 def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return chunk_rows(spark, d).where("content is not null").select("vector_chunk_id", X.clean_markdown(F.col("content")).alias("markdown"))
+    return chunk_rows(spark, d, "content").where("content is not null").select("vector_chunk_id", X.clean_markdown(F.col("content")).alias("markdown"))
 
 
 @query(
@@ -498,12 +501,12 @@ def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
 WHERE content IS NOT NULL"""
 )
 def rag_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return chunk_rows(spark, d).where("content is not null").select("vector_chunk_id", X.rag_markdown(F.col("content")).alias("markdown"))
+    return chunk_rows(spark, d, "content").where("content is not null").select("vector_chunk_id", X.rag_markdown(F.col("content")).alias("markdown"))
 
 
 @query()
 def plain_text(spark: SparkSession, d: str) -> DataFrame:
-    return chunk_rows(spark, d).where("content is not null").select("vector_chunk_id", X.plain_text(F.col("content")).alias("plain"))
+    return chunk_rows(spark, d, "content").where("content is not null").select("vector_chunk_id", X.plain_text(F.col("content")).alias("plain"))
 
 
 @query(f"SELECT heading_id, {_title_key_sql('heading')} AS key FROM heading_ref")
@@ -567,7 +570,7 @@ def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
 def _markdown(spark: SparkSession, d: str) -> DataFrame:
     head = F.coalesce(F.nullif(F.trim(F.replace("heading", F.lit("\n"), F.lit(" "))), F.lit("")), F.lit("-"))
     body = F.concat(F.lit("# "), F.coalesce("title", F.lit("-")), F.lit("\n\n## "), head, F.lit("\n\n"), F.coalesce("content", F.lit("")))
-    return chunk_rows(spark, d).select("vector_chunk_id", body.alias("text"))
+    return chunk_rows(spark, d, "title", "heading", "content").select("vector_chunk_id", body.alias("text"))
 
 
 @query()
@@ -647,12 +650,12 @@ def toc_levels(spark: SparkSession, d: str) -> DataFrame:
 
 def _line_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = page_rows(spark, d).select("document_id", "page", F.posexplode(X.lines(F.col("text"))).alias("line_no", "line"))
-    heads = chunk_rows(spark, d).where("page is not null").groupBy("document_id", "page").agg(F.min("heading").alias("line")).where("line is not null").select("document_id", "page", F.lit(-1).alias("line_no"), "line")
+    heads = chunk_rows(spark, d, "document_id", "page", "heading").where("page is not null").groupBy("document_id", "page").agg(F.min("heading").alias("line")).where("line is not null").select("document_id", "page", F.lit(-1).alias("line_no"), "line")
     return rows.withColumn("line", X.strip(F.col("line"))).where("line <> ''").unionByName(heads)
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
-    known = chunk_rows(spark, d).where("heading is not null").select("document_id", F.col("heading").alias("title")).distinct()
+    known = chunk_rows(spark, d, "document_id", "heading").where("heading is not null").select("document_id", F.col("heading").alias("title")).distinct()
     return known.select("document_id", "title", F.array("title").alias("path"))
 
 
@@ -662,7 +665,7 @@ SELECT h.document_id, h.page, h.key FROM h JOIN t USING (document_id, key) WHERE
 )
 def title_match_exact(spark: SparkSession, d: str) -> DataFrame:
     """Pages whose smallest heading is a title of their document."""
-    heads = chunk_rows(spark, d).where("page is not null").groupBy("document_id", "page").agg(F.min("heading").alias("line")).where("line is not null")
+    heads = chunk_rows(spark, d, "document_id", "page", "heading").where("page is not null").groupBy("document_id", "page").agg(F.min("heading").alias("line")).where("line is not null")
     known = _titles(spark, d).select("document_id", X.title_key(F.col("title")).alias("key")).distinct()
     return heads.select("document_id", "page", X.title_key(F.col("line")).alias("key")).where("key <> ''").join(known, ["document_id", "key"]).select("document_id", "page", "key")
 
@@ -678,7 +681,7 @@ def title_segments(spark: SparkSession, d: str) -> DataFrame:
 def _results(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk as a ranked result of its document."""
     place = F.row_number().over(Window.partitionBy("document_id").orderBy("vector_chunk_id"))
-    return chunk_rows(spark, d).select("document_id", place.alias("rank"), "source_file", "page", "content")
+    return chunk_rows(spark, d, "document_id", "source_file", "page", "content").select("document_id", place.alias("rank"), "source_file", "page", "content")
 
 
 @query(
@@ -724,7 +727,7 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as the messages of a conversation per document."""
     role = F.when(F.col("chunk_index") % 5 == 0, "assistant").when(F.col("chunk_index") % 5 == 1, "tool").when(F.col("chunk_index") % 5 == 2, "system").otherwise("user")
     place = F.row_number().over(Window.partitionBy("document_id").orderBy("vector_chunk_id"))
-    return chunk_rows(spark, d).select(F.col("document_id").alias("conversation_id"), place.alias("position"), role.alias("role"), "content")
+    return chunk_rows(spark, d, "document_id", "chunk_index", "content").select(F.col("document_id").alias("conversation_id"), place.alias("position"), role.alias("role"), "content")
 
 
 @query(
@@ -748,7 +751,7 @@ def chatml_prompt(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN page IS NOT NULL THEN concat('頁碼：第 ', page, ' 頁') END, '', {_strip_sql("coalesce(content, '')")})) AS passage_sha256 FROM chunk"""
 )
 def passage_texts(spark: SparkSession, d: str) -> DataFrame:
-    return chunk_rows(spark, d).select("vector_chunk_id", F.sha2(X.passage_text(F.col("source_file"), F.col("title"), F.col("page"), F.col("content")), 256).alias("passage_sha256"))
+    return chunk_rows(spark, d, "source_file", "title", "page", "content").select("vector_chunk_id", F.sha2(X.passage_text(F.col("source_file"), F.col("title"), F.col("page"), F.col("content")), 256).alias("passage_sha256"))
 
 
 _LABELLED = "SELECT doc_id, concat('<think>', coalesce(lang, ''), '</think>', coalesce(source, '')) AS t FROM documents"
