@@ -73,7 +73,7 @@ def representatives(chunks: DataFrame, centroid: DataFrame, count: int) -> DataF
     """
     score = F.round(V.dot(F.col("embedding"), F.col("__c")), 6)
     joined = chunks.join(centroid.select("document_id", F.col("embedding").alias("__c")), "document_id")
-    scored = joined.select("document_id", "page", "chunk_index", "sub_chunk_index", "vector_chunk_id", score.alias("score"))
+    scored = joined.select("document_id", "page", "chunk_index", "sub_chunk_index", "vector_chunk_id", score.alias("score")).persist()
     document, of_page = Window.partitionBy("document_id"), Window.partitionBy("document_id", "page")
     # both ranks below are limits, so tasks leave out what can't matter before rows are shuffled
     read = F.row_number().over(document.orderBy("page", "chunk_index", "sub_chunk_index", "vector_chunk_id"))

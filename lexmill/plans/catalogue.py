@@ -119,7 +119,7 @@ def embedded(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     stored = table(spark, d, "embedding_cache")
     model = stored.groupBy("model_fingerprint").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "model_fingerprint").limit(1).select("model_fingerprint")
     own = cache.usable(stored.join(F.broadcast(model), "model_fingerprint", "left_semi")).select(F.col("text_sha256").alias("embedding_text_sha256"), V.unit_or_null(F.col("vector")).alias("embedding"))
-    return chunk_rows(spark, d, "embedding_text_sha256", *columns).join(own, "embedding_text_sha256")
+    return chunk_rows(spark, d, "embedding_text_sha256", *columns).join(own, "embedding_text_sha256").persist()  # asked vector, centroids and scores all read it
 
 
 def first_vector(rows: DataFrame) -> DataFrame:
