@@ -128,9 +128,9 @@ def first_vector(rows: DataFrame) -> DataFrame:
 
 
 def page_rows(spark: SparkSession, d: str) -> DataFrame:
-    """document_id, page, text: a page's chunks in order."""
-    rows = chunk_rows(spark, d, "document_id", "page", "page_chunk_index", "sub_chunk_index", "content").where("content is not null and page is not null")
-    of = rows.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(F.struct("page_chunk_index", "sub_chunk_index", "vector_chunk_id", "content"))).alias("x"))
+    """document_id, page, text: a page's chunks in order, exact repeats once."""
+    rows = table(spark, d, "chunk_metadata").where("content is not null and page is not null")
+    of = rows.groupBy("document_id", "page").agg(F.array_sort(F.collect_set(F.struct("page_chunk_index", "sub_chunk_index", "vector_chunk_id", "content"))).alias("x"))
     return of.select("document_id", "page", F.array_join("x.content", "\n").alias("text"))
 
 
@@ -649,9 +649,11 @@ def toc_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _line_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = page_rows(spark, d).select("document_id", "page", F.posexplode(X.lines(F.col("text"))).alias("line_no", "line"))
-    heads = chunk_rows(spark, d, "document_id", "page", "heading").where("page is not null").groupBy("document_id", "page").agg(F.min("heading").alias("line")).where("line is not null").select("document_id", "page", F.lit(-1).alias("line_no"), "line")
-    return rows.withColumn("line", X.strip(F.col("line"))).where("line <> ''").unionByName(heads)
+    """The lines of every page that has some, under the smallest heading of its chunks."""
+    heads = table(spark, d, "chunk_metadata").where("page is not null").groupBy("document_id", "page").agg(F.min("heading").alias("head"))
+    under = page_rows(spark, d).join(heads, ["document_id", "page"])
+    rows = under.select("document_id", "page", F.posexplode(F.concat(F.array(F.coalesce("head", F.lit(""))), X.lines(F.col("text")))).alias("line_no", "line"))
+    return rows.withColumn("line", X.strip(F.col("line"))).where("line <> ''")
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
