@@ -39,3 +39,36 @@ def test_query(spark, name):
             connection.execute(f"create view {f[:-8]} as select * from '{FOLDER}/{f}'")
         want = connection.sql(f"select {', '.join(df.columns)} from ({Q.SQL[name]})").fetchall()
         assert collections.Counter(map(tuple, rows)) == collections.Counter(want)
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("empty")
+    for name in ("chunk_metadata", "procedure_block", "heading_ref", "embedding_cache", "documents", "eval_item", "reading_label"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(str(folder / f"{name}.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+def test_empty_tables(spark, empty, name):
+    assert Q.QUERIES[name](spark, empty).count() == 0
+
+
+@pytest.fixture(scope="module")
+def hollow(spark, tmp_path_factory):
+    """The tables with every nullable column null."""
+    folder = tmp_path_factory.mktemp("hollow")
+    keys = {"vector_chunk_id", "document_id", "block_id", "cache_key", "model_fingerprint", "doc_id", "item_id", "heading_id"}
+    from pyspark.sql import functions as F
+
+    for name in ("chunk_metadata", "procedure_block", "heading_ref", "embedding_cache", "documents", "eval_item", "reading_label"):
+        df = spark.read.parquet(f"{FOLDER}/{name}.parquet")
+        df.select(*(F.col(c) if c in keys else F.lit(None).cast(t).alias(c) for c, t in df.dtypes)).write.parquet(str(folder / f"{name}.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+def test_null_columns(spark, hollow, name):
+    rows = Q.QUERIES[name](spark, hollow).collect()
+    whole = {"p7_ids", "p3_repaired", "p4_cleaned"}  # a row for every document or chunk
+    assert bool(rows) == (name in whole)
