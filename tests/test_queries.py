@@ -45,3 +45,16 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("empty")
+    for f in os.listdir(FOLDER):
+        spark.read.parquet(f"{FOLDER}/{f}").limit(0).write.parquet(str(folder / f))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(k for k in entry.queries() if not (k[0] == "p" and k[1].isdigit())))
+def test_empty_tables(spark, empty, name):
+    entry.queries()[name](spark, empty).collect()
