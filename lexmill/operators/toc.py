@@ -104,7 +104,11 @@ def titled_lines(lines: DataFrame, titles: DataFrame, least: float = 0.92) -> Da
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similar(x, y) for x, y in zip(a, b)])
 
-    near = rest.join(known, "document_id").where(gap).withColumn("r", ratio("line_key", "key")).where(F.col("r") >= least)
+    # letters left over by both are at least their edit distance, which the JVM finds in a band
+    longest = 42 + max(3, 42 // 3)
+    left_over = (1 - least) * (F.char_length("key") + F.char_length("line_key"))
+    edits = F.levenshtein("key", "line_key", int((1 - least) * (42 + longest)) + 1)
+    near = rest.join(known, "document_id").where(gap & (edits >= 0) & (edits <= left_over + 1e-9)).withColumn("r", ratio("line_key", "key")).where(F.col("r") >= least)
     best = near.groupBy("document_id", "line_key").agg(F.max_by("path", F.struct("r", "key")).alias("path"))
     alike = best.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("line_key", "path"))).alias("__alike"))
     of_page = lines.select(*place).distinct().join(listed, "document_id", "left").join(alike, "document_id", "left")
