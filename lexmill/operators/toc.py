@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
@@ -79,20 +79,55 @@ def toc_from_text(pages: DataFrame) -> DataFrame:
     return whole.select("document_id", "page", (F.col("place") + 1).alias("place"), "title", "target_page", F.lit(1).alias("level"), F.array("title").alias("path"))
 
 
+#: Longest key of a line that may be a misread title; titles up to which all of a document's are held against each of its lines.
+_SHORT, _FEW = 42, 64
+
+
+def _letters(line: int, least: float) -> tuple[int, int]:
+    """Parts a key of so many letters is cut into, and letters of each part that are looked for.
+
+    Keys with a ratio of ``least`` leave at most 1 - least of their letters over,
+    and a letter left over spoils one part: of one part more, one stands whole in
+    the other key.
+    """
+    longest = int(line * (2 - least) / least + 1e-9)
+    parts = int((1 - least) * (line + longest) + 1e-9) + 1
+    return parts, line // parts
+
+
+def _pieces_of_lines(key: Column, least: float) -> Column:
+    """Parts of a short line's key, of which a similar title's key holds one or more."""
+    cuts = [[0]] + [[j * n // k + 1 for j in range(k)] for n in range(1, _SHORT + 1) for k, _ in [_letters(n, least)]]
+    sizes = [0] + [_letters(n, least)[1] for n in range(1, _SHORT + 1)]
+    size = F.element_at(F.lit(sizes), F.char_length(key) + 1)
+    return F.array_distinct(F.transform(F.element_at(F.lit(cuts), F.char_length(key) + 1), lambda at: F.substring(key, at, size)))
+
+
+def _pieces_of_titles(key: Column, least: float) -> Column:
+    """All runs of a title's key as long as the parts of lines that can be similar to it."""
+    widest = (2 - least) / least + 1e-9
+    sizes = [sorted({_letters(n, least)[1] for n in range(1, _SHORT + 1) if n <= m * widest and m <= n * widest}) or [-1] for m in range(int(_SHORT * widest) + 1)]
+    runs = F.transform(F.element_at(F.lit(sizes), F.char_length(key) + 1), lambda q: F.when(q >= 0, F.transform(F.sequence(F.lit(1), F.char_length(key) - q + 1), lambda at: F.substring(key, at, q))).otherwise(F.array().cast("array<string>")))
+    return F.when(F.char_length(key) < len(sizes), F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
+
+
 def titled_lines(lines: DataFrame, titles: DataFrame, least: float = 0.92) -> DataFrame:
-    """``lines`` (document_id, line and more) with path where the line is a title of its document.
+    """``lines`` (document_id, page, line and more) with path where the line is a title of its document.
 
     A line whose key is a title's has its path; of the other short lines the
     most similar title of about the same length counts, if it is similar
-    enough. Titles have document_id, title, path. A document's titles (its table
-    of contents) go to each of its pages, so the lines are moved once, by page.
+    enough. Titles have document_id, title, path. Keys meet their document's
+    titles by key and, in documents of many titles, by the parts of which similar
+    keys must share one, so no pair is lost. A page gets only the titles found on
+    it, so the lines are moved once, by page.
     """
     place = ["document_id", "page"]
     keyed = lines.withColumn("__key", X.title_key(F.col("line")))
-    known = titles.select("document_id", X.title_key(F.col("title")).alias("key"), "path").where("key <> ''").dropDuplicates(["document_id", "key"])
-    listed = known.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "path"))).alias("__titles"))
+    # keys of longer texts are only compared for equality
+    named = lambda key: F.when(F.char_length(key) > 64, F.sha2(key, 256)).otherwise(F.col(key))
+    known = titles.select("document_id", X.title_key(F.col("title")).alias("key"), "path").where("key <> ''").groupBy("document_id", "key").agg(F.min("path").alias("path"))
     # distinct short lines that aren't titles themselves, held against the titles of their document
-    short = keyed.where("__key <> '' and length(__key) <= 42").select("document_id", F.col("__key").alias("line_key")).distinct()
+    short = keyed.where(f"__key <> '' and length(__key) <= {_SHORT}").select("document_id", F.col("__key").alias("line_key")).distinct()
     rest = short.join(known.select("document_id", F.col("key").alias("line_key")), ["document_id", "line_key"], "left_anti")
     gap = F.abs(F.char_length("key") - F.char_length("line_key")) <= F.greatest(F.lit(3), F.floor(F.char_length("key") * 0.25))
 
@@ -105,14 +140,18 @@ def titled_lines(lines: DataFrame, titles: DataFrame, least: float = 0.92) -> Da
         return pd.Series([similar(x, y) for x, y in zip(a, b)])
 
     # letters left over by both are at least their edit distance, which the JVM finds in a band
-    longest = 42 + max(3, 42 // 3)
+    longest = _SHORT + max(3, _SHORT // 3)
     left_over = (1 - least) * (F.char_length("key") + F.char_length("line_key"))
-    edits = F.levenshtein("key", "line_key", int((1 - least) * (42 + longest)) + 1)
-    near = rest.join(known, "document_id").where(gap & (edits >= 0) & (edits <= left_over + 1e-9)).withColumn("r", ratio("line_key", "key")).where(F.col("r") >= least)
+    edits = F.levenshtein("key", "line_key", int((1 - least) * (_SHORT + longest)) + 1)
+    many = F.broadcast(known.groupBy("document_id").count().where(f"count > {_FEW}").select("document_id", F.lit(True).alias("__many")))  # at most one of 64 titles
+    by_piece = lambda df, pieces: df.join(many, "document_id", "left").withColumn("piece", F.explode(F.when(F.col("__many"), pieces).otherwise(F.array(F.lit("")))))
+    held = by_piece(rest, _pieces_of_lines(F.col("line_key"), least)).join(by_piece(known, _pieces_of_titles(F.col("key"), least)).drop("__many"), ["document_id", "piece"])
+    near = held.where(gap & (edits >= 0) & (edits <= left_over + 1e-9)).withColumn("r", ratio("line_key", "key")).where(F.col("r") >= least)
     best = near.groupBy("document_id", "line_key").agg(F.max_by("path", F.struct("r", "key")).alias("path"))
-    alike = best.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("line_key", "path"))).alias("__alike"))
-    of_page = lines.select(*place).distinct().join(listed, "document_id", "left").join(alike, "document_id", "left")
-    found = keyed.join(of_page, place, "left").withColumn("path", F.coalesce(F.try_element_at("__titles", F.col("__key")), F.try_element_at("__alike", F.col("__key"))))
+    matched = known.select("document_id", named("key").alias("__named"), "path").unionByName(best.select("document_id", F.col("line_key").alias("__named"), "path"))
+    met = keyed.where("__key <> ''").select(*place, named("__key").alias("__named")).join(matched, ["document_id", "__named"])
+    of_page = met.groupBy(*place).agg(F.map_from_entries(F.collect_set(F.struct("__named", "path"))).alias("__titles"))
+    found = keyed.join(of_page, place, "left").withColumn("path", F.try_element_at("__titles", named("__key")))
     return found.select(*lines.columns, "path")
 
 

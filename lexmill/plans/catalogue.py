@@ -657,7 +657,7 @@ def _line_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
-    known = chunk_rows(spark, d, "document_id", "heading").where("heading is not null").select("document_id", F.col("heading").alias("title")).distinct()
+    known = table(spark, d, "chunk_metadata").where("heading is not null").select("document_id", F.col("heading").alias("title")).distinct()
     return known.select("document_id", "title", F.array("title").alias("path"))
 
 
@@ -674,11 +674,8 @@ def title_match_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def title_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Documents cut at lines that are (nearly) one of the agreed headings, their table of contents."""
-    agreed = table(spark, d, "heading_ref").where("heading is not null").select(F.col("heading").alias("title"), F.array("heading").alias("path"))
-    lines = _line_rows(spark, d).persist()
-    titles = lines.select("document_id").distinct().crossJoin(F.broadcast(agreed))  # a fixed table for each document
-    return toc.segments(toc.titled_lines(lines, titles).persist())
+    """Documents cut at lines that are (nearly) one of their titles."""
+    return toc.segments(toc.titled_lines(_line_rows(spark, d).persist(), _titles(spark, d)).persist())
 
 
 # --- grounding ----------------------------------------------------------------------
