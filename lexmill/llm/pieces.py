@@ -5,9 +5,12 @@ line, sentence, word, character. A text is first cut at the strongest
 boundaries; only a part that is still longer than the limit is cut at the next
 weaker ones, down to single characters. The parts are then packed greedily:
 a piece takes parts while it stays within the limit, and the piece after it
-begins with the last characters of the piece before (the overlap). The overlap
-is as long as wanted; it is shortened only where the next part would not fit
-behind it, so that a part is never cut to make room for an overlap.
+begins with the last characters of the piece before (the overlap). With
+``full`` every overlap is as long as wanted (or all of the text before it, if
+that is shorter): parts are cut to what fits behind an overlap. Without, it is
+shortened where the next part would not fit behind it. The pieces of
+``split_oversized`` have full overlaps. A cut counts as forced only in a stretch
+longer than the limit itself.
 
 Joined without their overlaps the pieces are the text again, character by
 character. Defined results: null, empty and blank items within the limit give
@@ -35,31 +38,34 @@ NATURAL = (SECTION, PARAGRAPH, LINE, SENTENCE)
 LEVELS = (*NATURAL, WORD)
 
 
-def parts_of(text: str, limit: int) -> list[tuple[int, int, bool]]:
-    """start, end and whether a forced cut ends it, of parts no longer than ``limit``."""
+def parts_of(text: str, limit: int, longest: int) -> list[tuple[int, int, bool]]:
+    """start, end and whether a forced cut ends it, of parts no longer than ``longest``; cuts in stretches within ``limit`` aren't forced."""
     done: list[tuple[int, int, bool]] = []
-    todo = [(0, len(text), 0, False)]
+    todo = [(0, len(text), 0, False, False)]
     while todo:
-        start, end, level, forced = todo.pop()
-        if end - start <= limit:
+        start, end, level, forced, inner = todo.pop()
+        if end - start <= longest:
             done.append((start, end, forced))
             continue
+        if level == len(NATURAL):
+            inner = end - start > limit
         if level == len(LEVELS):
-            cuts = [*range(start + limit, end, limit)]
+            cuts = [*range(start + longest, end, longest)]
         else:
             cuts = [m.end() for m in LEVELS[level].finditer(text, start, end) if start < m.end() < end]
-        inner = level >= len(NATURAL)
         edges = [start, *cuts, end]
         if len(edges) == 2:
-            todo.append((start, end, level + 1, forced))
+            todo.append((start, end, level + 1, forced, inner))
             continue
-        todo += reversed([(a, b, level + 1, inner if b < end else forced) for a, b in zip(edges, edges[1:])])
+        todo += reversed([(a, b, level + 1, inner if b < end else forced, inner) for a, b in zip(edges, edges[1:])])
     return done
 
 
-def cut_item(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, bool]]:
+def cut_item(text: str, limit: int, overlap: int, full: bool = False) -> list[tuple[int, int, int, bool]]:
     """start with overlap, own start, end, and whether a forced cut ends the piece."""
-    parts = parts_of(text, limit) if text else []
+    if full and not 0 <= overlap < limit:
+        raise ValueError("the overlap must be shorter than the limit")
+    parts = parts_of(text, limit, limit - overlap if full else limit) if text else []
     pieces: list[tuple[int, int, int, bool]] = []
     i = 0
     while i < len(parts):
@@ -89,7 +95,7 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int, overlap: int
             rows: tuple[list, ...] = ([], [], [], [], [], [])
             for item, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 before = False
-                for n, (a, own, b, forced) in enumerate(cut_item(t, limit, overlap)):
+                for n, (a, own, b, forced) in enumerate(cut_item(t, limit, overlap, full=True)):
                     for column, value in zip(rows, (item, n, a, own - a, t[a:b], forced or before)):
                         column.append(value)
                     before = forced
