@@ -4,9 +4,10 @@ Three kinds of noise are found line by line, and repaired:
 
 - page furniture: digits are masked and lines reduced to a skeleton in which
   glyphs that scans confuse are one; a line is furniture if it is a page number,
-  names the document's own model number like a title, or recurs in its source
-  (or as a template in several scanned sources) while no unscanned source has
-  such lines;
+  names the document's own model number like a title, or has a template that
+  recurs in two or more scanned sources while (nearly) no unscanned source has
+  such lines. Templates are made only of lines with a digit and of at most 80
+  characters;
 - misread words: words of the corpus are grouped by confusable-glyph skeleton;
   the frequent form of a group replaces a rare one where both stand beside the
   same neighbouring word. Han characters, which aren't written in words, are
