@@ -1,6 +1,9 @@
 """All queries over the given tables, with the same in SQL where SQL can say it.
 
-Every query reads its tables whole.
+Every query reads its tables whole. ``reading_order``, ``toc_entries``,
+``toc_levels`` and ``citation_validation`` read none: they run on the rows
+written here. ``reasoning_split`` runs on documents.lang and source put into a
+tag, not on texts.
 """
 
 from __future__ import annotations
