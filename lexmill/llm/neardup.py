@@ -243,7 +243,7 @@ def verified(pairs: DataFrame, items: DataFrame, width: int, least: float) -> Da
 class NearDuplicates:
     """The stages over one table: members of classes, and links between classes."""
 
-    def __init__(self, df: DataFrame, key: str, source: str, text: str, width: int = 5, least: float = 0.7, groups: int = 16, per_group: int = 4) -> None:
+    def __init__(self, df: DataFrame, key: str, source: str, text: str, width: int = 5, least: float = 0.7, groups: int = 17, per_group: int = 3) -> None:
         items = normalised(df, key, source, text, width).persist()
         self.members = items.select("item_id", "source", "d1", "d2").distinct()
         keys = table_keys(items, TensorSketch(width, groups, per_group))
