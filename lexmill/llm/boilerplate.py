@@ -1,21 +1,33 @@
 """Lines repeated across one source's documents (problem 4).
 
-Lines are parsed into templates by a token tree of fixed depth: its levels are
-the source, the number of tokens and the first tokens (digits masked), and the
-template of a leaf is the lines' tokens, with a wildcard slot wherever they
-differ. That generalisation is associative and commutative, so each partition
-grows its own tree and equal leaves are merged afterwards in any order, with a
-partial aggregation before the shuffle. Equal lines always reach the same leaf.
-
-A template that covers at least ``min_docs`` documents of its source is a
-candidate; the lines under it are then counted exactly, each document once, and
-those that themselves stand in ``min_docs`` documents are the repeated lines.
+Lines are parsed into templates by a token tree of fixed depth: source, number
+of tokens, first tokens, and below these the tokens of every place. Tokens are
+words where words are spaced and single characters where they aren't; numbers
+are one token. A token of a leaf's place that stands there in fewer than
+``min_docs`` documents is a wildcard slot, so a leaf holds as many templates as
+its lines leave when their rare tokens are slots: a byline becomes its words
+around a slot for the name. What the tree counts are sums, so each partition
+grows its own tree and the trees are merged in any order, leaf by leaf first
+(leaves that cover too few documents go no further), then place by place.
+
+A template covers the documents in which its lines stand. A covering template
+(``min_docs`` documents or more) is a repeated line if at least ``share`` of its
+tokens are constant and what varies is in one place (``slots``: a name, a date,
+a page number); sentences of one form that carry several values are text.
+``without_repeated_lines`` removes all lines of such templates.
+``repeated_lines`` are the lines of covering templates that, each by itself,
+stand in ``min_docs`` documents. A line that does is a template without slots,
+as all of its tokens do, so none of them is lost.
 
 Two lines are the same if they are equal in one form, letter case, all white
-space and everything but letters and digits at either end put aside. Defined
-results: rows of null source or content have no repeated lines; lines that are
-empty by this rule don't count; a row repeated exactly counts once (documents
-are counted by their id); texts of any length are treated whole.
+space and everything but letters and digits at either end put aside. Of the
+spellings of one line that differ in white space, the one with the most words
+is parsed; a leaf of the line without white space keeps lines whose spellings
+are parsed to different leaves.
+
+Defined results: rows of null source or content have no repeated lines; lines
+that are empty by this rule don't count; a row repeated exactly counts once
+(documents are counted by their id); texts of any length are treated whole.
 """
 
 from __future__ import annotations
@@ -29,137 +41,175 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.forms import LATIN_SPELLER, Speller, one_form
+from lexmill.sources.shared import kept, sized
 
 WILDCARD = "<*>"
+NUMBER = "0"
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _DIGITS = re.compile(r"\d+")
-_TOKEN = re.compile(r"[a-z]+|[^a-z]")
+_TOKEN = re.compile(r"[^\W\d_㐀-鿿぀-ヿ]+|\d+|\S")
 _KEPT = 60_000  # parsed lines remembered by a task
 
 
-def line_key(line: str, speller: Speller = LATIN_SPELLER) -> str:
-    """What a line is compared by; "" for lines that don't count."""
+def spelled(line: str, speller: Speller = LATIN_SPELLER) -> str:
+    """The line in one form and lower case without what stands around its letters and digits."""
     form = one_form(line, speller).lower()
-    return _EDGES.sub("", form.replace(" ", "")) if form else ""
-
+    return _EDGES.sub("", form) if form else ""
 
-def tokens_of(key: str) -> list[str]:
-    """Letters a to z by the run, all other characters singly, numbers as one slot."""
-    return _TOKEN.findall(_DIGITS.sub("0", key))
 
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def line_key(line: str, speller: Speller = LATIN_SPELLER) -> str:
+    """What a line is compared by; "" for lines that don't count."""
+    return spelled(line, speller).replace(" ", "")
 
 
-class TokenTree:
-    """The tree of one partition: leaf -> documents covered and template."""
+def tokens_of(form: str) -> list[str]:
+    """Words of spaced scripts, all other characters singly, numbers as one token."""
+    return [NUMBER if t[0].isdigit() else t for t in _TOKEN.findall(form)]
 
-    def __init__(self, prefix: int, with_templates: bool) -> None:
-        self.prefix, self.with_templates = prefix, with_templates
-        self.documents: dict[int, int] = {}
-        self.templates: dict[int, list[str]] = {}
 
-    def leaf(self, source: str, tokens: list[str]) -> int:
-        path = "\0".join((source, str(len(tokens)), *tokens[: self.prefix]))
-        return _signed(xxhash.xxh3_64_intdigest(path.encode("utf-8", "surrogatepass")))
+def _hashed(*parts: str) -> int:
+    x = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"))
+    return x - (1 << 64) if x >> 63 else x
 
-    def cover(self, leaves: set[int]) -> None:
-        for leaf in leaves:
-            self.documents[leaf] = self.documents.get(leaf, 0) + 1
 
-    def widen(self, leaf: int, tokens: list[str]) -> None:
-        """Wildcards wherever the template and the tokens differ."""
-        template = self.templates.setdefault(leaf, tokens)
-        if template is not tokens and template != tokens:
-            self.templates[leaf] = [a if a == b else WILDCARD for a, b in zip(template, tokens)]
+def _leaf(source: str, tokens: list[str], depth: int) -> int:
+    return _hashed(source, str(len(tokens)), *tokens[:depth])
 
 
-def parse_lines(df: DataFrame, key: str, source: str, text: str, prefix: int = 3, with_templates: bool = False, speller: Speller = LATIN_SPELLER) -> DataFrame:
-    """The lines and the partitions' trees in one pass.
+def parse_lines(df: DataFrame, key: str, source: str, text: str, depth: int = 2, speller: Speller = LATIN_SPELLER) -> DataFrame:
+    """The lines and the partitions' trees in one pass; ``kind`` says what a row is.
 
-    Rows with ``line_no`` are lines: item_id, line_no, leaf, k1, k2 (128 bits of
-    source and line key). Rows without are leaves of a partition's tree: leaf,
-    docs and, if wanted, template.
+    line: item_id, line_no, leaf, bare, k1, k2 (128 bits of source and line key);
+    key: a partition's distinct lines, with leaf, bare, k1, k2, origin (of the
+    source) and tokens; leaf: documents of a partition under a leaf. ``bare`` is
+    the leaf of the line without white space.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known = TokenTree(prefix, with_templates), {}
+        known: dict[tuple[str, str], tuple] = {}
+        documents: dict[int, int] = {}
+        sent: set[tuple[int, int, int]] = set()
         for batch in batches:
-            ids, numbers, leaves, highs, lows = [], [], [], [], []
+            lines: list[tuple] = []
+            keys: list[tuple] = []
             for item, origin, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 covered: set[int] = set()
                 for number, line in enumerate(content.split("\n")):
                     found = known.get((origin, line))
                     if found is None:
-                        own = line_key(line, speller)
-                        if own:
-                            tokens = tokens_of(own)
-                            whole = xxhash.xxh3_128_intdigest(f"{origin}\0{own}".encode("utf-8", "surrogatepass"))
-                            found = (tree.leaf(origin, tokens), _signed(whole >> 64), _signed(whole & (1 << 64) - 1))
-                            if with_templates:
-                                tree.widen(found[0], tokens)
-                        else:
-                            found = ()
+                        found = ()
+                        if form := spelled(line, speller):
+                            own = form.replace(" ", "")
+                            tokens = tokens_of(form)
+                            masked = _DIGITS.sub(NUMBER, own)
+                            digest = xxhash.xxh3_128_intdigest(f"{origin}\0{own}".encode("utf-8", "surrogatepass"))
+                            k1, k2 = ((x - (1 << 64) if x >> 63 else x) for x in (digest >> 64, digest & (1 << 64) - 1))
+                            found = (_leaf(origin, tokens, depth), _hashed(origin, "", str(len(masked)), masked[:6]), k1, k2)
+                            if (node := (found[0], k1, k2)) not in sent:
+                                if len(sent) >= 10 * _KEPT:
+                                    sent.clear()
+                                sent.add(node)
+                                keys.append((*found, _hashed(origin), " ".join(tokens)))
                         if len(known) >= _KEPT:
                             known.clear()
                         if len(line) < 400:
                             known[origin, line] = found
                     if found:
-                        covered.add(found[0])
-                        ids.append(item)
-                        numbers.append(number)
-                        leaves.append(found[0])
-                        highs.append(found[1])
-                        lows.append(found[2])
-                tree.cover(covered)
-            yield _rows(len(ids), item_id=ids, line_no=numbers, leaf=leaves, k1=highs, k2=lows)
-        nodes = list(tree.documents)
-        yield _rows(len(nodes), leaf=nodes, docs=[*tree.documents.values()], template=[tree.templates.get(n) for n in nodes] if with_templates else None)
-
-    picked = df.select(F.col(key).cast("string").alias("item_id"), F.col(source).alias("origin"), F.col(text).alias("content"))
+                        covered.update(found[:2])
+                        lines.append((item, number, *found))
+                for leaf in covered:
+                    documents[leaf] = documents.get(leaf, 0) + 1
+            yield _rows("line", lines, ("item_id", "line_no", "leaf", "bare", "k1", "k2"))
+            yield _rows("key", keys, ("leaf", "bare", "k1", "k2", "origin", "tokens"))
+        yield _rows("leaf", list(documents.items()), ("leaf", "docs"))
+
+    picked = df.select(F.col(key).cast("string").alias("item_id"), F.col(source).cast("string").alias("origin"), F.col(text).alias("content"))
     picked = picked.where("item_id is not null and origin is not null and content is not null and content <> ''")
-    return picked.mapInArrow(parse, "item_id string, line_no int, leaf bigint, k1 bigint, k2 bigint, docs bigint, template array<string>")
+    return picked.mapInArrow(parse, "kind string, item_id string, line_no int, leaf bigint, bare bigint, k1 bigint, k2 bigint, origin bigint, tokens string, docs bigint")
 
 
-_KINDS = {"item_id": pa.string(), "line_no": pa.int32(), "leaf": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "docs": pa.int64(), "template": pa.list_(pa.string())}
+_KINDS = {
+    "kind": pa.string(), "item_id": pa.string(), "line_no": pa.int32(), "leaf": pa.int64(), "bare": pa.int64(), "k1": pa.int64(), "k2": pa.int64(),
+    "origin": pa.int64(), "tokens": pa.string(), "docs": pa.int64(),
+}
 
 
-def _rows(n: int, **columns: list | None) -> pa.RecordBatch:
-    arrays = [pa.nulls(n, kind) if columns.get(name) is None else pa.array(columns[name], kind) for name, kind in _KINDS.items()]
+def _rows(kind: str, rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    columns = dict(zip(names, zip(*rows))) if rows else {}
+    columns["kind"] = [kind] * len(rows)
+    arrays = [pa.array(columns[n], t) if n in columns else pa.nulls(len(rows), t) for n, t in _KINDS.items()]
     return pa.RecordBatch.from_arrays(arrays, names=list(_KINDS))
 
 
-def covering_leaves(parsed: DataFrame, min_docs: int) -> DataFrame:
-    """leaf, docs of the merged tree's leaves that cover ``min_docs`` documents or more.
-
-    A document stored several times may be counted as often here; the exact
-    count of the lines comes after.
-    """
-    nodes = parsed.where("line_no is null")
-    return nodes.groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-
-
-def line_templates(parsed: DataFrame, min_docs: int) -> DataFrame:
-    """leaf, docs, template of the covering leaves: trees merged place by place."""
-    leaves = covering_leaves(parsed, min_docs)
-    places = parsed.where("line_no is null").join(leaves.select("leaf"), "leaf", "left_semi").select("leaf", F.posexplode("template").alias("place", "token"))
-    merged = places.groupBy("leaf", "place").agg(F.when(F.min("token") == F.max("token"), F.min("token")).otherwise(WILDCARD).alias("token"))
-    whole = merged.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("t"))
-    return leaves.join(whole.select("leaf", F.concat_ws("", "t.token").alias("template")), "leaf")
-
-
-def repeated_lines(parsed: DataFrame, min_docs: int) -> DataFrame:
-    """item_id, line_no of every line that stands in ``min_docs`` documents of its source."""
-    lines = parsed.where("line_no is not null").join(covering_leaves(parsed, min_docs).select("leaf"), "leaf", "left_semi")
-    per_item = lines.groupBy("k1", "k2", "item_id").agg(F.collect_set("line_no").alias("numbers"))
-    often = per_item.groupBy("k1", "k2").agg(F.count("*").alias("items")).where(F.col("items") >= min_docs)
-    return per_item.join(often.select("k1", "k2"), ["k1", "k2"], "left_semi").select("item_id", F.explode("numbers").alias("line_no"))
+class LineTemplates:
+    """The merged tree of a table's lines and its covering templates."""
+
+    def __init__(self, df: DataFrame, key: str, source: str, text: str, min_docs: int = 10, depth: int = 2, share: float = 0.7, slots: int = 1) -> None:
+        self.min_docs, self.depth, self.share, self.slots = min_docs, depth, share, slots
+        parsed = parse_lines(df, key, source, text, depth).persist()
+        # a document stored several times may count as often here; lines and templates are counted exactly below
+        leaves = sized(parsed.where("kind = 'leaf'").groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
+        lines = self._under(parsed.where("kind = 'line'").select("item_id", "line_no", "leaf", "bare", "k1", "k2"), leaves)
+        self.lines = kept(lines.groupBy("k1", "k2", "item_id").agg(F.collect_set("line_no").alias("numbers")))
+        of_line = self.lines.groupBy("k1", "k2").agg(F.count("*").alias("docs"))
+        spellings = self._under(parsed.where("kind = 'key'").select("leaf", "bare", "k1", "k2", "origin", "tokens"), leaves)
+        fullest = F.struct(F.size(F.split("tokens", " ")), "tokens")
+        forms = spellings.groupBy("k1", "k2").agg(F.max_by("tokens", fullest).alias("tokens"), F.min("origin").alias("origin"))
+        self.members = sized(self._members(forms.join(of_line, ["k1", "k2"])))
+
+    @staticmethod
+    def _under(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+        """Rows of which one of the two leaves is among ``leaves``."""
+        hint = leaves.select(F.col("leaf"), F.lit(True).alias("__a"))
+        bare = leaves.select(F.col("leaf").alias("bare"), F.lit(True).alias("__b"))
+        return rows.join(hint, "leaf", "left").join(bare, "bare", "left").where("__a or __b").drop("__a", "__b")
+
+    def _members(self, forms: DataFrame) -> DataFrame:
+        """k1, k2, docs (of the line), leaf, template, covers: every line of a covering template."""
+        least = self.min_docs
+        token = F.split("tokens", " ")
+        leaf = F.xxhash64("origin", F.size(token), *(F.get(token, F.lit(i)) for i in range(self.depth)))
+        forms = kept(forms.withColumn("leaf", leaf))
+        wide = forms.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= least).select("leaf")
+        placed = forms.join(sized(wide), "leaf", "left_semi").select("k1", "k2", "leaf", "docs", F.posexplode(token).alias("place", "token"))
+        nodes = placed.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= least)
+        known = sized(nodes.select("leaf", "place", "token", F.lit(True).alias("__often")))
+        marked = placed.join(known, ["leaf", "place", "token"], "left").withColumn("token", F.when(F.col("__often"), F.col("token")).otherwise(WILDCARD))
+        whole = marked.groupBy("k1", "k2").agg(
+            F.first("leaf").alias("leaf"), F.first("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("place", "token")))["token"].alias("t"),
+        )
+        constant = F.size(F.filter("t", lambda x: ~x.isin(WILDCARD, NUMBER))) / F.size("t")
+        # slots and constant words in a row; punctuation stands for neither
+        row = F.array_join(F.transform("t", lambda x: F.when(x.isin(WILDCARD, NUMBER), "s").when(F.rlike(x, F.lit(r"[\p{L}\p{N}]")), "c").otherwise("")), "")
+        sure = ((constant >= self.share) & (F.regexp_count(row, F.lit("s+")) <= self.slots)) | (F.col("docs") >= least)
+        shaped = whole.where(sure).select("k1", "k2", "leaf", "docs", F.array_join("t", " ").alias("template"), F.xxhash64("leaf", "t").alias("template_id"))
+        shaped = kept(shaped)
+        # sums over lines bound what a template covers; only templates of several lines are counted by document
+        several = shaped.groupBy("template_id").agg(F.sum("docs").alias("most"), F.max("docs").alias("one"))
+        open_ = several.where((F.col("most") >= least) & (F.col("most") > F.col("one"))).select("template_id")
+        of_item = self.lines.select("k1", "k2", "item_id").join(sized(shaped.join(open_, "template_id", "left_semi").select("k1", "k2", "template_id")), ["k1", "k2"])
+        counted = of_item.select("template_id", "item_id").distinct().groupBy("template_id").agg(F.count("*").alias("covers"))
+        single = several.where((F.col("most") >= least) & (F.col("most") == F.col("one"))).select("template_id", F.col("one").alias("covers"))
+        covering = counted.unionByName(single).where(F.col("covers") >= least)
+        return shaped.join(sized(covering), "template_id")
+
+    def templates(self) -> DataFrame:
+        """leaf, template, docs: the covering templates and how many documents each covers."""
+        return self.members.select("leaf", "template", F.col("covers").alias("docs")).distinct()
+
+    def covered_lines(self) -> DataFrame:
+        """item_id, line_no of every line of a covering template."""
+        return self.lines.join(self.members.select("k1", "k2"), ["k1", "k2"], "left_semi").select("item_id", F.explode("numbers").alias("line_no"))
+
+    def repeated_lines(self) -> DataFrame:
+        """item_id, line_no of every line of a covering template that by itself stands in ``min_docs`` documents of its source."""
+        often = self.members.where(F.col("docs") >= self.min_docs).select("k1", "k2")
+        return self.lines.join(often, ["k1", "k2"], "left_semi").select("item_id", F.explode("numbers").alias("line_no"))
 
 
 def without_repeated_lines(df: DataFrame, key: str, source: str, text: str, to: str, min_docs: int = 10) -> DataFrame:
-    """``df`` with ``text`` without its repeated lines in the new column ``to``; all rows and columns stay."""
-    found = repeated_lines(parse_lines(df, key, source, text).persist(), min_docs)
+    """``df`` with ``text`` without the lines of covering templates in the new column ``to``; all rows and columns stay."""
+    found = LineTemplates(df, key, source, text, min_docs).covered_lines()
     drop = found.groupBy("item_id").agg(F.collect_set("line_no").alias("__lines"))
     joined = df.join(drop.withColumnRenamed("item_id", "__item"), F.col(key).cast("string") == F.col("__item"), "left")
     kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col("__lines"), i))

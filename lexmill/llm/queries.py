@@ -63,23 +63,24 @@ def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPEATED_FROM = 10
 
 
+def _templates(spark: SparkSession, sf_dir: str) -> boilerplate.LineTemplates:
+    return boilerplate.LineTemplates(table(spark, sf_dir, "chunk_metadata"), "vector_chunk_id", "source_file", "content", REPEATED_FROM)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that stand in many chunks of one source_file."""
-    parsed = boilerplate.parse_lines(table(spark, sf_dir, "chunk_metadata"), "vector_chunk_id", "source_file", "content").persist()
-    return boilerplate.repeated_lines(parsed, REPEATED_FROM).select(F.col("item_id").alias("vector_chunk_id"), "line_no")
+    return _templates(spark, sf_dir).repeated_lines().select(F.col("item_id").alias("vector_chunk_id"), "line_no")
 
 
 def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk's content without them."""
+    """Every chunk's content without the lines of covering templates."""
     chunks = table(spark, sf_dir, "chunk_metadata").select("vector_chunk_id", "source_file", "content")
     return boilerplate.without_repeated_lines(chunks, "vector_chunk_id", "source_file", "content", "cleaned", REPEATED_FROM).drop("content")
 
 
 def p4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merged tree's templates that cover as many chunks."""
-    chunks = table(spark, sf_dir, "chunk_metadata")
-    parsed = boilerplate.parse_lines(chunks, "vector_chunk_id", "source_file", "content", with_templates=True).persist()
-    return boilerplate.line_templates(parsed, REPEATED_FROM)
+    return _templates(spark, sf_dir).templates()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

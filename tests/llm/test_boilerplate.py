@@ -28,8 +28,33 @@ def test_against_brute_force(spark):
     for seed, least in ((1, 10), (2, 25)):
         rows = rows_of(seed)
         df = spark.createDataFrame([(*r, "x") for r in rows], "id string, src string, text string, leaf string").repartition(5)
-        parsed = B.parse_lines(df, "id", "src", "text").persist()
-        assert {tuple(r) for r in B.repeated_lines(parsed, least).collect()} == brute(rows, least)
+        found = B.LineTemplates(df, "id", "src", "text", least).repeated_lines()
+        assert {tuple(r) for r in found.collect()} == brute(rows, least)
+
+
+NAMES = ("lena", "omar", "ida", "jun", "rosa", "tom", "mei", "paul", "ana", "kurt", "yuki", "bob")
+
+
+def test_bylines_are_one_template_with_a_slot(spark):
+    rows = [(f"c{i}", "s", f"own text number {w} of {w}\nShared by {w.title()} on the forum\n作者：{'甲乙丙丁戊己庚辛壬癸子丑'[i]}先生發表於論壇") for i, w in enumerate(NAMES)]
+    df = spark.createDataFrame(rows, "id string, src string, text string").repartition(4)
+    lines = B.LineTemplates(df, "id", "src", "text")
+    assert {(r["template"], r["docs"]) for r in lines.templates().collect()} == {("shared by <*> on the forum", 12), ("作 者 : <*> 先 生 發 表 於 論 壇", 12)}
+    assert lines.repeated_lines().count() == 0  # no line stands in ten documents by itself
+    clean = B.without_repeated_lines(df, "id", "src", "text", "clean")
+    assert {r["clean"] for r in clean.collect()} == {f"own text number {w} of {w}" for w in NAMES}
+
+
+def test_sentences_with_several_values_stay(spark):
+    rows = [(f"c{i}", "s", f"the pressure of the main {w} in zone {i} must never exceed {i * 7} bar at any time of the day") for i, w in enumerate(NAMES)]
+    df = spark.createDataFrame(rows, "id string, src string, text string")
+    assert B.LineTemplates(df, "id", "src", "text").templates().count() == 0
+
+
+def test_spellings_that_differ_in_white_space(spark):
+    rows = [(f"c{i}", "s", ("Service notice", "Servicenotice", "S e r v i c e notice", "Ser vice no tice")[i % 4]) for i in range(12)]
+    df = spark.createDataFrame(rows, "id string, src string, text string").repartition(3)
+    assert B.LineTemplates(df, "id", "src", "text").repeated_lines().count() == 12
 
 
 def test_removal_and_templates(spark):
@@ -37,19 +62,15 @@ def test_removal_and_templates(spark):
     df = spark.createDataFrame(rows, "id string, src string, text string, docs int")
     got = B.without_repeated_lines(df, "id", "src", "text", "clean", 10)
     assert got.columns == ["id", "src", "text", "docs", "clean"] and got.count() == 12
-    assert got.where("id = 'c3'").first()["clean"] == "own text d\nCopyright notice 2003"
-    templates = B.line_templates(B.parse_lines(df, "id", "src", "text", with_templates=True).persist(), 10).collect()
-    assert {(r["docs"], r["template"]) for r in templates} >= {(12, "copyrightnotice0"), (12, "sameline")}
-    assert B.repeated_lines(B.parse_lines(df.limit(0), "id", "src", "text"), 10).count() == 0
-
-
-def test_merging_trees_has_no_order():
-    keys = ["abc1-x", "abc2-y", "abc3-x"]
-    seen = set()
-    for order in ((0, 1, 2), (2, 0, 1), (1, 2, 0)):
-        tree = B.TokenTree(1, True)
-        for i in order:
-            t = B.tokens_of(keys[i])
-            tree.widen(tree.leaf("s", t), t)
-        seen.add(tuple(map(tuple, tree.templates.values())))
-    assert seen == {(("abc", "0", "-", B.WILDCARD),)}
+    assert got.where("id = 'c3'").first()["clean"] == "own text d\nCopyright notice 2003"  # only two of its three words are constant
+    templates = B.LineTemplates(df, "id", "src", "text").templates().collect()
+    assert {(r["docs"], r["template"]) for r in templates} == {(12, "same line")}
+    assert B.LineTemplates(df, "id", "src", "text", share=0.6).templates().count() == 3
+    assert B.LineTemplates(df.limit(0), "id", "src", "text").repeated_lines().count() == 0
+
+
+def test_partitions_make_no_difference(spark):
+    rows = rows_of(3)
+    df = spark.createDataFrame(rows, "id string, src string, text string")
+    seen = {tuple(sorted(map(tuple, B.LineTemplates(df.repartition(n), "id", "src", "text").templates().collect()))) for n in (1, 7)}
+    assert len(seen) == 1
