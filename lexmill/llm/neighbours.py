@@ -2,14 +2,18 @@
 
 Vectors are scaled to length one and projected to a few dimensions by a 2-stable
 (Gaussian) projection, in which a squared distance d^2 becomes d^2 times a
-chi-square variable. A kd-tree over the projections, split at medians of a
-bounded sample of each model's vectors and filled with every vector, gives
-leaves with tight boxes; a run of neighbouring leaves is a cell, handled by one
-task. Each vector is compared with its own cell's leaves, nearest first, then
-with those of the other cells it can't rule out. A leaf is ruled out, and the
-search ends, when the chi-square test holds: were a closer neighbour in it, its
-projection would be as far as the leaf's box with a probability below
-``1 - confidence``. All comparisons are exact cosines in double precision.
+chi-square variable. A kd-tree over the projections is grown as a table: a node
+that holds more than a cell's worth of vectors is split at medians of a sample
+of its own vectors, again and again, so cells hold about ``cell`` vectors
+whatever their number. A cell is one task's; within it leaves of ``leaf``
+vectors have tight boxes.
+
+Each vector is first searched in its own cell, then it descends the tree's boxes
+and visits the cells it can't rule out; in a cell it is compared with the leaves
+it can't rule out. A box is ruled out, and the search ends, when the chi-square
+test holds: were a closer neighbour in it, its projection would be as far as the
+box with a probability below ``1 - confidence``. Comparisons that count are
+exact cosines in double precision.
 
 Equal vectors of a model are one class; the index holds the ``k + 1`` smallest
 keys of each class, which is exact: no other key of it can be among the k best
@@ -25,7 +29,7 @@ k + 1 vectors gives as many pairs as there are.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.sources.shared import kept, sized
+
 
 def chi_square_quantile(p: float, m: int) -> float:
     """x with P(chi-square of m degrees <= x) = p, by bisection of the series."""
@@ -59,27 +65,32 @@ def projection(dimension: int, m: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dimension]).standard_normal((dimension, m))
 
 
-class ProjectedTree:
-    """A complete kd-tree of ``depth`` levels, split at medians of a sample."""
+class MedianTree:
+    """A complete kd-tree of ``depth`` levels, split at medians of the points given."""
 
-    def __init__(self, sample: np.ndarray, depth: int) -> None:
+    def __init__(self, points: np.ndarray, depth: int) -> None:
         self.depth = depth
         self.axis = np.zeros((1 << depth) - 1, dtype=np.int64)
         self.at = np.zeros((1 << depth) - 1)
-        parts = {0: sample}
+        parts = {0: points}
         for node in range(len(self.axis)):
-            points = parts.pop(node)
-            if len(points):
-                axis = int(np.argmax(points.max(0) - points.min(0)))
-                self.axis[node], self.at[node] = axis, np.median(points[:, axis])
-            right = points[:, self.axis[node]] > self.at[node]
-            parts[2 * node + 1], parts[2 * node + 2] = points[~right], points[right]
+            own = parts.pop(node)
+            if len(own):
+                axis = int(np.argmax(own.max(0) - own.min(0)))
+                self.axis[node], self.at[node] = axis, np.median(own[:, axis])
+            right = own[:, self.axis[node]] > self.at[node]
+            parts[2 * node + 1], parts[2 * node + 2] = own[~right], own[right]
 
     def leaf_of(self, points: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(points), dtype=np.int64)
-        for _ in range(self.depth):
-            node = 2 * node + 1 + (points[np.arange(len(points)), self.axis[node]] > self.at[node])
-        return node - len(self.axis)
+        return leaf_of(points, self.axis, self.at)
+
+
+def leaf_of(points: np.ndarray, axis: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The leaf of each point in the complete tree of these axes and cuts."""
+    node = np.zeros(len(points), dtype=np.int64)
+    for _ in range(int(len(axis) + 1).bit_length() - 1):
+        node = 2 * node + 1 + (points[np.arange(len(points)), axis[node]] > at[node])
+    return node - len(axis)
 
 
 def latest_vectors(df: DataFrame) -> DataFrame:
@@ -99,54 +110,101 @@ def _units(packed: list[bytes]) -> np.ndarray:
 
 def _boxes_within(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Squared distance of each point to each box."""
-    out = np.zeros((len(points), len(low)))
+    out = np.zeros((len(points), len(low)), dtype=np.float32)
     for a in range(points.shape[1]):
         gap = np.maximum(low[None, :, a] - points[:, a, None], points[:, a, None] - high[None, :, a])
         np.maximum(gap, 0, out=gap)
-        out += gap * gap
+        gap *= gap
+        out += gap
     return out
 
 
-class _Best:
-    """The best ``keep`` (cosine, key) of each query so far."""
+def _lows(packed: Sequence[bytes], m: int) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), dtype=np.float32).reshape(-1, m)
+
+
+class Leaves:
+    """A cell's vectors in leaves: ``order`` puts them leaf by leaf, ``edge`` is where leaves begin."""
 
-    def __init__(self, n: int, keep: int, cosines: np.ndarray | None = None) -> None:
-        self.keep = keep
-        self.cosine = np.full((n, keep), -2.0)
-        self.key = np.full((n, keep), "￿", dtype=object)
-        self.floor = np.full(n, -2.0) if cosines is None else cosines  # what a newcomer must reach
+    def __init__(self, low: np.ndarray, leaf: int) -> None:
+        depth = max(0, math.ceil(math.log2(max(1, len(low) / leaf))))
+        of = MedianTree(low, depth).leaf_of(low)
+        self.order = np.argsort(of, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], np.diff(of[self.order]) > 0)))
+        self.edge = [*first.tolist(), len(low)]
+        sorted_ = low[self.order]
+        self.low, self.high = np.minimum.reduceat(sorted_, first, axis=0), np.maximum.reduceat(sorted_, first, axis=0)
 
-    def offer(self, rows: np.ndarray, cosines: np.ndarray, keys: np.ndarray) -> None:
-        rounded = np.round(cosines, 6)
-        near = (rounded >= self.floor[rows, None]) & (rounded >= self.cosine[rows, -1:])
-        for i in np.flatnonzero(near.any(1)):
-            row, hit = rows[i], near[i]
-            c = np.concatenate((self.cosine[row], rounded[i, hit]))
-            k = np.concatenate((self.key[row], keys[hit]))
-            order = sorted(range(len(c)), key=lambda j: (-c[j], k[j]))[: self.keep]
-            self.cosine[row], self.key[row] = c[order], k[order]
+    def number(self) -> np.ndarray:
+        """The leaf of each place of the order."""
+        return np.repeat(np.arange(len(self.edge) - 1), np.diff(self.edge))
+
+
+class Search:
+    """The ``keep`` best of a cell's vectors for each query.
+
+    ``floors`` is what the queries have already: cosines below can't matter.
+    """
 
-    def worst(self) -> np.ndarray:
-        return np.maximum(self.cosine[:, -1], self.floor)
+    def __init__(self, queries: np.ndarray, low: np.ndarray, points: np.ndarray, leaves: Leaves, keep: int, reach: float, floors: np.ndarray | None) -> None:
+        self.queries, self.points, self.leaves, self.keep, self.reach = queries, points, leaves, keep, reach
+        self.coarse = queries.astype(np.float32), points.astype(np.float32)
+        self.far = _boxes_within(low, leaves.low, leaves.high)
+        self.top = np.full((len(queries), keep), -2.0)
+        self.floor = np.full(len(queries), -2.0) if floors is None else floors.copy()
+        self.hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def visit(self, leaf: int, rows: np.ndarray) -> None:
+        """Compares ``rows`` of the queries with a leaf, if the test doesn't rule it out."""
+        within = self.far[rows, leaf] <= self.reach * (2 - 2 * np.minimum(self.floor[rows], 1) + 2e-6)
+        rows = rows[within]
+        if not len(rows):
+            return
+        a, b = self.leaves.edge[leaf : leaf + 2]
+        about = self.coarse[0][rows] @ self.coarse[1][a:b].T
+        i, j = np.nonzero(about >= (self.floor[rows, None] - 1e-5))  # single precision only leaves out what surely is below
+        if not len(i):
+            return
+        exact = np.round(np.einsum("ij,ij->i", self.queries[rows[i]], self.points[a + j]), 6)
+        self.hits.append((rows[i], a + j, exact))
+        some, back = np.unique(i, return_inverse=True)
+        block = np.full((len(some), b - a), -2.0)
+        block[back, j] = exact
+        best = np.partition(np.concatenate((self.top[rows[some]], block), axis=1), b - a, axis=1)[:, b - a :]
+        self.top[rows[some]] = best
+        self.floor[rows[some]] = np.maximum(self.floor[rows[some]], best.min(1))
+
+    def results(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, place of the vector and cosine of the best; ties by ``rank`` of the vectors."""
+        if not self.hits:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        q, p, c = (np.concatenate(x) for x in zip(*self.hits))
+        near = c >= self.floor[q]
+        q, p, c = q[near], p[near], c[near]
+        order = np.lexsort((rank[p], -c, q))
+        q, p, c = q[order], p[order], c[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        best = place < self.keep
+        return q[best], p[best], c[best]
 
 
 class SimilarVectors:
     """The k most similar vectors of the same model, for every key.
 
-    ``sample`` bounds the rows per model that only shape the tree (every vector
-    is indexed); ``leaf`` and ``cell`` are the vectors wanted in a leaf and in
-    a cell; ``max_leaves`` bounds the boxes the driver holds per model.
+    ``cell`` and ``leaf`` are the vectors wanted in a cell and in a leaf, ``bits``
+    says into how many (2 ** bits) a node is split at most at once, ``sample``
+    bounds the vectors of a node that shape its split (every vector is indexed),
+    ``share`` the visits to a cell that one task serves.
     """
 
-    def __init__(self, df: DataFrame, k: int = 5, m: int = 8, confidence: float = 0.995, sample: int = 16_384, leaf: int = 48, cell: int = 3000, max_leaves: int = 8192, seed: int = 5) -> None:
-        self.k, self.m, self.seed = k, m, seed
+    def __init__(self, df: DataFrame, k: int = 5, m: int = 8, confidence: float = 0.998, cell: int = 3000, leaf: int = 32, bits: int = 6, sample: int = 8192, share: int = 20_000, seed: int = 5) -> None:
+        self.k, self.m, self.seed, self.cell, self.leaf, self.bits, self.share = k, m, seed, cell, leaf, bits, share
         self.reach = chi_square_quantile(confidence, m)
-        keyed = latest_vectors(df).withColumn("c1", F.xxhash64("model_fingerprint", "vector")).withColumn("c2", F.xxhash64(F.lit(7), "vector", "model_fingerprint")).persist()
+        keyed = kept(latest_vectors(df).withColumn("c1", F.xxhash64("model_fingerprint", "vector")).withColumn("c2", F.xxhash64(F.lit(7), "vector", "model_fingerprint")))
         self.members = keyed.select("cache_key", "c1", "c2")
         place = Window.partitionBy("c1", "c2").orderBy("cache_key")
         few = keyed.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1)
-        self.points = self._projected(few).persist()
-        self.trees = self._plant(sample, leaf, cell, max_leaves)
+        self.points, self.levels = self._grown(self._projected(few), sample)
 
     def _projected(self, few: DataFrame) -> DataFrame:
         m, seed = self.m, self.seed
@@ -154,34 +212,53 @@ class SimilarVectors:
         def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 packed, low = [], []
-                for v in batch.column(3).to_pylist():
+                for v in batch.column(1).to_pylist():
                     x = np.array(v, dtype=np.float32)
                     packed.append(x.tobytes())
                     u = x.astype(np.float64) / np.abs(x).max()
                     low.append((u / np.linalg.norm(u) @ projection(len(x), m, seed)).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), batch.column(2), pa.array(packed, pa.binary()), pa.array(low, pa.binary()), batch.column(4), batch.column(5)],
-                    names=["model", "size", "cache_key", "packed", "low", "c1", "c2"],
-                )
-
-        rows = few.select("model_fingerprint", F.size("vector"), "cache_key", "vector", "c1", "c2")
-        return rows.mapInArrow(project, "model string, size int, cache_key string, packed binary, low binary, c1 bigint, c2 bigint")
-
-    def _plant(self, sample: int, leaf: int, cell: int, max_leaves: int) -> dict[tuple[str, int], tuple[ProjectedTree, int]]:
-        """One tree per model and length; cells are the nodes ``up`` levels above the leaves."""
-        counts = {(r["model"], r["size"]): r["n"] for r in self.points.groupBy("model", "size").agg(F.count("*").alias("n")).collect()}
-        ordered = Window.partitionBy("model", "size").orderBy(F.xxhash64("c1"), "cache_key")
-        rows = self.points.select("model", "size", "c1", "cache_key", "low").withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= sample)
-        drawn: dict[tuple[str, int], list[bytes]] = {}
-        for r in rows.select("model", "size", "low").toLocalIterator():
-            drawn.setdefault((r["model"], r["size"]), []).append(bytes(r["low"]))
-        trees = {}
-        for of, n in counts.items():
-            points = np.frombuffer(b"".join(drawn[of]), dtype=np.float32).reshape(-1, self.m)
-            depth = max(0, min(int(math.log2(max_leaves)), math.ceil(math.log2(max(1, n / leaf)))))
-            up = min(depth, max(0, round(math.log2(cell / leaf))))
-            trees[of] = (ProjectedTree(points, depth), up)
-        return trees
+                columns = [batch.column(0), batch.column(2), pa.array(packed, pa.binary()), pa.array(low, pa.binary()), batch.column(3), batch.column(4)]
+                yield pa.RecordBatch.from_arrays(columns, names=["root", "cache_key", "packed", "low", "c1", "c2"])
+
+        rows = few.select(F.xxhash64("model_fingerprint", F.size("vector")), "vector", "cache_key", "c1", "c2")
+        return rows.mapInArrow(project, "root bigint, cache_key string, packed binary, low binary, c1 bigint, c2 bigint").withColumn("node", F.lit(1).cast("bigint"))
+
+    def _grown(self, points: DataFrame, sample: int) -> tuple[DataFrame, int]:
+        """``points`` with the node (cell) each ends in, and how many times nodes were split."""
+        m, cell, bits = self.m, self.cell, self.bits
+
+        def split(pdf: pd.DataFrame) -> pd.DataFrame:
+            depth = min(bits, max(1, math.ceil(math.log2(pdf["n"].iloc[0] / cell))))
+            tree = MedianTree(_lows(pdf["low"].tolist(), m), depth)
+            return pd.DataFrame({"root": pdf["root"][:1], "node": pdf["node"][:1], "axis": [tree.axis.tolist()], "at": [tree.at.tolist()]})
+
+        def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                node = batch.column(6).to_numpy().copy()
+                axis, at, low = batch.column(7), batch.column(8), batch.column(3)
+                inner = np.flatnonzero(axis.is_valid().to_numpy(zero_copy_only=False))
+                roots = batch.column(0).to_numpy()
+                groups: dict[tuple[int, int], list[int]] = {}
+                for i in inner.tolist():
+                    groups.setdefault((roots[i], node[i]), []).append(i)
+                for (_, own), rows in groups.items():
+                    cuts = np.array(axis[rows[0]].as_py()), np.array(at[rows[0]].as_py())
+                    node[rows] = (own << bits) + leaf_of(_lows(low.take(pa.array(rows)).to_pylist(), m), *cuts)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(node)], names=batch.schema.names[:7])
+
+        columns = ["root", "cache_key", "packed", "low", "c1", "c2", "node"]
+        placed, most = kept(points.select(*columns)), 62 // bits - 1
+        for level in range(most):  # each level divides nodes by 2 ** bits; what is equal in projection can't be divided
+            counts = placed.groupBy("root", "node").agg(F.count("*").alias("n")).where(F.col("n") > 1.5 * cell)
+            large = sized(counts)
+            if large.isEmpty():
+                return placed, level
+            some = placed.select("root", "node", "low", "c1").join(large, ["root", "node"])
+            drawn = some.where(F.pmod(F.xxhash64("c1", F.lit(level)), F.lit(1 << 30)) < F.lit(float(sample << 30)) / F.col("n"))
+            trees = sized(drawn.groupBy("root", "node").applyInPandas(split, "root bigint, node bigint, axis array<int>, at array<double>"))
+            with_tree = placed.join(trees, ["root", "node"], "left").select(*columns, "axis", "at")
+            placed = kept(with_tree.mapInArrow(descend, placed.schema))
+        return placed, most
 
     def pairs(self) -> DataFrame:
         """key_a, key_b (smaller first): either is among the k most similar of the other."""
@@ -199,121 +276,123 @@ class SimilarVectors:
         return others.select("cache_key", F.posexplode("found").alias("rank", "x")).select("cache_key", F.col("x.neighbour").alias("neighbour"), F.col("x.cosine").alias("cosine"), (F.col("rank") + 1).alias("rank"))
 
     def _class_results(self) -> DataFrame:
-        spark, trees, m, reach, keep = self.points.sparkSession, self.trees, self.m, self.reach, self.k + 1
-        names = {of: i for i, of in enumerate(sorted(trees))}
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                kinds = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-                low = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.float32).reshape(-1, m)
-                leaf, cell, tree_no = (np.zeros(len(low), dtype=np.int64) for _ in range(3))
-                for of in set(kinds):
-                    at = np.array([i for i, x in enumerate(kinds) if x == of])
-                    tree, up = trees[of]
-                    leaf[at] = tree.leaf_of(low[at])
-                    cell[at] = leaf[at] >> up
-                    tree_no[at] = names[of]
-                yield pa.RecordBatch.from_arrays([pa.array(tree_no), pa.array(cell), pa.array(leaf), *batch.columns[2:]], names=["tree", "cell", "leaf", "cache_key", "packed", "low", "c1", "c2"])
-
-        placed = self.points.mapInArrow(place, "tree bigint, cell bigint, leaf bigint, cache_key string, packed binary, low binary, c1 bigint, c2 bigint").persist()
-
-        def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            least: dict[tuple[int, int], np.ndarray] = {}
-            for batch in batches:
-                low = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.float32).reshape(-1, m)
-                for of, p in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), low):
-                    both = np.concatenate((p, -p))
-                    least[of] = np.minimum(least[of], both) if of in least else both
-            columns = [pa.array([x[0] for x in least], pa.int64()), pa.array([x[1] for x in least], pa.int64())]
-            columns += [pa.array([float(v[i]) for v in least.values()], pa.float64()) for i in range(2 * m)]
-            yield pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", *(f"b{i}" for i in range(2 * m))])
-
-        schema = "tree bigint, leaf bigint, " + ", ".join(f"b{i} double" for i in range(2 * m))
-        least = placed.select("tree", "leaf", "low").mapInArrow(boxes, schema).groupBy("tree", "leaf").agg(*(F.min(f"b{i}").alias(f"b{i}") for i in range(2 * m)))
-        found: dict[int, dict[int, list[float]]] = {}
-        for r in least.collect():  # at most max_leaves rows a model
-            found.setdefault(r["tree"], {})[r["leaf"]] = list(r)[2:]
-        all_boxes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for t, of in found.items():
-            leaves = np.array(sorted(of))
-            b = np.array([of[x] for x in leaves])
-            all_boxes[t] = (leaves, b[:, :m], -b[:, m:])
-        up_of = {names[of]: up for of, (_, up) in trees.items()}
-        shared = spark.sparkContext.broadcast(all_boxes)
-
-        def search(tree: int, queries: pd.DataFrame, points: pd.DataFrame, floors: np.ndarray | None) -> _Best:
-            """Leaves nearest first for the group, each query leaving out what the test rules out."""
-            points = points.sort_values("leaf", kind="stable")
-            leaf = points["leaf"].to_numpy()
-            units, keys = _units(points["packed"].tolist()), points["cache_key"].to_numpy(dtype=object)
-            mine = _units(queries["packed"].tolist())
-            low = np.frombuffer(b"".join(queries["low"]), dtype=np.float32).reshape(-1, m)
-            leaves, lows, highs = shared.value[tree]
-            here, first = np.unique(leaf, return_index=True)
-            edge = [*first, len(leaf)]
-            at = np.searchsorted(leaves, here)
-            best = _Best(len(queries), keep, floors)
-            step = 4096
-            for q in range(0, len(queries), step):
-                rows = np.arange(q, min(q + step, len(queries)))
-                far = _boxes_within(low[rows].astype(np.float64), lows[at], highs[at])
-                order = np.argsort(far, axis=1, kind="stable")
-                for turn in range(len(here)):
-                    turn_leaf = order[:, turn]
-                    distance = 2 - 2 * np.minimum(best.worst()[rows], 1) + 2e-6
-                    open_ = far[np.arange(len(rows)), turn_leaf] <= reach * distance
-                    if not open_.any():
-                        break  # boxes only get farther
-                    for x in np.unique(turn_leaf[open_]):
-                        some = rows[open_ & (turn_leaf == x)]
-                        best.offer(some, mine[some] @ units[edge[x] : edge[x + 1]].T, keys[edge[x] : edge[x + 1]])
-            return best
-
-        def results(queries: pd.DataFrame, best: _Best) -> pd.DataFrame:
-            hit = best.cosine > -2
-            row, _ = np.nonzero(hit)
-            return pd.DataFrame({"c1": queries["c1"].to_numpy()[row], "c2": queries["c2"].to_numpy()[row], "neighbour": best.key[hit], "cosine": best.cosine[hit]})
+        """c1, c2, neighbour, cosine: the best of each class's own cell and of the cells it visits."""
+        m, reach, keep, leaf = self.m, self.reach, self.k + 1, self.leaf
+        schema = "root bigint, node bigint, c1 bigint, c2 bigint, neighbour string, cosine double, packed binary, low binary, boxes binary"
+        names = ["root", "node", "c1", "c2", "neighbour", "cosine", "packed", "low", "boxes"]
+
+        def searched(queries: pd.DataFrame, points: pd.DataFrame, floors: np.ndarray | None) -> tuple[pd.DataFrame, Search]:
+            low = _lows(points["low"].tolist(), m)
+            leaves = Leaves(low, leaf)
+            points = points.iloc[leaves.order]
+            keys = points["cache_key"].to_numpy(dtype=object)
+            rank = np.empty(len(keys), dtype=np.int64)
+            rank[np.argsort(keys, kind="stable")] = np.arange(len(keys))
+            mine = _lows(queries["low"].tolist(), m)
+            search = Search(_units(queries["packed"].tolist()), mine, _units(points["packed"].tolist()), leaves, keep, reach, floors)
+            rows = np.arange(len(queries))
+            if floors is None:  # the queries' own leaves first
+                home = np.argmin(search.far, axis=1)
+                for n in range(len(leaves.edge) - 1):
+                    search.visit(n, rows[home == n])
+                for n in range(len(leaves.edge) - 1):
+                    search.visit(n, rows[home != n])
+            else:
+                for n in np.argsort(search.far.sum(0)):
+                    search.visit(n, rows)
+            q, p, c = search.results(rank)
+            found = pd.DataFrame({"c1": queries["c1"].to_numpy()[q], "c2": queries["c2"].to_numpy()[q], "neighbour": keys[p], "cosine": c})
+            return found, search
 
         def at_home(points: pd.DataFrame) -> pd.DataFrame:
-            tree = int(points["tree"].iloc[0])
             queries = points.drop_duplicates(["c1", "c2"]).reset_index(drop=True)
-            best = search(tree, queries, points, None)
-            out = results(queries, best).assign(packed=None, low=None, visit=-1)
-            worst = best.cosine[:, -1]
-            low = np.frombuffer(b"".join(queries["low"]), dtype=np.float32).reshape(-1, m).astype(np.float64)
-            leaves, lows, highs = shared.value[tree]
-            cells = leaves >> up_of[tree]
-            home = int(points["cell"].iloc[0])
-            visits = []
-            distinct, first = np.unique(cells, return_index=True)
-            for q in range(0, len(queries), 2048):
-                far = _boxes_within(low[q : q + 2048], lows, highs)
-                nearest = np.minimum.reduceat(far, first, axis=1)
-                go = nearest <= reach * (2 - 2 * np.minimum(worst[q : q + 2048, None], 1) + 2e-6)
-                go[:, distinct == home] = False
-                i, j = np.nonzero(go)
-                visits.append((i + q, distinct[j]))
-            i, j = (np.concatenate([v[n] for v in visits]) for n in (0, 1))
-            away = queries.iloc[i][["c1", "c2", "packed", "low"]].assign(neighbour=None, cosine=worst[i], visit=j)
-            return pd.concat([out, away], ignore_index=True).assign(tree=tree)[["tree", "visit", "c1", "c2", "neighbour", "cosine", "packed", "low"]]
-
-        first_schema = "tree bigint, visit bigint, c1 bigint, c2 bigint, neighbour string, cosine double, packed binary, low binary"
-        first_round = placed.groupBy("tree", "cell").applyInPandas(at_home, first_schema).persist()
-        home_results = first_round.where("visit = -1").select("c1", "c2", "neighbour", "cosine")
-        visits = first_round.where("visit >= 0").select("tree", F.col("visit").alias("cell"), "c1", "c2", "cosine", "packed", "low")
-        # a cell many vectors visit is served by several tasks, each with its points
-        shares = visits.groupBy("tree", "cell").agg(F.ceil(F.count("*") / 8000).cast("int").alias("shares"))
-        shared_visits = visits.join(F.broadcast(shares), ["tree", "cell"]).withColumn("share", F.pmod(F.xxhash64("c1"), F.col("shares")).cast("int")).drop("shares")
-        copies = placed.join(F.broadcast(shares), ["tree", "cell"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-
-        def away(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-            if not len(points) or not len(queries):
+            found, search = searched(queries, points, None)
+            onward = queries[["c1", "c2", "packed", "low"]].assign(cosine=search.floor)
+            both = np.concatenate((search.leaves.low, search.leaves.high), axis=1).astype(np.float32)
+            box = pd.DataFrame({"c1": [0], "c2": [0], "boxes": [both.tobytes()]})
+            out = pd.concat([found, onward, box], ignore_index=True).reindex(columns=names)
+            out["root"], out["node"] = points["root"].iloc[0], points["node"].iloc[0]
+            return out
+
+        home = kept(self.points.groupBy("root", "node").applyInPandas(at_home, schema))
+        results = home.where("neighbour is not null").select("c1", "c2", "neighbour", "cosine")
+        cells = home.where("boxes is not null").select("root", "node", "boxes")
+        queries = home.where("packed is not null").select("root", F.col("node").alias("home"), "c1", "c2", "cosine", "packed", "low")
+        visits = self._visits(queries, cells)
+
+        def away(points: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
+            if not len(points) or not len(visitors):
                 return pd.DataFrame({"c1": [], "c2": [], "neighbour": [], "cosine": []})
-            best = search(int(points["tree"].iloc[0]), queries, points, queries["cosine"].to_numpy())
-            return results(queries, best)
-
-        group = ["tree", "cell", "share"]
-        away_results = copies.groupBy(*group).cogroup(shared_visits.groupBy(*group)).applyInPandas(away, "c1 bigint, c2 bigint, neighbour string, cosine double")
-        return home_results.unionByName(away_results).distinct()
+            return searched(visitors.reset_index(drop=True), points, visitors["cosine"].to_numpy())[0]
+
+        abroad = self._met(self.points.select("root", "node", "cache_key", "packed", "low"), visits, away, "c1 bigint, c2 bigint, neighbour string, cosine double")
+        return results.unionByName(abroad)
+
+    def _met(self, sides: DataFrame, visits: DataFrame, meet: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+        """``meet`` of each node's rows in ``sides`` and its visits, at most about ``share`` of them in a task."""
+        shares = sized(visits.groupBy("root", "node").agg(F.ceil(F.count("*") / self.share).cast("int").alias("shares")))
+        parted = visits.join(shares, ["root", "node"]).withColumn("part", F.pmod(F.xxhash64("c1"), F.col("shares")).cast("int")).drop("shares")
+        copies = sides.join(shares, ["root", "node"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+        copies = copies.select(*(F.col(c).alias(c) for c in copies.columns))  # both may come of one table
+        group = ["root", "node", "part"]
+        return copies.groupBy(*group).cogroup(parted.groupBy(*group)).applyInPandas(meet, schema)
+
+    def _visits(self, queries: DataFrame, cells: DataFrame) -> DataFrame:
+        """root, node, c1, c2, cosine, packed, low: the cells (but its own) that each query can't rule out.
+
+        The queries descend from the root; of each child of a node the boxes
+        one step further down are tested: its leaves' if it is a cell, else its
+        own children's.
+        """
+        m, reach, bits = self.m, self.reach, self.bits
+
+        def hull(pdf: pd.DataFrame) -> pd.DataFrame:
+            parts = [np.frombuffer(b, dtype=np.float32).reshape(-1, 2 * m) for b in pdf["boxes"]]
+            all_ = np.concatenate(parts)
+            both = np.concatenate((all_[:, :m].min(0), all_[:, m:].max(0))).astype(np.float32)
+            return pd.DataFrame({"root": pdf["root"][:1], "node": pdf["node"][:1], "boxes": [both.tobytes()]})
+
+        def together(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"root": pdf["root"][:1], "node": pdf["node"][:1], "boxes": [b"".join(pdf["boxes"])]})
+
+        box_schema = "root bigint, node bigint, boxes binary"
+        # from the deepest level up: a node's hull, and the hulls of its children
+        above: list[DataFrame] = [cells.withColumn("final", F.lit(True))]
+        known = cells
+        for _ in range(self.levels):
+            deepest = F.shiftright("node", bits) >= 1  # a root has no parent
+            hulls = kept(known.where(deepest).groupBy("root", "node").applyInPandas(hull, box_schema))
+            parents = hulls.withColumn("node", F.shiftright("node", bits))
+            known = kept(parents.groupBy("root", "node").applyInPandas(together, box_schema))
+            above.append(known.withColumn("final", F.lit(False)))
+        nodes = above[0]
+        for more in above[1:]:
+            nodes = nodes.unionByName(more)
+        # a node met on several ways up (its cells lie at different depths) is one child with all boxes
+        merged = nodes.groupBy("root", "node", "final").agg(F.collect_set("boxes").alias("b")).select("root", F.shiftright("node", bits).alias("node"), F.col("node").alias("child"), "final", F.array_join(F.transform("b", F.hex), "").alias("boxes"))
+        children = kept(merged.where("node >= 1").withColumn("boxes", F.unhex("boxes")))
+        schema = "root bigint, node bigint, final boolean, home bigint, c1 bigint, c2 bigint, cosine double, packed binary, low binary"
+
+        def descend(boxes: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
+            low, cosine, home = _lows(visitors["low"].tolist(), m), visitors["cosine"].to_numpy(), visitors["home"].to_numpy()
+            within = (reach * (2 - 2 * np.minimum(cosine, 1) + 2e-6)).astype(np.float32)
+            out = []
+            for child, final, packed in zip(boxes["child"], boxes["final"], boxes["boxes"]):
+                both = np.frombuffer(packed, dtype=np.float32).reshape(-1, 2 * m)
+                open_ = np.zeros(len(low), dtype=bool)
+                for q in range(0, len(low), 4096):
+                    open_[q : q + 4096] = _boxes_within(low[q : q + 4096], both[:, :m], both[:, m:]).min(1) <= within[q : q + 4096]
+                if final:
+                    open_ &= home != child
+                out.append(visitors[open_].assign(node=child, final=final))
+            if not out:
+                return visitors[:0].assign(final=False)[[x.split()[0] for x in schema.split(", ")]]
+            return pd.concat(out)[[x.split()[0] for x in schema.split(", ")]]
+
+        at, visits = queries.withColumn("node", F.lit(1).cast("bigint")), None
+        for _ in range(self.levels):
+            stepped = kept(self._met(children, at, descend, schema))
+            ended = stepped.where("final").drop("final", "home")
+            visits = ended if visits is None else visits.unionByName(ended)
+            at = stepped.where("not final").drop("final")
+        return visits if visits is not None else queries.where("false").withColumn("node", F.lit(1).cast("bigint")).drop("home")

@@ -11,7 +11,7 @@ def test_chi_square():
 
 def test_tree_places_every_point():
     x = np.random.default_rng(1).standard_normal((500, 4))
-    leaf = N.ProjectedTree(x, 4).leaf_of(x)
+    leaf = N.MedianTree(x, 4).leaf_of(x)
     assert leaf.min() >= 0 and leaf.max() < 16 and np.bincount(leaf).max() < 60
 
 
@@ -46,9 +46,12 @@ def test_against_brute_force(spark):
     rows += [("k0001", "m1", 16, None, at + dt.timedelta(1)), ("bad1", "m1", 16, [float("nan")] * 16, at), ("bad2", "m1", 16, [0.0] * 16, at), ("bad3", "m1", 16, [1.0], at), ("bad4", "m1", 16, [None] * 16, at), rows[5]]
     schema = "cache_key string, model_fingerprint string, dimension int, vector array<float>, created_at timestamp, low string"
     df = spark.createDataFrame([(*r, "clash") for r in rows], schema)
-    got = {tuple(r) for r in N.SimilarVectors(df, sample=300, leaf=16, cell=120).pairs().collect()}
     want = brute(rows, 5)
-    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+    for sizes in ({"cell": 120, "leaf": 16}, {"cell": 40, "leaf": 8, "bits": 2, "sample": 100, "share": 60}):  # one split, several in a row
+        similar = N.SimilarVectors(df, **sizes)
+        assert similar.levels == (1 if sizes["cell"] == 120 else similar.levels) and similar.points.groupBy("root", "node").count().selectExpr("max(count)").first()[0] <= 2 * sizes["cell"]
+        got = {tuple(r) for r in similar.pairs().collect()}
+        assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
 def test_empty_and_small(spark):
