@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.forms import all_letters_and_digits, digest
-from lexmill.llm.scans import sized
+from lexmill.sources.shared import kept, sized
 
 #: Longest run of equal table keys whose pairs one task forms.
 RUN = 1500
 _BLOCK = 1 << 16
+_MET = 1 << 20  # digests a task remembers
 _NONE = np.uint32(0xFFFFFFFF)
 
 
@@ -69,8 +70,6 @@ class TensorSketch:
         self.width, self.groups, self.per_group = width, groups, per_group
         rng = np.random.default_rng(seed)
         self.factors = rng.integers(1, 1 << 63, groups * per_group, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.left, self.right = np.triu_indices(groups, 1)
-        self.salts = rng.integers(1, 1 << 63, len(self.left), dtype=np.uint64)
 
     def collections(self, texts: list[str]) -> np.ndarray:
         """One 64-bit hash per text and collection."""
@@ -94,13 +93,6 @@ class TensorSketch:
             out[:, g] ^= out[:, g] >> np.uint64(31)
         return out
 
-    def keys(self, collections: np.ndarray) -> np.ndarray:
-        """The 64-bit key of each text in each table, row by row."""
-        x = (collections[:, self.left] * np.uint64(0xD6E8FEB86659FD93)) ^ (collections[:, self.right] + self.salts)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(32))
-
 
 def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     both = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
@@ -130,23 +122,41 @@ def normalised(df: DataFrame, key: str, source: str, text: str, width: int) -> D
     return picked.mapInArrow(norm, "item_id string, source string, d1 bigint, d2 bigint, normal string")
 
 
-def table_keys(items: DataFrame, sketch: TensorSketch) -> DataFrame:
-    """table_key, d1: a row for each table and text (copies within a batch once).
+def collection_rows(items: DataFrame, sketch: TensorSketch) -> DataFrame:
+    """g, h, d1: a row for each collection and text (copies met by one task once).
 
     Half of the text's digest is enough here: texts that share it only make
     candidates more, which are told apart when they are verified.
     """
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(0, dtype=np.int64)
         for batch in batches:
             d1, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            new = ~np.isin(d1, met)
+            d1, first = d1[new], first[new]
             if not len(d1):
                 continue
+            met = np.union1d(met, d1) if len(met) < _MET else d1
             texts = batch.column(1).take(pa.array(first)).to_pylist()
-            of = sketch.keys(sketch.collections(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(of.ravel()), pa.array(np.repeat(d1, of.shape[1]))], names=["table_key", "d1"])
+            of = sketch.collections(texts).view(np.int64)
+            g = np.tile(np.arange(of.shape[1], dtype=np.int32), len(d1))
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(of.ravel()), pa.array(np.repeat(d1, of.shape[1]))], names=["g", "h", "d1"])
+
+    return items.select("d1", "normal").mapInArrow(rows, "g int, h bigint, d1 bigint")
+
 
-    return items.select("d1", "normal").mapInArrow(keys, "table_key bigint, d1 bigint")
+def table_keys(rows: DataFrame) -> DataFrame:
+    """table_key, d1: the tables' keys that two texts could share.
+
+    A table's key is equal only if both of its collections are, so a text has
+    keys only of the collections it shares with some other text; the rest could
+    meet nothing and is never formed.
+    """
+    shared = rows.groupBy("g", "h").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("g", "h")
+    own = rows.join(shared, ["g", "h"], "left_semi").groupBy("d1").agg(F.array_sort(F.collect_set(F.struct("g", "h"))).alias("c")).where(F.size("c") > 1)
+    tables = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.xxhash64(x["g"], x["h"], y["g"], y["h"]))))
+    return own.select(F.explode(tables).alias("table_key"), "d1")
 
 
 _PAIR = "a1 bigint, b1 bigint, table_key bigint"
@@ -203,10 +213,10 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def candidate_pairs(keys: DataFrame) -> DataFrame:
     """a1, b1: half digests of classes that share a key in some table, each pair once, smaller first."""
-    runs = keys.repartition("table_key").sortWithinPartitions("table_key", "d1").mapInArrow(_pairs_of_runs, _PAIR).persist()
+    runs = kept(keys.repartition("table_key").sortWithinPartitions("table_key", "d1").mapInArrow(_pairs_of_runs, _PAIR))
     close = runs.where("b1 is not null").select("a1", "b1")
     hot = runs.where("b1 is null").select("table_key", "a1")
-    if not hot.count():  # also fills the cache before two branches ask for it at once
+    if hot.isEmpty():
         return close.distinct()
     crossed = hot.join(hot.select("table_key", F.col("a1").alias("b1")), "table_key").where("a1 <= b1").select("a1", "b1")
     return close.unionByName(crossed).distinct()
@@ -233,7 +243,8 @@ def verified(pairs: DataFrame, items: DataFrame, width: int, least: float) -> Da
             yield rows.filter(compute.greater_equal(alike, least - 1e-12))
 
     needed = sized(pairs.select(F.col("a1").alias("d1")).union(pairs.select("b1")).distinct())
-    classes = items.select("d1", "d2", "normal").join(needed, "d1", "left_semi").dropDuplicates(["d1", "d2"]).persist()
+    classes = items.select("d1", "d2", "normal").join(needed, "d1", "left_semi").dropDuplicates(["d1", "d2"])
+    classes = kept(classes)
     left = classes.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("normal").alias("a_text"))
     right = classes.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("normal").alias("b_text"))
     texts = pairs.join(left, "a1").join(right, "b1").where("a1 < b1 or a2 < b2")
@@ -246,8 +257,12 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, key: str, source: str, text: str, width: int = 5, least: float = 0.7, groups: int = 17, per_group: int = 3) -> None:
         items = normalised(df, key, source, text, width).persist()
         self.members = items.select("item_id", "source", "d1", "d2").distinct()
-        keys = table_keys(items, TensorSketch(width, groups, per_group))
-        self.links = verified(candidate_pairs(keys).persist(), items, width, least)
+        rows = collection_rows(items, TensorSketch(width, groups, per_group)).persist()
+        pairs = kept(candidate_pairs(table_keys(rows)))
+        rows.unpersist()
+        self.links = kept(verified(pairs, items, width, least))
+        self.members = kept(self.members)
+        items.unpersist()
 
     def membership(self) -> DataFrame:
         """item_id, source, class_id: copies share a class."""
