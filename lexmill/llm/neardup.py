@@ -36,6 +36,7 @@ from lexmill.sources.shared import kept, sized
 #: Longest run of equal table keys whose pairs one task forms.
 RUN = 1500
 _BLOCK = 1 << 16
+_PAIRS = 2000  # pairs whose shingles are held at once
 _MET = 1 << 20  # digests a task remembers
 _NONE = np.uint32(0xFFFFFFFF)
 
@@ -229,6 +230,28 @@ def jaccard(a: str, b: str, width: int) -> float:
     return both / (len(x) + len(y) - both) if x or y else 0.0
 
 
+def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """Each text's distinct runs of ``width`` characters, as sorted 64-bit hashes."""
+    if not texts:
+        return []
+    hashes, starts = shingle_hashes(texts, width)
+    return [np.unique(h) for h in np.split(hashes, starts[1:])]
+
+
+def similarities(a: list[np.ndarray], b: list[np.ndarray], least: float) -> list[float]:
+    """The shared part of each pair of sets; 0 where their sizes alone keep it below ``least``."""
+    out = []
+    for x, y in zip(a, b):
+        if min(len(x), len(y)) < least * max(len(x), len(y)):
+            out.append(0.0)
+            continue
+        whole = np.concatenate((x, y))
+        whole.sort()
+        both = int(np.count_nonzero(whole[1:] == whole[:-1]))
+        out.append(both / (len(whole) - both))
+    return out
+
+
 def verified(pairs: DataFrame, items: DataFrame, width: int, least: float) -> DataFrame:
     """``pairs`` whose exact similarity is ``least`` or more, with it.
 
@@ -236,11 +259,24 @@ def verified(pairs: DataFrame, items: DataFrame, width: int, least: float) -> Da
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(i).to_pylist() for i in (4, 5))
-            alike = pa.array([jaccard(x, y, width) for x, y in zip(a, b)], pa.float64())
-            rows = pa.RecordBatch.from_arrays([*batch.columns[:4], alike], names=["a1", "a2", "b1", "b2", "similarity"])
-            yield rows.filter(compute.greater_equal(alike, least - 1e-12))
+        for whole in batches:
+            for at in range(0, whole.num_rows, _PAIRS):
+                batch = whole.slice(at, _PAIRS)
+                number: dict[tuple[int, int], int] = {}
+                texts: list[str] = []
+                ends = []
+                for high, low, text in ((0, 1, 4), (2, 3, 5)):
+                    own = []
+                    for k, t in zip(zip(batch.column(high).to_pylist(), batch.column(low).to_pylist()), batch.column(text).to_pylist()):
+                        if k not in number:
+                            number[k] = len(texts)
+                            texts.append(t)
+                        own.append(number[k])
+                    ends.append(own)
+                sets = shingle_sets(texts, width)
+                alike = pa.array(similarities([sets[i] for i in ends[0]], [sets[i] for i in ends[1]], least - 1e-12), pa.float64())
+                rows = pa.RecordBatch.from_arrays([*batch.columns[:4], alike], names=["a1", "a2", "b1", "b2", "similarity"])
+                yield rows.filter(compute.greater_equal(alike, least - 1e-12))
 
     needed = sized(pairs.select(F.col("a1").alias("d1")).union(pairs.select("b1")).distinct())
     classes = items.select("d1", "d2", "normal").join(needed, "d1", "left_semi").dropDuplicates(["d1", "d2"])

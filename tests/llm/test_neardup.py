@@ -55,3 +55,13 @@ def test_hot_run(spark, monkeypatch):
     rows = [(5, i) for i in range(D.RUN + 5)]
     got = D.candidate_pairs(spark.createDataFrame(rows, "table_key bigint, d1 bigint"))
     assert got.where("a1 < b1").count() == (D.RUN + 5) * (D.RUN + 4) // 2
+
+
+def test_similarities_by_hashes():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abc", k=rng.randint(5, 60))) for _ in range(60)]
+    sets = D.shingle_sets(texts, 5)
+    for i, j in zip(range(0, 60, 2), range(1, 60, 2)):
+        want = D.jaccard(texts[i], texts[j], 5)
+        assert D.similarities([sets[i]], [sets[j]], 0.0) == [want]
+        assert D.similarities([sets[i]], [sets[j]], 0.7)[0] in ((want,) if want >= 0.7 else (want, 0.0))
