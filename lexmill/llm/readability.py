@@ -1,25 +1,34 @@
 """Reading level of each document (problem 9).
 
-A Rasch-style model puts sentences and words on one scale of difficulty. A
-sentence s has a level, a word w a difficulty and a spread, and the words of a
-sentence are taken to lie around its level: their log likelihood is the sum of
--(level_s - difficulty_w)^2 / (2 spread_w^2), less what a word of the whole
-corpus' spread would say, so that words used at every level weigh nothing. The
-parameters are estimated by alternating optimisation, each half in closed form:
-
-- difficulty and spread of a word: mean and variance of the levels of the
-  sentences it occurs in (a pass over the corpus with partial sums by word);
-- level of a sentence: the mean of its words' difficulties by their weights,
-  drawn towards its document's level, which for labelled documents is given.
-
-Labelled documents anchor the scale. A document's level is the level of most of
-its sentences, the borders between levels being fitted to the labelled
-documents' sentences; so single sentences of another level don't change it.
+A Rasch-style model puts documents and words on one scale of difficulty. Every
+word of a sentence is a trial for every word w of the corpus, and w comes with
+
+    logit P(w | level) = slope_w * (level - difficulty_w)
+
+so a word has a difficulty (the level at which its odds are even, far beyond the
+scale for rare words) and a slope that says how much it tells; words used at
+every level have none. Occurrence and non-occurrence count: the likelihood of a
+sentence at a level is the product of its words' odds, divided by what all words
+together lose by not occurring, once for each of its words. A document's level
+is the one most likely for all its sentences, each of which is, with a small
+probability, of any level; so single sentences of another level don't change it.
+
+The parameters are estimated by alternating optimisation:
+
+- levels of documents, given the words (on a grid of levels, in the tasks). A
+  labelled document has the level of its labels, and the others the one their
+  place on the grid stands for, by borders fitted to the labelled documents
+  after every round; that anchors the scale. Sentences that are more likely
+  strays don't count for their document's level;
+- slope and difficulty of each word, given the levels: Newton steps of the
+  logistic model, for which how often a word occurs, the sum of the levels it
+  occurs at, and the histogram of the levels of all words are sufficient. These
+  are partial sums of one pass over the corpus.
 
 Words (letter runs; pairs of neighbouring letters where no white space divides
 words) are hashed to a fixed number of buckets, which bounds what is collected
 and broadcast in each pass. Every pass reads every document's whole text, as
-bucket numbers that are made once.
+bucket numbers that are made once; every sentence counts by what its words say.
 
 Defined results: documents with fewer than ``least`` characters that aren't
 white space, and null texts, have no row; documents without any known word get
@@ -40,8 +49,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.forms import LATIN_OF, one_form
 
 BUCKETS = 1 << 18
-_BINS = 400
-_HISTOGRAM = 10  # the first negative bucket numbers are sums of anchored documents, then come histograms
+_STEPS = 8  # grid points a level
 _ENDS = "。！？；!?;\n\r"
 
 _KIND = np.zeros(0x110000, dtype=np.uint8)  # 1 a letter of a spaced script, 2 of an unspaced one, 3 ends a sentence
@@ -67,10 +75,7 @@ def _read_alike(text: str) -> str:
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all words, the sentence of each, and the text of each sentence.
-
-    Sentences with fewer than four words are left out.
-    """
+    """Buckets of all words, the sentence of each, and the text of each sentence that has words."""
     texts = [_read_alike(t) for t in texts]
     codes = np.frombuffer("\n".join([*texts, ""]).lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.fromiter((len(t.lower()) + 1 for t in texts), dtype=np.int64, count=len(texts))
@@ -101,7 +106,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(sentence[at], kind="stable")
     of, buckets = sentence[at][order], buckets[order]
     count = np.bincount(of, minlength=sentence[-1] + 1 if len(sentence) else 0)
-    kept = count >= 4
+    kept = count > 0
     text_of = np.searchsorted(np.cumsum(lengths), np.flatnonzero(ends), "right")
     text_of = np.append(text_of, len(texts) - 1)[: len(count)]
     keep = kept[of]
@@ -139,28 +144,82 @@ def counted_words(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return long.select(F.col(key).cast("bigint"), text).mapInArrow(count, "key bigint, words binary, sizes binary")
 
 
-class _Scale:
-    """What the driver knows after a pass: difficulties, weights, and the scale of levels."""
-
-    def __init__(self, difficulty: np.ndarray, weight: np.ndarray, slope: float, shift: float) -> None:
-        self.difficulty, self.weight, self.slope, self.shift = difficulty, weight, slope, shift
+class Words:
+    """What the driver knows of the words after a pass: slope and intercept by bucket, and what all lose by not occurring."""
+
+    def __init__(self, grid: np.ndarray, spread: float) -> None:
+        self.grid, self.spread = grid, spread
+        self.middle = grid.mean()
+        self.slope, self.intercept, self.known = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS, dtype=bool)
+        self.absent = np.zeros(len(grid))
+
+    def fit(self, counts: np.ndarray, levels: np.ndarray, histogram: np.ndarray, steps: int = 10) -> None:
+        """Newton steps from how often words occur, the sums of their levels, and the words at each level of the grid."""
+        self.known = counts > 0
+        at = np.flatnonzero(self.known)
+        g = self.grid - self.middle
+        self.absent = np.zeros(len(g))
+        for first in range(0, len(at), 1 << 14):
+            own = at[first : first + (1 << 14)]
+            n, t = counts[own], levels[own] - self.middle * counts[own]
+            a, c = np.zeros(len(own)), np.log(n / histogram.sum())
+            for _ in range(steps):
+                p = 1 / (1 + np.exp(-(a[:, None] * g + c[:, None])))
+                expected = p * histogram
+                w = expected * (1 - p)
+                dc, da = n - expected.sum(1), t - expected @ g - a / self.spread**2
+                cc, ca, aa = w.sum(1) + 1e-9, w @ g, w @ (g * g) + 1 / self.spread**2
+                det = cc * aa - ca * ca
+                # a step changes no odds on the scale more than about tenfold
+                c, a = c + np.clip((aa * dc - ca * da) / det, -1.5, 1.5), a + np.clip((cc * da - ca * dc) / det, -0.75, 0.75)
+            self.slope[own], self.intercept[own] = a, c
+            self.absent += np.log1p(np.exp(a[:, None] * g + c[:, None])).sum(0)
+
+    def difficulty(self) -> np.ndarray:
+        """The level at which a word's odds are even; NaN for words that say nothing."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(self.known & (self.slope != 0), self.middle - self.intercept / self.slope, np.nan)
+
+    def sentences(self, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The share of each level of the grid in the likelihood of each sentence."""
+        edge = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        tells = np.add.reduceat(self.slope[words], edge)
+        known = np.add.reduceat(self.known[words].astype(float), edge)
+        out = tells[:, None] * (self.grid - self.middle) - known[:, None] * self.absent
+        out -= out.max(1, keepdims=True)
+        np.exp(out, out=out)
+        out /= out.sum(1, keepdims=True)
+        return out
 
 
 class ReadingLevels:
-    """The model fitted to the labelled documents among ``df``.
+    """The model fitted to ``df`` and the labels of some of its documents.
 
     ``labels`` has the key and ``level``, 1 to ``top``; several labels of a
     document are averaged (exact repeats once). ``max_labels`` bounds the
     labelled documents that anchor the scale (taken by hash of their key).
+    ``stray`` is the probability of a sentence of another level, ``spread`` the
+    prior deviation of a word's slope, ``weight`` what a document without label
+    counts for against a labelled one.
     """
 
-    def __init__(self, df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: int = 60, top: int = 4, rounds: int = 8, max_labels: int = 200_000) -> None:
-        self.key, self.top = key, top
+    def __init__(
+        self, df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: int = 60, top: int = 4, rounds: int = 2, max_labels: int = 200_000,
+        stray: float = 0.1, spread: float = 0.7, weight: float = 0.5,
+    ) -> None:
+        self.key, self.top, self.stray, self.weight = key, top, stray, weight
+        self.words = Words(0.5 + np.arange(top * _STEPS + 1) / _STEPS, spread)
         self.documents = counted_words(df, key, text, least).persist()
         given = labels.groupBy("key").agg(F.avg("level").alias("level"), F.xxhash64("key").alias("h")).orderBy("h", "key").limit(max_labels)
         rows = sorted((r["key"], r["level"]) for r in given.select("key", "level").collect())
         self.anchors = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
-        self._fit(rounds)
+        self.borders = np.arange(1.5, top)
+        self.usual = int(np.clip(np.round(self.anchors[1].mean()), 1, top)) if len(rows) else 0
+        if self.usual:
+            for n in range(rounds + 1):
+                counts, levels, histogram, _ = self._pass(labelled=n == 0)
+                self.words.fit(counts, levels, histogram)
+                self._draw_borders(self._pass(labelled=True)[3])
 
     @staticmethod
     def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -180,140 +239,98 @@ class ReadingLevels:
         return np.where(known[at] == keys, level[at], np.nan)
 
     @staticmethod
-    def _levels(words: np.ndarray, sizes: np.ndarray, text: np.ndarray, n: int, scale: _Scale) -> tuple[np.ndarray, ...]:
-        """Level and weight of each sentence, mean level and weight of each document, on the raw scale."""
-        edge = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        w = scale.weight[words]
-        if not len(sizes):
-            return np.zeros(0), np.zeros(0), np.zeros(n), np.zeros(n)
-        total = np.add.reduceat(w, edge)
-        level = np.add.reduceat(w * scale.difficulty[words], edge) / np.maximum(total, 1e-12)
-        capped = np.minimum(total, 50)
-        weight = np.bincount(text, capped, n)
-        mean = np.bincount(text, capped * level, n) / np.maximum(weight, 1e-12)
-        return level, total, mean, weight
-
-    def _sums(self, scale: _Scale | None) -> dict[int, np.ndarray]:
-        """One pass: sums of weight, level and squared level by word, of the anchored documents' means, and their sentences' histogram."""
-        top, read, anchored, levels = self.top, ReadingLevels._read, ReadingLevels._anchored, ReadingLevels._levels
-        shared = self.documents.sparkSession.sparkContext.broadcast((self.anchors, scale))
+    def _documents(shares: np.ndarray, text: np.ndarray, n: int, stray: float, usual: int, grid: np.ndarray) -> np.ndarray:
+        """The place on the grid of each document's most likely level; ties (no known word) near the usual one."""
+        each = np.log((1 - stray) * shares + stray / len(grid))
+        whole = np.zeros((n, len(grid)))
+        first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, dtype=np.int64)
+        if len(first):
+            whole[text[first]] = np.add.reduceat(each, first, axis=0)
+        return np.argmax(whole - 1e-6 * (grid - usual) ** 2, axis=1)
+
+    def _pass(self, labelled: bool = False) -> tuple[np.ndarray, ...]:
+        """One pass: by word its occurrences and the sum of their levels; words by level; labelled documents by label and level found.
+
+        Levels found are read on the labels' scale, by the borders.
+        """
+        read, anchored, place = ReadingLevels._read, ReadingLevels._anchored, ReadingLevels._documents
+        top, stray, weight, usual, width = self.top, self.stray, self.weight, self.usual, len(self.words.grid)
+        on_scale = ((np.searchsorted(self.borders, self.words.grid) + 0.5) * _STEPS).astype(np.int64)
+        shared = self.documents.sparkSession.sparkContext.broadcast((self.anchors, self.words))
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchors, now = shared.value
-            sums = np.zeros((3, BUCKETS))
-            extra = np.zeros((3, _HISTOGRAM + _BINS * top))
+            sums, extra = np.zeros((2, BUCKETS)), np.zeros((top + 1, width))
             for batch in batches:
+                if labelled:
+                    own = anchored(batch.column(0).to_numpy(zero_copy_only=False), anchors)
+                    batch = batch.filter(pa.array(~np.isnan(own)))
                 keys, words, sizes, text = read(batch)
+                if not len(sizes):
+                    continue
                 given = anchored(keys, anchors)
                 mine = ~np.isnan(given)
-                if now is None:
-                    beta, weight = np.where(mine, given, 0)[text], np.where(mine, 1.0, 0.0)[text]
-                else:
-                    level, total, mean, known = levels(words, sizes, text, len(keys), now)
-                    level, placed = now.shift + now.slope * level, now.shift + now.slope * mean
-                    towards = np.where(mine, np.where(mine, given, 0), np.clip(placed, 1, top))[text]
-                    beta = 0.7 * np.clip(level, 1, top) + 0.3 * towards
-                    weight = np.where(total > 0, np.where(mine[text], 1.0, 0.6), 0.0)
-                    use = mine & (known > 0)
-                    x, y = mean[use], given[use]
-                    extra[:, 0] += (len(x), x.sum(), y.sum())
-                    extra[:, 1] += ((x * x).sum(), (x * y).sum(), 0)
+                nearest = np.clip(np.round((np.where(mine, given, 1) - now.grid[0]) * _STEPS), 0, width - 1).astype(np.int64)
+                if now.known.any():
+                    shares = now.sentences(words, sizes)
+                    found = place(shares, text, len(keys), stray, usual, now.grid)
                     sure = mine & (given == np.round(given))
-                    s = np.flatnonzero(sure[text] & (total > 0))
-                    bins = np.clip((level[s] * (_BINS / (top + 1))).astype(int), 0, _BINS - 1)
-                    np.add.at(extra[0], _HISTOGRAM + (given[text[s]].astype(int) - 1) * _BINS + bins, 1)
-                each = np.repeat(weight, sizes)
-                of = np.repeat(beta, sizes)
-                if each.any():
-                    sums[0] += np.bincount(words, each, BUCKETS)
-                    sums[1] += np.bincount(words, each * of, BUCKETS)
-                    sums[2] += np.bincount(words, each * of * of, BUCKETS)
-            at, own = np.flatnonzero(sums[0]), np.flatnonzero(extra.any(0))
-            number = np.concatenate((at, -1 - own))
-            values = np.concatenate((sums[:, at], extra[:, own]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *(pa.array(v) for v in values)], names=["bucket", "s0", "s1", "s2"])
-
-        rows = self.documents.mapInArrow(add, "bucket int, s0 double, s1 double, s2 double")
-        got = rows.groupBy("bucket").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).toArrow()
-        bucket = got["bucket"].to_numpy()
-        sums, extra = np.zeros((3, BUCKETS)), np.zeros((3, _HISTOGRAM + _BINS * top))
-        for i, name in enumerate(("s0", "s1", "s2")):
-            column = got[name].to_numpy()
-            sums[i, bucket[bucket >= 0]] = column[bucket >= 0]
-            extra[i, -1 - bucket[bucket < 0]] = column[bucket < 0]
-        return {0: sums, 1: extra}
-
-    def _fit(self, rounds: int) -> None:
-        scale: _Scale | None = None
-        self.borders = np.arange(1.5, self.top)
-        self.usual = int(np.clip(np.round(self.anchors[1].mean()), 1, self.top)) if len(self.anchors[1]) else 0
-        if not self.usual:
-            self.scale = _Scale(np.zeros(BUCKETS), np.zeros(BUCKETS), 1.0, 0.0)
-            return
-        for _ in range(rounds):
-            got = self._sums(scale)
-            (s0, s1, s2), extra = got[0], got[1]
-            total = max(s0.sum(), 1e-12)
-            middle = s1.sum() / total
-            spread = max(s2.sum() / total - middle**2, 1e-6)
-            known = s0 > 0
-            difficulty = np.where(known, s1 / np.maximum(s0, 1e-12), middle)
-            own = np.maximum(np.where(known, s2 / np.maximum(s0, 1e-12) - difficulty**2, spread), 0)
-            own = (own * s0 + 2 * spread) / (s0 + 2)
-            weight = np.where(known, s0 / (s0 + 2) * np.maximum(1 / own - 1 / spread, 0), 0)
-            slope, shift = (scale.slope, scale.shift) if scale else (1.0, 0.0)
-            if scale is not None:
-                slope, shift = self._line(extra, slope, shift)
-            scale = _Scale(difficulty, weight, slope, shift)
-        extra = self._sums(scale)[1]
-        scale.slope, scale.shift = self._line(extra, scale.slope, scale.shift)
-        extra = self._sums(scale)[1]
-        self.scale = scale
-        self._draw_borders(extra[0, _HISTOGRAM:].reshape(self.top, _BINS))
-
-    @staticmethod
-    def _line(extra: np.ndarray, slope: float, shift: float) -> tuple[float, float]:
-        """The line from raw document means to the given levels."""
-        (n, x, y), (xx, xy, _) = extra[:, 0], extra[:, 1]
-        spread = xx - x * x / max(n, 1)
-        if n < 2 or spread <= 1e-9:
-            return slope, shift
-        slope = (xy - x * y / n) / spread
-        return slope, y / n - slope * x / n
-
-    def _draw_borders(self, histogram: np.ndarray) -> None:
-        """Between neighbouring levels, where the fewest labelled sentences are on the wrong side."""
-        edges = (np.arange(_BINS + 1)) * ((self.top + 1) / _BINS)
+                    np.add.at(extra, (given[sure].astype(np.int64), found[sure]), 1)
+                    # a sentence more likely a stray says nothing of its document's level
+                    fits = (1 - stray) * shares[np.arange(len(text)), found[text]] >= stray / width
+                    level, counted = np.where(mine, nearest, on_scale[found])[text], np.where(mine, 1.0, weight)[text] * fits
+                else:
+                    level, counted = nearest[text], np.where(mine, 1.0, 0.0)[text]
+                each, at = np.repeat(counted, sizes), np.repeat(now.grid[level], sizes)
+                sums[0] += np.bincount(words, each, BUCKETS)
+                sums[1] += np.bincount(words, each * at, BUCKETS)
+                extra[0] += np.bincount(level, counted * sizes, width)
+            at = np.flatnonzero(sums[0])
+            row, column = np.nonzero(extra)
+            number = np.concatenate((at, -1 - (row * width + column))).astype(np.int32)
+            first = np.concatenate((sums[0, at], extra[row, column]))
+            second = np.concatenate((sums[1, at], np.zeros(len(row))))
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(first), pa.array(second)], names=["bucket", "s0", "s1"])
+
+        rows = self.documents.mapInArrow(add, "bucket int, s0 double, s1 double")
+        got = rows.groupBy("bucket").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1")).toArrow()  # bounded by BUCKETS
+        shared.unpersist()
+        bucket, s0, s1 = (got[name].to_numpy() for name in ("bucket", "s0", "s1"))
+        sums, extra = np.zeros((2, BUCKETS)), np.zeros((top + 1) * width)
+        word = bucket >= 0
+        sums[0, bucket[word]], sums[1, bucket[word]] = s0[word], s1[word]
+        extra[-1 - bucket[~word]] = s0[~word]
+        extra = extra.reshape(top + 1, width)
+        return sums[0], sums[1], extra[0], extra[1:]
+
+    def _draw_borders(self, found: np.ndarray) -> None:
+        """Between neighbouring levels, where the smallest shares of labelled documents are on the wrong side."""
+        grid = self.words.grid
+        edges = (grid[1:] + grid[:-1]) / 2
         for i in range(self.top - 1):
-            below, above = histogram[i] / max(histogram[i].sum(), 1), histogram[i + 1] / max(histogram[i + 1].sum(), 1)
-            wrong = np.concatenate(([0], np.cumsum(above))) + below.sum() - np.concatenate(([0], np.cumsum(below)))
+            below, above = found[i] / max(found[i].sum(), 1), found[i + 1] / max(found[i + 1].sum(), 1)
+            wrong = np.cumsum(above)[:-1] + below.sum() - np.cumsum(below)[:-1]
             inside = np.flatnonzero((edges > i + 1) & (edges < i + 2))
             best = inside[wrong[inside] <= wrong[inside].min() + 1e-12]
             self.borders[i] = edges[best].mean()
 
     def levels(self) -> DataFrame:
         """key and reading_level of every document long enough."""
-        read, levels, usual = ReadingLevels._read, ReadingLevels._levels, self.usual
-        shared = self.documents.sparkSession.sparkContext.broadcast((self.scale, self.borders))
-        top = self.top
+        read, place, usual, stray = ReadingLevels._read, ReadingLevels._documents, self.usual, self.stray
+        shared = self.documents.sparkSession.sparkContext.broadcast((self.words, self.borders))
 
         def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scale, borders = shared.value
+            words_, borders = shared.value
             for batch in batches:
                 keys, words, sizes, text = read(batch)
-                level, total, _, _ = levels(words, sizes, text, len(keys), scale)
-                level = scale.shift + scale.slope * level
-                use = total > 0
-                grades = np.searchsorted(borders, level[use])
-                votes = np.bincount(text[use] * top + grades, minlength=len(keys) * top).reshape(-1, top).astype(float)
-                mean = np.bincount(text[use], level[use], len(keys)) / np.maximum(votes.sum(1), 1)
-                votes -= 1e-3 * np.abs(np.arange(1, top + 1)[None, :] - mean[:, None])  # ties: nearest to the mean
-                best = np.where(use.any() & (np.bincount(text[use], minlength=len(keys)) > 0), votes.argmax(1) + 1, usual)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(best.astype(np.int32))], names=["key", "reading_level"])
+                shares = words_.sentences(words, sizes) if len(sizes) else np.zeros((0, len(words_.grid)))
+                found = words_.grid[place(shares, text, len(keys), stray, usual, words_.grid)]
+                level = np.searchsorted(borders, found) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(level.astype(np.int32))], names=["key", "reading_level"])
 
         graded = self.documents.mapInArrow(grade, "key bigint, reading_level int")
         return graded.select(F.col("key").alias(self.key), "reading_level").where(F.lit(usual > 0))
 
     def word_difficulty(self) -> tuple[np.ndarray, np.ndarray]:
-        """Difficulty and weight by bucket."""
-        return self.scale.shift + self.scale.slope * self.scale.difficulty, self.scale.weight
+        """Difficulty and slope by bucket."""
+        return self.words.difficulty(), self.words.slope
