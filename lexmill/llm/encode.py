@@ -1,14 +1,19 @@
 """Encoding a corpus with a public byte-level BPE tokenizer (problem 7).
 
-The distinct words of a shard of the corpus are encoded together: an inverted
-index leads from each token pair to the places it stands at, and the merges are
-replayed over it in rank order. A merge visits only the places of its own pair
-and enters only the two new pairs at each into the index, so the work is in
-proportion to the merges done. A merge can only create pairs of later ranks (a
-pair of a token has a rank after the one that makes the token), so one pass in
-ascending order is the whole encoding. Documents are then put together from
-their words' ids; words met before, in this shard or an earlier one of the same
-worker, aren't replayed.
+The corpus is encoded word by word, each distinct word once. A first pass splits
+the texts into words; shards of them send their distinct words to the words'
+partitions, where the words of all shards meet. There the merges are replayed: an
+inverted index leads from each token pair to the places it stands at in all the
+words, and the merges are applied in rank order. A merge visits only the places
+of its own pair and enters only the two new pairs at each into the index, so the
+work is in proportion to the merges done. A merge can only create pairs of later
+ranks (a pair of a token has a rank after the one that makes the token), so one
+pass in ascending order is the whole encoding. The ids go back to the shards,
+which put their documents together.
+
+A words' partition is as large as Spark's shuffle partitions are made; what it
+replays at once is bounded by ``_REPLAYED`` bytes, which keeps memory level and
+changes no id, as words don't touch each other.
 
 Defined results: null and empty texts have an empty list of ids; strings that
 spell special tokens are ordinary text; no special tokens are added; texts of
@@ -24,13 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words a worker remembers before it starts anew.
-REMEMBERED = 400_000
-#: Ids sent in one batch.
-_IDS_A_BATCH = 2_000_000
+from lexmill.sources.shared import kept
+
+# --- fixed values: how byte-level tokenizers split a text into words ----------
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# -----------------------------------------------------------------------------
+
+#: Characters of a shard's texts, bytes of words replayed at once, buckets of words for each shuffle partition.
+_SHARD, _REPLAYED, _BUCKETS = 2_000_000, 2_000_000, 4
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,12 +51,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _pattern(pre_tokenizer: dict) -> str:
+    """The pattern of a tokenizer file's words."""
+    for step in pre_tokenizer.get("pretokenizers", [pre_tokenizer]):
+        if step["type"] == "Split":
+            return step["pattern"]["Regex"]
+        if step["type"] == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space"):
+            return BYTE_LEVEL
+    raise ValueError("the tokenizer splits words in a way that isn't known")
+
+
 class Merges:
-    """Ids of the single bytes, and for each mergeable pair (as one integer) its rank and the id made."""
+    """The pattern of words, ids of the single bytes, and for each mergeable pair (as one integer) its rank and the id made."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            stored = json.load(f)
+        model = stored["model"]
+        self.pattern = _pattern(stored["pre_tokenizer"])
         vocab = model["vocab"]
         self.single = [0] * 256
         for letter, byte in byte_letters().items():
@@ -125,73 +148,157 @@ class Merges:
         return out[alive], total[ends] - total[ends - lengths]
 
 
-class Vocabulary:
-    """The words a worker has encoded, as places in one array of ids."""
+def _bucket(word: str, buckets: int) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % buckets
+
+
+_ROW = {"kind": pa.int32(), "shard": pa.int64(), "bucket": pa.int32(), "key": pa.string(), "places": pa.binary(), "words": pa.list_(pa.string()), "ids": pa.binary(), "counts": pa.binary()}
+_ROW_DDL = "kind int, shard bigint, bucket int, key string, places binary, words array<string>, ids binary, counts binary"
+
 
-    def __init__(self, merges: Merges) -> None:
-        self.merges = merges
-        self.clear()
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in _ROW.items()], names=list(_ROW))
 
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids = np.zeros(0, dtype=np.int32)
-        self.first, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def learn(self, words: set[str]) -> None:
-        new = sorted(words.difference(self.number))
-        if not new:
-            return
-        ids, counts = self.merges.encode(new)
-        first = len(self.ids) + np.concatenate(([0], np.cumsum(counts)[:-1]))
-        self.number.update(zip(new, range(len(self.first), len(self.first) + len(new))))
-        self.ids = np.concatenate((self.ids, ids))
-        self.first, self.count = np.concatenate((self.first, first)), np.concatenate((self.count, counts))
+def _ints(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype=np.int32)
 
-    def texts(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids one after another, and how many each has."""
-        number = self.number.__getitem__
-        per_text = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        at = np.fromiter((x for text in words for x in map(number, text)), dtype=np.int64, count=int(per_text.sum()))
-        counts = self.count[at]
-        ends = np.cumsum(counts)
-        whole = np.repeat(self.first[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-        total = np.concatenate(([0], ends))
-        bounds = np.concatenate(([0], np.cumsum(per_text)))
-        return self.ids[whole], np.diff(total[bounds])
 
+def split_texts(df: DataFrame, key: str, text: str, pattern: str, buckets: int) -> DataFrame:
+    """Rows of documents (kind 1: shard, key, numbers of their words) and of shards' distinct words (kind 0, by bucket)."""
 
-_WORKERS: dict[str, Vocabulary] = {}
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = regex.compile(pattern).findall
+        context = TaskContext.get()
+        shard = (context.partitionId() if context else 0) << 32
+        number: dict[str, int] = {}
+        rows: list[dict] = []
+        size = 0
 
+        def ended() -> pa.RecordBatch:
+            groups: dict[int, tuple[list[int], list[str]]] = {}
+            for word, n in number.items():
+                of = groups.setdefault(_bucket(word, buckets), ([], []))
+                of[0].append(n)
+                of[1].append(word)
+            rows.extend({"kind": 0, "shard": shard, "bucket": b, "places": np.array(n, dtype=np.int32).tobytes(), "words": w} for b, (n, w) in groups.items())
+            return _batch(rows)
 
-def encode_texts(df: DataFrame, key: str, text: str, merges_path: str, pattern: str) -> DataFrame:
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                places = [number.setdefault(w, len(number)) for w in words_of(t)] if t else []
+                rows.append({"kind": 1, "shard": shard, "key": k, "places": np.array(places, dtype=np.int32).tobytes()})
+                size += len(t) if t else 0
+                if size > _SHARD:
+                    yield ended()
+                    shard, size, number, rows = shard + 1, 0, {}, []
+        if rows:
+            yield ended()
+
+    return df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInArrow(split, _ROW_DDL)
+
+
+def encoded_words(words: DataFrame, merges: Broadcast, buckets: int) -> DataFrame:
+    """Rows of kind 0 with ids and counts: every distinct word of the corpus replayed once, in its bucket's partition."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[str, int] = {}
+        waiting: list[tuple[int, int, bytes, np.ndarray]] = []
+        new: list[str] = []
+        size, bucket = 0, None
+        ids, counts = [], []
+
+        def replay() -> None:
+            nonlocal new, size
+            if new:
+                of = merges.value.encode(new)
+                ids.append(of[0])
+                counts.append(of[1])
+            new, size = [], 0
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            replay()
+            all_ids, all_counts = np.concatenate(ids), np.concatenate(counts)
+            ends = np.cumsum(all_counts)
+            for shard, own_bucket, places, at in waiting:
+                n = all_counts[at]
+                begin = np.repeat(ends[at] - n - (np.cumsum(n) - n), n)
+                own = all_ids[begin + np.arange(int(n.sum()))]
+                yield _batch([{"kind": 0, "shard": shard, "bucket": own_bucket, "places": places, "ids": own.astype(np.int32).tobytes(), "counts": n.astype(np.int32).tobytes()}])
+
+        for batch in batches:  # sorted by bucket
+            for shard, b, places, words_ in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5))):
+                if b != bucket and waiting:
+                    yield from answers()
+                    number, waiting, ids, counts = {}, [], [], []
+                bucket = b
+                at = np.empty(len(words_), dtype=np.int64)
+                for i, w in enumerate(words_):
+                    n = number.get(w)
+                    if n is None:
+                        n = number[w] = len(number)
+                        new.append(w)
+                        size += len(w) * 3
+                        if size > _REPLAYED:
+                            replay()
+                    at[i] = n
+                waiting.append((shard, b, places, at))
+        if waiting:
+            yield from answers()
+
+    return words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode, _ROW_DDL)
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents' ids; of each shard its words come first."""
+    shard, parts, table = None, [], None
+    for batch in batches:
+        kinds, shards = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        keys, out, counted = [], [], []
+        for i, (kind, own) in enumerate(zip(kinds, shards)):
+            if own != shard:
+                shard, parts, table = own, [], None
+            if kind == 0:
+                parts.append(tuple(_ints(batch.column(c)[i].as_py()) for c in (4, 6, 7)))
+                continue
+            if table is None:
+                table = _by_number(parts)
+            at = _ints(batch.column(4)[i].as_py())
+            ids, first, count = table
+            n = count[at]
+            begin = np.repeat(first[at] - (np.cumsum(n) - n), n)
+            own_ids = ids[begin + np.arange(int(n.sum()))]
+            keys.append(batch.column(3)[i].as_py())
+            out.append(own_ids)
+            counted.append(len(own_ids))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counted))), pa.int32())
+        values = pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int32), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.ListArray.from_arrays(offsets, values)], names=["key", "ids"])
+
+
+def _by_number(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, and by word number where its ids begin and how many they are."""
+    if not parts:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    number, ids, counts = (np.concatenate(x) for x in zip(*parts))
+    count, first = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=np.int64)
+    count[number], first[number] = counts, np.cumsum(counts, dtype=np.int64) - counts
+    return ids, first, count
+
+
+def encode_texts(df: DataFrame, key: str, text: str, merges_path: str) -> DataFrame:
     """key and ids (array<int>) of every row of ``df``, by the byte-level BPE stored at ``merges_path``.
 
     The merges are read on the driver and broadcast (the file has a fixed size
     of a few MB).
     """
-    shared = df.sparkSession.sparkContext.broadcast(Merges(merges_path))
-    key_type = df.schema[key].dataType.simpleString()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if merges_path not in _WORKERS:
-            _WORKERS[merges_path] = Vocabulary(shared.value)
-        vocabulary, split = _WORKERS[merges_path], regex.compile(pattern).findall
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            first = size = 0
-            for i, t in enumerate([*texts, None]):
-                size += len(t) if t else 0
-                if i == len(texts) or size > _IDS_A_BATCH:
-                    last = min(i + 1, len(texts))
-                    words = [split(x) if x else [] for x in texts[first:last]]
-                    if len(vocabulary.number) > REMEMBERED:
-                        vocabulary.clear()
-                    vocabulary.learn(set().union(*words) if words else set())
-                    ids, counts = vocabulary.texts(words)
-                    offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-                    lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["key", "ids"])
-                    first, size = last, 0
-
-    rows = df.select(F.col(key), F.col(text)).mapInArrow(encode, f"key {key_type}, ids array<int>")
-    return rows.select(F.col("key").alias(key), "ids")
+    spark = df.sparkSession
+    merges = Merges(merges_path)
+    shared = spark.sparkContext.broadcast(merges)
+    buckets = _BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # kept, as shards are numbered by the task that makes them
+    split = kept(split_texts(df, key, text, merges.pattern, buckets))
+    words = encoded_words(split.where("kind = 0"), shared, buckets)
+    both = split.where("kind = 1").unionByName(words)
+    rows = both.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_assembled, "key string, ids array<int>")
+    return rows.select(F.col("key").cast(df.schema[key].dataType).alias(key), "ids")

@@ -93,14 +93,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, sf_dir, "chunk_metadata"), "vector_chunk_id", "source_file", "content").pairs_across_sources()
 
 
-#: Where the public tokenizers' files are, and how byte_bpe_50k splits text into words.
+#: Where the public tokenizers' files are.
 TOKENIZERS = os.environ.get("LEXMILL_TOKENIZERS", "/opt/tokenizers")
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as ids of byte_bpe_50k."""
-    return encode.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", os.path.join(TOKENIZERS, "byte_bpe_50k.json"), WORD_PATTERN)
+    return encode.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", os.path.join(TOKENIZERS, "byte_bpe_50k.json"))
 
 
 #: Letters and digits in a row that a document must share with an item, by the item's language.
