@@ -29,18 +29,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.sources.shared import kept
+
 # --- fixed values: letters of other scripts that look like Latin ones -------
 CYRILLIC = {
     "а": "a", "е": "e", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "ѕ": "s", "у": "y", "х": "x",
-    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "Ӏ": "I",
     "А": "A", "В": "B", "Е": "E", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
     "С": "C", "Ѕ": "S", "Т": "T", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W",
 }
 GREEK = {
-    "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j",
+    "α": "a", "ι": "i", "ο": "o", "ν": "v", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
 }
+ARMENIAN = {"օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "Օ": "O", "Տ": "S"}
+CHEROKEE = {
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C",
+    "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+}
 #: Look-alikes of the ASCII hyphen.
 HYPHENS = r"‐‑‒–⁃˗−﹘﹣－"
 #: Invisible characters (ranges): controls that aren't white space, soft hyphen, joiners, marks of direction,
@@ -52,18 +59,20 @@ IGNORABLE = (
 )
 # -----------------------------------------------------------------------------
 
-SCRIPTS = ("latin", "cyrillic", "greek")
-LATIN_OF = {**CYRILLIC, **GREEK}
+#: Numbered from 0.
+SCRIPTS = ("latin", "cyrillic", "greek", "armenian", "cherokee")
+_TABLES = (CYRILLIC, GREEK, ARMENIAN, CHEROKEE)
+LATIN_OF = {**CYRILLIC, **GREEK, **ARMENIAN, **CHEROKEE}
 _READINGS: dict[str, tuple[tuple[int, str], ...]] = {}
-for _script, _table in ((1, CYRILLIC), (2, GREEK)):
+for _script, _table in enumerate(_TABLES, 1):
     for _own, _latin in _table.items():
         _READINGS[_latin] = (*_READINGS.get(_latin, ((0, _latin),)), (_script, _own))
 _LATTICE = {**_READINGS, **{own: _READINGS[latin] for own, latin in LATIN_OF.items()}}
 
 _IGNORED = re.compile(f"[{IGNORABLE}]+")
 _HYPHEN = re.compile(f"[{HYPHENS}]")
-_FOREIGN = re.compile(r"[Ͱ-ϿЀ-ԯᲀ-᲏]")
-_MIXED_TOKEN = re.compile(r"[A-Za-zª-ɏ̀-ϿЀ-ԯ]+")
+_FOREIGN = re.compile("[\u0370-\u058f\u13a0-\u13ff\u1c80-\u1c8f]")
+_MIXED_TOKEN = re.compile("[A-Za-z\u00aa-\u024f\u0300-\u058f\u13a0-\u13ff]+")
 _AMBIGUOUS_TOKEN = re.compile(f"(?<![^\\W\\d_])[{''.join(_READINGS)}]+(?![^\\W\\d_])")
 _NOT_ALNUM = re.compile(r"[\W_]+")
 
@@ -78,7 +87,7 @@ def has_foreign_letters(text: str) -> bool:
 
 
 def script_of(letter: str) -> int:
-    """0 Latin, 1 Cyrillic, 2 Greek, -1 anything else."""
+    """The script's place in SCRIPTS, -1 for anything else."""
     o = ord(letter)
     if o < 0x250:
         return 0 if letter.isalpha() else -1
@@ -86,7 +95,9 @@ def script_of(letter: str) -> int:
         return 2
     if 0x400 <= o < 0x530 or 0x1C80 <= o < 0x1C90:
         return 1
-    return -1
+    if 0x530 <= o < 0x590:
+        return 3
+    return 4 if 0x13A0 <= o < 0x1400 else -1
 
 
 class Speller:
@@ -104,13 +115,13 @@ class Speller:
         self.counts = counts or {}
         self.totals: Counter = Counter()
         self.alive = {0}
-        letters: dict[int, set[str]] = {0: set(), 1: set(), 2: set()}
+        letters: dict[int, set[str]] = {s: set() for s in range(len(SCRIPTS))}
         for (script, a, b), n in self.counts.items():
             self.totals[script, a] += n
             letters[script].update((a, b))
             self.alive.add(script)
         self.size = {s: len(x) + 60 for s, x in letters.items()}
-        self.weight = {s: math.log((sum(n for (k, _), n in self.totals.items() if k == s) + 1)) for s in (0, 1, 2)}
+        self.weight = {s: math.log((sum(n for (k, _), n in self.totals.items() if k == s) + 1)) for s in range(len(SCRIPTS))}
         self.seen: dict[str, str] = {}
 
     def score(self, script: int, a: str, b: str) -> float:
@@ -335,10 +346,13 @@ def equal_looking(keys: DataFrame) -> DataFrame:
     ends in the first aggregation; only texts of forms with several go on.
     """
     several = keys.groupBy("form").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where("a <> b").select("form")
-    rows = keys.join(several, "form", "left_semi").distinct()
-    other = rows.select("form", F.col("key").alias("right_key"), F.col("stored").alias("right_stored"))
-    pairs = rows.join(other, "form").where("stored <> right_stored and key < right_key")
-    return pairs.select(F.col("key").alias("left_key"), "right_key").distinct()
+    rows = kept(keys.join(several, "form", "left_semi").distinct())
+    # spellings of a form meet first, then their members: copies of one spelling are never held against each other
+    spelled = rows.select("form", F.col("stored").alias("a")).distinct()
+    met = spelled.join(spelled.select("form", F.col("a").alias("b")), "form").where("a < b")
+    left, right = rows.select("form", F.col("stored").alias("a"), F.col("key").alias("x")), rows.select("form", F.col("stored").alias("b"), F.col("key").alias("y"))
+    pairs = met.join(left, ["form", "a"]).join(right, ["form", "b"]).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("left_key"), F.greatest("x", "y").alias("right_key")).distinct()
 
 
 def matching_headings(keys: DataFrame, agreed: DataFrame) -> DataFrame:

@@ -11,10 +11,22 @@ from lexmill.llm import boilerplate, encode, forms, leakage, neardup, neighbours
 from lexmill.sources.tables import table
 
 
+def _speller(chunks: DataFrame, agreed: DataFrame) -> forms.Speller:
+    return forms.learn_speller(chunks.select("content", "heading").unionByName(agreed.select(F.lit(None).cast("string").alias("content"), "heading")))
+
+
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's content and heading in one form."""
+    chunks, agreed = table(spark, sf_dir, "chunk_metadata"), table(spark, sf_dir, "heading_ref")
+    speller = _speller(chunks, agreed)
+    rows = chunks.select("vector_chunk_id", "content", "heading")
+    return forms.with_one_form(forms.with_one_form(rows, "content", "content", speller), "heading", "heading", speller).distinct()
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents and headings that look the same but are stored with different characters."""
     chunks, agreed = table(spark, sf_dir, "chunk_metadata"), table(spark, sf_dir, "heading_ref")
-    speller = forms.learn_speller(chunks.select("content", "heading").unionByName(agreed.select(F.lit(None).cast("string").alias("content"), "heading")))
+    speller = _speller(chunks, agreed)
     contents = forms.form_keys(chunks, "vector_chunk_id", "content", speller).persist()
     headings = forms.form_keys(chunks, "vector_chunk_id", "heading", speller)
     pairs = forms.equal_looking(contents)
@@ -131,6 +143,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_forms": p1_forms,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,

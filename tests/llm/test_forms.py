@@ -61,3 +61,15 @@ def test_headings_and_columns(spark):
     shown = O.with_one_form(heads, "heading", "form")
     assert shown.columns == ["k", "heading", "form"] and [r["form"] for r in shown.orderBy("k").collect()] == ["A1", "A1", None]
     assert O.equal_looking(keys(heads.where(F.lit(False)), "k")).count() == 0
+
+
+def test_more_scripts_that_look_latin():
+    for odd, plain in (("paypa\u04cf", "paypal"), ("\u03b1lpha", "alpha"), ("\u13aapple", "Apple"), ("g\u0585\u0585d", "good")):
+        assert O.one_form(odd) == plain
+    assert O.one_form("5 \u03bcm, 3 \u03a9, \u03c9t") == "5 \u03bcm, 3 \u03a9, \u03c9t"  # letters that look like no Latin one
+
+
+def test_copies_of_one_spelling_are_not_paired(spark):
+    rows = [(f"c{i}", "same text") for i in range(50)] + [("odd", "sam\u0435 text"), ("c1", "same text")]
+    keys = O.form_keys(spark.createDataFrame(rows, "k string, t string"), "k", "t", O.LATIN_SPELLER)
+    assert {tuple(r) for r in O.equal_looking(keys).collect()} == {tuple(sorted((f"c{i}", "odd"))) for i in range(50)}

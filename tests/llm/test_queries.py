@@ -70,5 +70,5 @@ def hollow(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_null_columns(spark, hollow, name):
     rows = Q.QUERIES[name](spark, hollow).collect()
-    whole = {"p7_ids", "p3_repaired", "p4_cleaned"}  # a row for every document or chunk
+    whole = {"p1_forms", "p7_ids", "p3_repaired", "p4_cleaned"}  # a row for every document or chunk
     assert bool(rows) == (name in whole)
