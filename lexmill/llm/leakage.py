@@ -12,10 +12,13 @@ in the same document are merged to spans.
 An item and a document share a run of at least w letters or digits exactly if
 some phrase of w of the item stands in the document, so the result is exact.
 
-Defined results: null, empty and short texts and items have no hits; items
-without a window length for their language have none; texts of any length are
-treated whole (a text longer than a shard is a shard of its own, cut with
-an overlap of the longest window).
+The items are a table of any size: they are sent to the tasks in blocks of a
+measured size, one block after the other against the whole corpus.
+
+Defined results: null, empty and short texts and items have no hits; an item of
+another or of no language has the default window; texts of any length are
+treated whole (a text longer than a shard is cut into shards of its own that
+overlap by the longest window, and its spans are merged again).
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.forms import all_letters_and_digits, letters_and_digits
@@ -33,6 +36,7 @@ from lexmill.llm.forms import all_letters_and_digits, letters_and_digits
 SHARD = 1 << 21
 _BITS = 21
 _STRIDE = 32
+_PHRASES = 1 << 18  # phrases searched in step
 
 
 def suffix_array(codes: np.ndarray, symbols: int) -> np.ndarray:
@@ -167,7 +171,7 @@ class FMIndex:
 
 
 def phrases_of(items: list[tuple[int, str, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By window: all distinct phrases (code points), and item and place of each occurrence, by phrase number."""
+    """By window: all phrases (code points), and the item and place of each."""
     by: dict[int, tuple[list, list, list]] = {}
     for item, text, window in items:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -180,63 +184,97 @@ def phrases_of(items: list[tuple[int, str, int]]) -> dict[int, tuple[np.ndarray,
     return {w: tuple(np.concatenate(x) for x in of) for w, of in by.items()}
 
 
+#: Bytes of normal texts of items that are sent to the tasks at once.
+ITEM_BYTES = 8 << 20
+
+
+def item_blocks(items: DataFrame, key: str, text: str, window: Column, most: int = ITEM_BYTES) -> Iterator[list[tuple[int, str, int]]]:
+    """The items (id, text, window) in blocks of about ``most`` bytes, by hash of their id."""
+    rows = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("i"), F.col(text).alias("t"), window.cast("int").alias("w"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-size // most))
+    for n in range(blocks):
+        block = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n)
+        yield [tuple(r) for r in block.collect()]  # about ``most`` bytes
+
+
+def leaked_from(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, window: Column) -> DataFrame:
+    """``leaked_spans`` for a table of items of any size."""
+    spans = None
+    for block in item_blocks(items, item_key, item_text, window):
+        own = leaked_spans(df, key, text, block)
+        spans = own if spans is None else spans.unionByName(own)
+    return spans
+
+
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """item, start, length: spans of an item that overlap or touch as one."""
+    out: list[tuple[int, int, int]] = []
+    for item, start, length in sorted(spans):
+        if out and out[-1][0] == item and start <= out[-1][1] + out[-1][2]:
+            last = out[-1]
+            out[-1] = (item, last[1], max(last[2], start + length - last[1]))
+        else:
+            out.append((item, start, length))
+    return out
+
+
 def leaked_spans(df: DataFrame, key: str, text: str, items: list[tuple[int, str, int]]) -> DataFrame:
     """key, item_id, start, length of every merged run a row's text shares with an item.
 
-    ``items`` are (id, text, window): the test set is a fixed, small table and
-    is sent with the tasks. start and length are in letters and digits.
+    ``items`` are (id, text, window), a block that can be sent with the tasks.
+    start and length are in letters and digits.
     """
     normal = [(i, letters_and_digits(t), w) for i, t, w in items]
-    shared = df.sparkSession.sparkContext.broadcast(phrases_of(normal))
+    shared = df.sparkSession.sparkContext.broadcast(normal)
     longest = max((w for _, _, w in items), default=1)
     key_type = df.schema[key].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: list[tuple[object, int, str]] = []
-        size = 0
+        phrases = phrases_of(shared.value)
+        shard: list[tuple[object, str]] = []
+        size, step = 0, SHARD - 2 - longest
         for batch in batches:
             for k, own in zip(batch.column(0).to_pylist(), all_letters_and_digits(batch.column(1).to_pylist())):
-                step = SHARD - 2 - longest
-                for at in range(0, max(1, len(own)), step):
-                    part = own[at : at + step + longest - 1] if len(own) > step else own
-                    if size + len(part) + 1 > SHARD - 1:
-                        yield hits(shard)
-                        shard, size = [], 0
-                    if part:
-                        shard.append((k, at, part))
-                        size += len(part) + 1
+                if len(own) > step:
+                    parts = [(at, own[at : at + step + longest - 1]) for at in range(0, len(own), step)]
+                    found = [(item, start + at, length) for at, part in parts for _, item, start, length in hits([part], phrases)]
+                    yield rows_of([(k, *s) for s in _merged(found)])
+                    continue
+                if size + len(own) + 1 > SHARD - 1:
+                    yield rows_of([(shard[n][0], *s) for n, *s in hits([t for _, t in shard], phrases)])
+                    shard, size = [], 0
+                if own:
+                    shard.append((k, own))
+                    size += len(own) + 1
         if shard:
-            yield hits(shard)
+            yield rows_of([(shard[n][0], *s) for n, *s in hits([t for _, t in shard], phrases)])
 
-    def hits(shard: list[tuple[object, int, str]]) -> pa.RecordBatch:
-        index = FMIndex([t for _, _, t in shard])
+    def hits(texts: list[str], phrases: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int]]:
+        """Text number, item, start and length of the spans of a shard."""
+        index = FMIndex(texts)
         found = []
-        for window, (phrases, item, _) in shared.value.items():
-            rows, low, high = index.find(phrases)
-            counts = high - low
-            if len(rows):
-                ends = np.cumsum(counts)
-                at = np.repeat(low - (ends - counts), counts) + np.arange(ends[-1])
-                place = index.locate(at)
-                text_no = np.searchsorted(index.starts, place, "right") - 1
-                found.append(np.stack((text_no, np.repeat(item[rows], counts), place - index.starts[text_no], np.full(len(place), window))))
-        keys: list = []
-        items_: list = []
-        starts: list = []
-        lengths: list = []
-        if found:
-            rows4 = np.unique(np.concatenate(found, axis=1), axis=1)
-            new = np.concatenate(([True], (np.diff(rows4[0]) != 0) | (np.diff(rows4[1]) != 0) | (rows4[2, 1:] > rows4[2, :-1] + rows4[3, :-1])))
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(new)) - 1
-            for f, e in zip(first, last):
-                k, offset, _ = shard[rows4[0, f]]
-                keys.append(k)
-                items_.append(int(rows4[1, f]))
-                starts.append(int(rows4[2, f]) + offset)
-                lengths.append(int(rows4[2, e] + rows4[3, e] - rows4[2, f]))
-        kinds = pa.from_numpy_dtype(np.int32) if key_type == "int" else pa.int64() if key_type == "bigint" else pa.string()
-        return pa.RecordBatch.from_arrays([pa.array(keys, kinds), pa.array(items_, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], names=["key", "item_id", "start", "length"])
+        for window, (wanted, item, _) in phrases.items():
+            for first in range(0, len(wanted), _PHRASES):
+                rows, low, high = index.find(wanted[first : first + _PHRASES])
+                counts = high - low
+                if len(rows):
+                    ends = np.cumsum(counts)
+                    place = index.locate(np.repeat(low - (ends - counts), counts) + np.arange(ends[-1]))
+                    text_no = np.searchsorted(index.starts, place, "right") - 1
+                    found.append(np.stack((text_no, np.repeat(item[first + rows], counts), place - index.starts[text_no], np.full(len(place), window))))
+        if not found:
+            return []
+        of = np.unique(np.concatenate(found, axis=1), axis=1)
+        new = np.concatenate(([True], (np.diff(of[0]) != 0) | (np.diff(of[1]) != 0) | (of[2, 1:] > of[2, :-1] + of[3, :-1])))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(new)) - 1
+        return list(zip(of[0, first].tolist(), of[1, first].tolist(), of[2, first].tolist(), (of[2, last] + of[3, last] - of[2, first]).tolist()))
+
+    def rows_of(spans: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*spans)) or [(), (), (), ()]
+        kinds = (pa.int32() if key_type == "int" else pa.int64() if key_type == "bigint" else pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "item_id", "start", "length"])
 
     rows = df.select(F.col(key), F.col(text)).where(F.col(text).isNotNull() & F.col(key).isNotNull())
     spans = rows.mapInArrow(search, f"key {key_type}, item_id bigint, start bigint, length bigint")

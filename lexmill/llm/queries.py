@@ -114,14 +114,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", os.path.join(TOKENIZERS, "byte_bpe_50k.json"))
 
 
-#: Letters and digits in a row that a document must share with an item, by the item's language.
-SHARED_RUN = {"en": 50, "zh": 20}
+#: Letters and digits in a row that a document must share with an item, by the item's language, and for any other.
+SHARED_RUN, ANY_RUN = {"en": 50, "zh": 20}, 50
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "eval_item").where(F.col("lang").isin(*SHARED_RUN) & F.col("text").isNotNull())
-    held_out = [(r["item_id"], r["text"], SHARED_RUN[r["lang"]]) for r in items.select("item_id", "text", "lang").collect()]
-    return leakage.leaked_spans(table(spark, sf_dir, "documents"), "doc_id", "text", held_out).withColumn("item_id", F.col("item_id").cast("int"))
+    window = F.coalesce(F.create_map(*(F.lit(x) for pair in SHARED_RUN.items() for x in pair))[F.col("lang")], F.lit(ANY_RUN))
+    items = table(spark, sf_dir, "eval_item")
+    return leakage.leaked_from(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "text", window).withColumn("item_id", F.col("item_id").cast("int"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,3 +58,29 @@ def test_text_longer_than_a_shard(spark, monkeypatch):
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     assert L.leaked_spans(df, "doc_id", "text", [(5, "a needle needle 99 b", 12)]).select("doc_id", "item_id").distinct().count() == 1
     assert L.leaked_spans(df.limit(0), "doc_id", "text", [(5, "a needle needle 99 b", 12)]).count() == 0
+
+
+def test_spans_across_the_parts_of_a_long_text(spark, monkeypatch):
+    """A passage that a cut runs through is one span, as it is in a text of one shard."""
+    item = "abcdefghij" * 60
+    text = "x" * 700 + item[:500] + "y" * 1500
+    df = spark.createDataFrame([("k", text)], "doc_id string, text string")
+    whole = L.leaked_spans(df, "doc_id", "text", [(1, item, 12)]).collect()
+    monkeypatch.setattr(L, "SHARD", 1024)
+    parts = L.leaked_spans(df, "doc_id", "text", [(1, item, 12)]).collect()
+    assert whole == parts and [(r["start"], r["length"]) for r in parts] == [(700, 500)]
+
+
+def test_items_in_blocks_and_of_any_language(spark):
+    from pyspark.sql import functions as F
+
+    texts = [f"passage {i} of the held out set number {i * 17}" for i in range(40)]
+    items = spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)] + [(None, "no id", "en"), (99, None, "en")], "item_id int, text string, lang string")
+    window = F.when(F.col("lang") == "en", 12).otherwise(14)
+    assert sum(len(b) for b in L.item_blocks(items, "item_id", "text", window)) == 40
+    blocks = list(L.item_blocks(items, "item_id", "text", window, most=300))
+    assert len(blocks) > 3 and sorted(i for b in blocks for i, *_ in b) == list(range(40))
+    docs = spark.createDataFrame([(1, "so " + texts[3].upper() + "!"), (2, texts[6])], "doc_id bigint, text string")
+    whole = {tuple(r) for r in L.leaked_from(docs, "doc_id", "text", items, "item_id", "text", window).collect()}
+    assert {(1, 3), (2, 6)} <= {r[:2] for r in whole}
+    assert L.leaked_from(docs, "doc_id", "text", items.limit(0), "item_id", "text", window).count() == 0
