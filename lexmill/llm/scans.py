@@ -2,19 +2,24 @@
 
 Three kinds of noise are found line by line, and repaired:
 
-- page furniture: digits are masked and lines reduced to a skeleton in which
-  glyphs that scans confuse are one; a line is furniture if it is a page number,
-  names the document's own model number like a title, or has a template that
-  recurs in two or more scanned sources while (nearly) no unscanned source has
-  such lines. Templates are made only of lines with a digit and of at most 80
-  characters;
-- misread words: words of the corpus are grouped by confusable-glyph skeleton;
-  the frequent form of a group replaces a rare one where both stand beside the
-  same neighbouring word. Han characters, which aren't written in words, are
-  compared with the characters they are confused with by the counts of the
-  pairs they form with their neighbours;
+- page furniture: digits are masked and lines reduced to a template of skeletons,
+  in which glyphs that scans confuse are one and punctuation is left out. A line
+  is furniture if it is a page number; if it repeats its document's title or file
+  name; if its template recurs in two or more scanned sources, the same in each,
+  while (nearly) no unscanned source has such lines; or if it recurs on a large
+  share of one scanned source's rows and in no unscanned source. A line that
+  lost, gained or changed one character of such a template counts too. A running
+  header or footer is a line of at most 80 characters that isn't a sentence; one
+  without digits stands among the first or last two lines of its row;
+- misread words: words of the corpus are grouped by confusable-glyph skeleton; a
+  frequent form of a group replaces a rare one where both stand beside the same
+  neighbouring words, of several forms the one with the most such neighbours.
+  Han characters, which aren't written in words, are compared with the characters
+  they are confused with by the counts of the pairs they form with their
+  neighbours;
 - broken words: a hyphen ends a line and the word goes on in the next line of
-  text; the joined word must be one of the corpus (as it is, or by skeleton).
+  text (furniture and at most ``REACH`` lines between); the joined word must be
+  one of the corpus (as it is, or by skeleton; of several the most frequent).
 
 All counts are made over the whole corpus in one pass of partial sums. A source
 counts as scanned if page number lines or broken words are frequent in it. The
@@ -36,6 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.forms import LATIN_OF, has_foreign_letters, one_form, without_ignorable
+from lexmill.sources.shared import kept, sized
 
 # --- fixed values: glyphs that scans take for one another --------------------
 #: Latin letters and digits, as the strokes they are confused by.
@@ -43,6 +49,8 @@ STROKES = {
     "b": "ii", "d": "ci", "e": "c", "f": "t", "g": "9", "h": "ii", "i": "i", "l": "i", "1": "i", "|": "i", "m": "rn",
     "o": "0", "s": "5", "u": "ii", "w": "vv", "z": "2", "q": "9", "é": "c", "è": "c", "ö": "0", "ü": "ii", "á": "a", "ù": "ii", "å": "a",
 }
+#: Strokes by which one glyph is written above.
+PAIRS = ("ii", "ci", "rn", "vv")
 #: Han characters of like shape.
 HAN_ALIKE = (
     "壓厭", "顯顥", "換喚", "測側", "度庋", "滑猾", "清請情", "頭頗", "間問", "記訂", "電雷", "載戴", "鎖銷", "軸釉",
@@ -74,8 +82,14 @@ _PAGE_LINE = re.compile(
     rf"[\W_]*(?:(?:pa9c|p9|p)\b)?[\W_]*({_DIGIT}{{1,4}})(?:[\W_]*(?:/|0t)[\W_]*{_DIGIT}{{1,4}})?[\W_]*"
     rf"|第?\W*({_DIGIT}{{1,4}})\W*頁(?:\W*共\W*{_DIGIT}{{1,4}}\W*頁)?|頁\W*({_DIGIT}{{1,4}})(?:\W*共\W*{_DIGIT}{{1,4}}\W*頁)?"
 )
-_VALUE = re.compile(r"[A-Za-z]{1,3}-?\d[\w.-]*|(?<![^\W\d_])[\d.]*\d(?![^\W\d_])")
-_MODEL = re.compile(r"[A-Z]{2}-?\d{2,4}")
+_VALUE = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{1,3}[^\w\s]{0,2}\d(?:[A-Za-z0-9.-]*\d)?[A-Za-z]?(?![a-z])|(?<![^\W\d_])[\d.]*\d(?![^\W\d_])")
+_END_NUMBER = re.compile(r"^[\W_]*\d{1,4}(?=[\s|])|(?<=[\s|])\d{1,4}[\W_]*$")
+_MASKS = re.compile(r"[^\w#]+|_+")
+_BAR = re.compile(r"(?<!\w)\|(?!\w)")
+#: Longest line that may be a running header or footer, shortest template (bytes) that is compared with a character's tolerance.
+LONGEST, TOLERANT = 80, 10
+#: Lines within which a broken word goes on.
+REACH = 5
 _HAN = f"[{''.join(_HAN_OF)}]"
 _HAN_PLACE = re.compile(f"(?=(.){_HAN}(.))")
 _NOT_HAN = re.compile(r"[^㐀-鿿]+")
@@ -86,13 +100,53 @@ def skeleton(text: str) -> str:
     return text.lower().translate(_SKELETON)
 
 
-def line_shape(line: str) -> tuple[str, str] | None:
-    """Skeleton and masked template of a line that could be furniture, else None."""
-    form = one_form(line)
-    if not form or len(form) > 80 or _SENTENCE.search(form) or not any(c.isdigit() for c in form):
+def _template(form: str) -> str:
+    masked = re.sub("#+", "#", _MASKS.sub("", skeleton(_VALUE.sub("#", form))))
+    return masked.strip("#")
+
+
+def line_shape(line: str, edge: bool = False) -> tuple[str, str] | None:
+    """Skeleton (without a page number at its ends) and masked template of a line that could be furniture, else None.
+
+    ``edge`` says that the line is among the first or last of its row, where it
+    needn't have digits.
+    """
+    form = _BAR.sub(" ", one_form(line)).strip()
+    if not form or len(form) > LONGEST or _SENTENCE.search(form) or not (edge or any(c.isdigit() for c in form)):
         return None
-    template = skeleton(_VALUE.sub("#", form)).replace(" ", "")
-    return skeleton(form.replace(" ", "")), template
+    template = _template(form)
+    if not template:
+        return None
+    return _MASKS.sub("", skeleton(_END_NUMBER.sub("", form))), template
+
+
+def title_shapes(*names: str | None) -> set[str]:
+    """Skeletons of a title or file name as headers repeat them; a file name also without a number that it ends in."""
+    out = set()
+    for name in names:
+        if name:
+            whole = re.sub(r"\.[A-Za-z0-9]{2,4}$", "", name).replace("_", " ")
+            for part in (whole, re.sub(r"\s+[A-Za-z]{0,3}\d+$", "", whole)):
+                shape = _MASKS.sub("", skeleton(one_form(part)))
+                if len(shape.encode()) >= TOLERANT:
+                    out.add(shape)
+    return out
+
+
+def one_off(text: str, glyphs: bool = False) -> list[str]:
+    """The text, and all it could be without one of its characters (``glyphs``: or of its glyphs of two strokes); short texts only themselves."""
+    if len(text.encode("utf-8", "surrogatepass")) < TOLERANT:
+        return [text]
+    out = [text, *(text[:i] + text[i + 1 :] for i in range(len(text)))]
+    if glyphs:
+        out += [text[:i] + text[i + 2 :] for i in range(len(text) - 1) if text[i : i + 2] in PAIRS]
+    return list(dict.fromkeys(out))
+
+
+def edges_of(lines: list[str]) -> set[int]:
+    """The first and last two lines that aren't blank."""
+    filled = [i for i, line in enumerate(lines) if line.strip()]
+    return {*filled[:2], *filled[-2:]}
 
 
 _LATIN = str.maketrans(LATIN_OF)
@@ -171,12 +225,11 @@ def corpus_counts(df: DataFrame, key: str, source: str, page: str, text: str) ->
                 evidence[origin, "chunk"] += 1
                 seen: set[tuple[str, str]] = set()
                 lines = content.split("\n")
+                edges = edges_of(lines)
                 for i, line in enumerate(lines):
-                    if len(line) > 100:
-                        continue
                     if is_page_line(line, number):
                         evidence[origin, "page_line"] += 1
-                    elif (shape := line_shape(line)) is not None:
+                    elif len(line) <= 2 * LONGEST and (shape := line_shape(line, i in edges)) is not None:
                         seen.add(shape)
                     elif i + 1 < len(lines) and _BROKEN.search(line) and _GOES_ON.match(lines[i + 1]):
                         evidence[origin, "broken"] += 1
@@ -204,64 +257,74 @@ def scanned_sources(counts: DataFrame, share: float = 0.05, least: int = 2, alon
     return of.where(frequent | ((F.col("signs") >= 1) & (F.col("signs") >= alone * F.col("chunks")))).select("source")
 
 
-def furniture_keys(counts: DataFrame, scanned: DataFrame) -> DataFrame:
-    """key (``NUL template``): line templates of running headers and footers.
+def furniture_templates(counts: DataFrame, scanned: DataFrame, share: float = 0.3) -> DataFrame:
+    """source (null: any), template: line templates of running headers and footers.
 
-    Such a line is the same on page after page of a scanned source, in several
-    of them, and (nearly) no unscanned source has lines of its template.
+    Such a line is the same on page after page of a scanned source, in several of
+    them, and (nearly) no unscanned source has lines of its template; or it stands
+    in at least ``share`` of one scanned source's rows and in no unscanned source.
     """
     lines = counts.where("kind = 'line'").select(F.col("a").alias("s"), F.substring_index("b", "\0", 1).alias("template"), "n")
     of = lines.groupBy("s", "template").agg(F.sum("n").alias("lines"), F.max("n").alias("same"))
-    marked = of.join(scanned.withColumn("scan", F.lit(1)), F.col("s") == F.col("source"), "left")
+    marked = of.join(scanned.withColumn("scan", F.lit(1)), F.col("s") == F.col("source"), "left").drop("source")
     scan = F.col("scan") == 1
     again = scan & (F.col("lines") >= 2)
     per = marked.groupBy("template").agg(
         F.count("scan").alias("scans"), (F.count("*") - F.count("scan")).alias("others"), F.sum(F.when(scan, F.col("lines"))).alias("lines"),
         F.count(F.when(again, 1)).alias("running"), F.sum(F.when(again, F.col("lines"))).alias("again"), F.sum(F.when(again, F.col("same"))).alias("same"),
-    )
+    ).where(F.length(F.regexp_replace("template", "[^\\p{L}]", "")) >= 3)
     running = "running >= 2 and others <= 0.25 * scans and again >= 0.5 * lines and again >= 3 * running and same >= 0.7 * again"
-    return per.where(running).where(F.length(F.regexp_replace("template", "[^\\p{L}]", "")) >= 3).select(F.concat(F.lit("\0"), "template").alias("key"))
+    everywhere = per.where(running).select(F.lit(None).cast("string").alias("source"), "template")
+    rows = counts.where("kind = 'evidence' and b = 'chunk'").select(F.col("a").alias("s"), F.col("n").alias("chunks"))
+    own = marked.where(scan & (F.col("same") >= 3)).join(rows, "s").where(F.col("same") >= share * F.col("chunks"))
+    alone = own.join(per.where("others = 0").select("template"), "template", "left_semi").select(F.col("s").alias("source"), "template")
+    return everywhere.unionByName(alone)
+
 
+def furniture_keys(templates: DataFrame) -> DataFrame:
+    """key (NUL template, or NUL template NUL source) of the templates and all they could be without one character."""
+    off = F.pandas_udf(lambda s: s.map(lambda t: one_off(t, glyphs=True)), "array<string>")
+    tail = F.coalesce(F.concat(F.lit("\0"), "source"), F.lit(""))
+    return templates.select(F.explode(off("template")).alias("t"), tail.alias("tail")).select(F.concat(F.lit("\0"), "t", "tail").alias("key")).distinct()
 
-def with_furniture(scanned: DataFrame, counts: DataFrame, keys: DataFrame) -> DataFrame:
+
+def with_furniture(scanned: DataFrame, counts: DataFrame, templates: DataFrame) -> DataFrame:
     """source: ``scanned`` and the sources that have lines of a header's or footer's template."""
-    lines = counts.where("kind = 'line'").select(F.col("a").alias("source"), F.concat(F.lit("\0"), F.substring_index("b", "\0", 1)).alias("key"))
-    return scanned.unionByName(lines.join(keys, "key", "left_semi").select("source")).distinct()
+    lines = counts.where("kind = 'line'").select(F.col("a").alias("source"), F.substring_index("b", "\0", 1).alias("template"))
+    return scanned.unionByName(lines.join(templates.where("source is null").select("template"), "template", "left_semi").select("source")).distinct()
 
 
 def word_forms(counts: DataFrame, ratio: int = 10, least: int = 5) -> DataFrame:
-    """word, form: rare words and the frequent word they stand for, both seen beside the same word."""
-    pairs = counts.where("kind = 'words'").select(F.col("a").alias("left"), F.col("b").alias("word"), "n").persist()
+    """word, form, support: rare words and the frequent words they could stand for, with the neighbours both have."""
+    pairs = counts.where("kind = 'words'").select(F.col("a").alias("left"), F.col("b").alias("word"), "n")
     words = pairs.where("word <> '#'").groupBy("word").agg(F.sum("n").alias("n"))
     strokes = F.pandas_udf(lambda s: s.map(skeleton), "string")
     # only words that share a skeleton meet; a group is bounded by the spellings of one skeleton
-    grouped = words.where(F.length("word") >= least - 2).withColumn("strokes", strokes("word"))
-    forms = grouped.where(f"length(word) >= {least} and word rlike '^\\\\p{{L}}+$'")
-    best = forms.groupBy("strokes").agg(F.max(F.struct("n", "word")).alias("best"))
-    rare = grouped.join(best, "strokes").where(f"word <> best.word and best.n >= {ratio} * n").select("word", F.col("best.word").alias("form"))
+    grouped = kept(words.where(F.length("word") >= least - 2).withColumn("strokes", strokes("word")))
+    forms = grouped.where(f"length(word) >= {least} and word rlike '^\\\\p{{L}}+$'").select("strokes", F.col("word").alias("form"), F.col("n").alias("often"))
+    rare = grouped.join(forms, "strokes").where(f"word <> form and often >= {ratio} * n").select("word", "form")
     letters = lambda w: F.array_sort(F.split(w, ""))
     rare = rare.where(letters(F.col("word")) != letters(F.col("form")))  # letters in another order are a typing error
     halves = pairs.where("left <> '#'").select("word", F.concat("left", "word").alias("both")).join(words.where("n >= 3").select(F.col("word").alias("both")), "both", "left_semi")
-    rare = rare.join(halves.select("word").distinct(), "word", "left_anti")  # the rest of a word that was cut
-    before = pairs.where("left <> '#'").select("left", "word")
-    beside = before.select(F.col("word").alias("w"), F.concat(F.lit("<"), "left").alias("context"))
-    after = pairs.where("word <> '#' and left <> '#'").select(F.col("left").alias("w"), F.concat(F.lit(">"), "word").alias("context"))
-    contexts = beside.unionByName(after)
-    of_rare = rare.join(contexts, rare["word"] == contexts["w"]).select("word", "form", "context")
+    rare = sized(rare.join(halves.select("word").distinct(), "word", "left_anti"))  # less the rest of a word that was cut
+    before = pairs.where("left <> '#'").select(F.col("word").alias("w"), F.concat(F.lit("<"), "left").alias("context"), "n")
+    after = pairs.where("word <> '#' and left <> '#'").select(F.col("left").alias("w"), F.concat(F.lit(">"), "word").alias("context"), "n")
+    contexts = before.unionByName(after)
     # both sides, and the neighbour may be damaged itself, hence any one of them
-    supported = of_rare.join(contexts.select(F.col("w").alias("form"), "context"), ["form", "context"], "left_semi")
-    return supported.select("word", "form").distinct()
+    of_rare = sized(contexts.join(rare, contexts["w"] == rare["word"]).select("word", "form", "context"))
+    both = contexts.withColumnRenamed("w", "form").join(of_rare, ["form", "context"])
+    return both.groupBy("word", "form").agg(F.sum("n").cast("double").alias("support"))
 
 
 def known_words(counts: DataFrame, least: int = 3) -> DataFrame:
-    """word: words of letters seen ``least`` times or more."""
+    """word, n: words of letters seen ``least`` times or more."""
     words = counts.where("kind = 'words' and b <> '#'").groupBy(F.col("b").alias("word")).agg(F.sum("n").alias("n"))
-    return words.where(f"n >= {least} and word rlike '^\\\\p{{L}}{{4,}}$'").select("word")
+    return words.where(f"n >= {least} and word rlike '^\\\\p{{L}}{{4,}}$'")
 
 
 def han_forms(counts: DataFrame, ratio: float = 25.0) -> DataFrame:
-    """trigram, form: trigrams whose middle is taken for a look-alike that forms frequent pairs with both neighbours."""
-    tri = counts.where("kind = 'han'").select(F.col("a").alias("trigram"), "n").persist()
+    """trigram, form, support: trigrams whose middle is taken for a look-alike that forms frequent pairs with both neighbours."""
+    tri = kept(counts.where("kind = 'han'").select(F.col("a").alias("trigram"), "n"))
     left = tri.groupBy(F.substring("trigram", 1, 2).alias("pair")).agg(F.sum("n").alias("n"))
     right = tri.groupBy(F.substring("trigram", 2, 2).alias("pair")).agg(F.sum("n").alias("n"))
     alike = tri.sparkSession.createDataFrame([(c, o) for c, others in _HAN_OF.items() for o in others], "c string, o string")
@@ -272,7 +335,7 @@ def han_forms(counts: DataFrame, ratio: float = 25.0) -> DataFrame:
     sure = (F.col("l2") * F.col("r2") >= ratio * F.col("l1") * F.col("r1")) & (F.col("l2") >= F.col("l1")) & (F.col("r2") >= F.col("r1"))
     # at the edge of a Han run only the other side says something
     known_sides = F.when(F.col("l") != "#", 1).otherwise(0) + F.when(F.col("r") != "#", 1).otherwise(0)
-    return each.where(sure & (known_sides > 0) & (F.col("l2") + F.col("r2") >= 6)).select("trigram", F.col("o").alias("form"))
+    return each.where(sure & (known_sides > 0) & (F.col("l2") + F.col("r2") >= 6)).select("trigram", F.col("o").alias("form"), (F.col("l2").cast("double") * F.col("r2")).alias("support"))
 
 
 def candidates(df: DataFrame, key: str, source: str, title: str, page: str, text: str) -> DataFrame:
@@ -280,25 +343,31 @@ def candidates(df: DataFrame, key: str, source: str, title: str, page: str, text
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masked = _Masked()
+        titles: dict[tuple[str | None, str], set[str]] = {}
         for batch in batches:
             rows: list[tuple] = []
+            titles.clear()
             for item, origin, name, number, content in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 found: set[tuple] = set()
-                models = [skeleton(m) for m in dict.fromkeys(_MODEL.findall(f"{name or ''} {origin}"))]
-                named = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, models))})(?!\w)").search if models else None
+                if (name, origin) not in titles:
+                    titles[name, origin] = {v for shape in title_shapes(name, origin) for v in one_off(shape, glyphs=True)}
+                titled = titles[name, origin]
                 lines = content.split("\n")
+                edges = edges_of(lines)
                 starts = [_GOES_ON.match(line) for line in lines]
                 carried: set[int] = set()  # lines that may begin with the rest of a word
                 for i, line in enumerate(lines):
-                    if len(line) <= 100:
-                        if is_page_line(line, number):
+                    if is_page_line(line, number):
+                        found.add((i, "page_furniture", None))
+                    elif len(line) <= 2 * LONGEST and (shape := line_shape(line, i in edges)) is not None:
+                        if any(v in titled for v in one_off(shape[0])):
                             found.add((i, "page_furniture", None))
-                        elif (shape := line_shape(line)) is not None:
-                            if named and named(skeleton(one_form(line))):
-                                found.add((i, "page_furniture", None))
-                            found.add((i, "page_furniture", f"\0{shape[1]}"))
+                        else:
+                            for v in one_off(shape[1]):
+                                found.add((i, "page_furniture", f"\0{v}"))
+                                found.add((i, "page_furniture", f"\0{v}\0{origin}"))
                     if m := _BROKEN.search(line):
-                        for j in range(i + 1, min(i + 6, len(lines))):
+                        for j in range(i + 1, min(i + 1 + REACH, len(lines))):
                             if not starts[j]:
                                 continue
                             if all(k not in carried or is_page_line(lines[k], number) or line_shape(lines[k]) for k in range(i + 1, j)):
@@ -328,45 +397,36 @@ def candidates(df: DataFrame, key: str, source: str, title: str, page: str, text
     return picked.mapInArrow(look, "item_id string, line_no int, noise string, key string")
 
 
-#: Rows up to which a table of accepted forms is broadcast.
-BROADCAST_ROWS = 300_000
-
-
-def sized(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if it has no more than BROADCAST_ROWS rows."""
-    df = df.persist()
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 class ScanNoise:
     """The corpus' statistics and what they say about its scanned rows."""
 
     def __init__(self, df: DataFrame, key: str, source: str, title: str, page: str, text: str) -> None:
         self.df, self.columns = df, (key, source, title, page, text)
-        counts = corpus_counts(df, key, source, page, text).persist()
+        counts = kept(corpus_counts(df, key, source, page, text))
         surely = sized(scanned_sources(counts))
-        furniture = sized(furniture_keys(counts, surely))
-        self.scanned = sized(with_furniture(surely, counts, furniture))
+        templates = sized(furniture_templates(counts, surely))
+        self.scanned = sized(with_furniture(surely, counts, templates))
         self.words, self.han = word_forms(counts), han_forms(counts)
-        known = known_words(counts)
+        known = kept(known_words(counts))
         strokes = F.pandas_udf(lambda s: s.map(skeleton), "string")
+        row = lambda noise, key, form, support: (F.lit(noise).alias("noise"), key.alias("key"), form.alias("form"), support.cast("double").alias("support"))
         accepted = [
-            furniture.select(F.lit("page_furniture").alias("noise"), "key", F.lit(None).cast("string").alias("form")),
-            self.words.select(F.lit("misread").alias("noise"), F.col("word").alias("key"), "form"),
-            self.han.select(F.lit("misread").alias("noise"), F.col("trigram").alias("key"), "form"),
-            known.select(F.lit("broken_word").alias("noise"), F.col("word").alias("key"), F.col("word").alias("form")),
-            known.where("length(word) >= 5").select(F.lit("broken_word").alias("noise"), strokes("word").alias("key"), F.col("word").alias("form")),
+            furniture_keys(templates).select(*row("page_furniture", F.col("key"), F.lit(None).cast("string"), F.lit(0))),
+            self.words.select(*row("misread", F.col("word"), F.col("form"), F.col("support"))),
+            self.han.select(*row("misread", F.col("trigram"), F.col("form"), F.col("support"))),
+            known.select(*row("broken_word", F.col("word"), F.col("word"), F.lit(float("inf")))),
+            known.where("length(word) >= 5").select(*row("broken_word", strokes("word"), F.col("word"), F.col("n"))),
         ]
         first, *rest = accepted
         for more in rest:
             first = first.unionByName(more)
-        self.accepted = sized(first.groupBy("noise", "key").agg(F.min("form").alias("form")))
+        self.accepted = sized(first.groupBy("noise", "key").agg(F.max_by("form", F.struct("support", "form")).alias("form")))
 
     def found(self) -> DataFrame:
         """item_id, line_no, noise, key, form of all noise; furniture is nothing else."""
         key, source, title, page, text = self.columns
         scans = self.df.join(self.scanned, F.col(source) == self.scanned["source"], "left_semi")
-        could_be = candidates(scans, key, source, title, page, text).persist()
+        could_be = kept(candidates(scans, key, source, title, page, text))
         sure = could_be.where("key is null").withColumn("form", F.lit(None).cast("string"))
         rest = could_be.where("key is not null").join(self.accepted, ["noise", "key"])
         noise = sure.select("item_id", "line_no", "noise", "key", "form").unionByName(rest.select("item_id", "line_no", "noise", "key", "form"))

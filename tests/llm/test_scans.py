@@ -54,3 +54,41 @@ def test_repair(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id string, src string, title string, page int, text string")
     assert S.ScanNoise(df, "id", "src", "title", "page", "text").found().count() == 0
+
+
+def test_headers_without_digits_of_one_source_and_damaged_ones(spark):
+    body = "the pressure of the valve must remain below the limit\ntighten the screws of the cylinder and inspect the bearing"
+    rows = [(f"n{i}", f"n{i % 4}.pdf", None, i, f"{body}\nplain end {'abcdefghij'[i % 10]}") for i in range(20)]
+    head = "Nightly Workshop Bulletin"
+    for p in range(1, 11):
+        own = {4: "Nightly Works.op Bulletin", 5: "Nightly Workshop Bulle tin"}.get(p, head)
+        rows.append((f"s{p}", "scan.pdf", None, p, f"{own}\n{body}\n- {p} -"))
+    df = spark.createDataFrame(rows, "id string, src string, title string, page int, text string")
+    got = {(r["item_id"], r["line_no"]) for r in S.ScanNoise(df, "id", "src", "title", "page", "text").found().where("noise = 'page_furniture'").collect()}
+    assert got == {(f"s{p}", n) for p in range(1, 11) for n in (0, 3)}
+
+
+def test_titles_as_headers():
+    shapes = S.title_shapes("Pump XY-12 manual", "Pump_XY-12_manual_D0007.pdf")
+    for line in ("Pump XY-12 manual", "PUMP  XY·12 manual   7", "12 | Pump XY-12 manual"):
+        assert S.line_shape(line)[0] in shapes
+    assert any(v in {o for t in shapes for o in S.one_off(t, glyphs=True)} for v in S.one_off(S.line_shape("Pump XY-1. manual")[0]))
+    assert S.line_shape("Tighten it, then check XY-12.") is None and S.line_shape("x" * 90 + " 7") is None
+
+
+def test_the_supported_form_mends(spark):
+    """Of several frequent words of one skeleton the one with the same neighbours is meant; of several characters the one that forms the pairs."""
+    assert S.skeleton("heard") == S.skeleton("beard")
+    clean = ["we heard voices in the hall"] * 12 + ["his beard grows long"] * 30
+    rows = [(f"n{i}", f"n{i % 5}.pdf", None, None, t) for i, t in enumerate(clean)]
+    rows += [(f"s{p}", "scan.pdf", None, p, f"{'we hcard voices in the hall' if p == 2 else 'his beard grows long'}\n- {p} -") for p in range(1, 7)]
+    df = spark.createDataFrame(rows, "id string, src string, title string, page int, text string")
+    noise = S.ScanNoise(df, "id", "src", "title", "page", "text")
+    found = {(r["item_id"], r["line_no"], r["form"]) for r in noise.found().where("noise = 'misread'").collect()}
+    assert found == {("s2", 0, "heard")}
+    assert {r["id"]: r["out"] for r in noise.repaired("out").collect()}["s2"] == "we heard voices in the hall"
+    counts = spark.createDataFrame([("han", "的已經", None, 2), ("han", "自己的", None, 90), ("han", "在巳時", None, 40), ("han", "自巳的", None, 1), ("han", "自已的", None, 1)], "kind string, a string, b string, n bigint")
+    best = {}
+    for r in S.han_forms(counts).collect():
+        best[r["trigram"]] = max(best.get(r["trigram"], (0, "")), (r["support"], r["form"]))
+    assert best["自巳的"][1] == best["自已的"][1] == "己"
