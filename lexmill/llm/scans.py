@@ -56,7 +56,7 @@ HAN_ALIKE = (
     "壓厭", "顯顥", "換喚", "測側", "度庋", "滑猾", "清請情", "頭頗", "間問", "記訂", "電雷", "載戴", "鎖銷", "軸釉",
     "熱熟", "絲緣", "輪輸", "具貝", "風鳳", "達逹", "端瑞", "氣氧", "片斤", "油抽", "檢撿", "己已巳", "未末", "土士",
     "日曰", "千干", "大太犬", "人入八", "王玉", "白自", "木本", "烏鳥", "免兔", "戊戌戍", "待侍", "徵微", "候侯", "買賣",
-    "折拆", "晴睛", "幣弊", "綠緣", "即郎", "科料", "住往", "閉閒", "開閑", "連違", "運連", "水氷",
+    "折拆", "晴睛", "幣弊", "編偏遍", "綠緣", "即郎", "科料", "住往", "閉閒", "開閑", "連違", "運連", "水氷",
     "刀力", "工土", "九丸", "冶治", "沖仲", "洗冼", "准淮", "拔拨", "按接", "技枝", "材村", "板扳", "標漂", "桿捍",
 )
 #: Marks by which a scan's line ends within a word.
@@ -76,7 +76,7 @@ _PLAUSIBLE = re.compile(r"(?=(?:[^a-zà-ɏ]*[a-zà-ɏ]){3})[A-Za-zÀ-ɏ]?[a-zà-
 _BROKEN = re.compile(rf"([A-Za-zÀ-ɏ0-9]+)[{BREAKS}][ \t]*$")
 _GOES_ON = re.compile(r"[ \t]*([a-zà-ɏ0-9]+)")
 _BROKEN_PAIR = re.compile(rf"[A-Za-zÀ-ɏ0-9]+[{BREAKS}][ \t]*\n[ \t]*[a-zà-ɏ0-9]+")
-_SENTENCE = re.compile(r"[。，；！？]|[^\W\d_]{4}[.?!;](?=\s)|[.?!,;]$|,")
+_SENTENCE = re.compile(r"[。，；！？]|[A-Za-zÀ-ɏ]{4}[.?!;](?=\s)|[.?!,;]$|,")
 _DIGIT = r"[02-9i]"  # in skeletons
 _PAGE_LINE = re.compile(
     rf"[\W_]*(?:(?:pa9c|p9|p)\b)?[\W_]*({_DIGIT}{{1,4}})(?:[\W_]*(?:/|0t)[\W_]*{_DIGIT}{{1,4}})?[\W_]*"
@@ -332,8 +332,11 @@ def han_forms(counts: DataFrame, ratio: float = 25.0) -> DataFrame:
     each = each.withColumn("l", F.substring("trigram", 1, 1)).withColumn("r", F.substring("trigram", 3, 1))
     for name, a, b, counted in (("l1", "l", "c", left), ("l2", "l", "o", left), ("r1", "c", "r", right), ("r2", "o", "r", right)):
         each = each.withColumn("pair", F.concat(a, b)).join(counted.withColumnRenamed("n", name), "pair", "left").fillna(0, [name]).drop("pair")
-    sure = (F.col("l2") * F.col("r2") >= ratio * F.col("l1") * F.col("r1")) & (F.col("l2") >= F.col("l1")) & (F.col("r2") >= F.col("r1"))
     # at the edge of a Han run only the other side says something
+    for side, edge in (("l", F.col("l") == "#"), ("r", F.col("r") == "#")):
+        for name in (f"{side}1", f"{side}2"):
+            each = each.withColumn(name, F.when(edge, 1).otherwise(F.col(name)))
+    sure = (F.col("l2") * F.col("r2") >= ratio * F.col("l1") * F.col("r1")) & (F.col("l2") >= F.col("l1")) & (F.col("r2") >= F.col("r1"))
     known_sides = F.when(F.col("l") != "#", 1).otherwise(0) + F.when(F.col("r") != "#", 1).otherwise(0)
     return each.where(sure & (known_sides > 0) & (F.col("l2") + F.col("r2") >= 6)).select("trigram", F.col("o").alias("form"), (F.col("l2").cast("double") * F.col("r2")).alias("support"))
 
@@ -356,21 +359,24 @@ def candidates(df: DataFrame, key: str, source: str, title: str, page: str, text
                 edges = edges_of(lines)
                 starts = [_GOES_ON.match(line) for line in lines]
                 carried: set[int] = set()  # lines that may begin with the rest of a word
+                sure: set[int] = set()
                 for i, line in enumerate(lines):
                     if is_page_line(line, number):
-                        found.add((i, "page_furniture", None))
+                        sure.add(i)
                     elif len(line) <= 2 * LONGEST and (shape := line_shape(line, i in edges)) is not None:
                         if any(v in titled for v in one_off(shape[0])):
-                            found.add((i, "page_furniture", None))
+                            sure.add(i)
                         else:
                             for v in one_off(shape[1]):
                                 found.add((i, "page_furniture", f"\0{v}"))
                                 found.add((i, "page_furniture", f"\0{v}\0{origin}"))
+                found.update((i, "page_furniture", None) for i in sure)
+                for i, line in enumerate(lines):
                     if m := _BROKEN.search(line):
                         for j in range(i + 1, min(i + 1 + REACH, len(lines))):
                             if not starts[j]:
                                 continue
-                            if all(k not in carried or is_page_line(lines[k], number) or line_shape(lines[k]) for k in range(i + 1, j)):
+                            if all(k in sure or not lines[k].strip() for k in range(i + 1, j)):
                                 carried.add(j)
                             whole = (m[1] + starts[j][1]).lower()
                             found.add((i, "broken_word", whole))
