@@ -20,6 +20,38 @@ class Generator(Protocol):
     def __call__(self, messages: list[dict[str, str]]) -> str: ...
 
 
+class Reranker(Protocol):
+    """Scores between 0 and 1 of (question, passage) pairs; ``activated`` makes one of a model that gives logits."""
+
+    def __call__(self, pairs: list[tuple[str, str]]) -> list[float]: ...
+
+
+def activated(logits: Callable[[list[tuple[str, str]]], list[float]]) -> Reranker:
+    """A cross-encoder's logits as scores (sigmoid)."""
+
+    def score(pairs: list[tuple[str, str]]) -> list[float]:
+        return [1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x)) for x in logits(pairs)]
+
+    return score
+
+
+class OverlapReranker:
+    """A stand-in: the share of the question's distinct letters and digits that a passage holds."""
+
+    def __call__(self, pairs: list[tuple[str, str]]) -> list[float]:
+        out = []
+        for question, passage in pairs:
+            asked = {c for c in question.lower() if c.isalnum()}
+            held = passage.lower()
+            out.append(sum(c in held for c in asked) / max(1, len(asked)))
+        return out
+
+
+def token_rate(tokens: int, seconds: float) -> float | None:
+    """Tokens a second of an answer; None if no time is known."""
+    return round(tokens / seconds, 4) if seconds > 0 else None
+
+
 class HashEmbedder:
     """Unit vectors from hashed character bigrams."""
 

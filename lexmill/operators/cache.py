@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import vectors as V
+from lexmill.sources.shared import kept
 
 
 def cache_key(fingerprint: Column, text_sha256: Column) -> Column:
@@ -20,7 +21,8 @@ def upserted(cache: DataFrame, new: DataFrame | None = None) -> DataFrame:
     """Each key's latest row. Partial aggregation runs before the shuffle, so a key with many rewrites is no hot spot."""
     rows = cache if new is None else cache.unionByName(new)
     names = [c for c in rows.columns if c not in ("cache_key", "created_at")]
-    return rows.groupBy("cache_key").agg(F.max_by(F.struct(*names), F.struct("created_at", *names)).alias("r"), F.max("created_at").alias("created_at")).select("cache_key", "r.*", "created_at")
+    later = F.struct("created_at", F.xxhash64(*names))  # rewrites of one time: any, but always the same
+    return rows.groupBy("cache_key").agg(F.max_by(F.struct(*names), later).alias("r"), F.max("created_at").alias("created_at")).select("cache_key", "r.*", "created_at")
 
 
 def usable(cache: DataFrame) -> DataFrame:
@@ -61,6 +63,13 @@ def embed_missing(planned: DataFrame, text: str, embed: Callable[[list[str]], li
     )
 
 
+def embed_texts(texts: DataFrame, text: str, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]], fingerprint: str) -> tuple[DataFrame, DataFrame]:
+    """``texts`` with the vector of each text, and the cache with the new ones: texts whose vector is stored aren't encoded."""
+    planned = plan(texts.withColumn("embedding_text_sha256", F.sha2(text, 256)), cache, fingerprint)
+    full = kept(upserted(cache, embed_missing(planned, text, embed, fingerprint).select(*cache.columns)))
+    return with_vectors(planned, full).drop("embedding_text_sha256", "cached", "cache_key"), full
+
+
 def with_vectors(planned: DataFrame, cache: DataFrame) -> DataFrame:
     """``planned`` with each record's vector, scaled to length one."""
     have = usable(cache).select("cache_key", V.unit_or_null(F.col("vector")).alias("embedding"))

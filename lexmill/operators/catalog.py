@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as X
+from lexmill.sources.shared import kept, sized
+
 
 def last_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The row of each key that comes last in ``order``."""
@@ -56,24 +59,42 @@ def resolve(documents: DataFrame, requests: DataFrame) -> DataFrame:
     A request names a document by exact id, by the beginning of one id, by
     exact file name, or by a part of one file name; the first way that fits
     decides, and one that fits several documents is ambiguous.
+
+    The first three are joins by equality, beginnings of ids at the lengths that
+    are asked for; only what they leave is looked for within the file names.
     """
     known = documents.select("document_id", "source_file").where("document_id is not null").distinct()
-    wanted = F.col("wanted")
-    way = (
-        F.when(F.col("document_id") == wanted, 1)
-        .when(F.startswith("document_id", wanted), 2)
-        .when(F.lower("source_file") == F.lower(wanted), 3)
-        .when(F.contains(F.lower("source_file"), F.lower(wanted)), 4)
-    )
-    # requests are what one user asks: a handful of rows, held against the catalogue
-    held = known.join(F.broadcast(requests), way.isNotNull()).withColumn("way", way)
-    best = held.groupBy("request_id").agg(F.min("way").alias("best"))
-    fits = held.join(best, "request_id").where("way = best").groupBy("request_id").agg(F.countDistinct("document_id").alias("n"), F.min("document_id").alias("document_id"))
-    out = requests.join(fits, "request_id", "left")
+    asked = requests.select("request_id", "wanted")
+    lengths = sorted(r[0] for r in asked.where("wanted <> ''").select(F.char_length("wanted").alias("n")).distinct().collect())  # ids are short, so are these
+    starts = known.select("document_id", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("n"))
+    starts = starts.where(F.char_length("document_id") >= F.col("n")).select(F.substring("document_id", F.lit(1), F.col("n")).alias("wanted"), "document_id").distinct()
+    by_id = asked.join(starts, "wanted").withColumn("way", F.when(F.col("document_id") == F.col("wanted"), 1).otherwise(2))
+    name = F.lower("source_file")
+    by_name = asked.join(known, F.lower("wanted") == name).withColumn("way", F.lit(3))
+    columns = ("request_id", "document_id", "way")
+    sure = kept(by_id.select(*columns).unionByName(by_name.select(*columns)))
+    left = sized(asked.join(sure.select("request_id"), "request_id", "left_anti"))
+    by_part = known.join(left, F.contains(name, F.lower("wanted"))).withColumn("way", F.lit(4)).select(*columns)
+    held = sure.unionByName(by_part)
+    first = held.groupBy("request_id", "way").agg(F.countDistinct("document_id").alias("n"), F.min("document_id").alias("document_id"))
+    best = first.groupBy("request_id").agg(F.min_by(F.struct("n", "document_id"), "way").alias("b")).select("request_id", "b.n", "b.document_id")
+    out = requests.join(best, "request_id", "left")
     outcome = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").otherwise("found")
     return out.select("request_id", F.when(F.col("n") == 1, F.col("document_id")).alias("document_id"), outcome.alias("outcome"))
 
 
+def listing(documents: DataFrame) -> DataFrame:
+    """document_id, source_file, name (title, or file name) of documents, by name."""
+    title = F.nullif(X.strip(F.coalesce("title", F.lit(""))), F.lit(""))
+    return documents.select("document_id", "source_file", F.coalesce(title, "source_file").alias("name"))
+
+
+def with_cache(catalog: DataFrame) -> DataFrame:
+    """Catalogued documents whose pages are stored somewhere."""
+    filled = lambda c: X.strip(F.coalesce(c, F.lit(""))) != ""
+    return catalog.where(filled("cache_dir") & filled("document_id"))
+
+
 def finished_pages(status: DataFrame, results: DataFrame, texts: DataFrame) -> DataFrame:
     """Pages whose latest state is done and of which both files are there (document_id, ocr_config_hash, page)."""
     keys = ["document_id", "ocr_config_hash", "page"]

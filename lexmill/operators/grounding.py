@@ -6,25 +6,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
+from lexmill.operators import search
 
 # --- fixed values ---
 REFUSAL = "文件內容不足以回答這個問題"
 ROLES = ("system", "user", "assistant")
+SYSTEM = "依據文件回答，並以 [S編號-行號] 標示出處。"
 # --------------------
 
 
-def cited_lines(results: DataFrame) -> DataFrame:
-    """citation_id (``S<rank>-<line>``), rank, line_no, line, source_file, page of every line of ranked results that isn't blank."""
-    rows = results.select("rank", "source_file", "page", F.posexplode(X.filled_lines(F.coalesce("content", F.lit("")))).alias("n", "line"))
+def cited_lines(results: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """citation_id (``S<rank>-<line>``), rank, line_no, line, source_file, page of every line of ranked results that isn't blank, by ``keys``."""
+    rows = results.select(*keys, "rank", "source_file", "page", F.posexplode(X.filled_lines(F.coalesce("content", F.lit("")))).alias("n", "line"))
     number = F.col("n") + 1
-    return rows.select(F.format_string("S%d-%d", "rank", number).alias("citation_id"), "rank", number.alias("line_no"), "line", "source_file", "page")
+    return rows.select(*keys, F.format_string("S%d-%d", "rank", number).alias("citation_id"), "rank", number.alias("line_no"), "line", "source_file", "page")
 
 
-def sources(results: DataFrame) -> DataFrame:
-    """source_number, source_file, page: each source once, in the order it is first met."""
-    own = results.where(X.strip(F.coalesce("content", F.lit(""))) != "").select(F.coalesce(F.nullif("source_file", F.lit("")), F.lit("未知文件")).alias("source_file"), F.coalesce("page", F.lit(0)).alias("page"), "rank")
-    met = own.groupBy("source_file", "page").agg(F.min("rank").alias("first"))
-    return met.select(F.row_number().over(Window.orderBy("first")).alias("source_number"), "source_file", "page")  # a few sources
+def sources(results: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """source_number, source_file, page: each source (of each of ``keys``) once, in the order it is first met."""
+    own = results.where(X.strip(F.coalesce("content", F.lit(""))) != "").select(*keys, *_source(), "rank")
+    met = own.groupBy(*keys, "source_file", "page").agg(F.min("rank").alias("first"))
+    return met.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("first")).alias("source_number"), "source_file", "page")
+
+
+def _source() -> tuple[Column, Column]:
+    return F.coalesce(F.nullif("source_file", F.lit("")), F.lit("未知文件")).alias("source_file"), F.coalesce("page", F.lit(0)).alias("page")
+
+
+def contexts(results: DataFrame, limit: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, context, characters: the contents of ranked results under their sources' numbers, until ``limit`` characters are spent.
+
+    Results have rank, source_file, page, content; a result that is blank is left
+    out, the one that doesn't fit is cut.
+    """
+    items = F.array_sort(F.collect_list(F.struct(F.col("rank").cast("int").alias("place"), "content")))
+    spent = results.groupBy(*keys).agg(items.alias("items")).select(*keys, search.budgeted(F.col("items"), limit).alias("b"))
+    kept = spent.select(*keys, F.col("b.used").alias("characters"), F.explode("b.results").alias("r")).select(*keys, "characters", F.col("r.place").alias("rank"), F.col("r.content").alias("content"))
+    named = kept.join(results.select(*keys, F.col("rank").cast("int").alias("rank"), *_source()), [*keys, "rank"])
+    numbers = sources(named, keys)
+    shown = named.withColumn("content", X.strip(F.col("content"))).where("content <> ''").join(numbers, [*keys, "source_file", "page"])
+    block = F.format_string("[來源%d｜%s｜第 %d 頁]\n%s", "source_number", "source_file", "page", "content")
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))["block"], "\n\n")
+    return shown.groupBy(*keys).agg(text.alias("context"), F.first("characters").alias("characters"))
+
+
+def listed_documents(documents: DataFrame) -> Column:
+    """The block of a document in a context that names documents: rank, source_file, title, page_count, score."""
+    title, pages = F.coalesce("title", F.lit("")), F.coalesce(F.col("page_count").cast("string"), F.lit("-"))
+    return F.format_string("[候選文件%d]\n檔名：%s\n標題：%s\n頁數：%s\nE5 分數：%s", "rank", "source_file", title, pages, X.score_text(F.col("score")))
+
+
+def summary_blocks(source_file: Column, summary: Column, topics: Column) -> Column:
+    """What stands before a document's chunks in an overview: its summary and its topics, where there are some."""
+    text = F.nullif(X.strip(F.coalesce(summary, F.lit(""))), F.lit(""))
+    about = F.when(text.isNotNull(), F.concat(F.lit("[文件摘要｜"), source_file, F.lit("]\n"), text))
+    named = F.when(F.size(F.coalesce(topics, F.array().cast("array<string>"))) > 0, F.concat(F.lit("[文件主題｜"), source_file, F.lit("]\n"), F.array_join(topics, "、")))
+    return F.concat_ws("\n\n", about, named)
 
 
 def citations(answer: Column) -> Column:
@@ -55,6 +92,14 @@ def sound_messages(messages: DataFrame) -> DataFrame:
     return messages.where(F.col("role").isin(*ROLES) & (X.strip(F.coalesce("content", F.lit(""))) != "")).withColumn("content", X.strip(F.col("content")))
 
 
+def checked_messages(messages: DataFrame) -> DataFrame:
+    """Messages stripped; an error names the first role that isn't known or the blank content."""
+    text = X.strip(F.coalesce("content", F.lit("")))
+    known = F.coalesce(F.col("role").isin(*ROLES), F.lit(False))
+    wrong = F.when(~known, F.concat(F.lit("no such role: "), F.coalesce("role", F.lit("null")))).when(text == "", F.lit("a message is blank"))
+    return messages.withColumn("content", F.when(wrong.isNull(), text).otherwise(F.raise_error(F.coalesce(wrong, F.lit("")))))
+
+
 def history(messages: DataFrame, most: int) -> DataFrame:
     """The last ``most`` user and assistant messages of each conversation."""
     spoken = sound_messages(messages).where(F.col("role") != "system")

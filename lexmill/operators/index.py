@@ -9,6 +9,7 @@ from lexmill.functions import text as X
 from lexmill.functions import vectors as V
 from lexmill.operators.catalog import last_by
 from lexmill.operators.chunkers import windowed
+from lexmill.sources.shared import kept, sized
 
 #: The order of the index.
 INDEX_ORDER = ("document_id", "page", "chunk_index", "sub_chunk_index", "vector_chunk_id")
@@ -99,20 +100,33 @@ def document_facts(chunks: DataFrame) -> DataFrame:
     return of.withColumn("title", F.coalesce("title", X.stem(F.col("source_file"))))
 
 
-def numbered(records: DataFrame) -> DataFrame:
+def numbered(records: DataFrame, order: tuple[str, ...] = INDEX_ORDER) -> DataFrame:
     """``records`` with faiss_id: places from 0 in the index order.
 
-    Sorted by range, then numbered within partitions from the counts of the
-    partitions before, so that no single task sees all rows.
+    Sorted by range and kept, then numbered within partitions from the counts of
+    the partitions before (a row each), so that no single task sees all rows and
+    a partition that is read again has the same numbers.
     """
-    ordered = records.orderBy(*INDEX_ORDER).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()).persist()
-    sizes = {r["__p"]: r["n"] for r in ordered.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # a row per partition
-    before, starts = 0, []
-    for p in sorted(sizes):
-        starts += [F.lit(p), F.lit(before)]
-        before += sizes[p]
-    start = F.create_map(*starts)[F.col("__p")] if starts else F.lit(0)
-    return ordered.withColumn("faiss_id", (start + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).drop("__p", "__m")
+    ordered = kept(records.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("__p").agg(F.count("*").alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    return ordered.join(sized(starts), "__p").withColumn("faiss_id", F.col("__start") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__m", "__start")
+
+
+def document_table(chunks: DataFrame, count: int, summaries: DataFrame | None = None, share: float = 0.65) -> DataFrame:
+    """The documents' table: facts, vector, its source, summary, topics, representative chunks, and faiss_id in order of document_id.
+
+    ``summaries`` has document_id, embedding, summary, topics for documents that
+    have a summary; their vectors are blended in by ``share``.
+    """
+    middle = centroids(chunks)
+    none = middle.where("false").select("document_id", "embedding", F.lit("").alias("summary"), F.array().cast("array<string>").alias("topics"))
+    own = none if summaries is None else summaries.select("document_id", "embedding", "summary", "topics")
+    vectors = with_summaries(middle, own, share)
+    shown = representatives(chunks, middle, count).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vector_chunk_id")))["vector_chunk_id"].alias("representative_chunk_ids"))
+    facts = document_facts(chunks).select("document_id", "source_file", "title", "page_count", F.col("pages").alias("indexed_page_numbers"), F.col("chunk_count").alias("indexed_chunk_count"))
+    rows = facts.join(vectors, "document_id").join(own.select("document_id", "summary", "topics"), "document_id", "left").join(shown, "document_id", "left")
+    return numbered(rows.withColumn("summary_available", F.col("summary").isNotNull()), ("document_id",))
 
 
 def manifest(chunks: DataFrame, fingerprint: str) -> DataFrame:

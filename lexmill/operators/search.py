@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,8 +58,9 @@ def mode_by_meaning(questions: DataFrame, embed: Callable[[list[str]], list[list
 
     @F.pandas_udf("double")
     def gap(asked: pd.Series) -> pd.Series:
-        best = [[max(sum(a * b for a, b in zip(q, e)) for e in examples) for examples in kinds] for q in embed(asked.tolist())]
-        return pd.Series([o - d for o, d in best])
+        rows = np.asarray(embed(asked.tolist()), dtype=float)
+        overview, detail = ((rows @ np.asarray(examples, dtype=float).T).max(axis=1) for examples in kinds)
+        return pd.Series(overview - detail)
 
     rules = mode_by_rules(F.col("question"), F.col("selected"))
     near = questions.withColumn("__gap", gap("question"))
@@ -107,6 +109,24 @@ def reranked(candidates: DataFrame, top_k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") <= top_k)  # candidates only
 
 
+def unreranked(candidates: DataFrame, top_k: int) -> DataFrame:
+    """Without a reranker: the first ``top_k`` candidates as they stand, no parent left out, rerank_score null."""
+    return candidates.where(F.col("position") <= top_k).withColumn("rerank_score", F.lit(None).cast("double")).withColumn("rank", F.col("position"))
+
+
+def scored(candidates: DataFrame, question: str, rerank: Callable[[list[tuple[str, str]]], list[float]]) -> DataFrame:
+    """``candidates`` with rerank_score by the reranker that is passed in, batch by batch; nulls are read as empty."""
+
+    @F.pandas_udf("double")
+    def score(contents: pd.Series) -> pd.Series:
+        found = rerank([(question, c or "") for c in contents])
+        if len(found) != len(contents):
+            raise ValueError("the reranker must give a score for every candidate")
+        return pd.Series([float(x) for x in found])
+
+    return candidates.withColumn("rerank_score", F.round(score("content"), 6))
+
+
 def overlap_scores(candidates: DataFrame, question: Column) -> DataFrame:
     """A stand-in reranker: the share of the question's distinct characters that a content holds."""
     asked = F.array_distinct(F.filter(F.split(F.lower(question), ""), lambda c: F.rlike(c, F.lit(r"[\p{L}\p{N}]"))))

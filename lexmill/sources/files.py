@@ -10,9 +10,17 @@ from lexmill.functions import text as X
 
 
 def pdf_files(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
-    """path, modificationTime, length (and content) of all PDFs below a folder, by path ignoring case."""
+    """path, modificationTime, length of all PDFs below a folder, by path ignoring case; or, in no order, with their content.
+
+    Without content the files are only listed, not read.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
-    return (found if content else found.drop("content")).orderBy(F.lower("path"), "path")
+    return found if content else found.drop("content").orderBy(F.lower("path"), "path")
+
+
+def json_values(spark: SparkSession, path: str) -> DataFrame:
+    """value (a variant) of every line of JSON lines that isn't blank, whatever it holds; a line that is no JSON is an error."""
+    return spark.read.text(path).where(X.strip(F.col("value")) != "").select(F.parse_json("value").alias("value"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:

@@ -8,43 +8,89 @@ are taken up without state in the stream.
 from __future__ import annotations
 
 import fcntl
+import re
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lexmill.operators.catalog import first_by
 from lexmill.sources.files import pdf_files
+from lexmill.sources.shared import kept
 
 _BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def snapshot(spark: SparkSession, folder: str, settle_s: float, now: str | None = None) -> DataFrame:
+def snapshot(spark: SparkSession, folder: str, settle_s: float, now: str | None = None, known: DataFrame | None = None) -> DataFrame:
     """source_path, document_id, status of the folder's PDFs as they are now.
 
     A file younger than ``settle_s`` waits (waiting_for_stable_file); equal
-    files are one document, by the first of their paths.
+    files are one document, by the first of their paths. Only files that aren't
+    in ``known`` (``hashed`` of before) as they are now are read.
     """
+    rows = hashed(spark, folder, settle_s, now, known)
+    first = first_by(rows.where("document_id is not null"), ["document_id"], [F.lower("path"), F.col("path")])
+    done = first.select(F.col("path").alias("source_path"), "document_id", F.lit("pending").alias("status"))
+    waiting = rows.where("document_id is null").select(F.col("path").alias("source_path"), "document_id", F.lit("waiting_for_stable_file").alias("status"))
+    return done.unionByName(waiting)
+
+
+def hashed(spark: SparkSession, folder: str, settle_s: float, now: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """path, modificationTime, length, document_id (the content's hash; null while a file may still grow) of the folder's PDFs."""
     at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
-    files = pdf_files(spark, folder, content=True).withColumn("stable", F.col("modificationTime") <= at - F.expr(f"make_dt_interval(0, 0, 0, {settle_s})"))
-    rows = files.select(F.col("path").alias("source_path"), F.when(F.col("stable"), F.sha2("content", 256)).alias("document_id"), "stable")
-    known = first_by(rows.where("stable"), ["document_id"], [F.lower("source_path"), F.col("source_path")])
-    return known.withColumn("status", F.lit("pending")).unionByName(rows.where("not stable").withColumn("status", F.lit("waiting_for_stable_file"))).drop("stable")
+    listed = pdf_files(spark, folder).withColumn("stable", F.col("modificationTime") <= at - F.expr(f"make_dt_interval(0, 0, 0, {settle_s})"))
+    same = ["path", "modificationTime", "length"]
+    before = known.where("document_id is not null").select(*same, "document_id") if known is not None else listed.where("false").select(*same, F.lit("").alias("document_id"))
+    files = kept(listed.join(before, same, "left"))
+    changed = [r["path"] for r in files.where("stable and document_id is null").select("path").collect()]  # what came since the last look
+    columns = (*same, "document_id")
+    rest = files.where(F.col("document_id").isNotNull() | ~F.col("stable")).select(*columns)
+    if not changed:
+        return rest
+    new = spark.read.format("binaryFile").load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in changed]).select(*same, F.sha2("content", 256).alias("document_id"))
+    return rest.unionByName(new)
 
 
 def watch(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[DataFrame, int], None], interval_s: int = 15, settle_s: float = 5, once: bool = False) -> StreamingQuery:
-    """Calls ``handle(snapshot, batch)`` whenever files came; with ``once``, for what is there now."""
+    """Calls ``handle(snapshot, batch)`` whenever files came; with ``once``, for what is there now.
+
+    What was hashed is kept beside the checkpoint, two looks of it, so that files
+    are read when they are new or have changed only.
+    """
     arrivals = spark.readStream.format("binaryFile").schema(_BINARY_FILE).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(folder).select("path")
+    seen = f"{checkpoint.rstrip('/')}/hashed"
 
     def each(batch: DataFrame, number: int) -> None:
-        handle(snapshot(batch.sparkSession, folder, settle_s), number)
+        session = batch.sparkSession
+        try:
+            known = session.read.parquet(f"{seen}/{(number + 1) % 2}") if number else None
+        except AnalysisException:  # nothing kept
+            known = None
+        hashed(session, folder, settle_s, known=known).write.mode("overwrite").parquet(f"{seen}/{number % 2}")
+        handle(snapshot(session, folder, settle_s, known=session.read.parquet(f"{seen}/{number % 2}")), number)
 
     writer = arrivals.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{interval_s} seconds")).start()
 
 
+def await_document(query: StreamingQuery, catalog: Callable[[], DataFrame], source_file: str, since: str, timeout_s: float = 1800, look_s: float = 1.0) -> str:
+    """The state of a file's catalog entry that is no older than ``since`` (less half a second), once it is complete or failed; an error after ``timeout_s``."""
+    end = time.monotonic() + timeout_s
+    while time.monotonic() < end:
+        fresh = catalog().where((F.col("source_file") == source_file) & (F.col("updated_at") >= F.lit(since).cast("timestamp") - F.expr("interval 500 milliseconds")))
+        state = fresh.where(F.col("status").isin("complete", "failed")).orderBy(F.desc("updated_at")).select("status").first()
+        if state:
+            return state["status"]
+        if query.exception() is not None:
+            raise RuntimeError("the watch has ended") from query.exception()
+        time.sleep(look_s)
+    raise TimeoutError(source_file)
+
+
 @contextmanager
 def single_writer(path: str) -> Iterator[None]:
     """Holds a lock file on the driver; an error if another process holds it."""
