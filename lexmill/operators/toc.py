@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -116,7 +115,8 @@ def titled_lines(lines: DataFrame, titles: DataFrame, least: float = 0.92) -> Da
 
     A line whose key is a title's has its path; of the other short lines the
     most similar title of about the same length counts, if it is similar
-    enough. Titles have document_id, title, path. Keys meet their document's
+    enough, of equally similar ones the first (by ``place``, if titles have it).
+    Titles have document_id, title, path. Keys meet their document's
     titles by key and, in documents of many titles, by the parts of which similar
     keys must share one, so no pair is lost. A page gets only the titles found on
     it, so the lines are moved once, by page.
@@ -125,7 +125,9 @@ def titled_lines(lines: DataFrame, titles: DataFrame, least: float = 0.92) -> Da
     keyed = lines.withColumn("__key", X.title_key(F.col("line")))
     # keys of longer texts are only compared for equality
     named = lambda key: F.when(F.char_length(key) > 64, F.sha2(key, 256)).otherwise(F.col(key))
-    known = titles.select("document_id", X.title_key(F.col("title")).alias("key"), "path").where("key <> ''").groupBy("document_id", "key").agg(F.min("path").alias("path"))
+    order = F.col("place") if "place" in titles.columns else F.lit(0)
+    known = titles.select("document_id", X.title_key(F.col("title")).alias("key"), "path", order.alias("place")).where("key <> ''")
+    known = known.groupBy("document_id", "key").agg(F.min(F.struct("place", "path")).alias("x")).select("document_id", "key", "x.path", "x.place")
     # distinct short lines that aren't titles themselves, held against the titles of their document
     short = keyed.where(f"__key <> '' and length(__key) <= {_SHORT}").select("document_id", F.col("__key").alias("line_key")).distinct()
     rest = short.join(known.select("document_id", F.col("key").alias("line_key")), ["document_id", "line_key"], "left_anti")
@@ -147,7 +149,7 @@ def titled_lines(lines: DataFrame, titles: DataFrame, least: float = 0.92) -> Da
     by_piece = lambda df, pieces: df.join(many, "document_id", "left").withColumn("piece", F.explode(F.when(F.col("__many"), pieces).otherwise(F.array(F.lit("")))))
     held = by_piece(rest, _pieces_of_lines(F.col("line_key"), least)).join(by_piece(known, _pieces_of_titles(F.col("key"), least)).drop("__many"), ["document_id", "piece"])
     near = held.where(gap & (edits >= 0) & (edits <= left_over + 1e-9)).withColumn("r", ratio("line_key", "key")).where(F.col("r") >= least)
-    best = near.groupBy("document_id", "line_key").agg(F.max_by("path", F.struct("r", "key")).alias("path"))
+    best = near.groupBy("document_id", "line_key").agg(F.min_by("path", F.struct(-F.col("r"), F.col("place"), F.col("key"))).alias("path"))
     matched = known.select("document_id", named("key").alias("__named"), "path").unionByName(best.select("document_id", F.col("line_key").alias("__named"), "path"))
     met = keyed.where("__key <> ''").select(*place, named("__key").alias("__named")).join(matched, ["document_id", "__named"])
     of_page = met.groupBy(*place).agg(F.map_from_entries(F.collect_set(F.struct("__named", "path"))).alias("__titles"))
@@ -155,8 +157,13 @@ def titled_lines(lines: DataFrame, titles: DataFrame, least: float = 0.92) -> Da
     return found.select(*lines.columns, "path")
 
 
-def segments(lines: DataFrame) -> DataFrame:
-    """document_id, segment, path, page_start, page_end, body of lines (document_id, page, line_no, line, path) cut at titles."""
+def segments(lines: DataFrame, toc_pages: DataFrame | None = None) -> DataFrame:
+    """document_id, segment, path, page_start, page_end, body of lines (document_id, page, line_no, line, path) cut at titles.
+
+    Pages of a table of contents (``toc_pages``: document_id, page) are left out.
+    """
+    if toc_pages is not None:
+        lines = lines.join(toc_pages.select("document_id", "page").distinct(), ["document_id", "page"], "left_anti")
     inside = Window.partitionBy("document_id", "page").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("document_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     titles = F.col("path").isNotNull().cast("int")
@@ -186,31 +193,25 @@ def sound_headings(found: DataFrame, pages: DataFrame) -> DataFrame:
 def section_segments(pages: DataFrame, headings: DataFrame) -> DataFrame:
     """document_id, page, place, section_path, body: pages cut at headings, the path carried on from page to page.
 
-    The path is a list that a heading cuts to its level; a level that was
-    skipped isn't invented. One document is one group: its pages in order.
+    A heading cuts the path to its level; a level that was skipped isn't
+    invented, so the depth of the i-th heading of a document is the least of i
+    and of level + (i - j) over all headings j up to it. The path at a place is
+    the last title of each depth up to the present one. Headings alone (and a
+    mark for each page) are ordered by document; lines meet within their page.
     """
-    heads = headings.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(F.struct("start_line", "level", "title"))).alias("heads"))
-    joined = pages.select("document_id", "page", "text").join(heads, ["document_id", "page"], "left")
-
-    def document(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs)).sort_values("page")
-        path: list[str] = []
-        out: list[tuple] = []
-        for document_id, page, text, found in zip(pdf["document_id"], pdf["page"], pdf["text"], pdf["heads"]):
-            at = {h["start_line"]: h for h in (found if found is not None else [])}
-            body: list[str] = []
-            place = 0
-            path = path[:3]
-            for n, line in enumerate([*(text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"), None], 1):
-                if line is not None and n not in at:
-                    body.append(line)
-                    continue
-                if joined_body := "\n".join(body).strip():
-                    place += 1
-                    out.append((document_id, page, place, list(path), joined_body))
-                body = []
-                if line is not None:
-                    path = path[: int(at[n]["level"]) - 1] + [at[n]["title"]]
-        yield pd.DataFrame(out, columns=["document_id", "page", "place", "section_path", "body"])
-
-    return joined.groupBy("document_id").applyInPandas(lambda pdf: next(document(iter([pdf]))), "document_id string, page int, place int, section_path array<string>, body string")
+    page = ["document_id", "page"]
+    marks = pages.select(*page, F.lit(0).alias("start_line"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("title"))
+    so_far = Window.partitionBy("document_id").orderBy("page", "start_line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = headings.select(*page, "start_line", "level", "title").unionByName(marks).withColumn("i", F.count("level").over(so_far))
+    rows = rows.withColumn("depth", F.col("i") + F.least(F.lit(0), F.coalesce(F.min(F.col("level") - F.col("i")).over(so_far), F.lit(0))))
+    last = [F.last(F.when(F.col("level").isNotNull() & (F.col("depth") == k), F.col("title")), ignorenulls=True).over(so_far) for k in (1, 2, 3)]
+    paths = rows.withColumn("path", F.slice(F.array(*last), F.lit(1), F.col("depth").cast("int")))
+    of_page = paths.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("start_line", "path"))).alias("heads"))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
+    lines = pages.join(of_page, page).select(*page, "heads", F.posexplode(F.split(text, "\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)
+    under = lines.withColumn("head", F.element_at(F.filter("heads", lambda h: h["start_line"] <= F.col("n")), -1)).where("head.start_line <> n")
+    bodies = under.groupBy(*page, F.col("head.start_line").alias("start"), F.col("head.path").alias("section_path")).agg(
+        X.strip(F.array_join(F.array_sort(F.collect_list(F.struct("n", "line")))["line"], "\n")).alias("body")
+    )
+    place = F.row_number().over(Window.partitionBy(*page).orderBy("start"))
+    return bodies.where("body <> ''").select(*page, place.alias("place"), "section_path", "body")
