@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
+from lexmill.sources.shared import sized
 
 _LABELS = ("目錄", "目录", "故障查修")
 
@@ -110,24 +111,8 @@ def _pieces_of_titles(key: Column, least: float) -> Column:
     return F.when(F.char_length(key) < len(sizes), F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
 
 
-def titled_lines(lines: DataFrame, titles: DataFrame, least: float = 0.92) -> DataFrame:
-    """``lines`` (document_id, page, line and more) with path where the line is a title of its document.
-
-    A line whose key is a title's has its path; of the other short lines the
-    most similar title of about the same length counts, if it is similar
-    enough, of equally similar ones the first (by ``place``, if titles have it).
-    Titles have document_id, title, path. Keys meet their document's
-    titles by key and, in documents of many titles, by the parts of which similar
-    keys must share one, so no pair is lost. A page gets only the titles found on
-    it, so the lines are moved once, by page.
-    """
-    place = ["document_id", "page"]
-    keyed = lines.withColumn("__key", X.title_key(F.col("line")))
-    # keys of longer texts are only compared for equality
-    named = lambda key: F.when(F.char_length(key) > 64, F.sha2(key, 256)).otherwise(F.col(key))
-    order = F.col("place") if "place" in titles.columns else F.lit(0)
-    known = titles.select("document_id", X.title_key(F.col("title")).alias("key"), "path", order.alias("place")).where("key <> ''")
-    known = known.groupBy("document_id", "key").agg(F.min(F.struct("place", "path")).alias("x")).select("document_id", "key", "x.path", "x.place")
+def _nearly(keyed: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """document_id, line_key, path of short lines that are nearly one of their document's titles."""
     # distinct short lines that aren't titles themselves, held against the titles of their document
     short = keyed.where(f"__key <> '' and length(__key) <= {_SHORT}").select("document_id", F.col("__key").alias("line_key")).distinct()
     rest = short.join(known.select("document_id", F.col("key").alias("line_key")), ["document_id", "line_key"], "left_anti")
@@ -145,12 +130,35 @@ def titled_lines(lines: DataFrame, titles: DataFrame, least: float = 0.92) -> Da
     longest = _SHORT + max(3, _SHORT // 3)
     left_over = (1 - least) * (F.char_length("key") + F.char_length("line_key"))
     edits = F.levenshtein("key", "line_key", int((1 - least) * (_SHORT + longest)) + 1)
-    many = F.broadcast(known.groupBy("document_id").count().where(f"count > {_FEW}").select("document_id", F.lit(True).alias("__many")))  # at most one of 64 titles
+    many = sized(known.groupBy("document_id").count().where(f"count > {_FEW}").select("document_id", F.lit(True).alias("__many")))
     by_piece = lambda df, pieces: df.join(many, "document_id", "left").withColumn("piece", F.explode(F.when(F.col("__many"), pieces).otherwise(F.array(F.lit("")))))
     held = by_piece(rest, _pieces_of_lines(F.col("line_key"), least)).join(by_piece(known, _pieces_of_titles(F.col("key"), least)).drop("__many"), ["document_id", "piece"])
     near = held.where(gap & (edits >= 0) & (edits <= left_over + 1e-9)).withColumn("r", ratio("line_key", "key")).where(F.col("r") >= least)
-    best = near.groupBy("document_id", "line_key").agg(F.min_by("path", F.struct(-F.col("r"), F.col("place"), F.col("key"))).alias("path"))
-    matched = known.select("document_id", named("key").alias("__named"), "path").unionByName(best.select("document_id", F.col("line_key").alias("__named"), "path"))
+    return near.groupBy("document_id", "line_key").agg(F.min_by("path", F.struct(-F.col("r"), F.col("place"), F.col("key"))).alias("path"))
+
+
+def titled_lines(lines: DataFrame, titles: DataFrame, least: float = 0.92, nearly: bool = True) -> DataFrame:
+    """``lines`` (document_id, page, line and more) with path where the line is a title of its document.
+
+    A line whose key is a title's has its path; of the other short lines the
+    most similar title of about the same length counts, if it is similar
+    enough, of equally similar ones the first (by ``place``, if titles have it).
+    Titles have document_id, title, path. Keys meet their document's
+    titles by key and, in documents of many titles, by the parts of which similar
+    keys must share one, so no pair is lost. A page gets only the titles found on
+    it, so the lines are moved once, by page. Without ``nearly`` only equal keys count.
+    """
+    place = ["document_id", "page"]
+    keyed = lines.withColumn("__key", X.title_key(F.col("line")))
+    # keys of longer texts are only compared for equality
+    named = lambda key: F.when(F.char_length(key) > 64, F.sha2(key, 256)).otherwise(F.col(key))
+    order = F.col("place") if "place" in titles.columns else F.lit(0)
+    known = titles.select("document_id", X.title_key(F.col("title")).alias("key"), "path", order.alias("place")).where("key <> ''")
+    known = known.groupBy("document_id", "key").agg(F.min(F.struct("place", "path")).alias("x")).select("document_id", "key", "x.path", "x.place")
+    matched = known.select("document_id", named("key").alias("__named"), "path")
+    if nearly:
+        near = _nearly(keyed, known, least)
+        matched = matched.unionByName(near.select("document_id", F.col("line_key").alias("__named"), "path"))
     met = keyed.where("__key <> ''").select(*place, named("__key").alias("__named")).join(matched, ["document_id", "__named"])
     of_page = met.groupBy(*place).agg(F.map_from_entries(F.collect_set(F.struct("__named", "path"))).alias("__titles"))
     found = keyed.join(of_page, place, "left").withColumn("path", F.try_element_at("__titles", named("__key")))

@@ -1,9 +1,8 @@
 """All queries over the given tables, with the same in SQL where SQL can say it.
 
-Every query reads its tables whole. ``reading_order``, ``toc_entries``,
-``toc_levels`` and ``citation_validation`` read none: they run on the rows
-written here. ``reasoning_split`` runs on documents.lang and source put into a
-tag, not on texts.
+Every query reads its tables whole. ``reading_order``, ``toc_entries`` and
+``toc_levels`` read none, as no table has a layout: they run on the rows written
+here.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from lexmill.config import Settings
 from lexmill.functions import text as X
 from lexmill.functions import vectors as V
 from lexmill.operators import cache, catalog, chunkers, grounding, index, pages, search, toc
+from lexmill.sources.shared import kept
 from lexmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,6 +249,50 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
     return spent.withColumn("remaining", (F.lit(BUDGET) - used).cast("int"))
 
 
+@query(
+    f"""WITH RECURSIVE {EMBEDDED}, {CENTROID}, {REPRESENTATIVE}, items AS (SELECT document_id, p.rank AS place, coalesce(nullif(source_file, ''), '未知文件') AS source_file, coalesce(page, 0) AS page, coalesce(content, '') AS content FROM rep p JOIN chunk USING (document_id, vector_chunk_id, page)),
+fold AS (SELECT document_id, 0::BIGINT AS place, {BUDGET}::BIGINT AS left_, ''::VARCHAR AS kept FROM (SELECT DISTINCT document_id FROM items)
+ UNION ALL SELECT document_id, place, left_ - length(k), k FROM (SELECT f.document_id, f.left_, i.place,
+  CASE WHEN length(i.content) > f.left_ THEN regexp_replace(substring(i.content, 1, f.left_), '{_WS}+$', '') ELSE i.content END AS k FROM fold f JOIN items i ON i.document_id = f.document_id AND i.place = f.place + 1 WHERE f.left_ > 0)),
+shown AS (SELECT f.document_id, f.place, i.source_file, i.page, {_strip_sql('f.kept')} AS content FROM fold f JOIN items i USING (document_id, place) WHERE {_strip_sql('f.kept')} <> ''),
+met AS (SELECT document_id, source_file, page, row_number() OVER (PARTITION BY document_id ORDER BY min(place)) AS n FROM shown GROUP BY 1, 2, 3)
+SELECT document_id, string_agg(concat('[來源', n, '｜', source_file, '｜第 ', page, ' 頁]', chr(10), content), chr(10) || chr(10) ORDER BY place) AS context FROM shown JOIN met USING (document_id, source_file, page) GROUP BY 1"""
+)
+def context_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What a model reads of each document: its representative chunks under their sources' numbers, within the budget."""
+    rows = embedded(spark, d, "document_id", "page", "chunk_index", "sub_chunk_index", "source_file", "content")
+    best = index.representatives(rows, index.centroids(rows), S.representative_count)
+    results = best.join(rows.select("vector_chunk_id", "source_file", "page", "content"), "vector_chunk_id")
+    return grounding.contexts(kept(results), BUDGET, ("document_id",)).select("document_id", "context")
+
+
+@query(f"WITH {_TO_RANKED} SELECT rank::INTEGER AS rank, vector_chunk_id, rerank_score, lexical_score::DOUBLE AS lexical_score FROM ranked")
+def rerank_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates scored by a reranker that is passed in."""
+    own = chunk_rows(spark, d, "parent_chunk_id", "source_file", "page", "content")
+    scores = search.scored(_merged(spark, d).join(own, "vector_chunk_id"), QUESTION, models.OverlapReranker())
+    return search.reranked(scores, S.top_k).select("rank", "vector_chunk_id", "rerank_score", "lexical_score")
+
+
+@query(f"WITH {EMBEDDED}, {DENSE}, {QUESTIONS_SQL}, {WORDS}, {MERGED} SELECT position::INTEGER AS rank, vector_chunk_id, NULL::DOUBLE AS rerank_score FROM merged WHERE position <= {S.top_k}")
+def rerank_off(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates as they are found, without a reranker."""
+    return search.unreranked(_merged(spark, d), S.top_k).select("rank", "vector_chunk_id", "rerank_score")
+
+
+@query(
+    f"""WITH {EMBEDDED}, {CENTROID}, {REPRESENTATIVE}, facts AS (SELECT document_id, min(source_file) AS source_file, coalesce(min(title), regexp_replace(min(source_file), '(.)\\.[^.]*$', '\\1')) AS title,
+ array_to_string(list_sort(list(DISTINCT page)), ',') AS pages, max(page) AS page_count, count(*) AS chunk_count FROM emb GROUP BY 1),
+shown AS (SELECT document_id, string_agg(vector_chunk_id, ',' ORDER BY rank) AS representative_chunks FROM rep GROUP BY 1)
+SELECT row_number() OVER (ORDER BY f.document_id) - 1 AS faiss_id, f.*, 'chunk_centroid' AS vector_source, false AS summary_available, representative_chunks FROM facts f JOIN centroid USING (document_id) JOIN shown USING (document_id)"""
+)
+def document_table(spark: SparkSession, d: str) -> DataFrame:
+    rows = embedded(spark, d, "document_id", "page", "chunk_index", "sub_chunk_index", "source_file", "title", "content")
+    found = index.document_table(rows, S.representative_count)
+    pages_ = F.array_join(F.transform("indexed_page_numbers", lambda p: p.cast("string")), ",").alias("pages")
+    return found.select("faiss_id", "document_id", "source_file", "title", pages_, "page_count", F.col("indexed_chunk_count").alias("chunk_count"), "vector_source", "summary_available", F.array_join("representative_chunk_ids", ",").alias("representative_chunks"))
+
+
 @query()
 def semantic_routing(spark: SparkSession, d: str) -> DataFrame:
     """Every heading as a question, routed by a stand-in embedder."""
@@ -347,7 +391,7 @@ def vector_lengths(spark: SparkSession, d: str) -> DataFrame:
     return cache.usable(table(spark, d, "embedding_cache")).select("cache_key", F.round(V.norm(F.col("vector")), 5).alias("length"))
 
 
-@query()
+@query(f"WITH {_PLAN} SELECT DISTINCT cache_key, embedding_text_sha256 AS text_sha256, 64 AS dimension, 1.0::DOUBLE AS length FROM planned JOIN chunk USING (vector_chunk_id) WHERE NOT cached")
 def incremental_embedding(spark: SparkSession, d: str) -> DataFrame:
     """Vectors for all chunks by a stand-in embedder; texts whose vector is stored aren't encoded."""
     planned = _planned(spark, d, "source_file", "title", "page", "content").withColumn("passage", X.passage_text(F.col("source_file"), F.col("title"), F.col("page"), F.col("content")))
@@ -372,7 +416,7 @@ def index_manifest(spark: SparkSession, d: str) -> DataFrame:
     return index.manifest(chunk_rows(spark, d, "document_id", "content_sha256", "token_count", "page", "sub_chunk_count"), "any")
 
 
-@query(f"WITH {CHUNK} SELECT vector_chunk_id, (row_number() OVER (ORDER BY document_id NULLS FIRST, page NULLS FIRST, chunk_index NULLS FIRST, sub_chunk_index NULLS FIRST, vector_chunk_id) - 1)::INTEGER AS faiss_id FROM chunk")
+@query(f"WITH {CHUNK} SELECT vector_chunk_id, (row_number() OVER (ORDER BY document_id NULLS FIRST, page NULLS FIRST, chunk_index NULLS FIRST, sub_chunk_index NULLS FIRST, vector_chunk_id) - 1)::BIGINT AS faiss_id FROM chunk")
 def index_order(spark: SparkSession, d: str) -> DataFrame:
     return index.numbered(chunk_rows(spark, d, "document_id", "page", "chunk_index", "sub_chunk_index")).select("vector_chunk_id", "faiss_id")
 
@@ -473,7 +517,16 @@ def recurring_lines(spark: SparkSession, d: str) -> DataFrame:
     return pages.recurring_lines(page_rows(spark, d), 0.2)
 
 
-@query()
+_NUMBER_LINE = f"regexp_full_match({_strip_sql('x')}, '\\d{{1,3}}(-\\d{{1,3}})?')"
+
+
+@query(
+    f"""WITH {CHUNK}, {PAGE}, l AS (SELECT document_id, page, {_FILLED} AS l FROM page_text), e AS (SELECT document_id, page, unnest(list_concat(l[1:4], l[-4:])) AS line FROM l),
+k AS (SELECT DISTINCT document_id, page, {_title_key_sql('line')} AS key FROM e WHERE length(line) <= 32 AND NOT starts_with(lower(line), '<table')),
+often AS (SELECT document_id, key FROM k WHERE key <> '' GROUP BY 1, 2 HAVING count(DISTINCT page) >= 3), of_document AS (SELECT document_id, list(key) AS keys FROM often GROUP BY 1),
+shown AS (SELECT document_id, page, coalesce(keys, []) AS keys, list_transform({_lines_sql('text')}, lambda x: CASE WHEN {_strip_sql('x')} = '' THEN '' ELSE x END) AS l FROM page_text LEFT JOIN of_document USING (document_id))
+SELECT document_id, page, {_strip_sql(f"regexp_replace(array_to_string(list_filter(l, lambda x: x = '' OR NOT (list_contains(keys, {_title_key_sql('x')}) OR {_NUMBER_LINE})), chr(10)), chr(10) || '{{3,}}', chr(10) || chr(10), 'g')")} AS text FROM shown"""
+)
 def noise_line_removal(spark: SparkSession, d: str) -> DataFrame:
     rows = page_rows(spark, d)
     return pages.without_noise(rows, pages.edge_lines(rows)).select("document_id", "page", "text")
@@ -540,6 +593,14 @@ def reading_order(spark: SparkSession, d: str) -> DataFrame:
     return pages.reading_order(blocks).select("document_id", "page", "text", "place")
 
 
+@query(
+    f"""WITH {CHUNK}, {PAGE} SELECT document_id, string_agg(concat('## 第 ', page, ' 頁', chr(10), chr(10), regexp_replace(text, '!\\[([^\\]]*)\\]\\((images/[^)]+)\\)', concat('![\\1](pages/page_', lpad(page::VARCHAR, 4, '0'), '/\\2)'), 'g'), chr(10)), chr(10) ORDER BY page) AS markdown
+FROM page_text GROUP BY 1"""
+)
+def document_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return pages.whole_documents(page_rows(spark, d)).select("document_id", "markdown")
+
+
 @query()
 def document_files(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents as Markdown and plain text."""
@@ -576,9 +637,28 @@ def _markdown(spark: SparkSession, d: str) -> DataFrame:
     return chunk_rows(spark, d, "title", "heading", "content").select("vector_chunk_id", body.alias("text"))
 
 
-@query()
+_ATX = f"^(#{{1,6}}){_WS}+(.+?){_WS}*#*{_WS}*$"
+
+
+@query(
+    f"""WITH {CHUNK}, md AS (SELECT vector_chunk_id, concat('# ', coalesce(title, '-'), chr(10), chr(10), '## ', coalesce(nullif(regexp_replace(replace(heading, chr(10), ' '), '^ +| +$', '', 'g'), ''), '-'), chr(10), chr(10), coalesce(content, '')) AS t FROM chunk),
+l AS (SELECT vector_chunk_id, unnest({_lines_sql('t')}) AS line, generate_subscripts({_lines_sql('t')}, 1) AS n FROM md),
+k AS (SELECT *, {_strip_sql('line')} AS bare, lead(line) OVER w AS below FROM l WINDOW w AS (PARTITION BY vector_chunk_id ORDER BY n)),
+c AS (SELECT *, regexp_matches(bare, '{_ATX}') AS atx, bare <> '' AND NOT regexp_matches(bare, '{_ATX}') AND coalesce(regexp_full_match(below, '{_WS}*(=+|-+){_WS}*'), false) AS cand FROM k),
+i AS (SELECT *, n - row_number() OVER (PARTITION BY vector_chunk_id, cand ORDER BY n) AS island FROM c),
+o AS (SELECT *, cand AND row_number() OVER (PARTITION BY vector_chunk_id, cand, island ORDER BY n) % 2 = 1 AS setext FROM i),
+u AS (SELECT *, atx OR setext AS head, coalesce(lag(setext) OVER (PARTITION BY vector_chunk_id ORDER BY n), false) AS under FROM o),
+g AS (SELECT *, sum(head::INT) OVER (PARTITION BY vector_chunk_id ORDER BY n) AS g FROM u),
+h AS (SELECT vector_chunk_id, g, CASE WHEN atx THEN length(regexp_extract(bare, '^(#{{1,6}})', 1)) WHEN starts_with({_strip_sql('below')}, '=') THEN 1 ELSE 2 END AS level, CASE WHEN atx THEN {_strip_sql(f"regexp_extract(bare, '{_ATX}', 2)")} ELSE bare END AS title FROM g WHERE head),
+body AS (SELECT vector_chunk_id, g, {_strip_sql("string_agg(line, chr(10) ORDER BY n)")} AS body FROM g WHERE NOT head AND NOT under GROUP BY 1, 2),
+path AS (SELECT a.vector_chunk_id, a.g, a.level, string_agg(b.title, ' > ' ORDER BY b.g) AS path FROM h a JOIN h b ON b.vector_chunk_id = a.vector_chunk_id AND b.g <= a.g
+ WHERE b.g = a.g OR NOT EXISTS (SELECT 1 FROM h c WHERE c.vector_chunk_id = a.vector_chunk_id AND c.g > b.g AND c.g <= a.g AND c.level <= b.level) GROUP BY 1, 2, 3),
+every AS (SELECT vector_chunk_id, g, path, level, coalesce(body, '') AS body FROM path LEFT JOIN body USING (vector_chunk_id, g) UNION ALL SELECT vector_chunk_id, g, '', NULL, body FROM body WHERE g = 0 AND body <> '')
+SELECT vector_chunk_id, row_number() OVER (PARTITION BY vector_chunk_id ORDER BY g)::INTEGER AS piece_no, path, level::INTEGER AS level, body FROM every"""
+)
 def heading_sections(spark: SparkSession, d: str) -> DataFrame:
-    return chunkers.exploded(_markdown(spark, d), ["text"], chunkers.sections, "path array<string>, level int, body string").select("vector_chunk_id", "piece_no", "path", "level", "body")
+    cut = chunkers.exploded(_markdown(spark, d), ["text"], chunkers.sections, "path array<string>, level int, body string")
+    return cut.select("vector_chunk_id", "piece_no", F.array_join("path", " > ").alias("path"), "level", "body")
 
 
 @query()
@@ -587,19 +667,29 @@ def heading_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunkers.exploded(_markdown(spark, d), ["text"], cut, "content string, path array<string>, level int, strategy string").drop("text")
 
 
+_TABLES = "(?is)<table\\b.*?</table>"
+
+
+def _atoms_sql(x: str) -> str:
+    """Whole tables, and the filled lines between them."""
+    between, held = f"regexp_split_to_array({x}, '{_TABLES}')", f"regexp_extract_all({x}, '{_TABLES}')"
+    filled = f"list_filter(list_transform({_lines_sql(f'({between})[i + 1]')}, lambda y: {_strip_sql('y')}), lambda y: y <> '')"
+    return f"flatten(list_transform(range(len({between})), lambda i: list_concat({filled}, CASE WHEN i < len({held}) THEN [{_strip_sql(f'({held})[i + 1]')}] ELSE [] END)))"
+
+
 _BLOCKS = "block AS (SELECT DISTINCT block_id, heading, text FROM procedure_block)"
 
 
 @query(
-    f"""WITH {_BLOCKS}, whole AS (SELECT block_id, concat_ws(chr(10), nullif(heading, ''), nullif(text, '')) AS body FROM block),
-l AS (SELECT block_id, unnest(list_filter(list_transform({_lines_sql('body')}, lambda x: {_strip_sql('x')}), lambda x: x <> '')) AS line, generate_subscripts(list_filter(list_transform({_lines_sql('body')}, lambda x: {_strip_sql('x')}), lambda x: x <> ''), 1) AS n FROM whole WHERE NOT contains(lower(body), '<table')),
+    f"""WITH {_BLOCKS}, whole AS (SELECT block_id, {_atoms_sql("concat_ws(chr(10), nullif(heading, ''), nullif(text, ''))")} AS a FROM block),
+l AS (SELECT block_id, unnest(a) AS line, generate_subscripts(a, 1) AS n FROM whole),
 m AS (SELECT *, regexp_matches(line, '^\\s*\\d{{1,2}}\\s+[^.)、\\s]') AS h, sum(regexp_matches(line, '^\\s*\\d{{1,2}}\\s+[^.)、\\s]')::INT) OVER (PARTITION BY block_id ORDER BY n) AS g FROM l)
 SELECT block_id, max(CASE WHEN h THEN regexp_extract(line, '^\\s*(\\d{{1,2}})\\s', 1)::INTEGER END) AS step, string_agg(line, chr(10) ORDER BY n) AS body FROM m GROUP BY block_id, g"""
 )
 def procedure_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Steps of the procedure blocks without tables."""
+    """Steps of the procedure blocks, their tables whole."""
     rows = table(spark, d, "procedure_block").select("block_id", "heading", "text").distinct()
-    whole = rows.select("block_id", F.concat_ws("\n", F.nullif("heading", F.lit("")), F.nullif("text", F.lit(""))).alias("whole")).where("not contains(lower(whole), '<table')")
+    whole = rows.select("block_id", F.concat_ws("\n", F.nullif("heading", F.lit("")), F.nullif("text", F.lit(""))).alias("whole"))
     return chunkers.exploded(whole, ["whole"], chunkers.steps, "step int, heading string, body string").select("block_id", "step", "body")
 
 
@@ -612,17 +702,38 @@ def procedure_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunkers.exploded(of, ["body", "source_file"], cut, "content string, steps array<int>").select("document_id", "page", "piece_no", "content", "steps")
 
 
-@query()
+_LEAKS = " OR ".join(f"starts_with({_strip_sql('z')}, '{prefix}')" for prefix in X.LEAK_PREFIXES)
+_UNLEAKED = _strip_sql(f"regexp_replace(array_to_string(list_filter({_lines_sql('text')}, lambda z: NOT ({_LEAKS})), chr(10)), chr(10) || '{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@query(
+    f"""WITH RECURSIVE {CHUNK}, {PAGE}, src AS (SELECT document_id, page, {_UNLEAKED} AS body FROM page_text), parts AS (SELECT document_id, page, {_atoms_sql('body')} AS a FROM src),
+items AS (SELECT document_id, page, unnest(a) AS atom, generate_subscripts(a, 1) AS n FROM parts),
+fold AS (SELECT document_id, page, n, 1 AS piece_no, length(atom) AS held FROM items WHERE n = 1
+ UNION ALL SELECT i.document_id, i.page, i.n, CASE WHEN f.held + 1 + length(i.atom) > {S.step_target} THEN f.piece_no + 1 ELSE f.piece_no END, CASE WHEN f.held + 1 + length(i.atom) > {S.step_target} THEN length(i.atom) ELSE f.held + 1 + length(i.atom) END
+ FROM fold f JOIN items i ON i.document_id = f.document_id AND i.page = f.page AND i.n = f.n + 1)
+SELECT document_id, page, piece_no, string_agg(atom, chr(10) ORDER BY n) AS content FROM fold JOIN items USING (document_id, page, n) GROUP BY 1, 2, 3"""
+)
 def fallback_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = page_rows(spark, d).withColumn("text", X.without_leaks(F.col("text")))
     return chunkers.exploded(rows, ["text"], lambda t: chunkers.line_chunks(t, S.step_target), "content string").drop("text")
 
 
+@query(
+    f"""WITH {CHUNK} SELECT vector_chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY page NULLS FIRST, vector_chunk_id)::INTEGER AS chunk_index,
+row_number() OVER (PARTITION BY document_id, page ORDER BY vector_chunk_id)::INTEGER AS page_chunk_index FROM chunk"""
+)
+def running_chunk_index(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks' places in their documents and pages."""
+    return chunkers.indexed(chunk_rows(spark, d, "document_id", "page"), ["vector_chunk_id"]).select("vector_chunk_id", "chunk_index", "page_chunk_index")
+
+
 @query()
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Pages cut at headings a stand-in detector finds, packed under their path."""
     rows = page_rows(spark, d)
-    numbered = rows.select("document_id", "page", F.concat_ws("\n", F.transform(F.split("text", "\n", -1), lambda x, i: F.concat((i + 1).cast("string"), F.lit("| "), X.strip(x)))).alias("numbered"))
+    lines = pages.numbered_lines(rows, "text").select("document_id", "page", "line_no", F.concat(F.col("line_no").cast("string"), F.lit("| "), X.strip(F.col("line"))).alias("shown"))
+    numbered = lines.groupBy("document_id", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "shown")))["shown"], "\n").alias("numbered"))
     found = chunkers.exploded(numbered, ["numbered"], lambda t: [(h["start_line"], h["level"]) for h in models.rule_headings(t)], "start_line int, level int").select("document_id", "page", "start_line", "level")
     sections = toc.section_segments(rows, toc.sound_headings(found, rows))
     cut = lambda b, p: chunkers.section_chunks(b, list(p), S.section_target, S.section_overlap)
@@ -681,6 +792,25 @@ def title_segments(spark: SparkSession, d: str) -> DataFrame:
     return toc.segments(toc.titled_lines(_line_rows(spark, d).persist(), _titles(spark, d)).persist())
 
 
+_LINES = f"""heads AS (SELECT document_id, page, min(heading) AS head FROM chunk WHERE page IS NOT NULL GROUP BY 1, 2),
+raw AS (SELECT document_id, page, list_concat([coalesce(head, '')], {_lines_sql('text')}) AS l FROM page_text JOIN heads USING (document_id, page)),
+line AS (SELECT document_id, page, generate_subscripts(l, 1) AS line_no, {_strip_sql('unnest(l)')} AS line FROM raw),
+filled AS (SELECT *, {_title_key_sql('line')} AS key FROM line WHERE line <> '')"""
+
+
+@query(
+    f"""WITH {CHUNK}, {PAGE}, {_LINES}, titles AS (SELECT document_id, {_title_key_sql('heading')} AS key, min(heading) AS title FROM chunk WHERE heading IS NOT NULL GROUP BY 1, 2),
+marked AS (SELECT f.*, t.title FROM filled f LEFT JOIN (SELECT * FROM titles WHERE key <> '') t USING (document_id, key)),
+cut AS (SELECT *, sum((title IS NOT NULL)::INT) OVER w AS segment, last_value(title IGNORE NULLS) OVER w AS path FROM marked WINDOW w AS (PARTITION BY document_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING))
+SELECT document_id, segment::BIGINT AS segment, coalesce(any_value(path), '') AS path, min(page) AS page_start, max(page) AS page_end, string_agg(line, chr(10) ORDER BY page, line_no) AS body FROM cut WHERE title IS NULL GROUP BY 1, 2"""
+)
+def title_segments_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut at lines that are one of their titles."""
+    titled = toc.titled_lines(_line_rows(spark, d), _titles(spark, d), nearly=False)
+    found = toc.segments(kept(titled))
+    return found.select("document_id", "segment", F.coalesce(F.array_join("path", " > "), F.lit("")).alias("path"), "page_start", "page_end", "body")
+
+
 # --- grounding ----------------------------------------------------------------------
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -695,8 +825,7 @@ l AS (SELECT document_id, rank, list_filter(list_transform({_lines_sql("coalesce
 n AS (SELECT document_id, rank, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM l) SELECT document_id, concat('S', rank, '-', line_no) AS citation_id, line FROM n"""
 )
 def line_citations(spark: SparkSession, d: str) -> DataFrame:
-    rows = _results(spark, d).select("document_id", "rank", F.posexplode(X.filled_lines(F.coalesce("content", F.lit("")))).alias("n", "line"))
-    return rows.select("document_id", F.format_string("S%d-%d", "rank", F.col("n") + 1).alias("citation_id"), "line")
+    return grounding.cited_lines(_results(spark, d), ("document_id",)).select("document_id", "citation_id", "line")
 
 
 @query(
@@ -705,24 +834,26 @@ s AS (SELECT document_id, source_file, page, min(rank) AS first FROM r WHERE {_s
 SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY first)::INTEGER AS source_number, source_file, page FROM s"""
 )
 def distinct_sources(spark: SparkSession, d: str) -> DataFrame:
-    own = _results(spark, d).where(X.strip(F.coalesce("content", F.lit(""))) != "")
-    met = own.groupBy("document_id", F.coalesce(F.nullif("source_file", F.lit("")), F.lit("未知文件")).alias("source_file"), F.coalesce("page", F.lit(0)).alias("page")).agg(F.min("rank").alias("first"))
-    return met.select("document_id", F.row_number().over(Window.partitionBy("document_id").orderBy("first")).alias("source_number"), "source_file", "page")
-
-
-_ANSWERS = ("ok [S1-1, S1-2]", "x [S2-9]", "none", f"{grounding.REFUSAL} [S9-9]", "two [S1-1][S3-4]", "plain S1-1", "[no id] text")
+    return grounding.sources(_results(spark, d), ("document_id",)).select("document_id", "source_number", "source_file", "page")
 
 
 @query(
-    "WITH a AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_ANSWERS)) + f""") t(answer_id, answer)),
+    f"""WITH {CHUNK}, a AS (SELECT vector_chunk_id, concat(content, CASE chunk_index % 4 WHEN 0 THEN '' WHEN 1 THEN concat(' [S1-1, S', page, '-2]') WHEN 2 THEN concat(' {grounding.REFUSAL} [S9-', chunk_index, ']') ELSE concat(' [S1-2][S', page, '-1]') END) AS answer FROM chunk WHERE content IS NOT NULL AND page IS NOT NULL AND chunk_index IS NOT NULL),
 c AS (SELECT *, regexp_extract_all(array_to_string(regexp_extract_all(answer, '\\[([^\\[\\]]*S\\d+-\\d+[^\\[\\]]*)\\]', 1), ' '), 'S\\d+-\\d+') AS cited FROM a),
 w AS (SELECT *, list_filter(cited, lambda x: x NOT IN ('S1-1', 'S1-2')) AS wrong, contains(answer, '{grounding.REFUSAL}') AS refused FROM c)
-SELECT answer_id, refused OR (len(cited) > 0 AND len(wrong) = 0) AS passed, CASE WHEN refused THEN '' ELSE array_to_string(wrong, ',') END AS invalid FROM w"""
+SELECT vector_chunk_id, refused OR (len(cited) > 0 AND len(wrong) = 0) AS passed, CASE WHEN refused THEN '' ELSE array_to_string(wrong, ',') END AS invalid FROM w"""
 )
 def citation_validation(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_ANSWERS)), "answer_id int, answer string")
-    checked = rows.select("answer_id", grounding.validated(F.col("answer"), F.array(F.lit("S1-1"), F.lit("S1-2"))).alias("v"))
-    return checked.select("answer_id", "v.passed", F.array_join("v.invalid", ",").alias("invalid"))
+    """Contents as answers: without citations, with sound and unsound ones, refusing."""
+    place = F.col("chunk_index") % 4
+    page, chunk = F.col("page").cast("string"), F.col("chunk_index").cast("string")
+    end = (
+        F.when(place == 0, "").when(place == 1, F.concat(F.lit(" [S1-1, S"), page, F.lit("-2]"))).when(place == 2, F.concat(F.lit(f" {grounding.REFUSAL} [S9-"), chunk, F.lit("]")))
+        .otherwise(F.concat(F.lit(" [S1-2][S"), page, F.lit("-1]")))
+    )
+    rows = chunk_rows(spark, d, "page", "chunk_index", "content").where("content is not null and page is not null and chunk_index is not null")
+    checked = rows.select("vector_chunk_id", grounding.validated(F.concat("content", end), F.array(F.lit("S1-1"), F.lit("S1-2"))).alias("v"))
+    return checked.select("vector_chunk_id", "v.passed", F.array_join("v.invalid", ",").alias("invalid"))
 
 
 _MESSAGES = """msg AS (SELECT document_id AS conversation_id, row_number() OVER (PARTITION BY document_id ORDER BY vector_chunk_id)::INTEGER AS position, CASE (chunk_index % 5) WHEN 0 THEN 'assistant' WHEN 1 THEN 'tool' WHEN 2 THEN 'system' ELSE 'user' END AS role, content FROM chunk)"""
@@ -759,10 +890,20 @@ def passage_texts(spark: SparkSession, d: str) -> DataFrame:
     return chunk_rows(spark, d, "source_file", "title", "page", "content").select("vector_chunk_id", F.sha2(X.passage_text(F.col("source_file"), F.col("title"), F.col("page"), F.col("content")), 256).alias("passage_sha256"))
 
 
-_LABELLED = "SELECT doc_id, concat('<think>', coalesce(lang, ''), '</think>', coalesce(source, '')) AS t FROM documents"
-
-
-@query(f"WITH x AS ({_LABELLED}) SELECT doc_id, regexp_extract(t, '^<think>(.*)</think>', 1) AS reasoning, regexp_replace(t, '^.*</think>', '') AS answer FROM x")
+@query(
+    f"""WITH x AS (SELECT doc_id, concat('<think> ', lang, chr(10), text, ' </think>', chr(10), source, chr(10), text) AS t FROM documents)
+SELECT doc_id, {_strip_sql(f"regexp_replace({_strip_sql("string_split(t, '</think>')[1]")}, '^<think>', '')")} AS reasoning, {_strip_sql("regexp_replace(t, '(?s)^.*?</think>', '')")} AS answer FROM x"""
+)
 def reasoning_split(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("<think>"), F.coalesce("lang", F.lit("")), F.lit("</think>"), F.coalesce("source", F.lit("")))
+    """Texts as reasoning and as answer."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    text = F.concat(F.lit("<think> "), part("lang"), F.lit("\n"), part("text"), F.lit(" </think>\n"), part("source"), F.lit("\n"), part("text"))
     return table(spark, d, "documents").select("doc_id", X.split_reasoning(text).alias("s")).select("doc_id", "s.reasoning", "s.answer")
+
+
+@query(f"SELECT doc_id, {_strip_sql('concat(source, chr(10), text)')} AS answer FROM documents")
+def reasoning_final(spark: SparkSession, d: str) -> DataFrame:
+    """Answers behind the mark of the final answer, where reasoning stands untagged before it."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    text = F.concat(F.lit("Thinking process: "), part("lang"), F.lit("\nFinal Answer:"), part("source"), F.lit("\n"), part("text"))
+    return table(spark, d, "documents").select("doc_id", X.split_reasoning(text)["answer"].alias("answer"))
