@@ -552,15 +552,35 @@ def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
     return chunk_rows(spark, d, "content").where("content is not null").select("vector_chunk_id", X.clean_markdown(F.col("content")).alias("markdown"))
 
 
-@query(
-    f"""WITH {CHUNK} SELECT vector_chunk_id, {_strip_sql("regexp_replace(regexp_replace(" + _clean_sql("content") + ", '<[^>\\n]+>', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS markdown FROM chunk
-WHERE content IS NOT NULL"""
-)
+def _replaced_sql(x: str, *rules: tuple[str, str]) -> str:
+    """Patterns replaced one after the other."""
+    for pattern, to in rules:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+def _rag_sql(x: str) -> str:
+    image = (f"!\\[{_WS}*\\]\\([^)]+\\)", "[圖片]"), (f"!\\[{_WS}*([^\\]]*?){_WS}*\\]\\([^)]+\\)", "[圖片：\\1]")
+    return _strip_sql(_replaced_sql(_clean_sql(x), *image, ("<[^>\\n]+>", ""), ("\\n{3,}", "\n\n")))
+
+
+_RULE = f"{_WS}*:?-{{3,}}:?{_WS}*"
+
+
+def _plain_sql(x: str) -> str:
+    bare = _replaced_sql(
+        _rag_sql(x), (f"(?m)^#{{1,6}}{_WS}+", ""), (f"(?m)^{_WS}*[-*+]{_WS}+", ""), (f"(?m)^{_WS}*\\d+[.)]{_WS}+", ""), ("`{1,3}", ""), ("\\*\\*(.*?)\\*\\*", "\\1"), ("__(.*?)__", "\\1"),
+        ("(^|[^*])\\*([^*\\n][^\\n]*?)\\*($|[^*])", "\\1\\2\\3"), ("(^|[^_])_([^_\\n][^\\n]*?)_($|[^_])", "\\1\\2\\3"), (f"(?m)^{_WS}*\\|?(?:{_RULE}\\|)+{_RULE}\\|?{_WS}*$", ""), ("\\n{3,}", "\n\n"),
+    )
+    return _strip_sql(bare)
+
+
+@query(f"WITH {CHUNK} SELECT vector_chunk_id, {_rag_sql('content')} AS markdown FROM chunk WHERE content IS NOT NULL")
 def rag_markdown(spark: SparkSession, d: str) -> DataFrame:
     return chunk_rows(spark, d, "content").where("content is not null").select("vector_chunk_id", X.rag_markdown(F.col("content")).alias("markdown"))
 
 
-@query()
+@query(f"WITH {CHUNK} SELECT vector_chunk_id, {_plain_sql('content')} AS plain FROM chunk WHERE content IS NOT NULL")
 def plain_text(spark: SparkSession, d: str) -> DataFrame:
     return chunk_rows(spark, d, "content").where("content is not null").select("vector_chunk_id", X.plain_text(F.col("content")).alias("plain"))
 
@@ -593,15 +613,13 @@ def reading_order(spark: SparkSession, d: str) -> DataFrame:
     return pages.reading_order(blocks).select("document_id", "page", "text", "place")
 
 
-@query(
-    f"""WITH {CHUNK}, {PAGE} SELECT document_id, string_agg(concat('## 第 ', page, ' 頁', chr(10), chr(10), regexp_replace(text, '!\\[([^\\]]*)\\]\\((images/[^)]+)\\)', concat('![\\1](pages/page_', lpad(page::VARCHAR, 4, '0'), '/\\2)'), 'g'), chr(10)), chr(10) ORDER BY page) AS markdown
-FROM page_text GROUP BY 1"""
-)
-def document_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return pages.whole_documents(page_rows(spark, d)).select("document_id", "markdown")
+_LINKED = "regexp_replace(text, '!\\[([^\\]]*)\\]\\((images/[^)]+)\\)', concat('![\\1](pages/page_', lpad(page::VARCHAR, 4, '0'), '/\\2)'), 'g')"
 
 
-@query()
+@query(
+    f"""WITH {CHUNK}, {PAGE} SELECT document_id, string_agg(concat('## 第 ', page, ' 頁', chr(10), chr(10), {_LINKED}, chr(10)), chr(10) ORDER BY page) AS markdown,
+string_agg(concat(chr(10), '===== 第 ', page, ' 頁 =====', chr(10), chr(10), {_plain_sql('text')}, chr(10)), chr(10) ORDER BY page) AS plain FROM page_text GROUP BY 1"""
+)
 def document_files(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents as Markdown and plain text."""
     return pages.whole_documents(page_rows(spark, d))
@@ -610,6 +628,14 @@ def document_files(spark: SparkSession, d: str) -> DataFrame:
 # --- chunkers -----------------------------------------------------------------------
 
 
+def _windows_sql(source: str, keys: str) -> str:
+    """Windows of the texts t of ``source`` (with keys, size, overlap; t, n its length): keys, begun, piece of those that aren't blank."""
+    return f"""cut AS (SELECT {keys}, t, length(t) AS n, size, overlap, 0::BIGINT AS start, 0::BIGINT AS begun, NULL::BIGINT AS stop, false AS fin FROM {source}
+ UNION ALL SELECT {keys}, t, n, size, overlap, CASE WHEN e >= n THEN n WHEN e - overlap > s THEN e - overlap ELSE e END, s, e, e >= n FROM (SELECT *, CASE WHEN tent < n AND last > s THEN last + 1 ELSE tent END AS e FROM
+  (SELECT *, CASE WHEN regexp_matches(w, '[\n。；. ]') THEN s + lo + length(regexp_extract(w, '(?s)^(.*)[\n。；. ]', 1)) ELSE -1 END AS last FROM
+   (SELECT {keys}, t, n, size, overlap, start AS s, lo, least(start + size, n) AS tent, substring(t, start + lo + 1, greatest(least(size, n - start) - lo, 0)) AS w FROM (SELECT *, floor(size * 0.6::DOUBLE)::BIGINT AS lo FROM cut WHERE NOT fin)))))"""
+
+
 @query(
     f"""WITH RECURSIVE src AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE text IS NOT NULL AND {_strip_sql('text')} <> ''),
 cut AS (SELECT doc_id, t, n, 0::BIGINT AS start, 0::BIGINT AS begun, NULL::BIGINT AS stop, false AS fin FROM src
@@ -625,7 +651,24 @@ def long_text_split(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("doc_id", F.sha2("piece", 256).alias("piece_sha256"), F.char_length("piece").alias("characters"))
 
 
-@query()
+_SIZE, _TAIL = S.chunk_size, _strip_sql(f"right(f.held, {S.chunk_overlap})")
+_UNDER = f"CASE WHEN {_TAIL} <> '' THEN concat({_TAIL}, chr(10), chr(10), b.block) ELSE b.block END"
+
+
+@query(
+    f"""WITH RECURSIVE {CHUNK}, {PAGE}, src AS (SELECT document_id, page, {_rag_sql('text')} AS body FROM page_text),
+blocks AS (SELECT document_id, page, list_filter(list_transform(regexp_split_to_array(body, '\\n{{2,}}'), lambda x: {_strip_sql('x')}), lambda x: x <> '') AS a FROM src),
+b AS (SELECT document_id, page, unnest(a) AS block, generate_subscripts(a, 1) AS i FROM blocks), last AS (SELECT document_id, page, max(i) AS most FROM b GROUP BY 1, 2),
+f AS (SELECT document_id, page, 0::BIGINT AS i, ''::VARCHAR AS held, ''::VARCHAR AS done, ''::VARCHAR AS big FROM last
+ UNION ALL SELECT b.document_id, b.page, b.i, CASE WHEN length(b.block) > {_SIZE} THEN '' WHEN f.held = '' THEN b.block WHEN length(f.held) + 2 + length(b.block) <= {_SIZE} THEN concat(f.held, chr(10), chr(10), b.block) WHEN length({_UNDER}) > {_SIZE} THEN '' ELSE {_UNDER} END,
+  CASE WHEN length(b.block) > {_SIZE} OR (f.held <> '' AND length(f.held) + 2 + length(b.block) > {_SIZE}) THEN f.held ELSE '' END,
+  CASE WHEN length(b.block) > {_SIZE} THEN b.block WHEN f.held <> '' AND length(f.held) + 2 + length(b.block) > {_SIZE} AND length({_UNDER}) > {_SIZE} THEN {_UNDER} ELSE '' END FROM f JOIN b ON b.document_id = f.document_id AND b.page = f.page AND b.i = f.i + 1),
+todo AS (SELECT document_id, page, i, big AS t, {_SIZE}::BIGINT AS size, {S.chunk_overlap}::BIGINT AS overlap FROM f WHERE big <> ''), {_windows_sql('todo', 'document_id, page, i')},
+made AS (SELECT document_id, page, i, 0 AS part, 0 AS begun, done AS content FROM f WHERE done <> '' UNION ALL SELECT document_id, page, i, 1, begun, {_strip_sql('substring(t, begun + 1, stop - begun)')} FROM cut WHERE stop IS NOT NULL
+ UNION ALL SELECT f.document_id, f.page, f.i, 2, 0, held FROM f JOIN last ON last.document_id = f.document_id AND last.page = f.page AND last.most = f.i WHERE held <> ''),
+seen AS (SELECT *, lag(content) OVER (PARTITION BY document_id, page ORDER BY i, part, begun) AS before FROM made WHERE content <> '')
+SELECT document_id, page, row_number() OVER (PARTITION BY document_id, page ORDER BY i, part, begun)::INTEGER AS piece_no, content FROM seen WHERE before IS NULL OR before <> content"""
+)
 def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
     rows = page_rows(spark, d).withColumn("text", X.rag_markdown(F.col("text")))
     return chunkers.exploded(rows, ["text"], lambda t: chunkers.paragraphs(t, S.chunk_size, S.chunk_overlap), "content string").select("document_id", "page", "piece_no", "content")
@@ -640,8 +683,7 @@ def _markdown(spark: SparkSession, d: str) -> DataFrame:
 _ATX = f"^(#{{1,6}}){_WS}+(.+?){_WS}*#*{_WS}*$"
 
 
-@query(
-    f"""WITH {CHUNK}, md AS (SELECT vector_chunk_id, concat('# ', coalesce(title, '-'), chr(10), chr(10), '## ', coalesce(nullif(regexp_replace(replace(heading, chr(10), ' '), '^ +| +$', '', 'g'), ''), '-'), chr(10), chr(10), coalesce(content, '')) AS t FROM chunk),
+_SECTIONS = f"""md AS (SELECT vector_chunk_id, concat('# ', coalesce(title, '-'), chr(10), chr(10), '## ', coalesce(nullif(regexp_replace(replace(heading, chr(10), ' '), '^ +| +$', '', 'g'), ''), '-'), chr(10), chr(10), coalesce(content, '')) AS t FROM chunk),
 l AS (SELECT vector_chunk_id, unnest({_lines_sql('t')}) AS line, generate_subscripts({_lines_sql('t')}, 1) AS n FROM md),
 k AS (SELECT *, {_strip_sql('line')} AS bare, lead(line) OVER w AS below FROM l WINDOW w AS (PARTITION BY vector_chunk_id ORDER BY n)),
 c AS (SELECT *, regexp_matches(bare, '{_ATX}') AS atx, bare <> '' AND NOT regexp_matches(bare, '{_ATX}') AND coalesce(regexp_full_match(below, '{_WS}*(=+|-+){_WS}*'), false) AS cand FROM k),
@@ -653,7 +695,11 @@ h AS (SELECT vector_chunk_id, g, CASE WHEN atx THEN length(regexp_extract(bare,
 body AS (SELECT vector_chunk_id, g, {_strip_sql("string_agg(line, chr(10) ORDER BY n)")} AS body FROM g WHERE NOT head AND NOT under GROUP BY 1, 2),
 path AS (SELECT a.vector_chunk_id, a.g, a.level, string_agg(b.title, ' > ' ORDER BY b.g) AS path FROM h a JOIN h b ON b.vector_chunk_id = a.vector_chunk_id AND b.g <= a.g
  WHERE b.g = a.g OR NOT EXISTS (SELECT 1 FROM h c WHERE c.vector_chunk_id = a.vector_chunk_id AND c.g > b.g AND c.g <= a.g AND c.level <= b.level) GROUP BY 1, 2, 3),
-every AS (SELECT vector_chunk_id, g, path, level, coalesce(body, '') AS body FROM path LEFT JOIN body USING (vector_chunk_id, g) UNION ALL SELECT vector_chunk_id, g, '', NULL, body FROM body WHERE g = 0 AND body <> '')
+every AS (SELECT vector_chunk_id, g, path, level, coalesce(body, '') AS body FROM path LEFT JOIN body USING (vector_chunk_id, g) UNION ALL SELECT vector_chunk_id, g, '', NULL, body FROM body WHERE g = 0 AND body <> '')"""
+
+
+@query(
+    f"""WITH {CHUNK}, {_SECTIONS}
 SELECT vector_chunk_id, row_number() OVER (PARTITION BY vector_chunk_id ORDER BY g)::INTEGER AS piece_no, path, level::INTEGER AS level, body FROM every"""
 )
 def heading_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -661,10 +707,17 @@ def heading_sections(spark: SparkSession, d: str) -> DataFrame:
     return cut.select("vector_chunk_id", "piece_no", F.array_join("path", " > ").alias("path"), "level", "body")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {CHUNK}, {_SECTIONS}, led AS (SELECT vector_chunk_id, g, path, level, body AS t, (SELECT string_agg(concat(repeat('#', least(i, 6)), ' ', x), chr(10) ORDER BY i) FROM (SELECT unnest(string_split(path, ' > ')) AS x, generate_subscripts(string_split(path, ' > '), 1) AS i)) || chr(10) || chr(10) AS lead FROM every WHERE body <> ''),
+todo AS (SELECT vector_chunk_id, g, t, greatest({chunkers.LEAST_BODY}, {S.chunk_size} - length(lead))::BIGINT AS size, {S.chunk_overlap}::BIGINT AS overlap FROM led), {_windows_sql('todo', 'vector_chunk_id, g')},
+piece AS (SELECT vector_chunk_id, g, begun, path, level, {_strip_sql(f"lead || {_strip_sql('substring(c.t, begun + 1, stop - begun)')}")} AS content FROM cut c JOIN led USING (vector_chunk_id, g) WHERE stop IS NOT NULL AND {_strip_sql('substring(c.t, begun + 1, stop - begun)')} <> ''),
+once AS (SELECT *, row_number() OVER (PARTITION BY vector_chunk_id, content ORDER BY g, begun) AS k FROM piece)
+SELECT vector_chunk_id, row_number() OVER (PARTITION BY vector_chunk_id ORDER BY g, begun)::INTEGER AS piece_no, content, path, level::INTEGER AS level, 'markdown_heading' AS strategy FROM once WHERE k = 1"""
+)
 def heading_chunks(spark: SparkSession, d: str) -> DataFrame:
     cut = lambda t: chunkers.heading_chunks(t, S.chunk_size, S.chunk_overlap)
-    return chunkers.exploded(_markdown(spark, d), ["text"], cut, "content string, path array<string>, level int, strategy string").drop("text")
+    pieces = chunkers.exploded(_markdown(spark, d), ["text"], cut, "content string, path array<string>, level int, strategy string")
+    return pieces.select("vector_chunk_id", "piece_no", "content", F.array_join("path", " > ").alias("path"), "level", "strategy")
 
 
 _TABLES = "(?is)<table\\b.*?</table>"
