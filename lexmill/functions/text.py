@@ -36,15 +36,22 @@ STEP_LINE = r"^\s*(\d{1,2})\s+[^.)、\s].*$"
 # -------------------------------------------------------------------------------
 
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
-_SPACE = r"(?U)[\s\x1C-\x1F]"
+#: White space as Python's ``str`` methods have it (Unicode's, and the four separators of ASCII).
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{_SPACE}+$|^{_SPACE}+", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def strip_end(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{_SPACE}+$", "")
+    return F.rtrim(text, F.lit(SPACES))
+
+
+def words(text: Column) -> Column:
+    """What stands between white space."""
+    return F.filter(F.split(text, rf"{_SPACE}+"), lambda x: x != "")
 
 
 def lines(text: Column) -> Column:

@@ -17,7 +17,7 @@ SYSTEM = "依據文件回答，並以 [S編號-行號] 標示出處。"
 
 def cited_lines(results: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """citation_id (``S<rank>-<line>``), rank, line_no, line, source_file, page of every line of ranked results that isn't blank, by ``keys``."""
-    rows = results.select(*keys, "rank", "source_file", "page", F.posexplode(X.filled_lines(F.coalesce("content", F.lit("")))).alias("n", "line"))
+    rows = results.select(*keys, "rank", "source_file", "page", F.posexplode_outer(X.filled_lines(F.coalesce("content", F.lit("")))).alias("n", "line")).where("line is not null")
     number = F.col("n") + 1
     return rows.select(*keys, F.format_string("S%d-%d", "rank", number).alias("citation_id"), "rank", number.alias("line_no"), "line", "source_file", "page")
 

@@ -15,18 +15,19 @@ from lexmill.sources.shared import kept, sized
 INDEX_ORDER = ("document_id", "page", "chunk_index", "sub_chunk_index", "vector_chunk_id")
 
 
-def index_records(chunks: DataFrame, most: int, overlap: int, tokens: Column | None = None) -> DataFrame:
+def index_records(chunks: DataFrame, most: int, overlap: int, tokens: Column | None = None, offsets: Column | None = None) -> DataFrame:
     """Index rows of ``chunks`` (chunk_id, document_id, source_file, title, page, page_start, chunk_index, content).
 
     Contents longer than ``most`` tokens are cut to windows; rows without
     content are left out, rows without ids are an error; of rows with the same
     vector_chunk_id the last (by content) stays. ``tokens`` gives a row's
-    tokens, words by default.
+    tokens, words by default; ``offsets`` a tokenizer's places instead (structs of
+    begin and end in the stripped content), by which windows keep the text as it is.
     """
     sound = F.coalesce(X.strip(F.coalesce("chunk_id", F.lit(""))) != "", F.lit(False)) & F.coalesce(X.strip(F.coalesce("document_id", F.lit(""))) != "", F.lit(False))
     checked = chunks.withColumn("content", F.when(sound, X.strip(F.coalesce("content", F.lit("")))).otherwise(F.raise_error(F.lit("a chunk has no id")).cast("string")))
-    words = F.filter(F.split(F.col("content"), r"(?U)\s+"), lambda x: x != "") if tokens is None else tokens
-    rows = windowed(checked.where("content <> ''"), words, most, overlap)
+    words = X.words(F.col("content")) if tokens is None else tokens
+    rows = windowed(checked.where("content <> ''"), words if offsets is None else offsets, most, overlap, None if offsets is None else F.col("content"))
     content = F.when(F.col("sub_chunk_count") == 1, F.col("content")).otherwise(F.col("sub_content"))
     page = F.coalesce(F.nullif("page", F.lit(0)), "page_start", F.lit(0))
     rows = rows.withColumn("content", content).withColumn("page", page).withColumn("page_start", F.coalesce("page_start", page))

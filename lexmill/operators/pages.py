@@ -45,7 +45,7 @@ def native_usable(text: Column) -> Column:
 
 def numbered_lines(df: DataFrame, text: str) -> DataFrame:
     """``df`` with line_no (from 1) and line for every line that isn't blank."""
-    rows = df.select("*", F.posexplode(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n", -1)).alias("__n", "line"))
+    rows = df.select("*", F.posexplode_outer(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n", -1)).alias("__n", "line"))
     return rows.where(X.strip(F.col("line")) != "").withColumn("line_no", F.col("__n") + 1).drop("__n")
 
 
@@ -55,14 +55,14 @@ def edge_lines(pages: DataFrame, least_pages: int = 3, longest: int = 32, edge:
     rows = pages.select("document_id", "page", filled.alias("l")).where(F.size("l") > 0)
     ends = F.array_union(F.slice("l", 1, edge), F.reverse(F.slice(F.reverse("l"), 1, edge)))
     short = F.filter(ends, lambda x: (F.char_length(x) <= longest) & ~F.startswith(F.lower(x), F.lit("<table")))
-    keys = rows.select("document_id", "page", F.explode(F.array_distinct(F.transform(short, X.title_key))).alias("key")).where("key <> ''")
+    keys = rows.select("document_id", "page", F.explode_outer(F.array_distinct(F.transform(short, X.title_key))).alias("key")).where("key <> ''")
     return keys.groupBy("document_id", "key").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= least_pages)
 
 
 def recurring_lines(pages: DataFrame, share: float = 0.5, longest: int = 80) -> DataFrame:
     """document_id, line, pages: lines on at least the given share of a document's pages (of two or more)."""
     counts = pages.groupBy("document_id").agg(F.countDistinct("page").alias("n"))
-    rows = pages.select("document_id", "page", F.explode(F.array_distinct(F.transform(X.lines(F.col("text")), X.one_space))).alias("line"))
+    rows = pages.select("document_id", "page", F.explode_outer(F.array_distinct(F.transform(X.lines(F.col("text")), X.one_space))).alias("line"))
     rows = rows.where((F.col("line") != "") & (F.char_length("line") <= longest) & ~F.rlike("line", F.lit(r"(?U)^\d+$")))
     often = rows.groupBy("document_id", "line").agg(F.countDistinct("page").alias("pages")).join(counts, "document_id")
     wanted = F.greatest(F.lit(2), F.floor(F.col("n") * share + 0.999))

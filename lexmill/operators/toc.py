@@ -190,7 +190,7 @@ def sound_headings(found: DataFrame, pages: DataFrame) -> DataFrame:
     The first of a line counts; levels are 1 to 3; numbers, numbered items, ok/ng
     answers and tables are no headings.
     """
-    lines = pages.select("document_id", "page", F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)).alias("n", "line"))
+    lines = pages.select("document_id", "page", F.posexplode_outer(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n", -1)).alias("n", "line"))
     named = found.join(lines.select("document_id", "page", (F.col("n") + 1).alias("start_line"), X.strip(F.col("line")).alias("title")), ["document_id", "page", "start_line"])
     no = F.rlike("title", F.lit(r"^\d+$|^\s*\d+[.)、]\s+")) | F.lower("title").isin("ok", "ng", "ok或ng", "是或否", "是", "否") | F.startswith("title", F.lit("<table")) | (F.col("title") == "")
     first = Window.partitionBy("document_id", "page", "start_line").orderBy("level")
@@ -216,7 +216,7 @@ def section_segments(pages: DataFrame, headings: DataFrame) -> DataFrame:
     paths = rows.withColumn("path", F.slice(F.array(*last), F.lit(1), F.col("depth").cast("int")))
     of_page = paths.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("start_line", "path"))).alias("heads"))
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
-    lines = pages.join(of_page, page).select(*page, "heads", F.posexplode(F.split(text, "\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)
+    lines = pages.join(of_page, page).select(*page, "heads", F.posexplode_outer(F.split(text, "\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)
     under = lines.withColumn("head", F.element_at(F.filter("heads", lambda h: h["start_line"] <= F.col("n")), -1)).where("head.start_line <> n")
     bodies = under.groupBy(*page, F.col("head.start_line").alias("start"), F.col("head.path").alias("section_path")).agg(
         X.strip(F.array_join(F.array_sort(F.collect_list(F.struct("n", "line")))["line"], "\n")).alias("body")

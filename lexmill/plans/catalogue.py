@@ -819,7 +819,7 @@ def _line_rows(spark: SparkSession, d: str) -> DataFrame:
     """The lines of every page that has some, under the smallest heading of its chunks."""
     heads = table(spark, d, "chunk_metadata").where("page is not null").groupBy("document_id", "page").agg(F.min("heading").alias("head"))
     under = page_rows(spark, d).join(heads, ["document_id", "page"])
-    rows = under.select("document_id", "page", F.posexplode(F.concat(F.array(F.coalesce("head", F.lit(""))), X.lines(F.col("text")))).alias("line_no", "line"))
+    rows = under.select("document_id", "page", F.posexplode_outer(F.concat(F.array(F.coalesce("head", F.lit(""))), X.lines(F.col("text")))).alias("line_no", "line"))
     return rows.withColumn("line", X.strip(F.col("line"))).where("line <> ''")
 
 
