@@ -29,6 +29,25 @@ STOP_PHRASES = (
     "規格是什麼", "規格", "編號是什麼", "編號", "哪一個", "哪個", "什麼", "為何", "如何", "怎麼",
     "嗎", "呢", "？", "?", "。", "，", ",", "：", ":",
 )
+#: Images in Markdown and what is read for them, tags, and runs of line breaks.
+IMAGES = ((r"(?U)!\[\s*\]\([^)]+\)", "[圖片]"), (r"(?U)!\[\s*([^\]]*?)\s*\]\([^)]+\)", "[圖片：$1]"))
+TAG, BLANK_LINES = (r"<[^>\n]+>", ""), (r"\n{3,}", "\n\n")
+#: Marks of Markdown, in the order they are taken away.
+MARKS = (
+    (r"(?mU)^#{1,6}\s+", ""),
+    (r"(?mU)^\s*[-*+]\s+", ""),
+    (r"(?mU)^\s*\d+[.)]\s+", ""),
+    (r"`{1,3}", ""),
+    (r"\*\*(.*?)\*\*", "$1"),
+    (r"__(.*?)__", "$1"),
+    (r"(?<!\*)\*(?!\*)(.*?)\*(?!\*)", "$1"),
+    (r"(?<!_)_(?!_)(.*?)_(?!_)", "$1"),
+    (r"(?mU)^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*:?-{3,}:?\s*\|?\s*$", ""),
+)
+#: Reasoning in generated texts: its marks, what is left of them, what stands before an answer.
+THINK_OPEN, THINK_CLOSE = "<think>", "</think>"
+OPENING, WHOLE, LEFT_OVER = r"(?is)^\s*<think>\s*", r"(?is)^\s*<think>.*?</think>\s*", r"(?is)^\s*(?:ot\s*)?</think>\s*"
+UNTAGGED, FINAL = "thinking process:", ("\nFinal Answer:", "\nFinal answer:", "\n最終回答：", "\n正式回答：")
 #: A table-of-contents line: title, leader, page.
 TOC_LINE = r"^(.*?)(?:[.…·．]{2,}|\s+)\s*(\d{1,3})\s*$"
 #: The heading of a procedure step; "1. ..." isn't one.
@@ -91,29 +110,18 @@ def rag_markdown(text: Column, html_headings: bool = False) -> Column:
     if html_headings:
         for level in range(1, 7):
             out = F.regexp_replace(out, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", "#" * level + " $1")
-    out = F.regexp_replace(out, r"(?U)!\[\s*\]\([^)]+\)", "[圖片]")
-    out = F.regexp_replace(out, r"(?U)!\[\s*([^\]]*?)\s*\]\([^)]+\)", "[圖片：$1]")
-    out = F.regexp_replace(out, r"<[^>\n]+>", "")
-    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    return strip(_replaced(out, *IMAGES, TAG, BLANK_LINES))
+
+
+def _replaced(text: Column, *rules: tuple[str, str]) -> Column:
+    for pattern, to in rules:
+        text = F.regexp_replace(text, pattern, to)
+    return text
 
 
 def plain_text(text: Column) -> Column:
     """Markdown without its marks."""
-    out = rag_markdown(text)
-    for pattern, to in (
-        (r"(?mU)^#{1,6}\s+", ""),
-        (r"(?mU)^\s*[-*+]\s+", ""),
-        (r"(?mU)^\s*\d+[.)]\s+", ""),
-        (r"`{1,3}", ""),
-        (r"\*\*(.*?)\*\*", "$1"),
-        (r"__(.*?)__", "$1"),
-        (r"(?<!\*)\*(?!\*)(.*?)\*(?!\*)", "$1"),
-        (r"(?<!_)_(?!_)(.*?)_(?!_)", "$1"),
-        (r"(?mU)^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*:?-{3,}:?\s*\|?\s*$", ""),
-        (r"\n{3,}", "\n\n"),
-    ):
-        out = F.regexp_replace(out, pattern, to)
-    return strip(out)
+    return strip(_replaced(rag_markdown(text), *MARKS, BLANK_LINES))
 
 
 def page_image_links(text: Column, page: Column) -> Column:
@@ -230,24 +238,19 @@ def _unfenced(text: Column) -> Column:
 
 def without_reasoning(text: Column) -> Column:
     """An earlier answer without its thinking part."""
-    tail = strip(F.element_at(F.split(text, "</think>", -1), -1))
-    return strip(F.regexp_replace(tail, r"(?is)^\s*<think>.*?</think>\s*", ""))
+    return strip(F.regexp_replace(strip(F.element_at(F.split(text, THINK_CLOSE, -1), -1)), WHOLE, ""))
 
 
 def split_reasoning(text: Column, thinking: bool = False) -> Column:
-    """reasoning and answer of a generated text."""
+    """reasoning and answer of a generated text: what stands before the first closing mark, and after it."""
     whole = strip(text)
-    at = F.instr(whole, "</think>")
-    before = F.when(at > 0, F.substr(whole, F.lit(1), at - 1)).otherwise("")
-    after = F.when(at > 0, F.substr(whole, at + 8)).otherwise(whole)
-    reasoning = strip(F.regexp_replace(before, r"(?is)^\s*<think>\s*", ""))
-    answer = strip(F.regexp_replace(F.regexp_replace(after, r"(?is)^\s*<think>.*?</think>\s*", ""), r"(?is)^\s*(?:ot\s*)?</think>\s*", ""))
-    if not thinking:
-        final = F.lit(None).cast("string")
-        for marker in ("\nFinal Answer:", "\nFinal answer:", "\n最終回答：", "\n正式回答："):
-            held = F.when(F.contains(answer, F.lit(marker)), strip(F.element_at(F.split(answer, marker, -1), -1)))
-            final = F.coalesce(final, held)
-        answer = F.when(F.startswith(F.lower(answer), F.lit("thinking process:")), F.coalesce(final, answer)).otherwise(answer)
+    at = F.instr(whole, THINK_CLOSE)
+    before, after = F.substr(whole, F.lit(1), at - 1), F.substr(whole, at + len(THINK_CLOSE))
+    reasoning = F.when(at > 0, strip(F.regexp_replace(before, OPENING, ""))).otherwise("")
+    answer = strip(_replaced(F.when(at > 0, after).otherwise(whole), (WHOLE, ""), (LEFT_OVER, "")))
+    if not thinking:  # reasoning without marks: the answer is behind the last of the first final mark that is there
+        finals = [F.when(F.contains(answer, F.lit(mark)), strip(F.element_at(F.split(answer, mark, -1), -1))) for mark in FINAL]
+        answer = F.when(F.startswith(F.lower(answer), F.lit(UNTAGGED)), F.coalesce(*finals, answer)).otherwise(answer)
     return F.struct(reasoning.alias("reasoning"), answer.alias("answer"))
 
 

@@ -15,13 +15,13 @@ from lexmill.functions import vectors as V
 # --- fixed values: what asks for a list of documents, or for an overview of one ---
 DISCOVERY = (r"哪份(?:pdf|文件|文檔|檔案)", r"哪些(?:pdf|文件|文檔|檔案)", r"哪一份", r"which (?:pdf|document|file)", r"what (?:pdf|document|file)")
 OVERVIEW = (
-    r"(?:pdf|文件|文檔|檔案|文章).*(?:講什麼|說什麼|主要內容|主旨|重點|摘要|概要|概述|講解|解說|解讀|導讀|說明|介紹|分析|整理|總結)",
-    r"(?:講解|解說|解讀|導讀|說明|介紹|分析|整理|摘要|概述|總結).*(?:pdf|文件|文檔|檔案|文章)",
+    r"(?:這份|此份|該份|目前這份|這個|此個)?(?:pdf|文件|文檔|檔案|文章).*(?:講什麼|說什麼|主要內容|主旨|重點|摘要|概要|概述|講解|解說|解讀|導讀|說明|介紹|分析|整理|總結)",
+    r"(?:幫我|請|麻煩|可以)?(?:先)?(?:講解|解說|解讀|導讀|說明|介紹|分析|整理|摘要|概述|總結)(?:一下|一下子|給我|看看|下)?.*(?:這份|此份|該份|目前這份|這個|此個)?(?:pdf|文件|文檔|檔案|文章)",
     r"(?:全文|整份|整個文件|整篇).*(?:講解|解說|解讀|導讀|說明|介紹|分析|整理|摘要|概述|總結)",
     r"(?:這份|此份|該份).*(?:核心內容|文件目的|用途|適用對象)",
     r"(?:有哪些|列出|整理).*(?:章節|主題|重點)",
     r"(?:what is|what's).*(?:this|the).*(?:pdf|document).*(?:about|discuss)",
-    r"(?:explain|summarize|summary|overview|introduce|analyze).*(?:pdf|document|file)",
+    r"(?:explain|summarize|summary|overview|introduce|analyze).*(?:this|the)?.*(?:pdf|document|file)",
     r"(?:main topic|main idea|purpose).*(?:pdf|document|file)",
 )
 SELECTED_OVERVIEW = (
