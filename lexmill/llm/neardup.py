@@ -300,9 +300,16 @@ class NearDuplicates:
         self.members = kept(self.members)
         items.unpersist()
 
-    def membership(self) -> DataFrame:
+    def membership(self, keep: tuple[str, ...] = ()) -> DataFrame:
         """item_id, source, class_id: copies share a class."""
-        return self.members.select("item_id", "source", F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex("d2"), 16, "0"))).alias("class_id"))
+        return self.members.select(*keep, "item_id", "source", F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex("d2"), 16, "0"))).alias("class_id"))
+
+    def linked(self) -> DataFrame:
+        """item_id, source, class_id, links: copies share a class; links are the other classes that are alike."""
+        ends = self.links.select("a1", "a2").unionByName(self.links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2")))
+        counts = ends.groupBy(F.col("a1").alias("d1"), F.col("a2").alias("d2")).agg(F.count("*").alias("links"))
+        members = self.membership(keep=("d1", "d2")).join(counts, ["d1", "d2"], "left")
+        return members.select("item_id", "source", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
     def pairs_across_sources(self) -> DataFrame:
         """chunk_a, chunk_b (smaller first) of different, non-null sources, copies included.

@@ -21,6 +21,7 @@ any length are treated whole, in time linear in their length.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +39,20 @@ NATURAL = (SECTION, PARAGRAPH, LINE, SENTENCE)
 LEVELS = (*NATURAL, WORD)
 
 
+def _character_cuts(text: str, start: int, end: int, longest: int) -> list[int]:
+    """Cuts every ``longest`` characters, or before the letter whose combining marks would be cut off."""
+    cuts: list[int] = []
+    at = start + longest
+    while at < end:
+        cut = at
+        while cut > start + 1 and unicodedata.combining(text[cut]):
+            cut -= 1
+        start = cut if not unicodedata.combining(text[cut]) else at
+        cuts.append(start)
+        at = start + longest
+    return cuts
+
+
 def parts_of(text: str, limit: int, longest: int) -> list[tuple[int, int, bool]]:
     """start, end and whether a forced cut ends it, of parts no longer than ``longest``; cuts in stretches within ``limit`` aren't forced."""
     done: list[tuple[int, int, bool]] = []
@@ -50,7 +65,7 @@ def parts_of(text: str, limit: int, longest: int) -> list[tuple[int, int, bool]]
         if level == len(NATURAL):
             inner = end - start > limit
         if level == len(LEVELS):
-            cuts = [*range(start + longest, end, longest)]
+            cuts = _character_cuts(text, start, end, longest)
         else:
             cuts = [m.end() for m in LEVELS[level].finditer(text, start, end) if start < m.end() < end]
         edges = [start, *cuts, end]

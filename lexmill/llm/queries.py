@@ -100,9 +100,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.SimilarVectors(table(spark, sf_dir, "embedding_cache")).pairs()
 
 
+def _near(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(table(spark, sf_dir, "chunk_metadata"), "vector_chunk_id", "source_file", "content")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of different sources whose contents are the same passage slightly changed."""
-    return neardup.NearDuplicates(table(spark, sf_dir, "chunk_metadata"), "vector_chunk_id", "source_file", "content").pairs_across_sources()
+    return _near(spark, sf_dir).pairs_across_sources()
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's class of equal contents, and how many other classes are like it."""
+    return _near(spark, sf_dir).linked().withColumnRenamed("item_id", "vector_chunk_id")
 
 
 #: Where the public tokenizers' files are.
@@ -153,6 +162,7 @@ QUERIES = {
     "p4_templates": p4_templates,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_classes": p6_classes,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_spans": p8_spans,

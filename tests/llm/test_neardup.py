@@ -38,6 +38,9 @@ def test_members(spark):
     near = D.NearDuplicates(df, "id", "src", "text")
     of = {r["item_id"]: r["class_id"] for r in near.membership().collect()}
     assert of["a"] == of["b"] != of["c"]
+    more = df.unionByName(spark.createDataFrame([("d", "u", "some test here"), ("e", "u", "one two three four five six seven eight nine ten"), ("f", "v", "one two three four five six seven eight nine tem")], df.schema))
+    links = {r["item_id"]: r["links"] for r in D.NearDuplicates(more, "id", "src", "text").linked().collect()}
+    assert links == {"a": 0, "b": 0, "c": 0, "d": 0, "e": 1, "f": 1}
     assert D.NearDuplicates(df.limit(0), "id", "src", "text").pairs_across_sources().count() == 0
 
 

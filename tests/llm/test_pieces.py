@@ -43,3 +43,10 @@ def test_frames(spark):
     assert P.split_oversized(df.limit(0), "id", "text", 20, 4).count() == 0
     blocks = spark.createDataFrame([("h", "t"), (None, "t"), ("", "t"), ("h", None), (None, None)], "heading string, text string")
     assert [r["item_text"] for r in P.procedure_text(blocks).collect()] == ["h\nt", "t", "t", "h", ""]
+
+
+def test_combining_marks_stay_with_their_letter():
+    text = "e\u0301" * 100
+    for start, own, end, forced in P.cut_item(text, 31, 6, full=True):
+        assert text[own] == "e" and end - start <= 31
+    assert len(P.cut_item("\u0301" * 100, 31, 6, full=True)) > 3  # nothing but marks is cut all the same
