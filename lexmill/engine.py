@@ -145,7 +145,7 @@ class Engine:
             blocks = found.rows.select("rank", grounding.listed_documents(found.rows).alias("b")).orderBy("rank").collect()  # top documents
             return "\n\n".join(r["b"] for r in blocks), []
         text = grounding.contexts(found.rows, self.settings.max_context_chars).first()
-        listed = [(r["source_file"], r["page"]) for r in grounding.sources(found.rows).orderBy("source_number").collect()]
+        listed = [(r["source_file"], r["page"]) for r in grounding.sources(self._budgeted(found)).orderBy("source_number").collect()]
         before = []
         if found.documents is not None:
             about = grounding.summary_blocks(F.col("source_file"), F.col("summary"), F.col("topics"))

@@ -7,12 +7,12 @@ are taken up without state in the stream.
 
 from __future__ import annotations
 
-import fcntl
 import re
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,14 +92,25 @@ def await_document(query: StreamingQuery, catalog: Callable[[], DataFrame], sour
 
 
 @contextmanager
-def single_writer(path: str) -> Iterator[None]:
-    """Holds a lock file on the driver; an error if another process holds it."""
-    with open(path, "w") as f:
-        try:
-            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-        except OSError as e:
-            raise RuntimeError(f"another writer holds {path}") from e
+def single_writer(spark: SparkSession, path: str, stale_s: float = 3600) -> Iterator[None]:
+    """Holds a lock file in the store that ``path`` names, which all drivers of a cluster see; an error if another writer holds it.
+
+    The file is made only if it isn't there, which the store decides. One that is
+    older than ``stale_s`` was left by a driver that died and is taken over.
+    """
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(place) and time.time() - store.getFileStatus(place).getModificationTime() / 1000 > stale_s:
+        store.delete(place, False)
+    try:
+        store.create(place, False).close()
+    except Py4JJavaError as e:
+        raise RuntimeError(f"another writer holds {path}") from e
+    try:
         yield
+    finally:
+        store.delete(place, False)
 
 
 def merged_states(states: DataFrame, events: DataFrame) -> DataFrame:

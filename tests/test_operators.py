@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill import config, models, schemas
+from lexmill.config import Settings
 from lexmill.engine import Engine
 from lexmill.functions import vectors as V
 from lexmill.operators import cache, catalog, grounding, index, pages, search, toc
@@ -309,10 +310,105 @@ def test_answer_stream():
     assert shown(["<"]) == ("", "<")
 
 
-def test_single_writer(tmp_path):
-    with W.single_writer(str(tmp_path / "lock")):
+def test_single_writer(spark, tmp_path):
+    lock = (tmp_path / "lock").as_uri()
+    with W.single_writer(spark, lock):
         with pytest.raises(RuntimeError):
-            with W.single_writer(str(tmp_path / "lock")):
+            with W.single_writer(spark, lock):
                 pass
-    with W.single_writer(str(tmp_path / "lock")):
+        with W.single_writer(spark, lock, stale_s=-1):  # left by a driver that died
+            pass
+    with W.single_writer(spark, lock):
         pass
+
+
+def test_only_changed_files_are_read(spark, tmp_path):
+    for name, content in (("a.pdf", b"%PDF-1"), ("b.pdf", b"%PDF-2")):
+        (tmp_path / name).write_bytes(content)
+    before = W.hashed(spark, str(tmp_path), 0)
+    assert before.where("document_id is not null").count() == 2
+    kept = spark.createDataFrame([(r["path"], r["modificationTime"], r["length"], "known " + r["path"][-5:]) for r in before.collect()], before.schema)
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-22")
+    after = {os.path.basename(r["path"]): r["document_id"] for r in W.hashed(spark, str(tmp_path), 0, known=kept).collect()}
+    assert after["a.pdf"] == "known a.pdf" and len(after["b.pdf"]) == 64
+
+
+def test_rerankers(spark):
+    rows = [("a", "p1", 1, 1, 0.0, "pump"), ("b", "p1", 2, 2, 0.0, "pump valve"), ("c", "p2", 3, 3, 0.95, None), ("d", "p3", 4, 4, 0.0, "x")]
+    df = spark.createDataFrame(rows, "vector_chunk_id string, parent_chunk_id string, dense_rank int, position int, lexical_score double, content string")
+    best = search.reranked(search.scored(df, "pump valve", models.OverlapReranker()), 3).orderBy("rank").collect()
+    assert [r["vector_chunk_id"] for r in best] == ["c", "b", "d"] and best[1]["rerank_score"] == 1.0
+    off = search.unreranked(df, 2).orderBy("rank").collect()
+    assert [(r["vector_chunk_id"], r["rerank_score"]) for r in off] == [("a", None), ("b", None)]
+    assert models.activated(lambda pairs: [0.0, 800.0, -800.0])([("", "")] * 3) == [0.5, 1.0, 0.0]
+    with pytest.raises(Exception, match="score for every candidate"):
+        search.scored(df, "q", lambda pairs: []).collect()
+    assert models.token_rate(10, 4) == 2.5 and models.token_rate(1, 0) is None
+
+
+def test_engine_in_all_modes(spark):
+    rows = [(f"c{i}", f"d{i % 2}", f"f{i % 2}.pdf", f"T{i % 2}", i, i, i, f"M6 screws {i} on page {i} of the manual") for i in range(8)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, source_file string, title string, page int, page_start int, chunk_index int, content string")
+    summaries = spark.createDataFrame([("d1", "S", "about screws", None, None, ["screws", "torque"])], schemas.DOCUMENT_SUMMARY)
+    engine = Engine(spark, models.HashEmbedder(16), Settings(max_context_chars=60, document_min_score=0.0))
+    engine.ingest(chunks, summaries=summaries)
+    table = {r["document_id"]: r for r in engine.documents.collect()}
+    assert table["d1"]["vector_source"] == "summary_and_chunk_centroid" and table["d0"]["vector_source"] == "chunk_centroid" and table["d1"]["faiss_id"] == 1
+    text, sources = engine.context(engine.find("M6 screws", mode="detail"))
+    assert text.startswith("[來源1｜f") and sum(len(b.split("\n", 1)[1]) for b in text.split("\n\n")) <= 60 and 1 <= len(sources) <= 3
+    text, _ = engine.context(engine.find("M6 screws", mode="documents"))
+    assert text.startswith("[候選文件1]\n檔名：f")
+    assert engine.select("f1.pdf") == "d1"
+    text, _ = engine.context(engine.find("overview", mode="overview"))
+    assert text.startswith("[文件摘要｜f1.pdf]\nabout screws\n\n[文件主題｜f1.pdf]\nscrews、torque\n\n[來源1｜f1.pdf")
+    assert {r["document_id"] for r in engine.listing().collect()} == {"d0", "d1"}
+    engine.refresh(engine.chunks, engine.documents.where("document_id = 'd0'"))
+    assert engine.selected is None
+    off = Engine(spark, models.HashEmbedder(16), rerank=None)
+    off.ingest(chunks)
+    assert off.find("M6 screws", mode="detail").rows.where("rerank_score is not null").count() == 0
+    far = Engine(spark, models.HashEmbedder(16), Settings(document_min_score=1.0))
+    far.ingest(chunks)
+    assert far.find("zzz", mode="overview").status == "insufficient_context" and far.find("zzz", "d0", "overview").status == "ok"
+    with pytest.raises(ValueError):
+        off.answer("q", models.echo_generator, history=[{"role": "robot", "content": "x"}])
+    heard = []
+    off.answer("M6 screws", lambda m: heard.append(m) or "[S1-1]", history=[{"role": "user", "content": f"q{i}"} for i in range(20)])
+    assert [m["content"] for m in heard[0][1:-1]] == [f"q{i}" for i in range(8, 20)]
+
+
+def test_messages_that_are_wrong_are_errors(spark):
+    good = spark.createDataFrame([("c", 1, "user", " hi ")], schemas.MESSAGE)
+    assert grounding.checked_messages(good).first()["content"] == "hi"
+    for role, content in (("robot", "x"), ("user", " "), (None, "x"), ("user", None)):
+        with pytest.raises(Exception, match="no such role|blank"):
+            grounding.checked_messages(spark.createDataFrame([("c", 1, role, content)], schemas.MESSAGE)).collect()
+
+
+def test_texts_are_embedded_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+    embed = models.HashEmbedder(8)
+    none = spark.createDataFrame([], schemas.EMBEDDING_CACHE)
+    texts = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "a b")], "id int, t string")
+    first, stored = cache.embed_texts(texts, "t", none, embed, "m")
+    assert stored.count() == 2 and first.count() == 3 and first.columns == ["id", "t", "embedding"]
+
+    def never(batch):
+        calls.add(len(batch))
+        return embed(batch)
+
+    again, _ = cache.embed_texts(texts, "t", stored, never, "m")
+    assert again.count() == 3 and calls.value == 0
+
+
+def test_catalog_listings(spark):
+    docs = spark.createDataFrame([("d1", "a.pdf", " "), ("d2", "b.pdf", "B")], "document_id string, source_file string, title string")
+    assert {tuple(r) for r in catalog.listing(docs).collect()} == {("d1", "a.pdf", "a.pdf"), ("d2", "b.pdf", "B")}
+    stored = spark.createDataFrame([("d1", "x"), ("d2", ""), (None, "y")], "document_id string, cache_dir string")
+    assert [r["document_id"] for r in catalog.with_cache(stored).collect()] == ["d1"]
+
+
+def test_contents_pages_are_left_out(spark):
+    lines = spark.createDataFrame([("d", 1, 1, "A ... 2", None), ("d", 2, 1, "A", ["A"]), ("d", 2, 2, "x", None)], "document_id string, page int, line_no int, line string, path array<string>")
+    left = toc.segments(lines, spark.createDataFrame([("d", 1)], "document_id string, page int")).collect()
+    assert [(r["body"], r["path"]) for r in left] == [("x", ["A"])]
