@@ -131,7 +131,7 @@ def _nearly(keyed: DataFrame, known: DataFrame, least: float) -> DataFrame:
     left_over = (1 - least) * (F.char_length("key") + F.char_length("line_key"))
     edits = F.levenshtein("key", "line_key", int((1 - least) * (_SHORT + longest)) + 1)
     many = sized(known.groupBy("document_id").count().where(f"count > {_FEW}").select("document_id", F.lit(True).alias("__many")))
-    by_piece = lambda df, pieces: df.join(many, "document_id", "left").withColumn("piece", F.explode(F.when(F.col("__many"), pieces).otherwise(F.array(F.lit("")))))
+    by_piece = lambda df, pieces: df.join(many, "document_id", "left").withColumn("piece", F.explode_outer(F.when(F.col("__many"), pieces).otherwise(F.array(F.lit("")))))
     held = by_piece(rest, _pieces_of_lines(F.col("line_key"), least)).join(by_piece(known, _pieces_of_titles(F.col("key"), least)).drop("__many"), ["document_id", "piece"])
     near = held.where(gap & (edits >= 0) & (edits <= left_over + 1e-9)).withColumn("r", ratio("line_key", "key")).where(F.col("r") >= least)
     return near.groupBy("document_id", "line_key").agg(F.min_by("path", F.struct(-F.col("r"), F.col("place"), F.col("key"))).alias("path"))
@@ -149,7 +149,7 @@ def titled_lines(lines: DataFrame, titles: DataFrame, least: float = 0.92, nearl
     it, so the lines are moved once, by page. Without ``nearly`` only equal keys count.
     """
     place = ["document_id", "page"]
-    keyed = lines.withColumn("__key", X.title_key(F.col("line")))
+    keyed = lines.withColumn("__key", X.title_key(F.col("line"))).persist()  # read by three branches
     # keys of longer texts are only compared for equality
     named = lambda key: F.when(F.char_length(key) > 64, F.sha2(key, 256)).otherwise(F.col(key))
     order = F.col("place") if "place" in titles.columns else F.lit(0)

@@ -842,7 +842,7 @@ def title_match_exact(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def title_segments(spark: SparkSession, d: str) -> DataFrame:
     """Documents cut at lines that are (nearly) one of their titles."""
-    return toc.segments(toc.titled_lines(_line_rows(spark, d).persist(), _titles(spark, d)).persist())
+    return toc.segments(toc.titled_lines(_line_rows(spark, d), _titles(spark, d)).persist())
 
 
 _LINES = f"""heads AS (SELECT document_id, page, min(heading) AS head FROM chunk WHERE page IS NOT NULL GROUP BY 1, 2),
