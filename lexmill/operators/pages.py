@@ -83,10 +83,14 @@ def without_noise(pages: DataFrame, recurring: DataFrame) -> DataFrame:
     return joined.withColumn("text", X.strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))).drop("__keys")
 
 
-def catalogued_pages(catalog: DataFrame, pages: DataFrame) -> DataFrame:
-    """document_id, page, text of every catalogued page that exists."""
+def catalogued_pages(catalog: DataFrame, pages: DataFrame, strict: bool = False) -> DataFrame:
+    """document_id, page, text of every catalogued page that exists; ``strict``: a page that doesn't is an error."""
     wanted = catalog.where("page_count >= 1").select("document_id", F.explode(F.sequence(F.lit(1), "page_count")).alias("page"))
-    return wanted.join(pages, ["document_id", "page"])
+    if not strict:
+        return wanted.join(pages, ["document_id", "page"])
+    joined = wanted.join(pages.withColumn("__there", F.lit(True)), ["document_id", "page"], "left")
+    missing = F.raise_error(F.format_string("page %d of %s is missing", "page", "document_id")).cast("string")
+    return joined.withColumn("text", F.when(F.col("__there"), F.col("text")).otherwise(missing)).drop("__there")
 
 
 def whole_documents(pages: DataFrame) -> DataFrame:

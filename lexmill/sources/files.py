@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.functions import text as X
+from lexmill.schemas import DOCUMENT_SUMMARY
 
 
 def pdf_files(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
@@ -73,5 +74,38 @@ def write_snapshot(df: DataFrame, root: str, version: str) -> str:
     return path
 
 
+def write_index(tables: dict[str, DataFrame], root: str, version: str) -> None:
+    """Writes an index (chunks with their vectors, documents, manifest, ...) as one version of ``root``, and then makes it the current one.
+
+    The name of the current version is a small file that is renamed into place,
+    so readers see the whole old index or the whole new one.
+    """
+    for name, df in tables.items():
+        write_snapshot(df, f"{root.rstrip('/')}/{version}", name)
+    spark = next(iter(tables.values())).sparkSession
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pointer, draft = fs.Path(f"{root.rstrip('/')}/CURRENT"), fs.Path(f"{root.rstrip('/')}/CURRENT.{version}")
+    context = fs.FileContext.getFileContext(draft.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    out = draft.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(draft, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    rename[0] = getattr(spark.sparkContext._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    context.rename(draft, pointer, rename)
+
+
+def read_index(spark: SparkSession, root: str, *names: str) -> dict[str, DataFrame]:
+    """The tables of the current version of an index; an error if there is none."""
+    version = spark.read.text(f"{root.rstrip('/')}/CURRENT", wholetext=True).first()["value"].strip()
+    return {name: spark.read.parquet(f"{root.rstrip('/')}/{version}/{name}") for name in names}
+
+
+def summaries(spark: SparkSession, root: str) -> DataFrame:
+    """Summaries of documents (schemas.DOCUMENT_SUMMARY) stored as ``<document>/summary.json``; files without an object are left out."""
+    text = spark.read.text(f"{root.rstrip('/')}/*/summary.json", wholetext=True).select("value", F.regexp_extract("_metadata.file_path", r"/([^/]+)/summary\.json$", 1).alias("folder"))
+    rows = text.select("folder", F.from_json("value", DOCUMENT_SUMMARY).alias("r")).where("r is not null")
+    return rows.select(F.coalesce("r.document_id", "folder").alias("document_id"), "r.title", "r.summary", "r.purpose", "r.intended_audience", "r.topics")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)

@@ -125,6 +125,14 @@ def merged_states(states: DataFrame, events: DataFrame) -> DataFrame:
     return of.select("document_id", "ocr_config_hash", "page", "s.status", "attempts", "s.last_error", "s.updated_at")
 
 
+def pruned_states(states: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Page states without those of documents, settings or pages that the catalog doesn't have (any more)."""
+    keys = ["document_id", "ocr_config_hash"]
+    known = catalog.where("document_id is not null").groupBy(*keys).agg(F.max("page_count").alias("__most"))
+    kept_ = states.join(known, keys).where(F.col("__most").isNull() | F.col("page").between(1, F.col("__most")))
+    return kept_.select(*states.columns)
+
+
 def event_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Spark built-in, beyond what page states need: events per type in windows of their time, late rows within the watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))

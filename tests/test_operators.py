@@ -412,3 +412,32 @@ def test_contents_pages_are_left_out(spark):
     lines = spark.createDataFrame([("d", 1, 1, "A ... 2", None), ("d", 2, 1, "A", ["A"]), ("d", 2, 2, "x", None)], "document_id string, page int, line_no int, line string, path array<string>")
     left = toc.segments(lines, spark.createDataFrame([("d", 1)], "document_id string, page int")).collect()
     assert [(r["body"], r["path"]) for r in left] == [("x", ["A"])]
+
+
+def test_index_is_replaced_as_a_whole(spark, tmp_path):
+    root = (tmp_path / "index").as_uri()
+    for version, n in (("v1", 3), ("v2", 5)):
+        files.write_index({"chunks": spark.range(n), "documents": spark.range(1)}, root, version)
+        now = files.read_index(spark, root, "chunks", "documents")
+        assert now["chunks"].count() == n and now["documents"].count() == 1
+    assert (tmp_path / "index" / "v1").is_dir() and not (tmp_path / "index" / "CURRENT.v2").exists()
+
+
+def test_summaries_and_json_values(spark, tmp_path):
+    for name, text in (("d1", '{"title": "T", "summary": "s", "topics": ["a"]}'), ("d2", "[]")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "summary.json").write_text(text)
+    assert [(r["document_id"], r["summary"], r["topics"]) for r in files.summaries(spark, str(tmp_path)).where("summary is not null").collect()] == [("d1", "s", ["a"])]
+    (tmp_path / "values.jsonl").write_text('{"a": 1}\n\n[2]\n"x"\n')
+    rows = files.json_values(spark, str(tmp_path / "values.jsonl"))
+    assert sorted(r["j"] for r in rows.select(F.to_json("value").alias("j")).collect()) == ['"x"', "[2]", '{"a":1}']
+
+
+def test_pruned_states_and_strict_pages(spark):
+    states = spark.createDataFrame([("d1", "c", 1, "done"), ("d1", "c", 9, "done"), ("d1", "old", 1, "done"), ("d2", "c", 1, "done")], "document_id string, ocr_config_hash string, page int, status string")
+    known = spark.createDataFrame([("d1", "c", 2)], "document_id string, ocr_config_hash string, page_count int")
+    assert [tuple(r) for r in W.pruned_states(states, known).collect()] == [("d1", "c", 1, "done")]
+    there = spark.createDataFrame([("d1", 1, "x"), ("d1", 2, None)], "document_id string, page int, text string")
+    assert pages.catalogued_pages(known, there, strict=True).count() == 2
+    with pytest.raises(Exception, match="page 2 of d1 is missing"):
+        pages.catalogued_pages(known, there.where("page = 1"), strict=True).collect()
