@@ -31,7 +31,8 @@ class Settings:
     watch_interval_s: int = 15
     settle_s: int = 5
     upload_limit: int = 30 * 1024 * 1024
-    strict_compat: bool = True
+    context_tokens: int = 8192
+    answer_tokens: int = 768
 
     def validated(self) -> Settings:
         sizes = (("chunk_size", "chunk_overlap"), ("window_tokens", "window_overlap"), ("step_hard_max", "step_overlap"), ("section_target", "section_overlap"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,7 @@ class Engine:
     fingerprint: str = "stand-in"
     rerank: models.Reranker | None = field(default_factory=models.OverlapReranker)
     selected: str | None = None
+    count_tokens: Callable[[Messages], int] | None = None
 
     # --- the index -----------------------------------------------------------------
 
@@ -162,6 +164,12 @@ class Engine:
         kept_ = [{"role": m["role"], "content": str(m["content"]).strip()} for m in history or [] if m["role"] != "system" and str(m.get("content") or "").strip()]
         return [{"role": "system", "content": system}, *kept_[-12:], {"role": "user", "content": question}]
 
+    def _said(self, generate: models.Generator, messages: Messages) -> str:
+        """The generator's answer; an error if the prompt leaves it too little room (where tokens can be counted)."""
+        if self.count_tokens is not None:
+            models.room_for_answer(self.settings.context_tokens, self.count_tokens(messages), self.settings.answer_tokens)
+        return models.answered(generate, messages)
+
     def answer(self, question: str, generate: models.Generator, document_id: str | None = None, history: Messages | None = None, mode: str = "detail") -> str:
         """A grounded answer: at most two more tries for sound citations, then the best chunk's own lines."""
         return self._answer(question, self.find(question, document_id, mode), generate, history)
@@ -169,7 +177,7 @@ class Engine:
     def _answer(self, question: str, found: Found, generate: models.Generator, history: Messages | None) -> str:
         if found.mode == "documents":
             context, _ = self.context(found)
-            return models.answered(generate, self.messages(grounding.SYSTEM, f"文件內容：\n{context}\n\n使用者問題：\n{question}", history)) if context else grounding.REFUSAL
+            return self._said(generate, self.messages(grounding.SYSTEM, f"文件內容：\n{context}\n\n使用者問題：\n{question}", history)) if context else grounding.REFUSAL
         spent = self._budgeted(found)
         lines = grounding.cited_lines(spent).orderBy("rank", "line_no").collect()  # the budget bounds them
         if not lines:
@@ -179,7 +187,7 @@ class Engine:
         valid, first = {r["citation_id"] for r in lines}, min(r["rank"] for r in lines)
         text = "\n".join(r["line"] for r in lines if r["rank"] == first)
         for _ in range(3):
-            tried = models.answered(generate, prompt)
+            tried = self._said(generate, prompt)
             if cited_soundly(tried, valid):
                 text = tried
                 break
@@ -196,7 +204,7 @@ class Engine:
         """The question in the documents' words, from what the search finds for it (five pieces of 200 characters)."""
         rows = self.find(question, document_id, "detail").rows
         seen = [r["c"] or "" for r in rows.orderBy("rank").limit(5).select(F.substring("content", 1, 200).alias("c")).collect()]
-        return " ".join(models.answered(generate, self.messages("只輸出改寫後的一句查詢。", "\n".join([*seen, question]))).split()) or question
+        return " ".join(self._said(generate, self.messages("只輸出改寫後的一句查詢。", "\n".join([*seen, question]))).split()) or question
 
     def grounded(self, question: str, generate: models.Generator, document_id: str | None = None, history: Messages | None = None, mode: str = "detail") -> str:
         """An answer; where the search isn't sure, the question is rewritten and searched once more, then refused."""
@@ -209,12 +217,12 @@ class Engine:
 
     def chat(self, question: str, generate: models.Generator, history: Messages | None = None) -> str:
         """An answer without documents: the last twelve messages and the question."""
-        return models.answered(generate, self.messages("你是設備文件助理。", question, [m for m in history or [] if m.get("role") in ("user", "assistant")]))
+        return self._said(generate, self.messages("你是設備文件助理。", question, [m for m in history or [] if m.get("role") in ("user", "assistant")]))
 
     def decide(self, event: str, generate: models.Generator, sop_prefix: str) -> dict[str, object] | None:
         """A structured decision on an event with the sources it rests on, or None if the answer holds none that keeps the rules of its fields."""
         context, listed = self.context(self.find(event, None, "detail"))
-        said = models.answered(generate, self.messages("以 JSON 物件回答。", f"{context}\n\n{event}"))
+        said = self._said(generate, self.messages("以 JSON 物件回答。", f"{context}\n\n{event}"))
         one = self.spark.createDataFrame([(said,)], "t string").select(X.json_object(F.col("t"), schemas.DECISION).alias("d"))
         row = one.select("d", grounding.sound_decision(F.col("d"), sop_prefix).alias("ok")).first()
         return row["d"].asDict(recursive=True) | {"sources": [{"source_file": f, "page": p} for f, p in listed]} if row["ok"] else None

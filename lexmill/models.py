@@ -52,6 +52,25 @@ def token_rate(tokens: int, seconds: float) -> float | None:
     return round(tokens / seconds, 4) if seconds > 0 else None
 
 
+_LOADED: dict[str, Callable] = {}
+
+
+class PerWorker:
+    """A model that every worker loads once, when it first needs it.
+
+    What travels with the tasks is ``load`` (a function or class that can be
+    pickled) and a name; models of one name are one.
+    """
+
+    def __init__(self, name: str, load: Callable[[], Callable]) -> None:
+        self.name, self.load = name, load
+
+    def __call__(self, *args: object) -> object:
+        if self.name not in _LOADED:
+            _LOADED[self.name] = self.load()
+        return _LOADED[self.name](*args)
+
+
 class HashEmbedder:
     """Unit vectors from hashed character bigrams."""
 

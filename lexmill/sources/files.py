@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.config import Settings
 from lexmill.functions import text as X
 from lexmill.schemas import DOCUMENT_SUMMARY
 
@@ -51,7 +52,7 @@ def cached_pages(spark: SparkSession, root: str) -> DataFrame:
     return files.select(part(1).alias("document_id"), part(2).alias("ocr_config_hash"), part(3).cast("int").alias("page"), X.without_leaks(F.col("value")).alias("text"))
 
 
-def sound_upload(name: Column, content: Column, limit: int) -> Column:
+def sound_upload(name: Column, content: Column, limit: int = Settings.upload_limit) -> Column:
     """Null for a file that may be taken in, else what is wrong with it."""
     return (
         F.when(~F.endswith(F.lower(name), F.lit(".pdf")), "not a .pdf file")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lexmill.config import Settings
 from lexmill.operators.catalog import first_by
 from lexmill.sources.files import pdf_files
 from lexmill.sources.shared import kept
@@ -55,7 +56,7 @@ def hashed(spark: SparkSession, folder: str, settle_s: float, now: str | None =
     return rest.unionByName(new)
 
 
-def watch(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[DataFrame, int], None], interval_s: int = 15, settle_s: float = 5, once: bool = False) -> StreamingQuery:
+def watch(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[DataFrame, int], None], interval_s: int = Settings.watch_interval_s, settle_s: float = Settings.settle_s, once: bool = False) -> StreamingQuery:
     """Calls ``handle(snapshot, batch)`` whenever files came; with ``once``, for what is there now.
 
     What was hashed is kept beside the checkpoint, two looks of it, so that files

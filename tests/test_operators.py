@@ -377,6 +377,25 @@ def test_engine_in_all_modes(spark):
     assert [m["content"] for m in heard[0][1:-1]] == [f"q{i}" for i in range(8, 20)]
 
 
+def test_prompts_too_long_are_errors(spark):
+    engine = Engine(spark, models.HashEmbedder(8), count_tokens=lambda messages: sum(len(m["content"]) for m in messages))
+    assert engine.chat("hi", lambda m: "yes") == "yes"
+    with pytest.raises(ValueError):
+        engine.chat("x" * 9000, lambda m: "yes")
+
+
+def test_models_are_loaded_once_a_worker(spark):
+    loads = spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+        return models.OverlapReranker()
+
+    df = spark.createDataFrame([(i, f"pump {i}") for i in range(40)], "position int, content string").repartition(20)
+    scored = search.scored(df, "pump", models.PerWorker("overlap for a test", load))
+    assert scored.where("rerank_score = 1.0").count() == 40 and 1 <= loads.value <= 8
+
+
 def test_messages_that_are_wrong_are_errors(spark):
     good = spark.createDataFrame([("c", 1, "user", " hi ")], schemas.MESSAGE)
     assert grounding.checked_messages(good).first()["content"] == "hi"
