@@ -746,13 +746,38 @@ def procedure_blocks(spark: SparkSession, d: str) -> DataFrame:
     return chunkers.exploded(whole, ["whole"], chunkers.steps, "step int, heading string, body string").select("block_id", "step", "body")
 
 
-@query()
+_HEAD = "regexp_matches({}, '^\\s*\\d{{1,2}}\\s+[^.)、\\s]')"
+_UNDER_STEP = "CASE WHEN starts_with(a[start + 1], head) THEN 0 ELSE length(head) + 1 END"
+
+
+@query(
+    f"""WITH RECURSIVE whole AS (SELECT document_id, page, source_file, block_id, concat_ws(chr(10), nullif(heading, ''), nullif(text, '')) AS w FROM (SELECT DISTINCT * FROM procedure_block) WHERE page IS NOT NULL),
+src AS (SELECT document_id, page, min(source_file) AS source_file, string_agg(w, chr(10) ORDER BY block_id, w) AS body FROM whole GROUP BY 1, 2),
+parts AS (SELECT document_id, page, {_atoms_sql('body')} AS a FROM src), l AS (SELECT document_id, page, unnest(a) AS atom, generate_subscripts(a, 1) AS n FROM parts),
+m AS (SELECT *, {_HEAD.format('atom')} AS h, sum({_HEAD.format('atom')}::INT) OVER (PARTITION BY document_id, page ORDER BY n) AS g FROM l),
+block AS (SELECT document_id, page, g, max(CASE WHEN h THEN regexp_extract(atom, '^\\s*(\\d{{1,2}})\\s', 1)::INTEGER END) AS step, string_agg(atom, chr(10) ORDER BY n) AS text, coalesce(any_value(CASE WHEN h THEN atom END), '') AS head,
+ list(atom ORDER BY n) FILTER (NOT h) AS a FROM m GROUP BY 1, 2, 3),
+long AS (SELECT *, list_transform(range(len(a) + 1), lambda i: coalesce(list_sum(list_transform(a[1:i], lambda x: length(x))), 0) + i) AS ends FROM block WHERE length(text) > {S.step_hard_max}),
+cut AS (SELECT document_id, page, g, a, head, ends, 0::BIGINT AS start, 0::BIGINT AS stop, 0 AS k FROM long WHERE len(a) > 0
+ UNION ALL SELECT document_id, page, g, a, head, ends, start, greatest(done + 1, len(list_filter(ends, lambda x: x <= ends[start + 1] + {S.step_hard_max} + 1 - {_UNDER_STEP})) - 1), k + 1 FROM
+  (SELECT document_id, page, g, a, head, ends, k, stop AS done, CASE WHEN k = 0 THEN 0 ELSE greatest(start, len(list_filter(ends, lambda x: x <= ends[stop + 1] - {S.step_overlap})) - 1) END AS start FROM cut WHERE stop < len(a))),
+single AS (SELECT document_id, page, g, 0 AS k, text FROM block WHERE length(text) <= {S.step_hard_max} OR len(coalesce(a, [])) = 0
+ UNION ALL SELECT document_id, page, g, k, CASE WHEN {_UNDER_STEP} = 0 THEN '' ELSE head || chr(10) END || array_to_string(a[start + 1:stop], chr(10)) FROM cut WHERE k > 0),
+items AS (SELECT s.*, step, row_number() OVER (PARTITION BY document_id, page ORDER BY g, k) AS n FROM single s JOIN block USING (document_id, page, g)),
+fold AS (SELECT document_id, page, n, 1 AS piece_no, length(text) AS held FROM items WHERE n = 1
+ UNION ALL SELECT i.document_id, i.page, i.n, CASE WHEN f.held + 1 + length(i.text) > {S.step_target} THEN f.piece_no + 1 ELSE f.piece_no END, CASE WHEN f.held + 1 + length(i.text) > {S.step_target} THEN length(i.text) ELSE f.held + 1 + length(i.text) END
+ FROM fold f JOIN items i ON i.document_id = f.document_id AND i.page = f.page AND i.n = f.n + 1),
+packed AS (SELECT document_id, page, piece_no, string_agg(text, chr(10) ORDER BY n) AS body FROM fold JOIN items USING (document_id, page, n) GROUP BY 1, 2, 3),
+numbers AS (SELECT document_id, page, piece_no, string_agg(step, ',' ORDER BY first) AS steps FROM (SELECT document_id, page, piece_no, step, min(n) AS first FROM fold JOIN items USING (document_id, page, n) WHERE step IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
+SELECT document_id, page, piece_no, concat('{chunkers.TOPIC}', coalesce(nullif(source_file, ''), '-'), chr(10), chr(10), packed.body) AS content, coalesce(steps, '') AS steps FROM packed JOIN src USING (document_id, page) LEFT JOIN numbers USING (document_id, page, piece_no)"""
+)
 def procedure_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Procedure blocks of a source page packed to retrieval size under the page's topic."""
     rows = table(spark, d, "procedure_block").distinct().withColumn("whole", F.concat_ws("\n", F.nullif("heading", F.lit("")), F.nullif("text", F.lit("")))).where("page is not null")
     of = rows.groupBy("document_id", "page").agg(F.min("source_file").alias("source_file"), F.array_join(F.array_sort(F.collect_list(F.struct("block_id", "whole")))["whole"], "\n").alias("body"))
     cut = lambda t, f: chunkers.step_chunks(t, [f or "-"], S.step_target, S.step_hard_max, S.step_overlap)
-    return chunkers.exploded(of, ["body", "source_file"], cut, "content string, steps array<int>").select("document_id", "page", "piece_no", "content", "steps")
+    pieces = chunkers.exploded(of, ["body", "source_file"], cut, "content string, steps array<int>")
+    return pieces.select("document_id", "page", "piece_no", "content", F.array_join(F.transform("steps", lambda x: x.cast("string")), ",").alias("steps"))
 
 
 _LEAKS = " OR ".join(f"starts_with({_strip_sql('z')}, '{prefix}')" for prefix in X.LEAK_PREFIXES)
