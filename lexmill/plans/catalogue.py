@@ -825,19 +825,33 @@ _TOC = tuple((f"d{i}", 1, t, x, 60.0 + 20 * n, x + 150, 72.0 + 20 * n, 600.0) fo
 _TOC_SQL = "layout AS (SELECT * FROM (VALUES " + ", ".join("('{}', {}, '{}', {}, {}, {}, {}, {})".format(*r) for r in _TOC) + ") t(document_id, page, text, x0, y0, x1, y1, page_width))"
 
 
-@query(
-    f"""WITH {_TOC_SQL}, c AS (SELECT *, (x0 >= page_width / 2)::INT AS col, regexp_matches(text, '^.*?(?:[.…·．]{{2,}}|\\s+)\\s*\\d{{1,3}}\\s*$') AS e FROM layout WHERE text NOT IN ('目錄', '目录', '故障查修') AND NOT regexp_full_match(text, '\\d{{1,3}}')),
+_ENTRIES = f"""{_TOC_SQL}, c AS (SELECT *, (x0 >= page_width / 2)::INT AS col, regexp_matches(text, '^.*?(?:[.…·．]{{2,}}|\\s+)\\s*\\d{{1,3}}\\s*$') AS e FROM layout WHERE text NOT IN ('目錄', '目录', '故障查修') AND NOT regexp_full_match(text, '\\d{{1,3}}')),
 w AS (SELECT *, lag(text) OVER o AS pt, lag(e) OVER o AS pe, lag(x0) OVER o AS px FROM c WINDOW o AS (PARTITION BY document_id, page, col ORDER BY y0, x0)),
-t AS (SELECT *, regexp_replace(regexp_extract(text, '^(.*?)(?:[.…·．]{{2,}}|\\s+)\\s*(\\d{{1,3}})\\s*$', 1), '[ .…·．。]+$', '') AS own FROM w WHERE e)
-SELECT document_id, page, CASE WHEN pt IS NOT NULL AND NOT pe AND abs(px - x0) <= 4.0 THEN pt || own ELSE own END AS title, regexp_extract(text, '(\\d{{1,3}})\\s*$', 1)::INTEGER AS target_page FROM t"""
-)
+t AS (SELECT *, regexp_replace(regexp_extract(text, '^(.*?)(?:[.…·．]{{2,}}|\\s+)\\s*(\\d{{1,3}})\\s*$', 1), '[ .…·．。]+$', '') AS own FROM w WHERE e),
+entry AS (SELECT document_id, page, col, x0, y0, CASE WHEN pt IS NOT NULL AND NOT pe AND abs(px - x0) <= 4.0 THEN pt || own ELSE own END AS title, regexp_extract(text, '(\\d{{1,3}})\\s*$', 1)::INTEGER AS target_page FROM t)"""
+
+
+@query(f"WITH {_ENTRIES} SELECT document_id, page, title, target_page FROM entry")
 def toc_entries(spark: SparkSession, d: str) -> DataFrame:
     return toc.toc_entries(spark.createDataFrame([tuple(r) for r in _TOC], schemas.LAYOUT_LINES)).select("document_id", "page", "title", "target_page")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_ENTRIES}, xs AS (SELECT *, row_number() OVER (PARTITION BY document_id, page, col ORDER BY x) AS i FROM (SELECT DISTINCT document_id, page, col, round(x0, 1) AS x FROM entry)),
+anchor AS (SELECT document_id, page, col, i, x, x AS anchor_x, 1 AS level FROM xs WHERE i = 1
+ UNION ALL SELECT n.document_id, n.page, n.col, n.i, n.x, CASE WHEN n.x - a.anchor_x > 4.0 THEN n.x ELSE a.anchor_x END, CASE WHEN n.x - a.anchor_x > 4.0 THEN a.level + 1 ELSE a.level END FROM anchor a JOIN xs n ON n.document_id = a.document_id AND n.page = a.page AND n.col = a.col AND n.i = a.i + 1),
+clusters AS (SELECT DISTINCT document_id, page, col, anchor_x, level FROM anchor), rooted AS (SELECT document_id, page, count(*) >= 3 AS root FROM clusters WHERE col = 0 GROUP BY 1, 2),
+near AS (SELECT e.*, c.level - (coalesce(root, false) AND e.col = 0)::INT AS level FROM entry e JOIN clusters c USING (document_id, page, col) LEFT JOIN rooted r USING (document_id, page)
+ QUALIFY row_number() OVER (PARTITION BY e.document_id, e.page, e.col, e.y0, e.x0 ORDER BY abs(c.anchor_x - e.x0), c.level) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY col, y0, x0) AS place FROM near),
+path AS (SELECT a.document_id, a.page, a.place, string_agg(b.title, ' > ' ORDER BY b.place) AS path FROM placed a JOIN placed b ON b.document_id = a.document_id AND b.page = a.page AND b.place <= a.place
+ WHERE b.place = a.place OR (a.level > 0 AND b.level >= 1 AND b.level < a.level AND NOT EXISTS (SELECT 1 FROM placed c WHERE c.document_id = a.document_id AND c.page = a.page AND c.place > b.place AND c.place < a.place AND c.level <= b.level)) GROUP BY 1, 2, 3)
+SELECT document_id, page, place::INTEGER AS place, title, target_page, level::INTEGER AS level, path FROM placed JOIN path USING (document_id, page, place)
+WHERE {_title_key_sql('title')} <> '' QUALIFY row_number() OVER (PARTITION BY document_id, {_title_key_sql('title')} ORDER BY page, place) = 1"""
+)
 def toc_levels(spark: SparkSession, d: str) -> DataFrame:
-    return toc.toc_levels(toc.toc_entries(spark.createDataFrame([tuple(r) for r in _TOC], schemas.LAYOUT_LINES)))
+    found = toc.toc_levels(toc.toc_entries(spark.createDataFrame([tuple(r) for r in _TOC], schemas.LAYOUT_LINES)))
+    return found.withColumn("path", F.array_join("path", " > "))
 
 
 def _line_rows(spark: SparkSession, d: str) -> DataFrame:
