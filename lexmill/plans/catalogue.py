@@ -806,7 +806,26 @@ def running_chunk_index(spark: SparkSession, d: str) -> DataFrame:
     return chunkers.indexed(chunk_rows(spark, d, "document_id", "page"), ["vector_chunk_id"]).select("vector_chunk_id", "chunk_index", "page_chunk_index")
 
 
-@query()
+_LEAD = "CASE WHEN path IS NULL THEN 0 ELSE length(topic) + 1 END"
+_COUNTED = "list_transform(range(len(a) + 1), lambda i: coalesce(list_sum(list_transform(a[1:i], lambda x: length(x))), 0){})"
+
+
+@query(
+    f"""WITH RECURSIVE {CHUNK}, {PAGE}, rows AS (SELECT document_id, page, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM page_text),
+line AS (SELECT document_id, page, unnest(l) AS raw, generate_subscripts(l, 1) AS n FROM rows), bare AS (SELECT *, {_strip_sql('raw')} AS title FROM line), shown AS (SELECT *, string_split({_LF.format('title')}, chr(10))[1] AS part FROM bare),
+marked AS (SELECT *, title <> '' AND part <> '' AND length(part) <= 24 AND NOT contains('。．.：:；;，,', right(part, 1)) AND NOT regexp_matches(title, '^[0-9]+$|^\\s*[0-9]+[.)、]\\s+') AND lower(title) NOT IN ('ok', 'ng', 'ok或ng', '是或否', '是', '否') AND NOT starts_with(title, '<table') AS head FROM shown),
+under AS (SELECT *, max(CASE WHEN head THEN n END) OVER (PARTITION BY document_id, page ORDER BY n ROWS UNBOUNDED PRECEDING) AS start_line, last_value(CASE WHEN head THEN title END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page, n ROWS UNBOUNDED PRECEDING) AS path FROM marked),
+body AS (SELECT document_id, page, coalesce(start_line, 0) AS begun, any_value(path) AS path, {_strip_sql('string_agg(raw, chr(10) ORDER BY n)')} AS body FROM under WHERE NOT head GROUP BY 1, 2, 3),
+section AS (SELECT document_id, page, row_number() OVER (PARTITION BY document_id, page ORDER BY begun) AS place, path, concat('{chunkers.TOPIC}', path) AS topic, {_FILLED.replace('text', 'body')} AS a FROM body WHERE body <> ''),
+summed AS (SELECT *, {_COUNTED.format(' + i')} AS ends, {_COUNTED.format('')} AS sizes FROM section),
+cut AS (SELECT document_id, page, place, path, topic, a, ends, sizes, 0::BIGINT AS start, 0::BIGINT AS stop, 0 AS k FROM summed
+ UNION ALL SELECT document_id, page, place, path, topic, a, ends, sizes, start, greatest(done + 1, len(list_filter(ends, lambda x: x <= ends[start + 1] + {S.section_target} + 1 - {_LEAD})) - 1), k + 1 FROM
+  (SELECT *, CASE WHEN k = 0 THEN 0 ELSE least(done, greatest(tail, len(list_filter(ends, lambda x: x < ends[done + 2] - 1 + {_LEAD} - {S.section_target})))) END AS start FROM
+   (SELECT document_id, page, place, path, topic, a, ends, sizes, k, stop AS done, greatest(start, len(list_filter(sizes, lambda x: x <= sizes[stop + 1] - {S.section_overlap})) - 1) AS tail FROM cut WHERE stop < len(a)))),
+piece AS (SELECT document_id, page, place, path, k, concat(CASE WHEN path IS NULL THEN '' ELSE topic || chr(10) END, array_to_string(a[start + 1:stop], chr(10))) AS content FROM cut WHERE k > 0),
+once AS (SELECT *, row_number() OVER (PARTITION BY document_id, page, place, content ORDER BY k) AS again FROM piece)
+SELECT document_id, page, place::INTEGER AS place, coalesce(path, '') AS section_path, row_number() OVER (PARTITION BY document_id, page, place ORDER BY k)::INTEGER AS piece_no, content FROM once WHERE again = 1"""
+)
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Pages cut at headings a stand-in detector finds, packed under their path."""
     rows = page_rows(spark, d)
@@ -815,7 +834,7 @@ def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
     found = chunkers.exploded(numbered, ["numbered"], lambda t: [(h["start_line"], h["level"]) for h in models.rule_headings(t)], "start_line int, level int").select("document_id", "page", "start_line", "level")
     sections = toc.section_segments(rows, toc.sound_headings(found, rows))
     cut = lambda b, p: chunkers.section_chunks(b, list(p), S.section_target, S.section_overlap)
-    return chunkers.exploded(sections, ["body", "section_path"], cut, "content string").select("document_id", "page", "place", "section_path", "piece_no", "content")
+    return chunkers.exploded(sections, ["body", "section_path"], cut, "content string").select("document_id", "page", "place", F.array_join("section_path", " > ").alias("section_path"), "piece_no", "content")
 
 
 # --- tables of contents -------------------------------------------------------------
