@@ -111,6 +111,8 @@ def line_shape(line: str, edge: bool = False) -> tuple[str, str] | None:
     ``edge`` says that the line is among the first or last of its row, where it
     needn't have digits.
     """
+    if "。" in line or "，" in line or "," in line:  # a sentence in any form
+        return None
     form = _BAR.sub(" ", one_form(line)).strip()
     if not form or len(form) > LONGEST or _SENTENCE.search(form) or not (edge or any(c.isdigit() for c in form)):
         return None
