@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.forms import all_letters_and_digits, digest
@@ -287,6 +287,10 @@ def verified(pairs: DataFrame, items: DataFrame, width: int, least: float) -> Da
     return texts.select("a1", "a2", "b1", "b2", "a_text", "b_text").mapInArrow(check, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double")
 
 
+def _class_id(d1: Column, d2: Column) -> Column:
+    return F.concat(F.lower(F.lpad(F.hex(d1), 16, "0")), F.lower(F.lpad(F.hex(d2), 16, "0")))
+
+
 class NearDuplicates:
     """The stages over one table: members of classes, and links between classes."""
 
@@ -302,7 +306,7 @@ class NearDuplicates:
 
     def membership(self, keep: tuple[str, ...] = ()) -> DataFrame:
         """item_id, source, class_id: copies share a class."""
-        return self.members.select(*keep, "item_id", "source", F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex("d2"), 16, "0"))).alias("class_id"))
+        return self.members.select(*keep, "item_id", "source", _class_id(F.col("d1"), F.col("d2")).alias("class_id"))
 
     def linked(self) -> DataFrame:
         """item_id, source, class_id, links: copies share a class; links are the other classes that are alike."""
@@ -311,6 +315,27 @@ class NearDuplicates:
         members = self.membership(keep=("d1", "d2")).join(counts, ["d1", "d2"], "left")
         return members.select("item_id", "source", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
+    def grouped(self) -> DataFrame:
+        """item_id, source, class_id, group_id: classes that links lead to from one another are a group, named by its smallest class.
+
+        Each round a class takes the smallest name among its own and its
+        neighbours', and then the name that one goes by itself, so the rounds are
+        few even for long chains; they end when no name changes.
+        """
+        name = lambda x, y: _class_id(F.col(x), F.col(y))
+        one_way = self.links.select(name("a1", "a2").alias("a"), name("b1", "b2").alias("b"))
+        edges = kept(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        names = kept(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("name")))
+        while True:
+            near = edges.join(names.select(F.col("a").alias("b"), "name"), "b").groupBy("a").agg(F.min("name").alias("near"))
+            taken = kept(names.join(near, "a").select("a", F.least("name", "near").alias("name")))
+            after = kept(taken.join(taken.select(F.col("a").alias("name"), F.col("name").alias("further")), "name").select("a", F.col("further").alias("name")))
+            changed = after.join(names.select("a", F.col("name").alias("before")), "a").where("name <> before")
+            if changed.isEmpty():
+                break
+            names = after
+        return self.membership().join(names.select(F.col("a").alias("class_id"), "name"), "class_id", "left").select("item_id", "source", "class_id", F.coalesce("name", "class_id").alias("group_id"))
+
     def pairs_across_sources(self) -> DataFrame:
         """chunk_a, chunk_b (smaller first) of different, non-null sources, copies included.
 

@@ -114,6 +114,11 @@ def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).linked().withColumnRenamed("item_id", "vector_chunk_id")
 
 
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's class of equal contents and its group of classes that are alike."""
+    return _near(spark, sf_dir).grouped().withColumnRenamed("item_id", "vector_chunk_id")
+
+
 #: Where the public tokenizers' files are.
 TOKENIZERS = os.environ.get("LEXMILL_TOKENIZERS", "/opt/tokenizers")
 
@@ -163,6 +168,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
+    "p6_groups": p6_groups,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_spans": p8_spans,

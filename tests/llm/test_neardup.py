@@ -68,3 +68,17 @@ def test_similarities_by_hashes():
         want = D.jaccard(texts[i], texts[j], 5)
         assert D.similarities([sets[i]], [sets[j]], 0.0) == [want]
         assert D.similarities([sets[i]], [sets[j]], 0.7)[0] in ((want,) if want >= 0.7 else (want, 0.0))
+
+
+def test_groups_of_chains(spark):
+    """Texts in which each is like the next: one group, whatever the ends have in common."""
+    words = [f"word{i}xyz" for i in range(90)]
+    chain = [(f"c{k:02}", "s", " ".join(words[k * 2 : k * 2 + 40])) for k in range(20)]
+    lone = [("x", "t", "something else entirely stands here"), ("y", "t", "Something else, entirely, stands here!"), ("z", None, "nothing like it at all 123")]
+    df = spark.createDataFrame(chain + lone, "id string, src string, text string")
+    near = D.NearDuplicates(df, "id", "src", "text")
+    of = {r["item_id"]: r["group_id"] for r in near.grouped().collect()}
+    parent = {r["item_id"]: r["class_id"] for r in near.membership().collect()}
+    links = [(r["a1"], r["b1"]) for r in near.links.collect()]
+    assert len(links) >= 19 and len({of[k] for k, *_ in chain}) == 1 and of["c00"] == min(parent[k] for k, *_ in chain)
+    assert of["x"] == of["y"] != of["z"] and len(of) == 23
