@@ -8,12 +8,14 @@ of its own vectors, again and again, so cells hold about ``cell`` vectors
 whatever their number. A cell is one task's; within it leaves of ``leaf``
 vectors have tight boxes.
 
-Each vector is first searched in its own cell, then it descends the tree's boxes
-and visits the cells it can't rule out; in a cell it is compared with the leaves
-it can't rule out. A box is ruled out, and the search ends, when the chi-square
-test holds: were a closer neighbour in it, its projection would be as far as the
-box with a probability below ``1 - confidence``. Comparisons that count are
-exact cosines in double precision.
+A cell's vectors are written once, as a file in the folder all executors share,
+and moved no more: a task holds the vectors of a few cells that lie together,
+searches these first, then reads the files of the cells its vectors can't rule
+out, the closest first; in a cell they are compared with the leaves they can't
+rule out. A box is ruled out, and the search ends, when the chi-square test
+holds: were a closer neighbour in it, its projection would be as far as the box
+with a probability below ``1 - confidence``. Comparisons that count are exact
+cosines in double precision.
 
 Equal vectors of a model are one class; the index holds the ``k + 1`` smallest
 keys of each class, which is exact: no other key of it can be among the k best
@@ -28,13 +30,19 @@ k + 1 vectors gives as many pairs as there are.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import math
-from collections.abc import Callable, Iterator, Sequence
+import pickle
+import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyarrow import fs
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.sources.shared import kept, sized
@@ -93,17 +101,39 @@ def leaf_of(points: np.ndarray, axis: np.ndarray, at: np.ndarray) -> np.ndarray:
     return node - len(axis)
 
 
+def _descend(root: np.ndarray, low: np.ndarray, trees: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], bits: int) -> np.ndarray:
+    """The node each point ends in, from the roots' node 1."""
+    node = np.ones(len(root), dtype=np.int64)
+    moved = np.arange(len(root))
+    while len(moved):
+        both = np.stack((root[moved], node[moved]), axis=1)
+        kinds, of = np.unique(both, axis=0, return_inverse=True)
+        of, further = of.ravel(), []
+        for n, kind in enumerate(kinds.tolist()):
+            if tuple(kind) in trees:
+                rows = moved[of == n]
+                node[rows] = (kind[1] << bits) + leaf_of(low[rows], *trees[tuple(kind)])
+                further.append(rows)
+        moved = np.concatenate(further) if further else moved[:0]
+    return node
+
+
 def latest_vectors(df: DataFrame) -> DataFrame:
-    """cache_key, model_fingerprint, vector of each key's latest row, if it is usable."""
-    rows = df.where("cache_key is not null").select("cache_key", F.struct("created_at", "vector", "dimension", "model_fingerprint").alias("r"))
-    last = rows.groupBy("cache_key").agg(F.max("r").alias("r")).select("cache_key", "r.*")
+    """cache_key, model_fingerprint, vector of each key's latest row, if it is usable.
+
+    Only rows of keys that have several rows are brought together.
+    """
+    rows = df.where("cache_key is not null").select("cache_key", F.struct("created_at", "vector", "dimension", "model_fingerprint").alias("r"), F.xxhash64("cache_key").alias("hash"))
+    several = sized(rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    chosen = kept(rows.join(several, "hash", "left_semi").groupBy("cache_key").agg(F.max("r").alias("r")))
+    last = rows.join(several, "hash", "left_anti").select("cache_key", "r").unionByName(chosen).select("cache_key", "r.*")
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("vector").isNotNull() & (F.size("vector") == F.col("dimension")) & ~bad & F.exists("vector", lambda x: x != 0)
     return last.where(F.col("model_fingerprint").isNotNull() & F.coalesce(usable, F.lit(False))).select("cache_key", "model_fingerprint", "vector")
 
 
-def _units(packed: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(packed), dtype=np.float32).astype(np.float64).reshape(len(packed), -1)
+def _units(raw: np.ndarray) -> np.ndarray:
+    x = raw.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -135,38 +165,105 @@ class Leaves:
         sorted_ = low[self.order]
         self.low, self.high = np.minimum.reduceat(sorted_, first, axis=0), np.maximum.reduceat(sorted_, first, axis=0)
 
-    def number(self) -> np.ndarray:
-        """The leaf of each place of the order."""
-        return np.repeat(np.arange(len(self.edge) - 1), np.diff(self.edge))
 
+def _shared(folder: str) -> tuple[fs.FileSystem, str]:
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder.removeprefix("file:")
+    return fs.FileSystem.from_uri(folder)
 
-class Search:
-    """The ``keep`` best of a cell's vectors for each query.
 
-    ``floors`` is what the queries have already: cosines below can't matter.
-    """
+def _removed(folder: str) -> None:
+    with contextlib.suppress(OSError):
+        system, path = _shared(folder)
+        system.delete_dir(path)
+
+
+def _file(root: int, node: int) -> str:
+    return f"{root & (1 << 64) - 1:016x}-{node:x}"
 
-    def __init__(self, queries: np.ndarray, low: np.ndarray, points: np.ndarray, leaves: Leaves, keep: int, reach: float, floors: np.ndarray | None) -> None:
-        self.queries, self.points, self.leaves, self.keep, self.reach = queries, points, leaves, keep, reach
-        self.coarse = queries.astype(np.float32), points.astype(np.float32)
-        self.far = _boxes_within(low, leaves.low, leaves.high)
-        self.top = np.full((len(queries), keep), -2.0)
-        self.floor = np.full(len(queries), -2.0) if floors is None else floors.copy()
-        self.hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def visit(self, leaf: int, rows: np.ndarray) -> None:
-        """Compares ``rows`` of the queries with a leaf, if the test doesn't rule it out."""
-        within = self.far[rows, leaf] <= self.reach * (2 - 2 * np.minimum(self.floor[rows], 1) + 2e-6)
-        rows = rows[within]
+
+class Cell:
+    """A cell's vectors, leaf by leaf, as they are in its file."""
+
+    def __init__(self, raw: np.ndarray, low: np.ndarray, classes: np.ndarray, keys: list[str], leaf: int) -> None:
+        leaves = Leaves(low, leaf)
+        self.edge, self.leaf_low, self.leaf_high = leaves.edge, leaves.low, leaves.high
+        self.raw, self.low, self.classes = raw[leaves.order], low[leaves.order], classes[leaves.order]
+        texts = [keys[i].encode("utf-8", "surrogatepass") for i in leaves.order]
+        self.ends, self.names = np.concatenate(([0], np.cumsum([len(t) for t in texts]))), b"".join(texts)
+
+    def key(self, at: int) -> str:
+        return self.names[self.ends[at] : self.ends[at + 1]].decode("utf-8", "surrogatepass")
+
+    def write(self, folder: str, name: str) -> None:
+        """All at once: a task that is run twice leaves one whole file."""
+        system, path = _shared(folder)
+        partial = f"{path}/.{name}-{uuid.uuid4().hex}"
+        with system.open_output_stream(partial) as f:
+            f.write(pickle.dumps(self, protocol=5))
+        system.move(partial, f"{path}/{name}")
+
+    @staticmethod
+    def read(folder: str, name: str) -> Cell:
+        system, path = _shared(folder)
+        with system.open_input_stream(f"{path}/{name}") as f:
+            return pickle.loads(f.read())
+
+
+class Search:
+    """The ``keep`` best keys for each query among the cells it meets, one after the other."""
+
+    def __init__(self, raw: np.ndarray, low: np.ndarray, keep: int, reach: float) -> None:
+        self.low, self.keep, self.reach = low, keep, reach
+        self.units = _units(raw)
+        self.coarse = self.units.astype(np.float32)
+        self.top = np.full((len(raw), keep), -2.0)
+        self.floor = np.full(len(raw), -2.0)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # query, key, cosine
+        self.held = 0
+
+    def within(self, rows: np.ndarray | None = None) -> np.ndarray:
+        """The squared distance from which on a box is ruled out."""
+        floor = self.floor if rows is None else self.floor[rows]
+        return (self.reach * (2 - 2 * np.minimum(floor, 1) + 2e-6)).astype(np.float32)
+
+    def meet(self, cell: Cell, rows: np.ndarray) -> None:
+        """Compares the queries ``rows`` with the leaves of a cell that they can't rule out, each query's closest leaf first."""
+        far = _boxes_within(self.low[rows], cell.leaf_low, cell.leaf_high)
+        some = (far <= self.within(rows)[:, None]).any(1)
+        rows, far = rows[some], far[some]
         if not len(rows):
             return
-        a, b = self.leaves.edge[leaf : leaf + 2]
-        about = self.coarse[0][rows] @ self.coarse[1][a:b].T
-        i, j = np.nonzero(about >= (self.floor[rows, None] - 1e-5))  # single precision only leaves out what surely is below
+        points = _units(cell.raw).astype(np.float32)
+        home = np.argmin(far, axis=1)
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(home):
+            self._compare(cell, points, int(n), rows[home == n], hits)
+        open_ = far <= self.within(rows)[:, None]
+        open_[np.arange(len(rows)), home] = False
+        for n in np.flatnonzero(open_.any(0)):
+            mine = np.flatnonzero(open_[:, n])
+            mine = mine[far[mine, n] <= self.within(rows[mine])]
+            if len(mine):
+                self._compare(cell, points, int(n), rows[mine], hits)
+        if hits:
+            q, at, c = (np.concatenate(x) for x in zip(*hits))
+            near = c >= self.floor[q]
+            q, at, c = q[near], at[near], c[near]
+            names, back = np.unique(at, return_inverse=True)
+            self.found.append((q, np.array([cell.key(i) for i in names.tolist()], dtype=object)[back], c))
+            self.held += len(q)
+            if self.held > 1 << 21:
+                self._settle()
+
+    def _compare(self, cell: Cell, points: np.ndarray, leaf: int, rows: np.ndarray, hits: list) -> None:
+        a, b = cell.edge[leaf : leaf + 2]
+        about = self.coarse[rows] @ points[a:b].T
+        i, j = np.nonzero(about >= (self.floor[rows, None] - 1e-5).astype(np.float32))  # single precision only leaves out what surely is below
         if not len(i):
             return
-        exact = np.round(np.einsum("ij,ij->i", self.queries[rows[i]], self.points[a + j]), 6)
-        self.hits.append((rows[i], a + j, exact))
+        exact = np.round(np.einsum("ij,ij->i", self.units[rows[i]], _units(cell.raw[a:b])[j]), 6)
+        hits.append((rows[i], a + j, exact))
         some, back = np.unique(i, return_inverse=True)
         block = np.full((len(some), b - a), -2.0)
         block[back, j] = exact
@@ -174,18 +271,23 @@ class Search:
         self.top[rows[some]] = best
         self.floor[rows[some]] = np.maximum(self.floor[rows[some]], best.min(1))
 
-    def results(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query, place of the vector and cosine of the best; ties by ``rank`` of the vectors."""
-        if not self.hits:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-        q, p, c = (np.concatenate(x) for x in zip(*self.hits))
+    def _settle(self) -> None:
+        """Leaves of what is found the ``keep`` best of each query; ties by the key."""
+        q, keys, c = (np.concatenate(x) for x in zip(*self.found))
         near = c >= self.floor[q]
-        q, p, c = q[near], p[near], c[near]
-        order = np.lexsort((rank[p], -c, q))
-        q, p, c = q[order], p[order], c[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        best = place < self.keep
-        return q[best], p[best], c[best]
+        q, keys, c = q[near], keys[near], c[near]
+        _, rank = np.unique(keys, return_inverse=True)
+        order = np.lexsort((rank, -c, q))
+        q, keys, c = q[order], keys[order], c[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q) < self.keep
+        self.found, self.held = [(q[best], keys[best], c[best])], int(best.sum())
+
+    def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, key and cosine, query by query, the best first."""
+        if not self.found:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=object), np.zeros(0)
+        self._settle()
+        return self.found[0]
 
 
 class SimilarVectors:
@@ -194,71 +296,96 @@ class SimilarVectors:
     ``cell`` and ``leaf`` are the vectors wanted in a cell and in a leaf, ``bits``
     says into how many (2 ** bits) a node is split at most at once, ``sample``
     bounds the vectors of a node that shape its split (every vector is indexed),
-    ``share`` the visits to a cell that one task serves.
+    ``share`` the vectors that one task searches for (one cell's at least).
     """
 
     def __init__(self, df: DataFrame, k: int = 5, m: int = 8, confidence: float = 0.998, cell: int = 3000, leaf: int = 32, bits: int = 6, sample: int = 8192, share: int = 20_000, seed: int = 5) -> None:
         self.k, self.m, self.seed, self.cell, self.leaf, self.bits, self.share = k, m, seed, cell, leaf, bits, share
         self.reach = chi_square_quantile(confidence, m)
-        keyed = kept(latest_vectors(df).withColumn("c1", F.xxhash64("model_fingerprint", "vector")).withColumn("c2", F.xxhash64(F.lit(7), "vector", "model_fingerprint")))
-        self.members = keyed.select("cache_key", "c1", "c2")
+        keyed = latest_vectors(df).withColumn("c1", F.xxhash64("model_fingerprint", "vector")).withColumn("c2", F.xxhash64(F.lit(7), "vector", "model_fingerprint"))
+        # only classes of more than k + 1 keys are brought together
+        crowded = sized(keyed.groupBy("c1").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("c1"))
         place = Window.partitionBy("c1", "c2").orderBy("cache_key")
-        few = keyed.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1)
-        self.points, self.levels = self._grown(self._projected(few), sample)
-
-    def _projected(self, few: DataFrame) -> DataFrame:
+        together = keyed.join(crowded, "c1", "left_semi")
+        few = kept(together.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1).drop("place"))
+        first = few.groupBy("c1", "c2").agg(F.min("cache_key").alias("first"))
+        self.more = kept(together.select("cache_key", "c1", "c2").join(few.select("cache_key"), "cache_key", "left_anti").join(first, ["c1", "c2"]).select("cache_key", "first"))
+        rows = keyed.join(crowded, "c1", "left_anti").unionByName(few)
+        trees, self.levels = self._grown(rows, sample)
+        self.points = self._placed(rows, trees)
+
+    def _projector(self):  # type: ignore[no-untyped-def]
+        """A function of a batch's column of vectors: their bytes and their projections."""
         m, seed = self.m, self.seed
 
-        def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def project(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+            flat, sizes = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False), np.diff(vectors.offsets.to_numpy())
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            packed, low = np.empty(len(sizes), dtype=object), np.zeros((len(sizes), m), dtype=np.float32)
+            for size in np.unique(sizes):
+                mine = np.flatnonzero(sizes == size)
+                raw = flat[starts[mine, None] + np.arange(size)]
+                low[mine] = np.einsum("ij,jk->ik", _units(raw), projection(int(size), m, seed))
+                packed[mine] = [r.tobytes() for r in raw]
+            return packed, low
+
+        return project
+
+    @staticmethod
+    def _root() -> Column:
+        return F.xxhash64("model_fingerprint", F.size("vector"))
+
+    def _placed(self, rows: DataFrame, trees: Broadcast) -> DataFrame:
+        """root, node, cache_key, packed, low, c1, c2: every vector with the cell it is in."""
+        project, bits = self._projector(), self.bits
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                packed, low = [], []
-                for v in batch.column(1).to_pylist():
-                    x = np.array(v, dtype=np.float32)
-                    packed.append(x.tobytes())
-                    u = x.astype(np.float64) / np.abs(x).max()
-                    low.append((u / np.linalg.norm(u) @ projection(len(x), m, seed)).astype(np.float32).tobytes())
-                columns = [batch.column(0), batch.column(2), pa.array(packed, pa.binary()), pa.array(low, pa.binary()), batch.column(3), batch.column(4)]
-                yield pa.RecordBatch.from_arrays(columns, names=["root", "cache_key", "packed", "low", "c1", "c2"])
-
-        rows = few.select(F.xxhash64("model_fingerprint", F.size("vector")), "vector", "cache_key", "c1", "c2")
-        return rows.mapInArrow(project, "root bigint, cache_key string, packed binary, low binary, c1 bigint, c2 bigint").withColumn("node", F.lit(1).cast("bigint"))
-
-    def _grown(self, points: DataFrame, sample: int) -> tuple[DataFrame, int]:
-        """``points`` with the node (cell) each ends in, and how many times nodes were split."""
-        m, cell, bits = self.m, self.cell, self.bits
+                packed, low = project(batch.column(1))
+                node = _descend(batch.column(0).to_numpy(), low, trees.value, bits)
+                columns = [batch.column(0), pa.array(node), batch.column(2), pa.array(packed, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary()), batch.column(3), batch.column(4)]
+                yield pa.RecordBatch.from_arrays(columns, names=["root", "node", "cache_key", "packed", "low", "c1", "c2"])
+
+        schema = "root bigint, node bigint, cache_key string, packed binary, low binary, c1 bigint, c2 bigint"
+        return rows.select(self._root(), "vector", "cache_key", "c1", "c2").mapInArrow(place, schema)
+
+    def _grown(self, rows: DataFrame, sample: int) -> tuple[Broadcast, int]:
+        """The splits of all nodes that were divided (axes and cuts by root and node), and how many times nodes were."""
+        m, cell, bits, project = self.m, self.cell, self.bits, self._projector()
+        context = rows.sparkSession.sparkContext
+
+        def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                low = [x.tobytes() for x in project(batch.column(1))[1]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(low, pa.binary())], names=["root", "c1", "low"])
+
+        def descended(trees: Broadcast) -> DataFrame:
+            def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    node = _descend(batch.column(0).to_numpy(), _lows(batch.column(2).to_pylist(), m), trees.value, bits)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node)], names=["root", "c1", "low", "node"])
+
+            return thin.mapInArrow(step, "root bigint, c1 bigint, low binary, node bigint")
 
         def split(pdf: pd.DataFrame) -> pd.DataFrame:
             depth = min(bits, max(1, math.ceil(math.log2(pdf["n"].iloc[0] / cell))))
             tree = MedianTree(_lows(pdf["low"].tolist(), m), depth)
             return pd.DataFrame({"root": pdf["root"][:1], "node": pdf["node"][:1], "axis": [tree.axis.tolist()], "at": [tree.at.tolist()]})
 
-        def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                node = batch.column(6).to_numpy().copy()
-                axis, at, low = batch.column(7), batch.column(8), batch.column(3)
-                inner = np.flatnonzero(axis.is_valid().to_numpy(zero_copy_only=False))
-                roots = batch.column(0).to_numpy()
-                groups: dict[tuple[int, int], list[int]] = {}
-                for i in inner.tolist():
-                    groups.setdefault((roots[i], node[i]), []).append(i)
-                for (_, own), rows in groups.items():
-                    cuts = np.array(axis[rows[0]].as_py()), np.array(at[rows[0]].as_py())
-                    node[rows] = (own << bits) + leaf_of(_lows(low.take(pa.array(rows)).to_pylist(), m), *cuts)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(node)], names=batch.schema.names[:7])
-
-        columns = ["root", "cache_key", "packed", "low", "c1", "c2", "node"]
-        placed, most = kept(points.select(*columns)), 62 // bits - 1
+        thin = kept(rows.select(self._root(), "vector", "c1").mapInArrow(lows, "root bigint, c1 bigint, low binary"))
+        splits: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        trees, most = context.broadcast(splits), 62 // bits - 1
         for level in range(most):  # each level divides nodes by 2 ** bits; what is equal in projection can't be divided
-            counts = placed.groupBy("root", "node").agg(F.count("*").alias("n")).where(F.col("n") > 1.5 * cell)
-            large = sized(counts)
+            placed = descended(trees)
+            large = sized(placed.groupBy("root", "node").agg(F.count("*").alias("n")).where(F.col("n") > 1.5 * cell))
             if large.isEmpty():
-                return placed, level
-            some = placed.select("root", "node", "low", "c1").join(large, ["root", "node"])
+                return trees, level
+            some = placed.join(large, ["root", "node"])
             drawn = some.where(F.pmod(F.xxhash64("c1", F.lit(level)), F.lit(1 << 30)) < F.lit(float(sample << 30)) / F.col("n"))
-            trees = sized(drawn.groupBy("root", "node").applyInPandas(split, "root bigint, node bigint, axis array<int>, at array<double>"))
-            with_tree = placed.join(trees, ["root", "node"], "left").select(*columns, "axis", "at")
-            placed = kept(with_tree.mapInArrow(descend, placed.schema))
-        return placed, most
+            for r in drawn.groupBy("root", "node").applyInPandas(split, "root bigint, node bigint, axis array<int>, at array<double>").collect():
+                splits[r["root"], r["node"]] = np.array(r["axis"]), np.array(r["at"])
+            trees = context.broadcast(dict(splits))
+        return trees, most
 
     def pairs(self) -> DataFrame:
         """key_a, key_b (smaller first): either is among the k most similar of the other."""
@@ -267,132 +394,88 @@ class SimilarVectors:
 
     def nearest(self) -> DataFrame:
         """cache_key, neighbour, cosine, rank (1 to k) for every usable key."""
-        found = self._class_results()
-        best = Window.partitionBy("c1", "c2").orderBy(F.desc("cosine"), "neighbour")
-        top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= self.k + 1)
-        lists = top.groupBy("c1", "c2").agg(F.array_sort(F.collect_list(F.struct("place", "neighbour", "cosine"))).alias("found"))
-        own = self.members.join(lists, ["c1", "c2"])
-        others = own.select("cache_key", F.slice(F.filter("found", lambda x: x["neighbour"] != F.col("cache_key")), 1, self.k).alias("found"))
-        return others.select("cache_key", F.posexplode("found").alias("rank", "x")).select("cache_key", F.col("x.neighbour").alias("neighbour"), F.col("x.cosine").alias("cosine"), (F.col("rank") + 1).alias("rank"))
-
-    def _class_results(self) -> DataFrame:
-        """c1, c2, neighbour, cosine: the best of each class's own cell and of the cells it visits."""
-        m, reach, keep, leaf = self.m, self.reach, self.k + 1, self.leaf
-        schema = "root bigint, node bigint, c1 bigint, c2 bigint, neighbour string, cosine double, packed binary, low binary, boxes binary"
-        names = ["root", "node", "c1", "c2", "neighbour", "cosine", "packed", "low", "boxes"]
-
-        def searched(queries: pd.DataFrame, points: pd.DataFrame, floors: np.ndarray | None) -> tuple[pd.DataFrame, Search]:
-            low = _lows(points["low"].tolist(), m)
-            leaves = Leaves(low, leaf)
-            points = points.iloc[leaves.order]
-            keys = points["cache_key"].to_numpy(dtype=object)
-            rank = np.empty(len(keys), dtype=np.int64)
-            rank[np.argsort(keys, kind="stable")] = np.arange(len(keys))
-            mine = _lows(queries["low"].tolist(), m)
-            search = Search(_units(queries["packed"].tolist()), mine, _units(points["packed"].tolist()), leaves, keep, reach, floors)
-            rows = np.arange(len(queries))
-            if floors is None:  # the queries' own leaves first
-                home = np.argmin(search.far, axis=1)
-                for n in range(len(leaves.edge) - 1):
-                    search.visit(n, rows[home == n])
-                for n in range(len(leaves.edge) - 1):
-                    search.visit(n, rows[home != n])
+        found = self._searched()
+        if self.more.isEmpty():
+            return found
+        found = kept(found)
+        # a key beyond the k + 1 of its class has the neighbours of the class's first key, and that one
+        best = found.join(self.more.select(F.col("first").alias("cache_key")).distinct(), "cache_key", "left_semi")
+        lists = best.groupBy(F.col("cache_key").alias("first")).agg(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "neighbour")).alias("found"))
+        own = F.array(F.struct(F.lit(-1.0).alias("far"), F.col("first").alias("neighbour")))
+        theirs = self.more.join(lists, "first").select("cache_key", F.posexplode(F.slice(F.array_sort(F.concat("found", own)), 1, self.k)).alias("rank", "x"))
+        return found.unionByName(theirs.select("cache_key", F.col("x.neighbour").alias("neighbour"), (-F.col("x.far")).alias("cosine"), (F.col("rank") + 1).alias("rank")))
+
+    def _stored(self) -> tuple[str, list[tuple[int, int, int, bytes]]]:
+        """The folder of the cells' files, and of each cell root, node, size and hull, by root and node."""
+        m, leaf, context = self.m, self.leaf, self.points.sparkSession.sparkContext
+        folder = f"{context._jsc.sc().getCheckpointDir().get()}/cells-{uuid.uuid4().hex}"
+        system, path = _shared(folder)
+        system.create_dir(path)
+        atexit.register(_removed, folder)
+
+        def store(pdf: pd.DataFrame) -> pd.DataFrame:
+            root, node = int(pdf["root"].iloc[0]), int(pdf["node"].iloc[0])
+            raw = np.frombuffer(b"".join(pdf["packed"]), dtype=np.float32).reshape(len(pdf), -1)
+            low = _lows(pdf["low"].tolist(), m)
+            Cell(raw, low, pdf[["c1", "c2"]].to_numpy(), pdf["cache_key"].tolist(), leaf).write(folder, _file(root, node))
+            return pd.DataFrame({"root": [root], "node": [node], "size": [len(pdf)], "hull": [np.concatenate((low.min(0), low.max(0))).tobytes()]})
+
+        cells = self.points.groupBy("root", "node").applyInPandas(store, "root bigint, node bigint, size int, hull binary")
+        return folder, sorted(tuple(r) for r in cells.collect())
+
+    def _searched(self) -> DataFrame:
+        """cache_key, neighbour, cosine, rank of every key that is in a cell."""
+        m, reach, k, share = self.m, self.reach, self.k, self.share
+        folder, cells = self._stored()
+        spark = self.points.sparkSession
+        blocks: list[list[int]] = []  # cells that lie together, whose vectors one task searches for
+        wanted = min(share, max(self.cell, sum(c[2] for c in cells) // 128))
+        for n, (root, _, size, _) in enumerate(cells):
+            if blocks and cells[blocks[-1][0]][0] == root and sum(cells[i][2] for i in blocks[-1]) + size <= wanted:
+                blocks[-1].append(n)
             else:
-                for n in np.argsort(search.far.sum(0)):
-                    search.visit(n, rows)
-            q, p, c = search.results(rank)
-            found = pd.DataFrame({"c1": queries["c1"].to_numpy()[q], "c2": queries["c2"].to_numpy()[q], "neighbour": keys[p], "cosine": c})
-            return found, search
-
-        def at_home(points: pd.DataFrame) -> pd.DataFrame:
-            queries = points.drop_duplicates(["c1", "c2"]).reset_index(drop=True)
-            found, search = searched(queries, points, None)
-            onward = queries[["c1", "c2", "packed", "low"]].assign(cosine=search.floor)
-            both = np.concatenate((search.leaves.low, search.leaves.high), axis=1).astype(np.float32)
-            box = pd.DataFrame({"c1": [0], "c2": [0], "boxes": [both.tobytes()]})
-            out = pd.concat([found, onward, box], ignore_index=True).reindex(columns=names)
-            out["root"], out["node"] = points["root"].iloc[0], points["node"].iloc[0]
-            return out
-
-        home = kept(self.points.groupBy("root", "node").applyInPandas(at_home, schema))
-        results = home.where("neighbour is not null").select("c1", "c2", "neighbour", "cosine")
-        cells = home.where("boxes is not null").select("root", "node", "boxes")
-        queries = home.where("packed is not null").select("root", F.col("node").alias("home"), "c1", "c2", "cosine", "packed", "low")
-        visits = self._visits(queries, cells)
-
-        def away(points: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
-            if not len(points) or not len(visitors):
-                return pd.DataFrame({"c1": [], "c2": [], "neighbour": [], "cosine": []})
-            return searched(visitors.reset_index(drop=True), points, visitors["cosine"].to_numpy())[0]
-
-        abroad = self._met(self.points.select("root", "node", "cache_key", "packed", "low"), visits, away, "c1 bigint, c2 bigint, neighbour string, cosine double")
-        return results.unionByName(abroad)
-
-    def _met(self, sides: DataFrame, visits: DataFrame, meet: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-        """``meet`` of each node's rows in ``sides`` and its visits, at most about ``share`` of them in a task."""
-        shares = sized(visits.groupBy("root", "node").agg(F.ceil(F.count("*") / self.share).cast("int").alias("shares")))
-        parted = visits.join(shares, ["root", "node"]).withColumn("part", F.pmod(F.xxhash64("c1"), F.col("shares")).cast("int")).drop("shares")
-        copies = sides.join(shares, ["root", "node"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-        copies = copies.select(*(F.col(c).alias(c) for c in copies.columns))  # both may come of one table
-        group = ["root", "node", "part"]
-        return copies.groupBy(*group).cogroup(parted.groupBy(*group)).applyInPandas(meet, schema)
-
-    def _visits(self, queries: DataFrame, cells: DataFrame) -> DataFrame:
-        """root, node, c1, c2, cosine, packed, low: the cells (but its own) that each query can't rule out.
-
-        The queries descend from the root; of each child of a node the boxes
-        one step further down are tested: its leaves' if it is a cell, else its
-        own children's.
-        """
-        m, reach, bits = self.m, self.reach, self.bits
-
-        def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-            parts = [np.frombuffer(b, dtype=np.float32).reshape(-1, 2 * m) for b in pdf["boxes"]]
-            all_ = np.concatenate(parts)
-            both = np.concatenate((all_[:, :m].min(0), all_[:, m:].max(0))).astype(np.float32)
-            return pd.DataFrame({"root": pdf["root"][:1], "node": pdf["node"][:1], "boxes": [both.tobytes()]})
-
-        def together(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"root": pdf["root"][:1], "node": pdf["node"][:1], "boxes": [b"".join(pdf["boxes"])]})
-
-        box_schema = "root bigint, node bigint, boxes binary"
-        # from the deepest level up: a node's hull, and the hulls of its children
-        above: list[DataFrame] = [cells.withColumn("final", F.lit(True))]
-        known = cells
-        for _ in range(self.levels):
-            deepest = F.shiftright("node", bits) >= 1  # a root has no parent
-            hulls = kept(known.where(deepest).groupBy("root", "node").applyInPandas(hull, box_schema))
-            parents = hulls.withColumn("node", F.shiftright("node", bits))
-            known = kept(parents.groupBy("root", "node").applyInPandas(together, box_schema))
-            above.append(known.withColumn("final", F.lit(False)))
-        nodes = above[0]
-        for more in above[1:]:
-            nodes = nodes.unionByName(more)
-        # a node met on several ways up (its cells lie at different depths) is one child with all boxes
-        merged = nodes.groupBy("root", "node", "final").agg(F.collect_set("boxes").alias("b")).select("root", F.shiftright("node", bits).alias("node"), F.col("node").alias("child"), "final", F.array_join(F.transform("b", F.hex), "").alias("boxes"))
-        children = kept(merged.where("node >= 1").withColumn("boxes", F.unhex("boxes")))
-        schema = "root bigint, node bigint, final boolean, home bigint, c1 bigint, c2 bigint, cosine double, packed binary, low binary"
-
-        def descend(boxes: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
-            low, cosine, home = _lows(visitors["low"].tolist(), m), visitors["cosine"].to_numpy(), visitors["home"].to_numpy()
-            within = (reach * (2 - 2 * np.minimum(cosine, 1) + 2e-6)).astype(np.float32)
-            out = []
-            for child, final, packed in zip(boxes["child"], boxes["final"], boxes["boxes"]):
-                both = np.frombuffer(packed, dtype=np.float32).reshape(-1, 2 * m)
-                open_ = np.zeros(len(low), dtype=bool)
-                for q in range(0, len(low), 4096):
-                    open_[q : q + 4096] = _boxes_within(low[q : q + 4096], both[:, :m], both[:, m:]).min(1) <= within[q : q + 4096]
-                if final:
-                    open_ &= home != child
-                out.append(visitors[open_].assign(node=child, final=final))
-            if not out:
-                return visitors[:0].assign(final=False)[[x.split()[0] for x in schema.split(", ")]]
-            return pd.concat(out)[[x.split()[0] for x in schema.split(", ")]]
-
-        at, visits = queries.withColumn("node", F.lit(1).cast("bigint")), None
-        for _ in range(self.levels):
-            stepped = kept(self._met(children, at, descend, schema))
-            ended = stepped.where("final").drop("final", "home")
-            visits = ended if visits is None else visits.unionByName(ended)
-            at = stepped.where("not final").drop("final")
-        return visits if visits is not None else queries.where("false").withColumn("node", F.lit(1).cast("bigint")).drop("home")
+                blocks.append([n])
+        known = spark.sparkContext.broadcast((cells, blocks))
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for block in batch["id"].tolist():
+                    yield one(*known.value, block)
+
+        def one(cells: list, blocks: list, block: int) -> pd.DataFrame:
+            own = [(n, Cell.read(folder, _file(*cells[n][:2]))) for n in blocks[block]]
+            raw, low, classes = (np.concatenate([getattr(c, x) for _, c in own]) for x in ("raw", "low", "classes"))
+            _, first, of = np.unique(classes, axis=0, return_index=True, return_inverse=True)
+            of = of.ravel()
+            run = Search(raw[first], low[first], k + 1, reach)
+            at = 0
+            for _, cell in own:  # each query's own cell first
+                run.meet(cell, np.flatnonzero((first >= at) & (first < at + len(cell.raw))))
+                at += len(cell.raw)
+            hulls = np.frombuffer(b"".join(c[3] for c in cells), dtype=np.float32).reshape(-1, 2 * m)
+            same = np.array([n for n, c in enumerate(cells) if c[0] == cells[blocks[block][0]][0]])
+            gap = np.maximum(np.maximum(hulls[same, :m] - run.low.max(0), run.low.min(0) - hulls[same, m:]), 0)
+            middle = (hulls[same, :m] + hulls[same, m:]) / 2 - run.low.mean(0)
+            starts = np.cumsum([0] + [len(c.raw) for _, c in own])
+            for n in same[np.lexsort(((middle**2).sum(1), (gap**2).sum(1)))].tolist():
+                open_ = _boxes_within(run.low, hulls[n : n + 1, :m], hulls[n : n + 1, m:])[:, 0] <= run.within()
+                held = next((i for i, (own_n, _) in enumerate(own) if own_n == n), None)
+                if held is not None:
+                    open_ &= (first < starts[held]) | (first >= starts[held + 1])
+                rows = np.flatnonzero(open_)
+                if len(rows):
+                    run.meet(own[held][1] if held is not None else Cell.read(folder, _file(*cells[n][:2])), rows)
+            q, names, cosine = run.results()
+            begin, end = np.searchsorted(q, np.arange(len(first))), np.searchsorted(q, np.arange(len(first)), "right")
+            keys = [c.key(i) for _, c in own for i in range(len(c.raw))]
+            out: list[tuple] = []
+            for key, i in zip(keys, of.tolist()):
+                rank = 0
+                for x in range(begin[i], end[i]):
+                    if names[x] != key and rank < k:
+                        rank += 1
+                        out.append((key, names[x], cosine[x], rank))
+            return pd.DataFrame(out, columns=["cache_key", "neighbour", "cosine", "rank"])
+
+        schema = "cache_key string, neighbour string, cosine double, rank int"
+        return spark.range(0, len(blocks), 1, max(1, len(blocks))).mapInPandas(search, schema)

@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 
@@ -59,3 +60,32 @@ def test_empty_and_small(spark):
     assert N.SimilarVectors(spark.createDataFrame([], schema)).pairs().count() == 0
     two = [("a", "m", 2, [1.0, 0.0], dt.datetime(2025, 1, 1)), ("b", "m", 2, [0.0, 1.0], dt.datetime(2025, 1, 1))]
     assert [tuple(r) for r in N.SimilarVectors(spark.createDataFrame(two, schema)).pairs().collect()] == [("a", "b")]
+
+
+def test_vectors_are_written_few_times(spark):
+    """What is kept follows the vectors, not the visits to cells that they can't rule out."""
+    rng, at = np.random.default_rng(8), dt.datetime(2025, 1, 1)
+    rows = [(f"k{i:05}", "m", 64, [float(np.float32(x)) for x in rng.standard_normal(64)], at) for i in range(3000)]
+    df = spark.createDataFrame(rows, "cache_key string, model_fingerprint string, dimension int, vector array<float>, created_at timestamp")
+    context = spark.sparkContext
+
+    def held():
+        folder = context._jsc.sc().getCheckpointDir()
+        return sum(p.stat().st_size for p in Path(folder.get().removeprefix("file:")).rglob("*") if p.is_file()) if folder.isDefined() else 0
+
+    before = held()
+    assert N.SimilarVectors(df, cell=100, leaf=16).pairs().count() >= 3000 * 5 // 2
+    assert held() - before <= 4 * 3000 * 64 * 4
+
+
+def test_a_crowd_of_copies(spark):
+    """Keys beyond the k + 1 that stand for their class have their neighbours all the same."""
+    rng, at = np.random.default_rng(9), dt.datetime(2025, 1, 1)
+    x = rng.standard_normal(12)
+    near = [(f"a{i}", "m", 12, [float(np.float32(v)) for v in x + 1e-6 * rng.standard_normal(12)], at) for i in range(3)]
+    far = [(f"z{i:03}", "m", 12, [float(np.float32(v)) for v in rng.standard_normal(12)], at) for i in range(300)]
+    rows = near + far + [(f"c{i:02}", "m", 12, [float(np.float32(v)) for v in x], at) for i in range(20)]
+    rows += [("c05", "m", 12, far[0][3], at + dt.timedelta(1)), ("z007", "m", 12, far[1][3], at)]  # rewritten; a tie goes to the greatest vector
+    want = brute([r for r in rows if r != rows[-1]] if rows[-1][3] < far[7][3] else [r for r in rows if r != far[7]], 5)
+    df = spark.createDataFrame(rows, "cache_key string, model_fingerprint string, dimension int, vector array<float>, created_at timestamp")
+    assert {tuple(r) for r in N.SimilarVectors(df, cell=60, leaf=8).pairs().collect()} == want
