@@ -11,9 +11,16 @@ similarity of its shingle sets.
 Exact copies (equal after normalisation) are one class: only classes are paired
 and verified, and a class's members meet pairs at the end.
 
-The tables' keys are shuffled, sorted, and read run by run; a run longer than
-``RUN`` goes through a join instead, which Spark splits where it is skewed. No
-run is cut short or dropped.
+Tables' keys are never shuffled: a text goes to one bucket for each collection,
+with a byte of each of its minhashes. Within a bucket, texts are alike in one
+collection; those of them whose bytes agree in a later one, too, share a table's
+key. Texts that are not alike meet there by chance, the more so the more texts
+there are (their pairs grow as the square), so a pair leaves its bucket only if
+as many of its bytes agree as do of nearly all pairs with the similarity wanted.
+
+Buckets are read run by run; a bucket of more than ``BUCKET`` rows and a key of
+more than ``RUN`` go through a join instead, which Spark splits where it is
+skewed. No run is cut short or dropped.
 
 Defined results: null contents, and those with fewer letters and digits than a
 shingle has, are like nothing; a row repeated exactly counts once; texts of any
@@ -22,11 +29,13 @@ length are treated whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import compute
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +44,15 @@ from lexmill.sources.shared import kept, sized
 
 #: Longest run of equal table keys whose pairs one task forms.
 RUN = 1500
+#: Rows of one bucket that a task holds.
+BUCKET = 1 << 18
+#: Share of the pairs at the least similarity that agree in too few bytes.
+LOSS = 1e-4
+_CHECKED = 100_000  # pairs whose bytes are held at once
 _BLOCK = 1 << 16
 _PAIRS = 2000  # pairs whose shingles are held at once
 _MET = 1 << 20  # digests a task remembers
-_NONE = np.uint32(0xFFFFFFFF)
+_GROUPS = 64  # collections at most
 
 
 def shingle_hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,27 +86,37 @@ class TensorSketch:
         rng = np.random.default_rng(seed)
         self.factors = rng.integers(1, 1 << 63, groups * per_group, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def collections(self, texts: list[str]) -> np.ndarray:
-        """One 64-bit hash per text and collection."""
-        out = np.empty((len(texts), self.groups), dtype=np.uint64)
+    def marked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket of each text and collection (its number in the last bits), and a byte of each minhash of each text."""
+        buckets, marks = np.empty((len(texts), self.groups), dtype=np.uint64), np.empty((len(texts), len(self.factors)), dtype=np.uint8)
         first, size = 0, 0
         for i, t in enumerate([*texts, ""]):
             if i == len(texts) or size > _BLOCK:
                 if i > first:
-                    out[first:i] = self._block(texts[first:i])
+                    buckets[first:i], marks[first:i] = self._block(texts[first:i])
                 first, size = i, 0
             size += len(t)
-        return out
+        return buckets, marks
 
-    def _block(self, texts: list[str]) -> np.ndarray:
+    def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         hashes, starts = shingle_hashes(texts, self.width)
-        out = np.zeros((len(texts), self.groups), dtype=np.uint64)
+        out, marks = np.zeros((len(texts), self.groups), dtype=np.uint64), np.empty((len(texts), len(self.factors)), dtype=np.uint8)
         for i, factor in enumerate(self.factors):
             least = np.minimum.reduceat(((hashes * factor) >> np.uint64(32)).astype(np.uint32), starts)
             g = i // self.per_group
+            marks[:, i] = least & np.uint32(255)
             out[:, g] = (out[:, g] ^ least) * np.uint64(0x9FB21C651E98DF25)
             out[:, g] ^= out[:, g] >> np.uint64(31)
-        return out
+        return out & ~np.uint64(_GROUPS - 1) | np.arange(self.groups, dtype=np.uint64), marks
+
+    def fewest(self, least: float) -> int:
+        """Bytes that agree in all but LOSS of the pairs whose similarity is ``least``; what is more alike has more."""
+        n, below = len(self.factors), 0.0
+        for k in range(n + 1):
+            below += math.comb(n, k) * least**k * (1 - least) ** (n - k)
+            if below > LOSS:
+                return k
+        return n
 
 
 def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,13 +147,16 @@ def normalised(df: DataFrame, key: str, source: str, text: str, width: int) -> D
     return picked.mapInArrow(norm, "item_id string, source string, d1 bigint, d2 bigint, normal string")
 
 
-def collection_rows(items: DataFrame, sketch: TensorSketch) -> DataFrame:
-    """g, h, d1: a row for each collection and text (copies met by one task once).
+def bucket_rows(items: DataFrame, sketch: TensorSketch) -> DataFrame:
+    """bucket, d1, marks of the other collections: a row for each collection but the last (none comes later) and text (copies met by one task once).
 
     Half of the text's digest is enough here: texts that share it only make
     candidates more, which are told apart when they are verified.
     """
 
+    times, per_group = sketch.groups - 1, sketch.per_group
+    others = np.array([[i for i in range(sketch.groups * per_group) if i // per_group != g] for g in range(times)])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(0, dtype=np.int64)
         for batch in batches:
@@ -139,25 +166,13 @@ def collection_rows(items: DataFrame, sketch: TensorSketch) -> DataFrame:
             if not len(d1):
                 continue
             met = np.union1d(met, d1) if len(met) < _MET else d1
-            texts = batch.column(1).take(pa.array(first)).to_pylist()
-            of = sketch.collections(texts).view(np.int64)
-            g = np.tile(np.arange(of.shape[1], dtype=np.int32), len(d1))
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(of.ravel()), pa.array(np.repeat(d1, of.shape[1]))], names=["g", "h", "d1"])
-
-    return items.select("d1", "normal").mapInArrow(rows, "g int, h bigint, d1 bigint")
+            buckets, marks = sketch.marked(batch.column(1).take(pa.array(first)).to_pylist())
+            width = others.shape[1]
+            whole = marks[:, others].tobytes()
+            own = pa.array([whole[i : i + width] for i in range(0, len(whole), width)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(buckets[:, :times].view(np.int64).ravel()), pa.array(np.repeat(d1, times)), own], names=["bucket", "d1", "marks"])
 
-
-def table_keys(rows: DataFrame) -> DataFrame:
-    """table_key, d1: the tables' keys that two texts could share.
-
-    A table's key is equal only if both of its collections are, so a text has
-    keys only of the collections it shares with some other text; the rest could
-    meet nothing and is never formed.
-    """
-    shared = rows.groupBy("g", "h").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a <> b").select("g", "h")
-    own = rows.join(shared, ["g", "h"], "left_semi").groupBy("d1").agg(F.array_sort(F.collect_set(F.struct("g", "h"))).alias("c")).where(F.size("c") > 1)
-    tables = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.xxhash64(x["g"], x["h"], y["g"], y["h"]))))
-    return own.select(F.explode(tables).alias("table_key"), "d1")
+    return items.select("d1", "normal").mapInArrow(rows, "bucket bigint, d1 bigint, marks binary")
 
 
 _PAIR = "a1 bigint, b1 bigint, table_key bigint"
@@ -212,15 +227,120 @@ def _pairs_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from pairs(*held[0])
 
 
+def _mixed(bucket: np.ndarray, g: int, own: np.ndarray) -> np.ndarray:
+    """The table key of rows of a bucket and their bytes of the later collection ``g``."""
+    x = (bucket.astype(np.uint64) ^ (own * np.uint64(_GROUPS) + np.uint64(g)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(32)).view(np.int64)
+
+
+def _pairs_of_buckets(groups: int, per_group: int, fewest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of the texts of each bucket that share a table's key and agree in ``fewest`` bytes; rows come sorted.
+
+    What is too long for a task leaves as rows of table keys without a b.
+    """
+
+    def out(a1: np.ndarray, b1: np.ndarray | None = None, table_key: np.ndarray | None = None) -> pa.RecordBatch:
+        columns = [pa.array(c) if c is not None else pa.nulls(len(a1), pa.int64()) for c in (a1, b1, table_key)]
+        return pa.RecordBatch.from_arrays(columns, names=["a1", "b1", "table_key"])
+
+    def triple(marks: np.ndarray, g: int) -> np.ndarray:
+        own = np.zeros(len(marks), dtype=np.uint64)
+        for i in range((g - 1) * per_group, g * per_group):  # the bucket's own collection, an earlier one, is left out
+            own = own * np.uint64(256) + marks[:, i]
+        return own
+
+    def leaving(bucket: np.ndarray, d1: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for g in range(int(bucket[0]) & (_GROUPS - 1), groups - 1):
+            yield out(d1, table_key=_mixed(bucket, g + 1, triple(marks, g + 1)))
+
+    def pairs(bucket: np.ndarray, d1: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        several = np.repeat(np.diff(edges) > 1, np.diff(edges))
+        bucket, d1, marks = bucket[several], d1[several], marks[several]
+        first, found = bucket & (_GROUPS - 1), []
+        for g in range(1, groups):
+            rows = np.flatnonzero(first < g)
+            keys = _mixed(bucket[rows], g, triple(marks[rows], g))
+            order = np.argsort(keys, kind="stable")
+            rows, keys = rows[order], keys[order]
+            edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+            sizes, starts = np.diff(edges), edges[:-1]
+            for size in np.unique(sizes[(sizes > 1) & (sizes <= RUN)]):
+                i, j = np.triu_indices(size, 1)
+                at = starts[sizes == size]
+                step = max(1, _CHECKED // len(i))
+                for k in range(0, len(at), step):
+                    x, y = (rows[(at[k : k + step, None] + z).ravel()] for z in (i, j))
+                    for n in range(0, len(x), _CHECKED):
+                        own, other = x[n : n + _CHECKED], y[n : n + _CHECKED]
+                        alike = np.count_nonzero(marks[own] == marks[other], axis=1) >= fewest - per_group
+                        own, other = d1[own[alike]], d1[other[alike]]
+                        found.append(np.stack((np.minimum(own, other), np.maximum(own, other)), axis=1))
+            for s, size in zip(starts[sizes > RUN], sizes[sizes > RUN]):
+                yield out(d1[rows[s : s + size]], table_key=keys[s : s + size])
+        both = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        both = both[np.concatenate(([True], (both[1:] != both[:-1]).any(1)))] if len(both) else both
+        yield out(np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows_held, hot = 0, None  # hot: a bucket that is already leaving row by row
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, d1 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            marks = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(bucket), -1)
+            once = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (d1[1:] != d1[:-1])))  # copies
+            if held:
+                once[0] = bucket[0] != held[-1][0][-1] or d1[0] != held[-1][1][-1]
+            rows = tuple(c[once] for c in (bucket, d1, marks))
+            if hot is not None and len(rows[0]):
+                end = int(np.searchsorted(rows[0], hot, "right"))
+                if end:
+                    yield from leaving(*(c[:end] for c in rows))
+                rows = tuple(c[end:] for c in rows)
+                hot = hot if not len(rows[0]) else None
+            if not len(rows[0]):
+                continue
+            held.append(rows)
+            rows_held += len(rows[0])
+            if rows_held < BUCKET // 4:
+                continue
+            whole = tuple(np.concatenate(c) for c in zip(*held))
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # before the last bucket
+            if cut:
+                yield from pairs(*(c[:cut] for c in whole))
+            held, rows_held = [tuple(c[cut:] for c in whole)], len(whole[0]) - cut
+            if rows_held > BUCKET:
+                hot = whole[0][-1]
+                yield from leaving(*held[0])
+                held, rows_held = [], 0
+        if held:
+            yield from pairs(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
+def _crossed(hot: DataFrame) -> DataFrame:
+    return hot.join(hot.select("table_key", F.col("a1").alias("b1")), "table_key").where("a1 <= b1").select("a1", "b1")
+
+
 def candidate_pairs(keys: DataFrame) -> DataFrame:
     """a1, b1: half digests of classes that share a key in some table, each pair once, smaller first."""
     runs = kept(keys.repartition("table_key").sortWithinPartitions("table_key", "d1").mapInArrow(_pairs_of_runs, _PAIR))
     close = runs.where("b1 is not null").select("a1", "b1")
     hot = runs.where("b1 is null").select("table_key", "a1")
-    if hot.isEmpty():
-        return close.distinct()
-    crossed = hot.join(hot.select("table_key", F.col("a1").alias("b1")), "table_key").where("a1 <= b1").select("a1", "b1")
-    return close.unionByName(crossed).distinct()
+    return (close if hot.isEmpty() else close.unionByName(_crossed(hot))).distinct()
+
+
+def sketched_pairs(rows: DataFrame, sketch: TensorSketch, least: float) -> DataFrame:
+    """a1, b1: half digests of classes that share a key in some table and could be as similar as ``least``, each pair once, smaller first."""
+    meet = _pairs_of_buckets(sketch.groups, sketch.per_group, sketch.fewest(least))
+    found = kept(rows.repartition("bucket").sortWithinPartitions("bucket", "d1").mapInArrow(meet, _PAIR))
+    close = found.where("b1 is not null").select("a1", "b1")
+    hot = found.where("b1 is null").select("table_key", F.col("a1").alias("d1"))
+    return (close if hot.isEmpty() else close.unionByName(candidate_pairs(hot))).distinct()
 
 
 def jaccard(a: str, b: str, width: int) -> float:
@@ -295,11 +415,10 @@ class NearDuplicates:
     """The stages over one table: members of classes, and links between classes."""
 
     def __init__(self, df: DataFrame, key: str, source: str, text: str, width: int = 5, least: float = 0.7, groups: int = 17, per_group: int = 3) -> None:
-        items = normalised(df, key, source, text, width).persist()
+        items = normalised(df, key, source, text, width).persist(StorageLevel.MEMORY_ONLY)  # what doesn't fit is made again, not written
         self.members = items.select("item_id", "source", "d1", "d2").distinct()
-        rows = collection_rows(items, TensorSketch(width, groups, per_group)).persist()
-        pairs = kept(candidate_pairs(table_keys(rows)))
-        rows.unpersist()
+        sketch = TensorSketch(width, groups, per_group)
+        pairs = kept(sketched_pairs(bucket_rows(items, sketch), sketch, least))
         self.links = kept(verified(pairs, items, width, least))
         self.members = kept(self.members)
         items.unpersist()

@@ -82,3 +82,36 @@ def test_groups_of_chains(spark):
     links = [(r["a1"], r["b1"]) for r in near.links.collect()]
     assert len(links) >= 19 and len({of[k] for k, *_ in chain}) == 1 and of["c00"] == min(parent[k] for k, *_ in chain)
     assert of["x"] == of["y"] != of["z"] and len(of) == 23
+
+
+def test_pairs_alike_by_chance_stay_in_their_buckets(spark):
+    """Texts of common phrases share tables' keys, the more the more there are; few of their pairs are verified."""
+    rng = random.Random(3)
+    phrases = ["".join(rng.choices("abcdefghij", k=12)) for _ in range(30)]
+    texts = ["".join(rng.sample(phrases, 10)) for _ in range(400)]
+    texts += [t[:60] + "xyz" + t[63:] for t in texts[:20]]
+    df = spark.createDataFrame([(f"t{i:03}", f"s{i}", t) for i, t in enumerate(texts)], "id string, src string, text string")
+    items = D.normalised(df, "id", "src", "text", 5)
+    sketch = D.TensorSketch(5, 17, 3)
+    pairs = {tuple(r) for r in D.sketched_pairs(D.bucket_rows(items, sketch), sketch, 0.7).collect()}
+    of = {r["item_id"]: r["d1"] for r in items.collect()}
+    assert {tuple(sorted((of[f"t{i:03}"], of[f"t{400 + i}"]))) for i in range(20)} <= pairs
+    assert len(pairs) < 200
+
+
+def test_long_buckets_leave_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(D, "BUCKET", 40)
+    rng = random.Random(6)
+    base = "".join(rng.choices("abcdefghij", k=400))
+    texts = [base[:i] + "#" + base[i + 1 :] for i in range(100)]
+    sketch = D.TensorSketch(5, 17, 3)
+    df = spark.createDataFrame([(f"t{i}", "s", t.replace("#", "z")) for i, t in enumerate(texts)], "id string, src string, text string")
+    rows = sorted(((r["bucket"], r["d1"], bytes(r["marks"])) for r in D.bucket_rows(D.normalised(df, "id", "src", "text", 5), sketch).collect()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 30]), (pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "d1", "marks"]) for i in range(0, len(rows), 30)]
+    got = [r for b in D._pairs_of_buckets(17, 3, sketch.fewest(0.7))(iter(batches)) for r in b.to_pylist()]
+    keys = {}
+    for r in got:
+        if r["b1"] is None:
+            keys.setdefault(r["table_key"], set()).add(r["a1"])
+    pairs = {(r["a1"], r["b1"]) for r in got if r["b1"] is not None} | {(a, b) for own in keys.values() for a in own for b in own if a < b}
+    assert keys and len(pairs) == len(texts) * (len(texts) - 1) // 2
